@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import graph_queries, text_queries
+
+_PARTS = (graph_queries, text_queries)
+QUERIES: dict = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
+SQL: dict = {k: s for p in _PARTS for k, s in p.SQL.items()}
 
 
 def flagship(spark, sf_dir: str):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return QUERIES["q103_health"](spark, sf_dir)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import graph_queries, text_queries
+from . import graph_queries, retrieval_queries, text_queries
 
-_PARTS = (graph_queries, text_queries)
+_PARTS = (graph_queries, text_queries, retrieval_queries)
 QUERIES: dict = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
 SQL: dict = {k: s for p in _PARTS for k, s in p.SQL.items()}
 
 
 def flagship(spark, sf_dir: str):
-    return QUERIES["q103_health"](spark, sf_dir)
+    return QUERIES["q120_hybrid_search"](spark, sf_dir)

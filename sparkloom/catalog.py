@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graph_queries, retrieval_queries, text_queries
+from . import graph_queries, retrieval_queries, telemetry_queries, text_queries
 
-_PARTS = (graph_queries, text_queries, retrieval_queries)
+_PARTS = (graph_queries, text_queries, retrieval_queries, telemetry_queries)
 QUERIES: dict = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
 SQL: dict = {k: s for p in _PARTS for k, s in p.SQL.items()}
 

@@ -139,7 +139,7 @@ def _path():
     return out
 
 
-@query("select case p_partkey % 7 " + " ".join(f"when {i} then '{r}'" for i, r in enumerate(_ROLES)) + " end as role, case p_partkey % 7 when 0 then 'typescript' when 1 then 'markdown' when 5 then 'python' else 'unknown' end as language, count(*) as n from part group by all")
+@query("select case p_partkey % 7 " + " ".join(f"when {i} then '{r}'" for i, r in enumerate(_ROLES)) + " end as role, case p_partkey % 7 when 0 then 'TypeScript' when 1 then 'Markdown' when 3 then 'YAML' when 5 then 'Python' else 'Unknown' end as language, count(*) as n from part group by all")
 def q023_role_and_language(spark, d):
     return table(spark, d, "part").groupBy(T.role(_path()).alias("role"), T.language(_path()).alias("language")).agg(F.count("*").alias("n"))
 

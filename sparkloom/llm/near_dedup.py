@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, blank, given_id, known_id
@@ -87,7 +87,9 @@ def _read(words: int, full: bool):
                 if full:
                     yield pa.record_batch({"node": nodes, "set": pa.array([s.tobytes() for s in sets], pa.binary())})
                 else:
-                    yield pa.record_batch({"id": x.column("id"), "node": nodes, "n": pa.array([len(s) for s in sets], pa.int64()), "sig": pa.array([signature(s).tobytes() for s in sets], pa.binary())})
+                    sigs = [signature(s) for s in sets]
+                    low = [s.astype(np.uint8).view("<i8") for s in sigs]
+                    yield pa.record_batch({"id": x.column("id"), "node": nodes, "n": pa.array([len(s) for s in sets], pa.int64()), "sig": pa.array([s.tobytes() for s in sigs], pa.binary()), "sketch": pa.array(low, pa.list_(pa.int64()))})
 
     return run
 
@@ -101,13 +103,20 @@ def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"key": pa.array(keys.reshape(-1).view(np.int64)), "node": pa.array(nodes)})
 
 
-def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs under the signature-distance threshold."""
-    for b in batches:
-        if len(b):
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, SYMBOLS) for c in ("sig_a", "sig_b"))
-            near = pa.array((x != y).sum(axis=1) <= CHUNKS * (ERRORS + 1) - 1)
-            yield pa.record_batch({c: b.column(c).filter(near) for c in ("a", "b")})
+def _distance(a: str, b: str) -> Column:
+    """In how many symbols two signatures differ, by their low bytes: eight to a number of the arrays a and b.
+    Of each byte of the numbers' difference all bits are brought together in the lowest one and counted."""
+    terms = []
+    for i in range(SYMBOLS // 8):
+        x = f"({a}[{i}] ^ {b}[{i}])"
+        terms.append(f"bit_count(({' | '.join([x, *(f'shiftrightunsigned({x}, {k})' for k in range(1, 8))])}) & {0x0101010101010101})")
+    return F.expr(" + ".join(terms))
+
+
+def _near(a: str, b: str) -> Column:
+    """Whether two nodes are under the signature-distance threshold; sizes that rule out the similarity are tested first."""
+    sizes = (100 * F.least(f"n_{a}", f"n_{b}") >= SIMILARITY * F.greatest(f"n_{a}", f"n_{b}"))
+    return sizes & (_distance(f"sketch_{a}", f"sketch_{b}") <= CHUNKS * (ERRORS + 1) - 1)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,15 +131,138 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({c: b.column(c).filter(keep) for c in ("a", "b")})
 
 
+#: Rows of a group that are compared with each other in one task, and their shingles; larger groups are cut into
+#: blocks, and each two blocks meet in a task of their own.
+BLOCK, BLOCK_SHINGLES = 4096, 8_000_000
+_PAIRS = 100_000
+
+
+def _in_blocks(rows: DataFrame, group: str) -> DataFrame:
+    """rows (group, node, n, ...) with block and the two blocks pa and pb that meet, once for each meeting."""
+    size = rows.groupBy(group).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    own = rows.join(size, group).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("pa"), F.greatest("block", j).alias("pb")))
+    own = own.withColumn("meet", F.explode(meet)).select("*", "meet.pa", "meet.pb").drop("meet", "blocks")
+    return own.repartition(group, "pa", "pb").sortWithinPartitions(group, "pa", "pb", "node")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], group: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, and where the groups start and the last one ends; rows come sorted by group."""
+    left = None
+    for b in _ended(batches):
+        now = left if b is None else pa.Table.from_batches([b]) if left is None else pa.concat_tables([left, pa.Table.from_batches([b])])
+        if now is None or not len(now):
+            continue
+        ids = np.stack([now.column(c).to_numpy() for c in (group, "pa", "pb")])
+        starts = np.flatnonzero(np.r_[True, (ids[:, 1:] != ids[:, :-1]).any(axis=0)])
+        whole = len(now) if b is None else int(starts[-1])
+        left = now.slice(whole)
+        if whole:
+            yield now.slice(0, whole), np.append(starts[starts < whole], whole)
+
+
+def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _signatures(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, SYMBOLS)
+
+
+class _Union(dict):
+    def find(self, x: int) -> int:
+        while (up := self.get(x, x)) != x:
+            self[x] = x = self.get(up, up)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _pairs(starts: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All pairs of rows within groups, in slices: (group, row, row). Where two blocks meet, pairs lie across them."""
+    out, n = [], 0
+    for g, (lo, hi) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
+        mixed = len(np.unique(blocks[lo:hi])) > 1
+        for i in range(lo, hi - 1):
+            j = np.arange(i + 1, hi)
+            j = j[blocks[j] != blocks[i]] if mixed else j
+            out.append((np.full(len(j), g), np.full(len(j), i), j))
+            n += len(j)
+            if n >= _PAIRS:
+                yield tuple(np.concatenate(x) for x in zip(*out, strict=True))
+                out, n = [], 0
+    if out:
+        yield tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _near_pairs(t: pa.Table, starts: np.ndarray, sigs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group with different roots that are under the signature distance."""
+    root, n, blocks = (t.column(c).to_numpy() for c in ("root", "n", "block"))
+    for g, i, j in _pairs(starts, blocks):
+        ok = (root[i] != root[j]) & (100 * np.minimum(n[i], n[j]) >= SIMILARITY * np.maximum(n[i], n[j]))
+        g, i, j = g[ok], i[ok], j[ok]
+        ok = (sigs[i] != sigs[j]).sum(axis=1) <= CHUNKS * (ERRORS + 1) - 1
+        yield g[ok], i[ok], j[ok]
+
+
+def _touching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each key a forest over its near pairs, which is linear in its nodes; a pair counts under its first common key."""
+    for t, starts in _groups(batches, "key"):
+        sigs, node, key = _signatures(t), t.column("node").to_numpy(), t.column("key").to_numpy()
+        own = (chunk_keys(sigs[starts[:-1]]).view(np.int64) == key[starts[:-1], None]).argmax(axis=1)
+        forests: dict[int, _Union] = {}
+        out = []
+        for g, i, j in _near_pairs(t, starts, sigs):
+            if len(g):
+                rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+                keys = chunk_keys(sigs[rows])
+                first = (keys[at[: len(i)]] == keys[at[len(i) :]]).argmax(axis=1) == own[g]
+                for k, x, y in zip(g[first].tolist(), node[i[first]].tolist(), node[j[first]].tolist(), strict=True):
+                    if forests.setdefault(k, _Union()).join(x, y):
+                        out.append((x, y))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between different components within each family, confirmed on full sets: a forest over the components."""
+    for t, starts in _groups(batches, "family"):
+        sigs, node, root = _signatures(t), t.column("node").to_numpy(), t.column("root").to_pylist()
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+        known, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+        sets = np.split(numbers, np.cumsum([len(x) for x in sets])[:-1])
+        has, joined, out = np.zeros(len(known), bool), _Union(), []
+        for _, i, j in _near_pairs(t, starts, sigs):
+            for x in np.unique(i).tolist():
+                ys = [y for y in j[i == x].tolist() if joined.find(root[y]) != joined.find(root[x])]
+                if not ys:
+                    continue
+                has[sets[x]] = True
+                size = np.array([len(sets[y]) for y in ys])
+                both = np.add.reduceat(has[np.concatenate([sets[y] for y in ys])], np.cumsum(size) - size, dtype=np.int64)
+                has[sets[x]] = False
+                for y in np.array(ys)[100 * both >= SIMILARITY * (size + len(sets[x]) - both)].tolist():
+                    if joined.join(root[x], root[y]):
+                        out.append((int(node[x]), int(node[y])))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def near_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Groups documents whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-    Equal sets are one node. Every node files its signature under the keys of its chunks; all nodes under one
-    key are paired with the least of them, which is linear in any group. Pairs over the signature distance go,
-    the rest are confirmed on full sets, and links become components. What is then left to test are pairs under
-    one key that lie in different components, and only those are made. So no link under the threshold is lost
-    and no group is expanded into all its pairs. A pair of similarity 0.8 exceeds the distance of 35 of 96
-    with a probability of about 5e-5, one of 0.85 with less than 1e-8.
+    Equal sets are one node. Every node files its signature under the keys of its chunks. First each node is
+    paired with the least node under most of its keys, one pair for a node whatever the groups' sizes; pairs over
+    the signature distance go, the rest are confirmed on full sets, and links become components. What is left are
+    near pairs under one key in different components. For each key a forest over these tells which nodes
+    belong to a family, and in a family all of them are confirmed. Every step returns at most a row for each row
+    it read; pairs are compared, in blocks of bounded size, but never listed. So no link under the threshold is
+    lost. A pair of similarity 0.8 exceeds the distance of 35 of 96 with a probability of about 5e-5, one of
+    0.85 with less than 1e-8.
 
     Returns doc_id, n_shingles, component_id (the least doc_id of the group), kept (doc_id = component_id).
     A null or wordless text has no shingles and is linked with nothing; one with fewer words than a shingle is one
@@ -139,37 +271,38 @@ def near_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """
     work = Scratch(docs.sparkSession, "neardup")
     source = docs.select(known_id("doc_id").alias("id"), blank("text").alias("text"))
-    sigs = work.table(source.mapInArrow(_read(words, False), "id long, node long, n long, sig binary"))
-    nodes = work.table(sigs.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))
+    sigs = work.table(source.mapInArrow(_read(words, False), "id long, node long, n long, sig binary, sketch array<long>"))
+    first = lambda c: F.first(c).alias(c)  # noqa: E731  the same in all rows of a node
+    nodes = work.table(sigs.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), first("n"), first("sig"), first("sketch")))
     keys = nodes.select("node", "sig").mapInArrow(_file, "key long, node long")
-    shared = keys.withColumn("rep", F.expr("min(node) over (partition by key order by node rows unbounded preceding)"))
-    shared = work.table(shared.filter("rep <> node"))
+    keys = keys.withColumns({"rep": F.expr("min(node) over (partition by key)"), "last": F.expr("max(node) over (partition by key)")})
+    shared = work.table(keys.filter("rep <> last").drop("last"))
 
-    def close(pairs: DataFrame) -> DataFrame:
-        of = lambda c: nodes.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
-        return work.table(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_close, "a long, b long"))
+    def of(c: str) -> DataFrame:
+        return nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    def sets_of(need: DataFrame) -> DataFrame:
         ids = nodes.join(need, "node", "left_semi").select("id").distinct()
         sets = source.join(ids, "id", "left_semi").select("text").mapInArrow(_read(words, True), "node long, set binary")
-        sets = work.table(sets.join(need, "node", "left_semi").dropDuplicates(["node"]))
-        of = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}"))
-        links = work.table(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long"))
-        work.drop(sets)
-        return links
-
-    tried = close(shared.select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct())
-    links = confirm(tried)
+        return work.table(sets.join(need, "node", "left_semi").dropDuplicates(["node"]))
+
+    most = shared.filter("rep <> node").groupBy("node", "rep").count().groupBy("node").agg(F.max_by("rep", F.struct("count", "rep")).alias("rep"))
+    most = most.select(F.col("rep").alias("a"), F.col("node").alias("b")).join(of("a"), "a").join(of("b"), "b").filter(_near("a", "b"))
+    most = work.table(most.select("a", "b"))
+    sets = sets_of(most.select(F.col("a").alias("node")).union(most.select("b")).distinct())
+    has = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}"))
+    links = work.table(most.join(has("a"), "a").join(has("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long"))
+    work.drop(sets)
     roots = components(links, work)
-    placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = shared.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("key")
-    placed = placed.join(split, "key", "left_semi")
-    x, y = (placed.select("key", F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "xy")
-    across = x.join(y, "key").filter("root_x < root_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = close(across.join(tried, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = confirm(rest)
+    placed = placed.join(split, "key", "left_semi").join(nodes.select("node", "n", "sig"), "node")
+    touching = work.table(_in_blocks(placed, "key").mapInArrow(_touching, "a long, b long"))
+    if not touching.isEmpty():
+        family = components(touching, work).withColumnRenamed("root", "family").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        family = work.table(family.join(nodes.select("node", "n", "sig"), "node"))
+        family = family.join(sets_of(family.select("node")), "node")
+        more = work.table(_in_blocks(family, "family").mapInArrow(_link, "a long, b long"))
         if not more.isEmpty():
             roots = components(links.union(more), work)
     of = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -93,7 +93,7 @@ def q128_kb_search(spark, d):
 p as (select item_id as query_id, tool, calls, len(triggers) = 0 as general, len(list_filter(triggers, lambda x: contains(lower(text), x))) as n from benchmark, t where empty < 2),
 r as (select *, row_number() over (partition by query_id order by n desc, calls > 0 desc, general, tool) as place from p where general or n > 0 or calls > 0) select query_id, tool, place from r where place <= 4""")
 def q153_tool_curation(spark, d):
-    tools = spark.createDataFrame([("callers", ["the", "who"], 0, 0), ("search", [], 0, 3), ("blast", ["impact", "ing"], 1, 0), ("diff", ["xyzzy"], 0, 0), ("old", ["the"], 2, 5), ("refs", ["xyzzy"], 0, 1)], "tool string, triggers array<string>, empty int, calls int")
+    tools = [("callers", ["the", "who"], 0, 0), ("search", [], 0, 3), ("blast", ["impact", "ing"], 1, 0), ("diff", ["xyzzy"], 0, 0), ("old", ["the"], 2, 5), ("refs", ["xyzzy"], 0, 1)]
     return A.curate_tools(questions(spark, d), tools)
 
 

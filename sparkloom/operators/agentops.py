@@ -61,14 +61,17 @@ def kb_search(entries: DataFrame, questions: DataFrame, k: int = 3) -> DataFrame
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def curate_tools(questions: DataFrame, tools: DataFrame, most: int = 4, empties: int = 2) -> DataFrame:
-    """153: tools (tool, triggers, empty, calls) for each question: those exhausted go, then those that nothing asks
-    for; triggers found, then use, then special ones decide. A table of tools is a handful of rows by its nature."""
-    pairs = questions.join(F.broadcast(tools.filter(F.col("empty") < empties)))
-    n = F.size(F.filter("triggers", lambda t: F.contains(F.lower("text"), t)))
-    general = F.size("triggers") == 0
-    scored = pairs.withColumn("n", F.when(general, 0).otherwise(n)).filter(general | (F.col("n") > 0) | (F.col("calls") > 0))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), F.desc(F.col("calls") > 0), F.size("triggers") == 0, "tool"))
+def curate_tools(questions: DataFrame, tools: list[tuple[str, list[str], int, int]], most: int = 4, empties: int = 2) -> DataFrame:
+    """153: tools (tool, triggers, empty answers, calls) for each question: those exhausted go, then those that nothing
+    asks for; triggers found, then use, then special ones decide. Tools are a program's own, so they are literals."""
+    low = F.lower("text")
+    each = []
+    for tool, triggers, empty, calls in tools:
+        if empty < empties:
+            n = sum((F.contains(low, F.lit(t)).cast("int") for t in triggers), F.lit(0))
+            each.append(F.struct(F.lit(tool).alias("tool"), n.alias("n"), F.lit(not triggers).alias("general"), F.lit(calls > 0).alias("used")))
+    scored = questions.select("query_id", F.explode(F.array(*each)).alias("x")).select("query_id", "x.*").filter("general or n > 0 or used")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), F.desc("used"), "general", "tool"))
     return scored.withColumn("place", rank).filter(F.col("place") <= most).select("query_id", "tool", "place")
 
 

@@ -166,6 +166,10 @@ def symbol_search(symbols: DataFrame, names: DataFrame, most: int = 25) -> DataF
     """150: symbols by exact name where there are some, else by any name that holds it, whatever its case."""
     exact = symbols.join(names, "name").select(F.col("name").alias("asked"), "name", "path", F.lit(True).alias("exact"))
     rest = names.join(exact.select(F.col("asked").alias("name")), "name", "left_anti").withColumnRenamed("name", "asked")
-    part = symbols.join(F.broadcast(rest), F.lower("name").contains(F.lower("asked"))).select("asked", "name", "path", F.lit(False))
+    # whatever holds a text holds its first three characters, which make an equality to join on
+    low = F.lower("name")
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(low)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.substr(low, i, n)))))
+    keyed = symbols.filter("name <> ''").select("name", "path", F.explode(grams).alias("key"))
+    part = keyed.join(rest.withColumn("key", F.lower(F.substring("asked", 1, 3))), "key").filter(F.lower("name").contains(F.lower("asked"))).select("asked", "name", "path", F.lit(False))
     rank = F.row_number().over(Window.partitionBy("asked").orderBy("path", "name"))
     return exact.union(part).withColumn("k", rank).filter(F.col("k") <= most)

@@ -133,14 +133,22 @@ def q121_span_sweep(spark, d):
     return R.plan_spans(spans)
 
 
-@query()
+_FOLD = """with recursive e as ({rows}),
+w(g, k, batch, n, total, o) as (select g, k, 0, 1, size, o from e where k = 1 union all
+  select e.g, e.k, case when w.n >= {most} or w.total + e.size > {budget} then w.batch + 1 else w.batch end, case when w.n >= {most} or w.total + e.size > {budget} then 1 else w.n + 1 end,
+    case when w.n >= {most} or w.total + e.size > {budget} then e.size else w.total + e.size end, e.o from w join e on e.g = w.g and e.k = w.k + 1)"""
+_LINES = "select g, row_number() over (partition by g order by o) as k, o, ceil(length(t) / 4)::bigint as size from (select doc_id as g, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) - 1 as o from documents)"
+_TURNS = "select conv_id as g, row_number() over (partition by conv_id order by turn) as k, turn as o, ceil(length(text) / 4)::bigint as size from conversations"
+
+
+@query(_FOLD.format(rows=_LINES, most=1_000_000, budget=256) + " select g as doc_id, batch, min(o) as first, count(*) as lines from w group by all")
 def q122_split_by_tokens(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
     packed = R.greedy_batches(rows.withColumn("size", T.estimate_tokens(F.col("t"))), "doc_id", "line", "size", 1_000_000, 256)
     return packed.groupBy("doc_id", "batch").agg(F.min("line").alias("first"), F.count("*").alias("lines"))
 
 
-@query()
+@query(_FOLD.format(rows=_TURNS, most=3, budget=60) + " select g as conv_id, batch, count(*) as n from w group by all")
 def q125_embed_batches(spark, d):
     rows = table(spark, d, "conversations").withColumn("size", T.estimate_tokens(F.col("text")))
     return R.greedy_batches(rows, "conv_id", "turn", "size", 3, 60).groupBy("conv_id", "batch").agg(F.count("*").alias("n"))

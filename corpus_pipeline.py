@@ -11,9 +11,10 @@ from sparkloom.llm.language_id import UNDECIDED, fit, identify
 from sparkloom.llm.line_dedup import dedup_lines
 from sparkloom.llm.near_dedup import near_groups
 from sparkloom.llm.packing import pack
+from sparkloom.plans.ship import shipped
 
 #: A document goes if no language gets this share; clean text of one language gets 0.9 and more.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.35
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +50,10 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs).drop("ids")
 
 
-STAGES = [("language ID", language), ("line dedup", lines), ("MinHash near-dedup", near_copies), ("benchmark decontamination", benchmark), ("packing", packing)]
+STAGES = [
+    (name, shipped(f))
+    for name, f in (("language ID", language), ("line dedup", lines), ("MinHash near-dedup", near_copies), ("benchmark decontamination", benchmark), ("packing", packing))
+]
 
 #: The network and the curve aren't SQL.
 ORACLE_SQL = None

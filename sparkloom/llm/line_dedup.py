@@ -38,6 +38,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     keys = lines.withColumn("__line", F.trim("__line", F.lit(SPACE))).filter(F.char_length("__line") >= min_chars).select("__id", "__t", "__pos", line_key(F.col("__line")).alias("__key"))
     keys = work.table(keys.select("__id", "__t", "__pos", F.xxhash64("__key").alias("__h"), F.xxhash64("__key", F.lit(1)).alias("__g")))
     often = keys.groupBy("__h", "__g").agg(F.count_distinct("__id").alias("__n"), F.max("__id").alias("__last")).filter(F.col("__n") >= min_docs).drop("__n")
+    often = work.table(often)  # a side of its own, so that a line in very many documents can be split in the join
     drops = keys.join(often, ["__h", "__g"]).filter("__id <> __last").groupBy("__id", "__t").agg(F.array_sort(F.collect_set("__pos")).alias("__drop"))
     own = docs.withColumns(row)
     out = own.join(drops, [own["__id"].eqNullSafe(drops["__id"]), own["__t"].eqNullSafe(drops["__t"])], "left").drop("__id", "__t")

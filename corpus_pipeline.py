@@ -17,17 +17,28 @@ from sparkloom.plans.ship import shipped
 LEAST_SCORE = 0.35
 
 
+def _aside(docs: DataFrame, *names: str) -> DataFrame:
+    """docs with columns of these names under others, which an operator's own columns don't replace."""
+    return docs.withColumnsRenamed({c: f"__own_{c}" for c in docs.columns if c in names})
+
+
+def _back(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again."""
+    return out.select(*[F.col(f"__own_{c}").alias(c) if f"__own_{c}" in out.columns else F.col(c) for c in docs.columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters or in no clear language go."""
-    return identify(docs, fit(docs)).filter((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    own = _aside(docs, "lang_pred", "score")
+    return _back(identify(own, fit(own)).filter((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= LEAST_SCORE)), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents hold go; n_chars follows the text."""
-    out = dedup_lines(docs)
+    out = dedup_lines(_aside(docs, "n_lines", "n_dropped"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    return _back(out, docs)
 
 
 def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:

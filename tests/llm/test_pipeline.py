@@ -1,6 +1,6 @@
 import corpus_pipeline as P
 import numpy as np
-from cases import edited, prose, rows, table
+from cases import clashing, edited, prose, rows, table
 
 from sparkloom.llm.packing import END_ID, _encoder
 
@@ -51,5 +51,14 @@ def test_edges(spark, tmp_path):
         assert out.columns[0] == "doc_id" and (out.count() > 0) == (k == 0)
 
 
+def test_columns_of_the_same_name_stay(spark, tmp_path):
+    spark.createDataFrame([(0, prose(3, 60))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = clashing(spark)
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() > 0
+        assert out.filter("score <> 'mine' or lang_pred <> 'mine' or n_lines <> 'mine' or n_dropped <> 'mine' or id <> 'mine'").count() == 0
+
+
 def test_names():
     assert P.ORACLE_SQL is None and [n for n, _ in P.STAGES] == ["language ID", "line dedup", "MinHash near-dedup", "benchmark decontamination", "packing"]

@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from .common import Scratch, blank
 
 GRAM = 3
-#: A gram is rare if at most this share of the documents hold it, or if it is in the rarer half of its item's grams.
-RARE = 1e-4
-#: A match scores 1, a mismatch or a gap -1. An alignment counts from half the item's words on, or from LONG.
-SHARE, LONG, SHORT = 0.5, 50, 5
+#: A gram is rare if at most this share of the documents hold it, or so few of them, or if it is in the rarer half of
+#: its item's grams. (Were the rarer half all, the grams that an edited copy lacks would be the first to be chosen.)
+RARE, FEW = 1e-4, 100
+#: A match scores 1, a mismatch or a gap -1. An alignment counts from SHARE of the
+#: words of the item on (copies with three words in ten replaced), at least SHORT of them, or from LONG.
+SHARE, LONG, SHORT = 0.4, 50, 5
 #: Items that are held in memory at once, in characters; more are taken in as many passes.
-SLICE_CHARS = 32_000_000
+SLICE_CHARS = 2_000_000
 _WORD = re.compile(r"\w+")
 
 
@@ -36,8 +38,8 @@ class _Items:
         self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({x for _, w in words for x in w}))}
         self.words = [np.array([self.vocabulary[x] for x in w], np.int64) for _, w in words if w]
         self.base = len(self.vocabulary) + 1
-        if self.base >= 2**20:
-            raise ValueError("a slice of items has too many words")  # codes are below 2**63
+        if self.base >= 2**21:
+            raise ValueError("one item has over two million different words")  # codes are below 2**63
         rows = [(c, k, at) for k, w in enumerate(self.words) for n in [min(GRAM, len(w))] for at, c in enumerate(self.codes(w, n).tolist())]
         rows.sort()
         self.code, self.item, self.at = (np.array([r[i] for r in rows], np.int64) for i in range(3))
@@ -105,7 +107,7 @@ def _slice(docs: DataFrame, items: _Items, total: int, work: Scratch) -> DataFra
     for g, n in docs.select("text").mapInArrow(holders, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect():
         df[g] = n
     own = df[np.searchsorted(items.grams, items.code)]
-    seed = own <= RARE * total
+    seed = own <= max(FEW, RARE * total)
     for k in range(len(items.words)):
         of = np.flatnonzero(items.item == k)
         seed[of[np.argsort(own[of], kind="stable")[: (len(of) + 1) // 2]]] = True

@@ -23,7 +23,7 @@ QUERY_BLOCK = 2048
 
 
 def top(df: DataFrame, k: int, group: str = "query_id", score: str = "score", ident: str = "id") -> DataFrame:
-    """142: the k best of each group, ranked."""
+    """137, 142: the k best of each group, ranked."""
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), ident))
     return df.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -55,7 +55,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, files: list | None = None) -> DataFrame:
-    """113, 80: the k vectors (id, v) nearest to each query (query_id, v) by cosine, exactly.
+    """113, 114, 80: the k vectors (id, v) nearest to each query (query_id, v) by cosine, exactly.
 
     files: only these ids (no ids mean no rows; None means all). Queries go over all vectors in bounded blocks;
     a task keeps k rows for each. A zero vector has cosine 0; vectors of another length than the query's fail."""
@@ -105,7 +105,7 @@ def hashed_embedding(chunks: DataFrame, dim: int = 256) -> DataFrame:
 
 
 def rrf(lists: list[tuple[str, DataFrame, float]], k: int = RRF_K) -> DataFrame:
-    """116: sums of weight / (k + rank) over ranked lists (name, (query_id, id, rank), weight), with their sources."""
+    """116, 73: sums of weight / (k + rank) over ranked lists (name, (query_id, id, rank), weight), with their sources."""
     each = [df.select("query_id", "id", F.lit(name).alias("source"), (F.lit(weight) / (k + F.col("rank"))).alias("s")) for name, df, weight in lists]
     fused = reduce(DataFrame.union, each).groupBy("query_id", "id").agg(F.round(F.sum("s"), 6).alias("score"), F.array_join(F.array_sort(F.collect_set("source")), "+").alias("sources"))
     return top(fused, 2**31 - 1)

@@ -97,3 +97,19 @@ def dataset_violations(questions: DataFrame) -> DataFrame:
     blank = questions.filter(F.coalesce(F.trim("question"), F.lit("")) == "").select("id", F.lit("empty-question"))
     missing = questions.filter(F.col("expected_files").isNull()).select("id", F.lit("no-expectation"))
     return twice.union(blank).union(missing)
+
+
+def open_stores(spark: SparkSession, path: str | None, fallback: str, dim: int) -> tuple[VectorStore, TextStore, list[str]]:
+    """13: the stores under path, or under the fallback where none is given or it can't be written, with a notice."""
+    notices = []
+    if path:
+        try:
+            probe = spark._jvm.org.apache.hadoop.fs.Path(path)
+            probe.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(probe)
+        except Exception as e:  # any store's own kind of refusal
+            notices.append(f"store-unavailable: {type(e).__name__}")
+            path = None
+    else:
+        notices.append("store-not-configured")
+    base = path or fallback
+    return VectorStore(spark, f"{base}/vectors", dim), TextStore(spark, f"{base}/texts"), notices

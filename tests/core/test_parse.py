@@ -62,6 +62,40 @@ def test_python_engines(spark):
     assert not [x for x in tree if x[0] == "null.py"]
 
 
+JS_LONG = """// import no from 'no'
+import {
+  a,
+  b as c,
+} from './multi';
+const s = "class Not {}"; /* function neither() {} */
+export class Box extends Base {
+  constructor(x) { super(x); this.y = make(x); }
+  async read(key) {
+    if (key) { return store.get(key); }
+  }
+}
+const run = async (q) => { helper(q); };
+export const pick = x => x;
+function plain(a, b) { return new Box(a); }
+const lib = require("lib");
+"""
+
+
+def test_javascript_by_tokens(spark):
+    files = spark.createDataFrame([("a.js", JS_LONG), ("broken.js", "class { ((( function"), ("n.js", None)], "path string, content string")
+    got = {(r.line, r.kind, r.name) for r in P.js_facts(files).collect() if r.path == "a.js"}
+    assert got == {
+        (2, "import", "./multi"), (7, "class", "Box"), (7, "inheritance", "Base"), (8, "method", "constructor"), (8, "call", "make"), (9, "method", "read"), (10, "call", "store.get"),
+        (13, "function", "run"), (13, "call", "helper"), (14, "function", "pick"), (15, "function", "plain"), (15, "call", "Box"), (16, "import", "lib"),
+    }
+
+
+def test_a_file_that_takes_too_long_is_named(spark):
+    files = spark.createDataFrame([("big.py", "x = 1\n" * 300_000), ("ok.py", "import os\n")], "path string, content string").coalesce(1)
+    got = {(r.path, r.kind) for r in P.python_facts(files, "lines", seconds=0.05).collect()}
+    assert got == {("big.py", "unparsed"), ("ok.py", "import")}
+
+
 def test_resolution(spark):
     files = spark.createDataFrame([(p,) for p in ("src/x.ts", "src/x.js", "src/lib/index.js", "types.d.ts", "pkg/mod.py", "pkg/__init__.py", "pkg/sub/a.py", "docs/Guide.md", "docs/b/Note.md")], "path string")
     js = spark.createDataFrame([("src/a.ts", 1, "./x"), ("src/a.ts", 2, "./lib"), ("src/a.ts", 3, "../types.d"), ("src/a.ts", 4, "react"), ("src/a.ts", 5, "./none"), ("src/a.ts", 6, "../../../src/x.js")], "from string, line int, source string")

@@ -81,6 +81,16 @@ def test_vector_store(spark, tmp_path):
     assert s.count("a/1") == 0 and s.count("b") == 1
 
 
+def test_store_selection(spark, tmp_path):
+    v, t, notices = stores.open_stores(spark, None, str(tmp_path / "f"), 2)
+    assert notices == ["store-not-configured"] and v.path.startswith(str(tmp_path / "f"))
+    v, t, notices = stores.open_stores(spark, str(tmp_path / "own"), str(tmp_path / "f"), 2)
+    assert notices == [] and t.path.startswith(str(tmp_path / "own"))
+    (tmp_path / "file").write_text("x")
+    v, t, notices = stores.open_stores(spark, str(tmp_path / "file" / "below"), str(tmp_path / "f"), 2)
+    assert notices and v.path.startswith(str(tmp_path / "f"))
+
+
 def test_other_stores(spark, tmp_path):
     t = stores.TextStore(spark, str(tmp_path / "t"))
     ids = spark.createDataFrame([("a",), ("z",)], "id string")

@@ -131,15 +131,15 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({c: b.column(c).filter(keep) for c in ("a", "b")})
 
 
-#: Rows of a group that are compared with each other in one task, and their shingles; larger groups are cut into
-#: blocks, and each two blocks meet in a task of their own.
-BLOCK, BLOCK_SHINGLES = 4096, 8_000_000
+#: Rows of a key and of a family that are compared with each other in one task, and their shingles; larger groups are
+#: cut into blocks, and each two blocks meet in a task of their own.
+KEY_BLOCK, FAMILY_BLOCK, BLOCK_SHINGLES = 4096, 1024, 8_000_000
 _PAIRS = 100_000
 
 
-def _in_blocks(rows: DataFrame, group: str) -> DataFrame:
+def _in_blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
     """rows (group, node, n, ...) with block and the two blocks pa and pb that meet, once for each meeting."""
-    size = rows.groupBy(group).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    size = rows.groupBy(group).agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     own = rows.join(size, group).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("pa"), F.greatest("block", j).alias("pb")))
     own = own.withColumn("meet", F.explode(meet)).select("*", "meet.pa", "meet.pb").drop("meet", "blocks")
@@ -210,20 +210,20 @@ def _near_pairs(t: pa.Table, starts: np.ndarray, sigs: np.ndarray) -> Iterator[t
 
 
 def _touching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each key a forest over its near pairs, which is linear in its nodes; a pair counts under its first common key."""
+    """For each key its nodes that are near others, each with the least one that it is connected with by near pairs;
+    a pair counts under its first common key. That is linear in the nodes, and keys of one family name the same few."""
     for t, starts in _groups(batches, "key"):
         sigs, node, key = _signatures(t), t.column("node").to_numpy(), t.column("key").to_numpy()
         own = (chunk_keys(sigs[starts[:-1]]).view(np.int64) == key[starts[:-1], None]).argmax(axis=1)
-        forests: dict[int, _Union] = {}
-        out = []
+        trees: dict[int, _Union] = {}
         for g, i, j in _near_pairs(t, starts, sigs):
             if len(g):
                 rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
                 keys = chunk_keys(sigs[rows])
                 first = (keys[at[: len(i)]] == keys[at[len(i) :]]).argmax(axis=1) == own[g]
                 for k, x, y in zip(g[first].tolist(), node[i[first]].tolist(), node[j[first]].tolist(), strict=True):
-                    if forests.setdefault(k, _Union()).join(x, y):
-                        out.append((x, y))
+                    trees.setdefault(k, _Union()).join(x, y)
+        out = sorted({(u.find(x), x) for u in trees.values() for x in list(u)})
         a, b = zip(*out, strict=True) if out else ((), ())
         yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -297,12 +297,12 @@ def near_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     placed = shared.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("key")
     placed = placed.join(split, "key", "left_semi").join(nodes.select("node", "n", "sig"), "node")
-    touching = work.table(_in_blocks(placed, "key").mapInArrow(_touching, "a long, b long"))
+    touching = work.table(_in_blocks(placed, "key", KEY_BLOCK).mapInArrow(_touching, "a long, b long"))
     if not touching.isEmpty():
         family = components(touching, work).withColumnRenamed("root", "family").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         family = work.table(family.join(nodes.select("node", "n", "sig"), "node"))
         family = family.join(sets_of(family.select("node")), "node")
-        more = work.table(_in_blocks(family, "family").mapInArrow(_link, "a long, b long"))
+        more = work.table(_in_blocks(family, "family", FAMILY_BLOCK).mapInArrow(_link, "a long, b long"))
         if not more.isEmpty():
             roots = components(links.union(more), work)
     of = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -18,7 +18,7 @@ from .common import Scratch, blank
 
 LENGTH, END_ID = 2048, 1
 BUCKETS, AXES, BITS = 256, 3, 10
-PART_TOKENS, MOST_PARTS = 2_000_000, 20_000
+PART_TOKENS, MOST_PARTS = 8_000_000, 20_000
 SPECIAL = "<|endoftext|>"
 
 
@@ -153,7 +153,7 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str = "byte_bpe_50k.j
             yield pa.record_batch([pa.array(c, t) for c, (_, t) in zip(columns, _PIECE, strict=True)], names=[n for n, _ in _PIECE])
 
     schema = ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n, _ in _PIECE)
-    return rows.repartition("part").sortWithinPartitions("part", "key", "doc_id", "ids").mapInArrow(cut, schema)
+    return rows.repartition(parts, "part").sortWithinPartitions("part", "key", "doc_id", "ids").mapInArrow(cut, schema)
 
 
 _PIECE = [(n, pa.binary() if n == "ids" else pa.int64()) for n in ("doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset")]

@@ -8,7 +8,9 @@ from pyspark.sql import types as T
 
 from .common import Scratch, blank
 
-SHARDS, OLD_SHARDS, BLOCKS = 8, 6, 256
+SHARDS, OLD_SHARDS = 8, 6
+#: Blocks of an old shard: so many size classes to a doubling, of at most DOUBLINGS, each cut by hash into PARTS.
+CLASSES, DOUBLINGS, PARTS = 8, 40, 16
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> list[list[int]]:
@@ -54,13 +56,14 @@ def even(total: int, n: int) -> list[int]:
     return [total // n + (i < total % n) for i in range(n)]
 
 
-def reshard(docs: DataFrame, shards: int = SHARDS, old_shards: int = OLD_SHARDS, blocks: int = BLOCKS, old_shard=None) -> DataFrame:
+def reshard(docs: DataFrame, shards: int = SHARDS, old_shards: int = OLD_SHARDS, old_shard=None) -> DataFrame:
     """Where each row goes when old shards become `shards` shards of near equal bytes, moving the fewest bytes.
 
-    Rows of an old shard are ordered by a hash of doc_id, in `blocks` blocks; the sums of the blocks, of which
-    there are old_shards * blocks at any input size, go to the driver, which solves the flow. An old shard keeps
-    what its capacity allows and cuts the rest into runs of bytes, one for each receiver; a row belongs to the
-    run in which its first byte lies, so a shard misses its capacity by at most one row at either end.
+    Rows of an old shard are ordered by size class, the largest first, so that cuts fall among its smallest rows; a
+    class is cut by a hash of doc_id into parts, which bounds a block where very many rows have one size. The sums of the
+    blocks, of which there are old_shards * CLASSES * DOUBLINGS * PARTS at most at any input size, go to the driver,
+    which solves the flow. An old shard keeps what its capacity allows and cuts the rest into runs of bytes, one
+    for each receiver; a row belongs to the run in which its middle byte lies, so a cut is off by half a row at most.
 
     old_shard: a column with the present shard, by default a hash of doc_id (the layout that doc_id and the old
     number of shards decide). Returns doc_id, size, text_crc32, old_shard, shard, slot (gapless from 0 in a
@@ -72,8 +75,10 @@ def reshard(docs: DataFrame, shards: int = SHARDS, old_shards: int = OLD_SHARDS,
     sized = docs.select(
         "doc_id", (F.octet_length(blank("text")) + 1).cast("long").alias("size"), F.crc32(blank("text").cast("binary")).alias("text_crc32"),
         old.cast("int").alias("old_shard"), F.xxhash64("doc_id", F.lit(1)).alias("__order"),
-    ).withColumn("__block", F.floor((F.shiftrightunsigned("__order", 1) / F.lit(float(2**63))) * blocks).cast("int"))
-    rows = "partition by old_shard, __block order by __order, doc_id, text_crc32 rows unbounded preceding"
+    )
+    below = CLASSES * DOUBLINGS - F.floor(F.log2("size") * CLASSES)
+    sized = sized.withColumn("__block", (below * PARTS + F.pmod("__order", F.lit(PARTS))).cast("int"))
+    rows = "partition by old_shard, __block order by size desc, __order, doc_id, text_crc32 rows unbounded preceding"
     placed = work.table(sized.withColumns({"__start": F.expr(f"sum(size) over ({rows}) - size"), "__rank": F.expr(f"row_number() over ({rows})")}))
     sums = {(r[0], r[1]): r[2] for r in placed.groupBy("old_shard", "__block").agg(F.sum("size")).collect()}
     supply, offsets = [0] * old_shards, []
@@ -90,9 +95,9 @@ def reshard(docs: DataFrame, shards: int = SHARDS, old_shards: int = OLD_SHARDS,
                 mine = F.when(F.col("__at") >= at, F.lit(j)).otherwise(mine)
                 at += flow[i][j]
         target = F.when(F.col("old_shard") == i, mine).otherwise(target)
-    # one row for each block: bounded by old_shards * blocks
+    # one row for each block: bounded as above
     at = spark.createDataFrame(offsets, "old_shard int, __block int, __offset long")
-    cut = placed.join(F.broadcast(at), ["old_shard", "__block"]).withColumn("__at", F.col("__offset") + F.col("__start")).withColumn("shard", target.cast("int")).drop("__offset")
+    cut = placed.join(F.broadcast(at), ["old_shard", "__block"]).withColumn("__at", F.col("__offset") + F.col("__start") + F.floor(F.col("size") / 2)).withColumn("shard", target.cast("int")).drop("__offset")
     runs = cut.groupBy("shard", "old_shard", "__block").agg(F.count("*").alias("n"), F.min("__rank").alias("first")).collect()
     before, slots = [0] * shards, []
     for j, i, b, n, first in sorted(tuple(r) for r in runs):

@@ -15,11 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans.lineage import cut
+from ..plans.lineage import cut, spread
 
 K1, B, RRF_K, LAMBDA, POOL = 1.2, 0.75, 60, 0.7, 40
 #: Queries that are scored in one pass over the vectors, and their bound in a task's memory.
 QUERY_BLOCK = 2048
+#: Query terms up to which they go to all tasks; more are joined by shuffling.
+BROADCAST_TERMS = 200_000
 
 
 def top(df: DataFrame, k: int, group: str = "query_id", score: str = "score", ident: str = "id") -> DataFrame:
@@ -29,13 +31,9 @@ def top(df: DataFrame, k: int, group: str = "query_id", score: str = "score", id
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """112: (id, token, tf, dl) of chunks (id, text)."""
-    return _postings(chunks.select("id", T.tokenize_code(F.col("text")).alias("t")))
-
-
-def _postings(tokens: DataFrame) -> DataFrame:
-    rows = tokens.select("id", F.size("t").alias("dl"), F.explode("t").alias("token"))
-    return rows.groupBy("id", "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    """112: (id, token, tf) of chunks (id, text). Words are rows at once, which keeps the work in generated code."""
+    each = spread(chunks.select("id", "text")).select("id", F.explode(F.split("text", "[^A-Za-z0-9]+")).alias("w")).filter("w <> ''")
+    return each.select("id", F.explode(T.word_tokens(F.col("w"))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -43,14 +41,18 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     Document frequency and mean length are those of the chunks given. Postings are cut to the terms asked for
     before anything is joined; chunks without a term have no score."""
-    own = cut(chunks.select("id", T.tokenize_code(F.col("text")).alias("t")))
-    n, mean = own.agg(F.count("*"), F.avg(F.size("t"))).first()
-    terms = queries.select("query_id", F.explode(F.array_distinct(T.tokenize_code(F.col("text")))).alias("token"))
-    found = cut(_postings(own).join(terms.select("token").distinct(), "token", "left_semi"))
+    index = cut(postings(chunks))
+    own = cut(index.groupBy("id").agg(F.sum("tf").alias("dl")))
+    n = chunks.count()
+    mean = (own.agg(F.sum("dl")).first()[0] or 0) / n if n else 0
+    terms = cut(queries.select("query_id", F.explode(F.array_distinct(T.tokenize_code(F.col("text")))).alias("token")))
+    few = F.broadcast if terms.count() <= BROADCAST_TERMS else lambda x: x
+    found = index.join(few(terms.select("token").distinct()), "token", "left_semi")
     df = found.groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (mean or 1)))
-    part = found.join(df, "token").select("token", "id", weight.alias("w"))
-    scored = part.join(terms, "token").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
+    # a chunk's postings stay together from here on, so that its scores are summed where they are
+    part = found.repartition("id").join(own, "id").join(few(df), "token").select("token", "id", weight.alias("w"))
+    scored = part.join(few(terms), "token").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
     return top(scored, k)
 
 
@@ -95,13 +97,39 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, files: list | No
     return top(reduce(DataFrame.union, found), k) if found else empty
 
 
+class _Buckets(dict):
+    """Hash buckets of tokens met before; emptied when full, as only speed depends on it."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        h = 2166136261
+        for c in token:
+            h = (h ^ ord(c)) * 16777619 & 0xFFFFFFFF
+        if len(self) >= 300_000:
+            self.clear()
+        self[token] = h % self.dim
+        return h % self.dim
+
+
 def hashed_embedding(chunks: DataFrame, dim: int = 256) -> DataFrame:
-    """52: (id, v): counts of tokens by hash bucket, of unit length. Chunks without tokens have a zero vector."""
-    tokens = chunks.select("id", F.transform(T.tokenize_code(F.col("text")), lambda t: (T.fnv1a(t) % dim).cast("int")).alias("t"))
-    n = tokens.select("id", F.explode("t").alias("b")).groupBy("id", "b").agg(F.count("*").alias("n"))
-    maps = n.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i) / F.col("norm"), F.lit(0.0)))
-    return chunks.select("id").join(maps, "id", "left").select("id", dense.alias("v"))
+    """52, 209: (id, v): counts of tokens by hash bucket, of unit length. Chunks without tokens have a zero vector."""
+
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = _Buckets(dim)
+        for b in batches:
+            for lo in range(0, len(b), 512):
+                x = b.slice(lo, 512)
+                out = np.zeros((len(x), dim))
+                for i, tokens in enumerate(x.column("t").to_pylist()):
+                    if tokens:
+                        out[i] = np.bincount([bucket[t] for t in tokens], minlength=dim)
+                        out[i] /= np.sqrt(out[i] @ out[i])
+                yield pa.record_batch({"id": x.column("id"), "v": pa.array(list(out), pa.list_(pa.float64()))})
+
+    return spread(chunks.select(F.col("id").cast("long"), "text")).select("id", T.tokenize_code(F.col("text")).alias("t")).mapInArrow(embed, "id long, v array<double>")
 
 
 def rrf(lists: list[tuple[str, DataFrame, float]], k: int = RRF_K) -> DataFrame:

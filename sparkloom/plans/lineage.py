@@ -1,4 +1,4 @@
-"""Cutting the lineage of iterative plans."""
+"""Cutting the lineage of iterative plans, and spreading inputs of few parts."""
 
 from __future__ import annotations
 
@@ -20,3 +20,9 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its input has fewer parts than there are cores; as it is, without a shuffle, elsewhere."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .plans.lineage import spread
 from .sources.bindings import table
 
 QUERIES, SQL = {}, {}
@@ -29,7 +30,7 @@ def tokens_sql(text: str) -> str:
 
 @query(f"with t as (select doc_id, {tokens_sql('text')} as t from documents) select doc_id, len(t)::bigint as n_tokens, len(list_distinct(t))::bigint as n_distinct, md5(array_to_string(t, ' ')) as digest from t")
 def q047_tokenize_code(spark, d):
-    t = table(spark, d, "documents").select("doc_id", T.tokenize_code(F.col("text")).alias("t"))
+    t = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.tokenize_code(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"))
 
 

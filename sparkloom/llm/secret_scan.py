@@ -26,7 +26,8 @@ def scan_blobs(blobs: DataFrame, kinds: list[str], rule_version: str) -> DataFra
     """All matches in blobs (digest, text, todo: kinds to scan). Positions are code points, end exclusive.
 
     The text between matches and the matches alternate, so positions are running sums of their lengths,
-    taken per blob and kind over the exploded matches."""
+    taken per blob and kind over the exploded matches. A blob in several rows counts once: equal texts give equal
+    matches, which are one before the sums."""
     out = []
     for kind in kinds:
         pattern, group, least = RULES[kind]
@@ -36,7 +37,7 @@ def scan_blobs(blobs: DataFrame, kinds: list[str], rule_version: str) -> DataFra
             F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("hit"),
         )
         rows = found.select("digest", F.posexplode(pieces).alias("i", "x")).filter("x.hit is not null")
-        rows = rows.select("digest", "i", F.col("x.gap").alias("gap"), F.col("x.hit").alias("hit")).withColumn("n", F.char_length("hit").cast("long"))
+        rows = rows.select("digest", "i", F.col("x.gap").alias("gap"), F.col("x.hit").alias("hit")).distinct().withColumn("n", F.char_length("hit").cast("long"))
         rows = rows.withColumn("end", F.expr("sum(gap + n) over (partition by digest order by i rows unbounded preceding)"))
         rows = rows.filter(F.char_length(F.regexp_extract("hit", pattern, group)) >= least)
         out.append(rows.select("digest", F.lit(kind).alias("kind"), F.lit(rule_version).alias("rule_version"), (F.col("end") - F.col("n")).alias("start"), "end"))
@@ -65,7 +66,7 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, findings
     else:
         seen = ledger.filter(F.col("rule_version") == rule_version).groupBy("digest").agg(F.collect_set("kind").alias("seen"))
         todo = blobs.join(seen, "digest", "left").withColumn("todo", F.array_except(wanted, F.coalesce("seen", F.expr("cast(array() as array<string>)")))).filter(F.size("todo") > 0)
-    new = work.table(scan_blobs(todo, kinds, rule_version).dropDuplicates(["digest", "kind", "start"]))
+    new = work.table(scan_blobs(todo, kinds, rule_version))
     known = new if findings is None else new.unionByName(findings.filter(F.col("rule_version") == rule_version).filter(F.col("kind").isin(kinds)))
     rank = F.array_position(wanted, F.col("kind")).cast("int")
     per_blob = known.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind"))).alias("found"))

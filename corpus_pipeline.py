@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import Scratch, known_id
 from sparkloom.llm.decontamination import contaminated
-from sparkloom.llm.language_id import UNDECIDED, fit, identify
+from sparkloom.llm.language_id import LETTER, UNDECIDED, fit, identify
 from sparkloom.llm.line_dedup import dedup_lines
 from sparkloom.llm.near_dedup import near_groups
 from sparkloom.llm.packing import pack
@@ -28,9 +28,12 @@ def _back(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters or in no clear language go."""
+    """Documents without letters or in no clear language go; where no language is given to learn from, only the former."""
     own = _aside(docs, "lang_pred", "score")
-    return _back(identify(own, fit(own)).filter((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= LEAST_SCORE)), docs)
+    model = fit(own)
+    if model is None:
+        return docs.filter(F.col("text").rlike(LETTER))
+    return _back(identify(own, model).filter((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= LEAST_SCORE)), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

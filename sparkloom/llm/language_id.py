@@ -19,6 +19,8 @@ DOCS_PER_LANG, WINDOWS_PER_DOC = 400, 4
 STEPS, STEP_WINDOWS, RATE, SEED = 400, 64, 0.02, 10
 UNDECIDED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
+#: The same for native operations: Python's word characters less digits are letters and numbers of other kinds.
+LETTER = r"[\p{L}\p{Nl}\p{No}]"
 
 
 def _soft(x: np.ndarray) -> np.ndarray:

@@ -1,3 +1,5 @@
+import zlib
+
 import corpus_pipeline as P
 import numpy as np
 from cases import clashing, edited, prose, rows, table
@@ -41,6 +43,15 @@ def test_stages_against_what_they_should_keep(spark, tmp_path):
     assert np.all([r.offset + r.length <= 2048 for r in got])
 
 
+def test_no_language_to_learn_from_keeps_all_with_letters(spark, tmp_path):
+    texts = [prose(1, 60), "Ein kurzer Satz.", "слово", "12 34 !!", "", None]
+    unlabelled = [(i, t, None, None, None) for i, t in enumerate(texts)] + [(None, "no id", None, None, None)]
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 == 1][: len(texts)]
+    for own in (unlabelled, [(i, t, "de", None, None) for i, t in zip(held, texts, strict=True)]):
+        got = P.language(spark, table(spark, own), str(tmp_path))
+        assert sorted(r.text for r in got.collect()) == sorted(r[1] for r in own if r[1] and any(c.isalpha() for c in r[1]))
+
+
 def test_edges(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for k, own in enumerate([rows(), [], [(1, None, None, None, None)]]):

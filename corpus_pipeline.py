@@ -44,19 +44,29 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _back(out, docs)
 
 
-def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    own, other = docs.withColumn("__id", known_id("doc_id")), ids.select(known_id("doc_id").alias("__id")).distinct()
-    return own.join(other, "__id", how).select(docs.columns)
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs as a table in which __row tells each row from all others, equal ones and those without doc_id too."""
+    return Scratch(docs.sparkSession, name).table(docs.withColumn("__row", F.monotonically_increasing_id()))
+
+
+def _by_row(rows: DataFrame) -> DataFrame:
+    """What an operator sees of numbered rows: each a document of its own."""
+    return rows.select(F.col("__row").alias("doc_id"), "text")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the least doc_id."""
-    return _by_id(docs, near_groups(docs).filter("kept"), "left_semi")
+    """One row of each group of near copies stays, that with the least doc_id; a null counts as the least."""
+    rows = _numbered(docs, "near")
+    groups = near_groups(_by_row(rows)).select(F.col("doc_id").alias("__row"), "component_id")
+    first = groups.join(rows.select("__row", known_id("doc_id").alias("__id")), "__row").groupBy("component_id").agg(F.min(F.struct("__id", "__row")).alias("x"))
+    return rows.join(first.select("x.__row"), "__row", "left_semi").select(docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold copies of test items go."""
-    return _by_id(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "left_anti")
+    """Rows that hold copies of test items go, and no others."""
+    rows = _numbered(docs, "benchmark")
+    found = contaminated(_by_row(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(found.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

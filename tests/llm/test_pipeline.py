@@ -52,6 +52,20 @@ def test_no_language_to_learn_from_keeps_all_with_letters(spark, tmp_path):
         assert sorted(r.text for r in got.collect()) == sorted(r[1] for r in own if r[1] and any(c.isalpha() for c in r[1]))
 
 
+def test_rows_are_judged_one_by_one(spark, tmp_path):
+    item = prose(777, 40).replace("\n", " ")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    bad, same = f"{prose(60, 100)} {item} {prose(61, 50)}", prose(70, 150)
+    own = [(None, bad), (None, prose(62, 150)), (None, prose(63, 150)), (5, bad), (5, prose(64, 150)), (6, bad), (6, bad), (7, prose(65, 150))]
+    got = P.benchmark(spark, table(spark, [(*r, None, None, None) for r in own]), str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted((r for r in own if r[1] != bad), key=str)
+    near = edited(same, 1, 1)
+    own = [(None, same), (None, same), (None, near), (None, prose(71, 150)), (3, prose(72, 150)), (3, prose(72, 150)), (4, near), (4, prose(73, 150)), (9, prose(74, 150)), (8, edited(prose(74, 150), 2, 1)), (8, prose(75, 150))]
+    got = [r.text for r in P.near_copies(spark, table(spark, [(*r, None, None, None) for r in own]), str(tmp_path)).collect()]
+    assert len(got) == 6 and sum(t in (same, near) for t in got) == 1
+    assert set(got) - {same, near} == {prose(71, 150), prose(72, 150), prose(73, 150), edited(prose(74, 150), 2, 1), prose(75, 150)}
+
+
 def test_edges(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for k, own in enumerate([rows(), [], [(1, None, None, None, None)]]):

@@ -31,6 +31,15 @@ def test_ids_are_those_of_the_tokenizer():
         assert packing._encoder("byte_bpe_50k.json")(t) == ids(t)[:-1], t
 
 
+def test_ids_of_very_long_white_space():
+    r = random.Random(4)
+    n = 2_500_000
+    texts = ["word " + " " * n + "end", "\n" * n, "a" + "\n" * n + "b" + " " * n, " " * n + "<|endoftext|>" + "\n" * n + "1", "x" + "".join(r.choice(" \n\t\r\u3000\xa0\u2009\x85\x0b") for _ in range(n)) + "\ty"]
+    texts += [a + c * k + b for a in ("", "a", "'") for b in ("", "b", "'s", "1", "!", "\x1c", "<|endoftext|>") for c in (" ", "\n") for k in (packing.LONG_RUN - 1, packing.LONG_RUN, packing.LONG_RUN + 1)]
+    for t in texts:
+        assert packing._encoder("byte_bpe_50k.json")(t) == ids(t)[:-1], (t[:5], t[-20:], len(t))
+
+
 def check(pieces, own, length):
     by = {}
     for p in pieces:

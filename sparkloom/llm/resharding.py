@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,6 +56,10 @@ def even(total: int, n: int) -> list[int]:
     return [total // n + (i < total % n) for i in range(n)]
 
 
+def _measures() -> dict:
+    return {"size": (F.octet_length(blank("text")) + 1).cast("long"), "text_crc32": F.crc32(blank("text").cast("binary"))}
+
+
 def reshard(docs: DataFrame, shards: int = SHARDS, old_shards: int = OLD_SHARDS, old_shard=None) -> DataFrame:
     """Where each row goes when old shards become `shards` shards of near equal bytes, moving the fewest bytes.
 
@@ -73,7 +77,7 @@ def reshard(docs: DataFrame, shards: int = SHARDS, old_shards: int = OLD_SHARDS,
     spark, work = docs.sparkSession, Scratch(docs.sparkSession, "reshard")
     old = F.pmod(F.xxhash64("doc_id"), F.lit(old_shards)) if old_shard is None else old_shard
     sized = docs.select(
-        "doc_id", (F.octet_length(blank("text")) + 1).cast("long").alias("size"), F.crc32(blank("text").cast("binary")).alias("text_crc32"),
+        "doc_id", *[c.alias(n) for n, c in _measures().items()],
         old.cast("int").alias("old_shard"), F.xxhash64("doc_id", F.lit(1)).alias("__order"),
     )
     below = CLASSES * DOUBLINGS - F.floor(F.log2("size") * CLASSES)
@@ -108,15 +112,35 @@ def reshard(docs: DataFrame, shards: int = SHARDS, old_shards: int = OLD_SHARDS,
     return out.select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot")
 
 
-def rewrite(docs: DataFrame, plan: DataFrame, path: str) -> list[int]:
+def rewrite(docs: DataFrame, plan: DataFrame, path: str, old_shard=None) -> list[int]:
     """Writes anew the files of the shards whose rows change, one folder shard=N each; returns those shards.
 
-    docs must have one row for each doc_id, which isn't null. A shard that neither gains nor loses rows is left as it is."""
+    plan is that of reshard for docs; old_shard is the column given there, if any. Rows meet their places by doc_id
+    (null or not), size, checksum and old shard, and by number where all these are equal, so each row is written
+    once. Equal rows that a given layout holds in several old shards can't be told apart without old_shard, which
+    is an error. A shard that neither gains nor loses rows is left as it is, in path too; the folder of one that
+    loses all its rows goes."""
+    key = ["__id", "__none", "size", "text_crc32"]
+    where = {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__none": F.col("doc_id").isNull()}
+    plan = plan.withColumns(where)
+    if old_shard is not None:
+        key.append("old_shard")
+    elif not plan.groupBy(*key).agg(F.min("old_shard").alias("a"), F.max("old_shard").alias("b")).filter("a <> b").isEmpty():
+        raise ValueError("equal rows in several old shards: rewrite needs old_shard")
     moved = plan.filter("old_shard <> shard")
     changed = sorted(r[0] for r in moved.select("shard").union(moved.select("old_shard")).distinct().collect())  # shards, not rows
-    target = plan.filter(F.col("shard").isin(changed)).select("doc_id", "shard", "slot")
-    rest = docs.drop("shard", "slot").join(target, "doc_id")
-    rest.repartition("shard", F.floor(F.col("slot") / 1_000_000)).sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    number = lambda *order: F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    target = plan.withColumn("__k", number("shard", "slot")).filter(F.col("shard").isin(changed)).select(*key, "__k", "shard", "slot")
+    own = docs.drop("shard", "slot")
+    own = own.select(F.struct(*own.columns).alias("__row"), *[c.alias(n) for n, c in where.items()], *[c.alias(n) for n, c in _measures().items()], *([] if old_shard is None else [old_shard.cast("int").alias("old_shard")]))
+    own = own.withColumn("__k", number(F.xxhash64(*[f"__row.{c}" for c, t in docs.drop("shard", "slot").dtypes if "map<" not in t])))
+    rest = own.join(target, [*key, "__k"]).select("__row.*", "shard", "slot")
+    out = rest.repartition("shard", F.floor(F.col("slot") / 1_000_000)).sortWithinPartitions("shard", "slot")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    left = {r[0] for r in plan.select("shard").distinct().collect()}
+    for shard in set(changed) - left:
+        gone = docs.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
+        gone.getFileSystem(docs.sparkSession._jsc.hadoopConfiguration()).delete(gone, True)
     return changed
 
 

@@ -54,6 +54,26 @@ def test_rewrite_touches_changed_shards_only(spark, tmp_path):
     assert {(r.doc_id, r.shard, r.slot) for r in back.collect()} == want and len(want) == 80
 
 
+def test_rewrite_keeps_every_row_and_the_layout(spark, tmp_path):
+    own = [(i, "same", "en", None, 4) for i in range(150)] + [(None, "same", "en", None, 4)] * 5 + [(3, "same", "en", None, 4), (3, "same", "fr", None, 4), (3, "more", None, None, 4), (None, None, None, None, None), (None, "a", None, None, 1)]
+    shard = F.when(F.coalesce("doc_id", F.lit(0)) < 60, 0).when(F.col("doc_id") < 97, 1).when(F.col("doc_id") < 134, 2).otherwise(3)
+    path, docs = str(tmp_path / "out"), table(spark, own)
+    docs.withColumn("shard", shard).withColumn("slot", F.lit(0).cast("long")).write.partitionBy("shard").parquet(path)
+    docs = spark.createDataFrame(own, docs.schema)
+    every = sorted(own, key=str)
+    for shards, old in ((4, 4), (2, 4)):
+        plan = reshard(docs, shards=shards, old_shards=old, old_shard=shard)
+        changed = rewrite(docs, plan, path, shard)
+        back = spark.read.parquet(path)
+        assert sorted((tuple(r) for r in back.select(docs.columns).collect()), key=str) == every
+        assert {r[0] for r in back.select("shard").distinct().collect()} == {r[0] for r in plan.select("shard").distinct().collect()}
+        assert set(changed) <= set(range(4))
+        for s in changed:
+            rows_of = lambda df: sorted((str(r.doc_id), r.slot) for r in df.filter(F.col("shard") == s).collect())  # noqa: B023, E731
+            assert rows_of(back) == rows_of(plan)
+        docs.withColumn("shard", shard).withColumn("slot", F.lit(0).cast("long")).write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
 def test_edges(spark):
     assert reshard(clashing(spark)).count() == len(rows())
     assert reshard(table(spark, [])).count() == 0

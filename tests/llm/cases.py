@@ -38,6 +38,6 @@ def clashing(spark, own=None):
     from pyspark.sql import functions as F
 
     df = table(spark, own)
-    for name in ("id", "node", "n", "key", "digest", "score", "lang_pred", "n_lines", "n_dropped", "n_bytes", "n_tokens", "shard", "size", "slot", "part", "kind", "name", "kept", "line", "pos", "n_entities", "rep", "root"):
+    for name in ("id", "node", "n", "key", "digest", "score", "lang_pred", "n_lines", "n_dropped", "n_bytes", "n_tokens", "shard", "size", "slot", "part", "kind", "name", "kept", "line", "pos", "n_entities", "rep", "root", "__id", "__t", "__n", "__x", "__p", "__pos", "__line", "__drop", "__text", "__letters", "__size", "__order", "__row", "__own_n_lines"):
         df = df.withColumn(name, F.lit("mine"))
     return df

@@ -2,7 +2,8 @@ import re
 
 from cases import clashing, rows, table
 
-from sparkloom.llm.secret_scan import scan_versions
+from sparkloom.llm import secret_scan as S
+from sparkloom.llm.secret_scan import FINDINGS, LEDGER, scan_incremental, scan_versions
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 OWN = [
@@ -56,3 +57,31 @@ def test_ledger_scans_only_what_is_unseen(spark):
 def test_empty(spark):
     per, new, found = scan_versions(table(spark, []))
     assert per.count() == new.count() == found.count() == 0
+
+
+def test_ledger_in_a_folder(spark, tmp_path, monkeypatch):
+    """The second run scans nothing, later ones only new blobs; a run cut off before its ledger rows does no harm."""
+    folder, asked = f"file://{tmp_path}/own", []
+    real = S.scan_blobs
+    monkeypatch.setattr(S, "scan_blobs", lambda blobs, kinds, version: asked.append(blobs.count()) or real(blobs, kinds, version))
+    first, second = [(i, t, None, None, None) for i, t in enumerate(OWN[:4])], [(10 + i, t, None, None, None) for i, t in enumerate(OWN)]
+    got = lambda own: sorted(((r.doc_id, [tuple(x) for x in r.found]) for r in scan_incremental(table(spark, own), folder).collect()), key=str)
+    want = lambda own: sorted(((r[0], brute(r[1])) for r in own), key=str)
+    assert got(first) == want(first)
+    assert got(first) == want(first)
+    assert got(second) == want(second)
+    assert got(first + second) == want(first + second)
+    assert asked == [4, 0, 2, 0]
+    ledger, found = spark.read.schema(LEDGER).parquet(f"{folder}/ledger"), spark.read.schema(FINDINGS).parquet(f"{folder}/findings")
+    assert ledger.count() == ledger.distinct().count() == 3 * len(OWN) and found.count() == found.distinct().count()
+    found.write.mode("append").parquet(f"{folder}/findings")  # as after a run that ended before its ledger rows
+    assert got(second) == want(second)
+
+
+def test_query_keeps_its_ledger(spark, tmp_path, monkeypatch):
+    asked = []
+    real = S.scan_blobs
+    monkeypatch.setattr(S, "scan_blobs", lambda blobs, kinds, version: asked.append(blobs.count()) or real(blobs, kinds, version))
+    table(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    one = sorted(map(str, S.op2_secret_scan(spark, str(tmp_path)).collect()))
+    assert one == sorted(map(str, S.op2_secret_scan(spark, str(tmp_path)).collect())) and asked == [len(rows()), 0]

@@ -11,9 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blank, known_id, representatives
+from .common import Kept, Scratch, blank, kept_dir
 
 LIMIT = 4096
+CACHE = "digest string, tokenizer string, n_tokens long"
+#: Texts that go to Python in one batch.
+TEXTS = 1024
 
 
 @functools.cache
@@ -42,12 +45,13 @@ def count_tokens(docs: DataFrame, path: str, cache: DataFrame | None = None) ->
     encoded, and the new rows are to be appended to the cache. Returns (docs with digest, n_bytes and n_tokens,
     which replace columns of that name; the new cache rows, a table in the shared folder).
 
-    Equal rows each come back; a null doc_id is as any other; an empty table gives empty tables.
+    Equal rows each come back; a null doc_id is as any other; a text of any length is counted whole, in one piece; cache
+    may hold a row several times; an empty table gives empty tables.
     """
     version = tokenizer_digest(path)
     work = Scratch(docs.sparkSession, "tokens")
     rows = docs.withColumns({"digest": F.sha2(blank("text").cast("binary"), 256), "n_bytes": F.octet_length(blank("text")).cast("long")})
-    own = rows.select("digest", known_id("doc_id").alias("__id"), blank("text").alias("text"))
+    own = rows.select("digest", blank("text").alias("text"))
     known = None if cache is None else cache.filter(F.col("tokenizer") == version).select("digest", "n_tokens").dropDuplicates(["digest"])
     if known is not None:
         own = own.join(known.select("digest"), "digest", "left_anti")
@@ -60,14 +64,22 @@ def count_tokens(docs: DataFrame, path: str, cache: DataFrame | None = None) ->
                 n = count(x.column("text").to_pylist())
                 yield pa.record_batch({"digest": x.column("digest"), "n_tokens": pa.array(n, pa.int64())})
 
-    misses = representatives(own, "digest", "__id").select("digest", "text").mapInArrow(encode, "digest string, n_tokens long")
-    fresh = work.table(misses.dropDuplicates(["digest"]))
+    misses = own.dropDuplicates(["digest"])  # copies in one part are dropped before they move
+    fresh = work.table(misses.mapInArrow(encode, "digest string, n_tokens long"), TEXTS)
     counts = fresh if known is None else known.unionByName(fresh)
     out = rows.drop("n_tokens").join(counts, "digest")
     return out, fresh.select("digest", F.lit(version).alias("tokenizer"), "n_tokens")
 
 
+def count_with(docs: DataFrame, path: str, folder: str) -> DataFrame:
+    """docs with their counts, by the cache in folder, which then holds all of them."""
+    cache = Kept(docs.sparkSession, folder, CACHE)
+    out, fresh = count_tokens(docs, path, cache.read())
+    cache.append(fresh)
+    return out
+
+
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out, _ = count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    out = count_with(docs, public_tokenizers.path("piece_bpe_32k.model"), kept_dir(spark, "token-cache", sf_dir))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))

@@ -3,7 +3,7 @@ import pytest
 import sentencepiece
 from cases import clashing, rows, table
 
-from sparkloom.llm.token_counts import count_tokens
+from sparkloom.llm.token_counts import CACHE, count_tokens, count_with
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -43,3 +43,26 @@ def test_empty(spark):
     assert out.count() == fresh.count() == 0
     with pytest.raises(OSError):
         count_tokens(table(spark, []), "/nowhere.model")
+
+
+def test_cache_in_a_folder(spark, tmp_path):
+    folder = f"file://{tmp_path}/cache"
+    cache = lambda: spark.read.schema(CACHE).parquet(folder)
+    some = [r for r in rows() if r[0] != 30]
+    count_with(table(spark, some), MODEL, folder)
+    n = cache().count()
+    for _ in range(2):
+        out = count_with(table(spark), MODEL, folder)
+        assert sorted(map(tuple, out.select("doc_id", "n_bytes", "n_tokens").collect()), key=str) == brute()
+        assert cache().count() == cache().distinct().count() == n + 1
+
+
+def test_query_reads_its_cache(spark, tmp_path, monkeypatch):
+    from sparkloom.llm import token_counts as T
+
+    table(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    known = []
+    real = T.count_tokens
+    monkeypatch.setattr(T, "count_tokens", lambda docs, path, cache: known.append(0 if cache is None else cache.count()) or real(docs, path, cache))
+    one, two = (sorted(map(str, T.op6_token_counts(spark, str(tmp_path)).collect())) for _ in range(2))
+    assert one == two and known == [0, len({r[1] or "" for r in rows()})]

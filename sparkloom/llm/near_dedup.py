@@ -11,14 +11,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blank, given_id, known_id
+from .common import Scratch, afresh, blank, given_id, known_id
 from .components import components
 
 #: A signature is SYMBOLS minima of 16 bits each, in CHUNKS chunks. Two signatures that differ in at most
 #: CHUNKS * (ERRORS + 1) - 1 symbols have a chunk with at most ERRORS differences, by the pigeonhole principle.
-SYMBOLS, CHUNKS, ERRORS = 96, 18, 1
+SYMBOLS, CHUNKS, ERRORS = 96, 20, 1
 SIMILARITY = 80  # per cent
 WORDS = 5
+#: Rows that go to Python in one batch: texts, and pairs or rows with whole sets.
+TEXTS, SETS = 1024, 256
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _RNG = np.random.default_rng(4)
 _A = _RNG.integers(0, 2**32, SYMBOLS, dtype=np.uint32) | np.uint32(1)
@@ -29,7 +31,7 @@ class _Words(dict):
     """Hashes of words met before; emptied when full, as only speed depends on it."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -82,14 +84,13 @@ def _read(words: int, full: bool):
             for at in range(0, len(b), 512):
                 x = b.slice(at, 512)
                 sets = [shingles(t, words, seen) for t in x.column("text").to_pylist()]
-                nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets]
-                nodes = pa.array(np.array(nodes, np.uint64).view(np.int64))
+                digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
                 if full:
-                    yield pa.record_batch({"node": nodes, "set": pa.array([s.tobytes() for s in sets], pa.binary())})
+                    yield pa.record_batch({"digest": digests, "set": pa.array([s.tobytes() for s in sets], pa.binary())})
                 else:
                     sigs = [signature(s) for s in sets]
                     low = [s.astype(np.uint8).view("<i8") for s in sigs]
-                    yield pa.record_batch({"id": x.column("id"), "node": nodes, "n": pa.array([len(s) for s in sets], pa.int64()), "sig": pa.array([s.tobytes() for s in sigs], pa.binary()), "sketch": pa.array(low, pa.list_(pa.int64()))})
+                    yield pa.record_batch({"id": x.column("id"), "digest": digests, "n": pa.array([len(s) for s in sets], pa.int64()), "sig": pa.array([s.tobytes() for s in sigs], pa.binary()), "sketch": pa.array(low, pa.list_(pa.int64()))})
 
     return run
 
@@ -133,14 +134,14 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: Rows of a key and of a family that are compared with each other in one task, and their shingles; larger groups are
 #: cut into blocks, and each two blocks meet in a task of their own.
-KEY_BLOCK, FAMILY_BLOCK, BLOCK_SHINGLES = 4096, 1024, 8_000_000
-_PAIRS = 100_000
+KEY_BLOCK, FAMILY_BLOCK, BLOCK_SHINGLES = 4096, 2048, 1_000_000
+_PAIRS = 30_000
 
 
 def _in_blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
     """rows (group, node, n, ...) with block and the two blocks pa and pb that meet, once for each meeting."""
     size = rows.groupBy(group).agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    own = rows.join(size, group).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    own = rows.join(afresh(size, group), group).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("pa"), F.greatest("block", j).alias("pb")))
     own = own.withColumn("meet", F.explode(meet)).select("*", "meet.pa", "meet.pb").drop("meet", "blocks")
     return own.repartition(group, "pa", "pb").sortWithinPartitions(group, "pa", "pb", "node")
@@ -231,83 +232,99 @@ def _touching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between different components within each family, confirmed on full sets: a forest over the components."""
     for t, starts in _groups(batches, "family"):
-        sigs, node, root = _signatures(t), t.column("node").to_numpy(), t.column("root").to_pylist()
-        sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
-        known, numbers = np.unique(np.concatenate(sets), return_inverse=True)
-        sets = np.split(numbers, np.cumsum([len(x) for x in sets])[:-1])
-        has, joined, out = np.zeros(len(known), bool), _Union(), []
-        for _, i, j in _near_pairs(t, starts, sigs):
-            for x in np.unique(i).tolist():
-                ys = [y for y in j[i == x].tolist() if joined.find(root[y]) != joined.find(root[x])]
-                if not ys:
-                    continue
-                has[sets[x]] = True
-                size = np.array([len(sets[y]) for y in ys])
-                both = np.add.reduceat(has[np.concatenate([sets[y] for y in ys])], np.cumsum(size) - size, dtype=np.int64)
-                has[sets[x]] = False
-                for y in np.array(ys)[100 * both >= SIMILARITY * (size + len(sets[x]) - both)].tolist():
-                    if joined.join(root[x], root[y]):
-                        out.append((int(node[x]), int(node[y])))
-        a, b = zip(*out, strict=True) if out else ((), ())
-        yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        for at, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            yield _linked(t.slice(at, end - at))
+
+
+def _linked(t: pa.Table) -> pa.RecordBatch:
+    """Of one family or two of its blocks."""
+    sigs, node, root = _signatures(t), t.column("node").to_numpy(), t.column("root").to_pylist()
+    sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+    known, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+    numbers = numbers.astype(np.int32)  # a block has far fewer shingles than 2**31
+    sets = np.split(numbers, np.cumsum([len(x) for x in sets])[:-1])
+    has, joined, out = np.zeros(len(known), bool), _Union(), []
+    for _, i, j in _near_pairs(t, np.array([0, len(t)]), sigs):
+        for x in np.unique(i).tolist():
+            ys = [y for y in j[i == x].tolist() if joined.find(root[y]) != joined.find(root[x])]
+            if not ys:
+                continue
+            has[sets[x]] = True
+            size = np.array([len(sets[y]) for y in ys])
+            both = np.add.reduceat(has[np.concatenate([sets[y] for y in ys])], np.cumsum(size) - size, dtype=np.int64)
+            has[sets[x]] = False
+            for y in np.array(ys)[100 * both >= SIMILARITY * (size + len(sets[x]) - both)].tolist():
+                if joined.join(root[x], root[y]):
+                    out.append((int(node[x]), int(node[y])))
+    a, b = zip(*out, strict=True) if out else ((), ())
+    return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def near_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Groups documents whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-    Equal sets are one node. Every node files its signature under the keys of its chunks. First each node is
-    paired with the least node under most of its keys, one pair for a node whatever the groups' sizes; pairs over
-    the signature distance go, the rest are confirmed on full sets, and links become components. What is left are
-    near pairs under one key in different components. For each key a forest over these tells which nodes
-    belong to a family, and in a family all of them are confirmed. Every step returns at most a row for each row
-    it read; pairs are compared, in blocks of bounded size, but never listed. So no link under the threshold is
-    lost. A pair of similarity 0.8 exceeds the distance of 35 of 96 with a probability of about 5e-5, one of
-    0.85 with less than 1e-8.
+    Equal sets, told by 128 bits, are one node. Every node files its signature under the keys of its chunks; only keys
+    of several nodes go on. First each node is paired with the least node under most of its keys, one pair for a
+    node whatever the groups' sizes; pairs over the signature distance go, the rest are confirmed on full sets,
+    and links become components. What is left are near pairs under one key in different components. For each key a
+    forest over these tells which nodes belong to a family, and in a family all of them are confirmed. Every step
+    returns at most a row for each row it read; pairs are compared, in blocks of bounded size, but never listed. So no
+    link under the threshold is lost. A pair of similarity 0.8 exceeds the distance of 39 of 96 with a probability
+    of 1e-6, one of 0.85 with 3e-10.
 
     Returns doc_id, n_shingles, component_id (the least doc_id of the group), kept (doc_id = component_id).
     A null or wordless text has no shingles and is linked with nothing; one with fewer words than a shingle is one
-    shingle. Repeated rows are one node and get the same values; null doc_ids count as the least; an empty table
-    gives an empty table.
+    shingle; a text of any length is one row and its set whole. Repeated rows are one node and get the same values; null
+    doc_ids count as the least; an empty table gives an empty table.
     """
     work = Scratch(docs.sparkSession, "neardup")
     source = docs.select(known_id("doc_id").alias("id"), blank("text").alias("text"))
-    sigs = work.table(source.mapInArrow(_read(words, False), "id long, node long, n long, sig binary, sketch array<long>"))
-    first = lambda c: F.first(c).alias(c)  # noqa: E731  the same in all rows of a node
-    nodes = work.table(sigs.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), first("n"), first("sig"), first("sketch")))
+    sigs = work.table(source.mapInArrow(_read(words, False), "id long, digest binary, n long, sig binary, sketch array<long>"), TEXTS)
+    first = lambda c: F.first(c).alias(c)  # noqa: E731  the same in all rows of a digest
+    nodes = sigs.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), first("n"), first("sig"), first("sketch"))
+    nodes = work.table(nodes.withColumn("node", F.monotonically_increasing_id()))  # a number for each digest, kept with it
     keys = nodes.select("node", "sig").mapInArrow(_file, "key long, node long")
-    keys = keys.withColumns({"rep": F.expr("min(node) over (partition by key)"), "last": F.expr("max(node) over (partition by key)")})
-    shared = work.table(keys.filter("rep <> last").drop("last"))
+    reps = keys.groupBy("key").agg(F.min("node").alias("rep"), F.max("node").alias("last")).filter("rep < last").select("key", "rep")
+    reps = work.table(reps)  # a side of its own, so that a key of very many nodes is split in the join
+    shared = work.table(keys.join(reps, "key"))
+    work.drop(reps)
 
     def of(c: str) -> DataFrame:
         return nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
 
     def sets_of(need: DataFrame) -> DataFrame:
-        ids = nodes.join(need, "node", "left_semi").select("id").distinct()
-        sets = source.join(ids, "id", "left_semi").select("text").mapInArrow(_read(words, True), "node long, set binary")
-        return work.table(sets.join(need, "node", "left_semi").dropDuplicates(["node"]))
+        own = nodes.join(need, "node", "left_semi").select("node", "digest", "id")
+        texts = source.join(own.select("id").distinct(), "id", "left_semi").select("text")
+        sets = texts.mapInArrow(_read(words, True), "digest binary, set binary").join(own.select("node", "digest"), "digest")
+        return work.table(sets.select("node", "set").dropDuplicates(["node"]), TEXTS)
 
     most = shared.filter("rep <> node").groupBy("node", "rep").count().groupBy("node").agg(F.max_by("rep", F.struct("count", "rep")).alias("rep"))
-    most = most.select(F.col("rep").alias("a"), F.col("node").alias("b")).join(of("a"), "a").join(of("b"), "b").filter(_near("a", "b"))
+    most = most.select(F.col("rep").alias("a"), F.col("node").alias("b")).join(of("b"), "b").join(of("a"), "a").filter(_near("a", "b"))
     most = work.table(most.select("a", "b"))
     sets = sets_of(most.select(F.col("a").alias("node")).union(most.select("b")).distinct())
     has = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}"))
-    links = work.table(most.join(has("a"), "a").join(has("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long"))
-    work.drop(sets)
+    pairs = most.join(has("b"), "b").join(has("a"), "a").select("a", "b", "set_a", "set_b")
+    links = work.table(pairs.mapInArrow(_confirm, "a long, b long"), SETS)
+    work.drop(sets, most)
     roots = components(links, work)
     placed = shared.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("key")
+    split = work.table(placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("key"))
     placed = placed.join(split, "key", "left_semi").join(nodes.select("node", "n", "sig"), "node")
     touching = work.table(_in_blocks(placed, "key", KEY_BLOCK).mapInArrow(_touching, "a long, b long"))
+    work.drop(shared, split)
     if not touching.isEmpty():
         family = components(touching, work).withColumnRenamed("root", "family").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         family = work.table(family.join(nodes.select("node", "n", "sig"), "node"))
-        family = family.join(sets_of(family.select("node")), "node")
-        more = work.table(_in_blocks(family, "family", FAMILY_BLOCK).mapInArrow(_link, "a long, b long"))
+        sets = sets_of(family.select("node"))
+        more = work.table(_in_blocks(family.join(sets, "node"), "family", FAMILY_BLOCK).mapInArrow(_link, "a long, b long"), SETS)
+        work.drop(family, sets)
         if not more.isEmpty():
             roots = components(links.union(more), work)
-    of = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    of = of.join(of.groupBy("root").agg(F.min("id").alias("component")), "root").select("node", "component")
-    out = sigs.select("id", "node", "n").join(of, "node", "left")
+        work.drop(more)
+    work.drop(links, touching)
+    of = nodes.select("node", "digest", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of = of.join(afresh(of.groupBy("root").agg(F.min("id").alias("component")), "root"), "root").select("digest", "component")
+    out = sigs.select("id", "digest", "n").join(of, "digest", "left")
     out = out.withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
     return out.select(given_id("id").alias("doc_id"), F.col("n").alias("n_shingles"), given_id("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 

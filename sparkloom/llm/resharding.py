@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, blank
+from .common import Scratch, blank, hidden, shown
 
 SHARDS, OLD_SHARDS = 8, 6
-#: Blocks of an old shard: so many size classes to a doubling, of at most DOUBLINGS, each cut by hash into PARTS.
-CLASSES, DOUBLINGS, PARTS = 8, 40, 16
+#: Blocks of an old shard: so many size classes to a doubling, of at most DOUBLINGS.
+CLASSES, DOUBLINGS = 8, 40
+#: A class with more rows or bytes is cut into parts; all blocks together are about so many at most, the parts of a very
+#: large table being larger.
+PART_ROWS, PART_BYTES, MOST_BLOCKS = 1_000_000, 512 << 20, 100_000
+_KEY = ["__old", "__class", "__part"]
+_BLOCK = "__old int, __class int, __part int"
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> list[list[int]]:
@@ -56,94 +63,141 @@ def even(total: int, n: int) -> list[int]:
     return [total // n + (i < total % n) for i in range(n)]
 
 
-def _measures() -> dict:
-    return {"size": (F.octet_length(blank("text")) + 1).cast("long"), "text_crc32": F.crc32(blank("text").cast("binary"))}
+@dataclass
+class Plan:
+    """Where rows go, by blocks: (old shard, class, part)."""
+
+    shards: int
+    old: Column
+    parts: list[tuple]  # (old shard, class, parts)
+    offsets: list[tuple]  # (block, its first byte in the old shard)
+    cuts: list[tuple]  # (old shard, new shard, first byte), for each old shard in order
+    slots: list[tuple]  # (new shard, block, what a row's number in its block lacks to its slot)
+    held: dict[int, int]  # rows by new shard
+    changed: list[int]  # shards that gain or lose rows
+
+
+def _measured(docs: DataFrame, old: Column) -> DataFrame:
+    text = blank("text")
+    own = docs.withColumns({"__size": (F.octet_length(text) + 1).cast("long"), "__crc": F.crc32(text.cast("binary")), "__old": old.cast("int")})
+    return own.withColumns({"__class": (CLASSES * DOUBLINGS - F.floor(F.log2("__size") * CLASSES)).cast("int"), "__order": F.xxhash64("doc_id", "__crc")})
+
+
+def _blocked(own: DataFrame, parts: list[tuple]) -> DataFrame:
+    # one row for each class of each old shard
+    parts = own.sparkSession.createDataFrame(parts, "__old int, __class int, __parts int")
+    return own.join(F.broadcast(parts), ["__old", "__class"]).withColumn("__part", F.pmod("__order", "__parts").cast("int")).drop("__parts")
+
+
+def _placed(own: DataFrame, offsets: list[tuple], cuts: list[tuple]) -> DataFrame:
+    """Rows of these blocks with __rank in the block and the new shard."""
+    # one row for each block, of which there are MOST_BLOCKS or so
+    at = own.sparkSession.createDataFrame(offsets, f"{_BLOCK}, __offset long")
+    block = "partition by __old, __class, __part order by __size desc, __order, doc_id, __crc rows unbounded preceding"
+    own = own.join(F.broadcast(at), _KEY).withColumns({"__start": F.expr(f"sum(__size) over ({block}) - __size"), "__rank": F.expr(f"row_number() over ({block})")})
+    middle = F.col("__offset") + F.col("__start") + F.floor(F.col("__size") / 2)
+    target = F.lit(None).cast("int")
+    for i, j, first in cuts:
+        target = F.when((F.col("__old") == i) & (middle >= first), j).otherwise(target)
+    return own.withColumn("__shard", target).drop("__offset", "__start")
 
 
-def reshard(docs: DataFrame, shards: int = SHARDS, old_shards: int = OLD_SHARDS, old_shard=None) -> DataFrame:
-    """Where each row goes when old shards become `shards` shards of near equal bytes, moving the fewest bytes.
+def solve(docs: DataFrame, shards: int = SHARDS, old_shards: int = OLD_SHARDS, old_shard: Column | None = None) -> Plan:
+    """The plan that makes old shards into `shards` shards of near equal bytes and moves the fewest bytes.
 
     Rows of an old shard are ordered by size class, the largest first, so that cuts fall among its smallest rows; a
-    class is cut by a hash of doc_id into parts, which bounds a block where very many rows have one size. The sums of the
-    blocks, of which there are old_shards * CLASSES * DOUBLINGS * PARTS at most at any input size, go to the driver,
-    which solves the flow. An old shard keeps what its capacity allows and cuts the rest into runs of bytes, one
-    for each receiver; a row belongs to the run in which its middle byte lies, so a cut is off by half a row at most.
+    class of many rows or bytes is cut by a hash into parts, in number with its rows, so that a block is a task's
+    load. Only sums of blocks go to the driver, which solves the flow. An old shard keeps what its capacity allows and
+    cuts the rest into runs of bytes, one for each receiver; a row belongs to the run in which its middle byte lies,
+    so a cut is off by half a row at most. Only blocks with a cut are looked at row by row here.
 
     old_shard: a column with the present shard, by default a hash of doc_id (the layout that doc_id and the old
-    number of shards decide). Returns doc_id, size, text_crc32, old_shard, shard, slot (gapless from 0 in a
-    shard). A null text has size 1 and the checksum of nothing; null and repeated doc_ids are rows as any other;
-    an empty table gives an empty table.
-    """
-    spark, work = docs.sparkSession, Scratch(docs.sparkSession, "reshard")
+    number of shards decide)."""
     old = F.pmod(F.xxhash64("doc_id"), F.lit(old_shards)) if old_shard is None else old_shard
-    sized = docs.select(
-        "doc_id", *[c.alias(n) for n, c in _measures().items()],
-        old.cast("int").alias("old_shard"), F.xxhash64("doc_id", F.lit(1)).alias("__order"),
-    )
-    below = CLASSES * DOUBLINGS - F.floor(F.log2("size") * CLASSES)
-    sized = sized.withColumn("__block", (below * PARTS + F.pmod("__order", F.lit(PARTS))).cast("int"))
-    rows = "partition by old_shard, __block order by size desc, __order, doc_id, text_crc32 rows unbounded preceding"
-    placed = work.table(sized.withColumns({"__start": F.expr(f"sum(size) over ({rows}) - size"), "__rank": F.expr(f"row_number() over ({rows})")}))
-    sums = {(r[0], r[1]): r[2] for r in placed.groupBy("old_shard", "__block").agg(F.sum("size")).collect()}
+    own = _measured(docs, old).select("doc_id", "__size", "__crc", "__old", "__class", "__order")
+    sums = [F.sum("__size").alias("size"), F.count("*").alias("n")]
+    classes = [tuple(r) for r in own.groupBy("__old", "__class").agg(*sums).collect()]  # CLASSES * DOUBLINGS a shard at most
+    least_rows, least_bytes = (max(least, sum(r[k] for r in classes) // MOST_BLOCKS) for least, k in ((PART_ROWS, 3), (PART_BYTES, 2)))
+    parts = [(i, c, max(1, -(-n // least_rows), -(-size // least_bytes))) for i, c, size, n in classes]
+    if all(p == 1 for *_, p in parts):
+        blocks = sorted((i, c, 0, size, n) for i, c, size, n in classes)
+    else:
+        blocks = sorted(tuple(r) for r in _blocked(own, parts).groupBy(*_KEY).agg(*sums).collect())  # MOST_BLOCKS or so
     supply, offsets = [0] * old_shards, []
-    for (i, b), size in sorted(sums.items()):
-        offsets.append((i, b, supply[i]))
+    for i, c, p, size, _ in blocks:
+        offsets.append((i, c, p, supply[i]))
         supply[i] += size
     flow = min_cost_flow(supply, even(sum(supply), shards), lambda i, j: int(i != j))
-    target = F.lit(None)
+    cuts, runs, split = [], [], []
     for i in range(old_shards):
         at = 0
-        mine = F.lit(None)
         for j in sorted(range(shards), key=lambda j: j != i):  # what stays comes first
             if flow[i][j]:
-                mine = F.when(F.col("__at") >= at, F.lit(j)).otherwise(mine)
+                cuts.append((i, j, at))
                 at += flow[i][j]
-        target = F.when(F.col("old_shard") == i, mine).otherwise(target)
-    # one row for each block: bounded as above
-    at = spark.createDataFrame(offsets, "old_shard int, __block int, __offset long")
-    cut = placed.join(F.broadcast(at), ["old_shard", "__block"]).withColumn("__at", F.col("__offset") + F.col("__start") + F.floor(F.col("size") / 2)).withColumn("shard", target.cast("int")).drop("__offset")
-    runs = cut.groupBy("shard", "old_shard", "__block").agg(F.count("*").alias("n"), F.min("__rank").alias("first")).collect()
-    before, slots = [0] * shards, []
-    for j, i, b, n, first in sorted(tuple(r) for r in runs):
-        slots.append((j, i, b, before[j] - first))
+    for (i, c, p, size, n), (*_, first) in zip(blocks, offsets, strict=True):
+        mine = [(at, j) for k, j, at in cuts if k == i and at <= first + size]
+        if any(at > first for at, _ in mine):
+            split.append((i, c, p, first))
+        else:
+            runs.append((mine[-1][1], i, c, p, n, 1))
+    if split:  # a block for each cut at most
+        rows = _placed(_blocked(own, parts), split, cuts)
+        runs += [tuple(r) for r in rows.groupBy("__shard", *_KEY).agg(F.count("*").alias("n"), F.min("__rank").alias("first")).collect()]
+    before, slots = dict.fromkeys(range(shards), 0), []
+    for j, i, c, p, n, first in sorted(runs):
+        slots.append((j, i, c, p, before[j] - first))
         before[j] += n
-    slot = spark.createDataFrame(slots, "shard int, old_shard int, __block int, __base long")  # bounded alike
-    out = cut.join(F.broadcast(slot), ["shard", "old_shard", "__block"]).withColumn("slot", F.col("__base") + F.col("__rank"))
-    return out.select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot")
-
-
-def rewrite(docs: DataFrame, plan: DataFrame, path: str, old_shard=None) -> list[int]:
-    """Writes anew the files of the shards whose rows change, one folder shard=N each; returns those shards.
-
-    plan is that of reshard for docs; old_shard is the column given there, if any. Rows meet their places by doc_id
-    (null or not), size, checksum and old shard, and by number where all these are equal, so each row is written
-    once. Equal rows that a given layout holds in several old shards can't be told apart without old_shard, which
-    is an error. A shard that neither gains nor loses rows is left as it is, in path too; the folder of one that
-    loses all its rows goes."""
-    key = ["__id", "__none", "size", "text_crc32"]
-    where = {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__none": F.col("doc_id").isNull()}
-    plan = plan.withColumns(where)
-    if old_shard is not None:
-        key.append("old_shard")
-    elif not plan.groupBy(*key).agg(F.min("old_shard").alias("a"), F.max("old_shard").alias("b")).filter("a <> b").isEmpty():
-        raise ValueError("equal rows in several old shards: rewrite needs old_shard")
-    moved = plan.filter("old_shard <> shard")
-    changed = sorted(r[0] for r in moved.select("shard").union(moved.select("old_shard")).distinct().collect())  # shards, not rows
-    number = lambda *order: F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    target = plan.withColumn("__k", number("shard", "slot")).filter(F.col("shard").isin(changed)).select(*key, "__k", "shard", "slot")
-    own = docs.drop("shard", "slot")
-    own = own.select(F.struct(*own.columns).alias("__row"), *[c.alias(n) for n, c in where.items()], *[c.alias(n) for n, c in _measures().items()], *([] if old_shard is None else [old_shard.cast("int").alias("old_shard")]))
-    own = own.withColumn("__k", number(F.xxhash64(*[f"__row.{c}" for c, t in docs.drop("shard", "slot").dtypes if "map<" not in t])))
-    rest = own.join(target, [*key, "__k"]).select("__row.*", "shard", "slot")
-    out = rest.repartition("shard", F.floor(F.col("slot") / 1_000_000)).sortWithinPartitions("shard", "slot")
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
-    left = {r[0] for r in plan.select("shard").distinct().collect()}
-    for shard in set(changed) - left:
+    changed = sorted({s for j, i, *_ in runs if i != j for s in (i, j)})
+    return Plan(shards, old, parts, offsets, cuts, slots, {j: n for j, n in before.items() if n}, changed)
+
+
+def _with_slots(docs: DataFrame, plan: Plan) -> DataFrame:
+    """docs with __size, __crc, __old, __shard and __slot; one shuffle, by block."""
+    rows = _placed(_blocked(_measured(docs, plan.old), plan.parts), plan.offsets, plan.cuts)
+    # two rows for each block at most, and one more for each cut
+    base = docs.sparkSession.createDataFrame(plan.slots, f"__shard int, {_BLOCK}, __base long")
+    return rows.join(F.broadcast(base), ["__shard", *_KEY]).withColumn("__slot", F.col("__base") + F.col("__rank")).drop("__base", "__rank", "__class", "__part", "__order")
+
+
+def reshard(docs: DataFrame, shards: int = SHARDS, old_shards: int = OLD_SHARDS, old_shard: Column | None = None, plan: Plan | None = None) -> DataFrame:
+    """Where each row goes by the plan, that of solve where none is given.
+
+    Returns doc_id, size, text_crc32, old_shard, shard, slot (gapless from 0 in a shard). A null text has size 1 and the
+    checksum of nothing; a very long text is one row and moves whole; null and repeated doc_ids are rows as any other,
+    but rows equal in doc_id and text stay in one block; an empty table gives an empty table.
+    """
+    plan = plan or solve(docs, shards, old_shards, old_shard)
+    rows = _with_slots(docs.select(*{"doc_id", "text", *(docs.columns if old_shard is not None else ())}), plan)
+    return rows.select("doc_id", F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.col("__old").alias("old_shard"), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
+
+
+def rewrite(docs: DataFrame, plan: Plan, path: str) -> list[int]:
+    """Writes anew the files of the shards whose rows change, one folder shard=N each, with slot, and in its order within
+    a file; returns those shards.
+
+    docs: the rows that the plan was solved for, maybe read from path itself: the new files stand complete before the
+    old ones of these shards go. A shard that neither gains nor loses rows is left as it is, in path too; the folder of
+    one that loses all its rows goes. Each row is written once, repeated or not, with or without doc_id."""
+    docs = hidden(docs)
+    names = [c for c in docs.columns if c not in ("shard", "slot")]
+    rows = _with_slots(docs, plan).filter(F.col("__shard").isin(plan.changed))
+    out = rows.select(*names, F.col("__slot").alias("slot"), F.col("__shard").alias("shard"))
+    shown(out).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("shard").parquet(path)
+    for shard in set(plan.changed) - set(plan.held):
         gone = docs.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
         gone.getFileSystem(docs.sparkSession._jsc.hadoopConfiguration()).delete(gone, True)
-    return changed
+    return plan.changed
 
 
 def op7_resharding(spark, sf_dir: str) -> DataFrame:
-    plan = reshard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast(T.IntegerType()).alias("grown_shard"), "old_shard")
+    """Sizes, checksums and slots are those of the files written anew; only shards that stay as they are come from the plan."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    plan, path = solve(docs), f"{Scratch(spark, 'reshard').base}/layout"
+    stay = reshard(docs, plan=plan).filter(~F.col("shard").isin(plan.changed))
+    if plan.changed:
+        rewrite(docs, plan, path)
+        new = spark.read.schema("doc_id long, text string, slot long, shard int").parquet(path)
+        new = new.select("doc_id", (F.octet_length(blank("text")) + 1).cast("long").alias("size"), F.crc32(blank("text").cast("binary")).alias("text_crc32"), plan.old.cast("int").alias("old_shard"), "shard", "slot")
+        stay = new.unionByName(stay) if set(plan.held) - set(plan.changed) else new
+    return stay.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast(T.IntegerType()).alias("grown_shard"), "old_shard")

@@ -60,6 +60,8 @@ def test_blocks_of_queries_give_the_same(spark, monkeypatch):
     whole = run(spark, own)
     monkeypatch.setattr(N, "QUERIES", 5)
     assert run(spark, own) == whole
+    monkeypatch.setattr(N, "PART", 100)  # a short list in each of five parts
+    assert run(spark, own) == whole == brute(own)
 
 
 def test_beam_beats_greed_and_codes_decode(spark):
@@ -69,6 +71,6 @@ def test_beam_beats_greed_and_codes_decode(spark):
     assert error(m.encode(x, 8)) < error(m.encode(x, 1)) < (x**2).sum()
     codes = m.encode(x[:50])
     want = m.norms(codes)[None] - 2 * x[:5] @ m.decode(codes).T
-    assert np.allclose(m.scores(x[:5], codes, m.norms(codes)), want, atol=1e-3)
-    index, _, dim = N.build_index(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA), Scratch(spark, "t"))
-    assert index.count() == 2000 and dim == 16
+    assert np.allclose(m.scores(x[:5], m.packed(codes), m.norms(codes)), want, atol=1e-3)
+    index, _, dim = N.build_index(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA), Scratch(spark, "t"), 10)
+    assert index.count() == len(np.unique(x.astype(np.float32), axis=0)) and dim == 16

@@ -1,5 +1,8 @@
+import hashlib
+import random
 import re
 
+import regex
 from cases import clashing, rows, table
 from pyspark.sql import functions as F
 
@@ -66,3 +69,126 @@ def test_edges(spark):
     own = [(7, f"x {MAIL} y", None, None, None)] * 3 + [(7, MAIL * 1, None, None, None), (None, "z" * 10_000 + f" {MAIL}", None, None, None)]
     out = S.pseudonymise(table(spark, own), "k").collect()
     assert len(out) == 5 and len({re.search(r"\S+@\S+", r.text)[0] for r in out}) == 1 and all(r.n_entities == 1 for r in out)
+
+
+SCRIPT_OF = {s: regex.compile(rf"(?=\p{{L}})\p{{Script={s}}}") for s in ["Latin", *S.SCRIPTS]}
+
+
+def model(texts, key):
+    """Plain Python: mentions by the same patterns, entities, proposals round after round, texts."""
+    kinds = {k: regex.compile(f"(?:{p})") for k, p in S.KINDS.items()}
+    kind_of = lambda hit: next(k for k, p in kinds.items() if p.fullmatch(hit))
+    strip = lambda hit: regex.sub(S.TITLE, "", hit, count=1)
+    own = lambda hit: regex.sub(S.COUNTRY, "", hit)
+
+    def canonical(kind, hit):
+        if kind in S.DIGITS:
+            return regex.sub(r"\D", "", own(hit))
+        if kind == "person":
+            return ("f" if regex.match(S.TITLE, hit)[1].rstrip(".") in S.FEMALE else "m") + strip(hit).lower()
+        return hit.replace(" ", "") if kind == "iban" else hit.lower()
+
+    def proposal(kind, name, salt):
+        h = hashlib.sha512(f"{key}|{kind}|{name}|{salt}".encode()).hexdigest()
+        byte = lambda i: int(h[i % 64 * 2 : i % 64 * 2 + 2], 16)
+        digits = lambda n: (h * 8).translate(str.maketrans("abcdef", "135792"))[:n]
+        more = max(0, salt - S.FIXED + 1)
+        letters = h.translate(str.maketrans("0123456789", "ghijklmnop"))[:more]
+
+        def shaped(text, skip=0):
+            out = ""
+            for i, c in enumerate(text):
+                new = c
+                if i >= skip and c in "0123456789":
+                    new = "0123456789"[byte(i) % 10]
+                elif i >= skip:
+                    for s, p in SCRIPT_OF.items():
+                        if p.fullmatch(c):
+                            a = S.SCRIPTS.get(s, S.LATIN)
+                            new = a[byte(i) % len(a)]
+                            break
+                    new = new.upper() if c != c.lower() else new
+                out += new
+            return out
+
+        if kind in S.DIGITS:
+            return digits(len(name)) + digits(more)
+        if kind == "ip":
+            six = ":".join(["2001:db8"] + [h[4 * i : 4 * i + 4] for i in range(6)])
+            return six if ":" in name or salt >= S.FIXED else f"{byte(3) % 223 + 1}.{byte(0)}.{byte(1)}.{byte(2)}"
+        if kind == "iban":
+            return shaped(name, 2) + digits(more)
+        if kind == "email":
+            local, host = name.rsplit("@", 1)
+            labels = [x for x in host.rsplit(".", 1)[0].split(".") if x]
+            return shaped(local) + letters + "@" + ".".join("host" + h[i % 16 * 4 + 64 :][:4] for i, _ in enumerate(labels)) + ".example"
+        script = next((s for s in ("Cyrillic", "Greek") if any(SCRIPT_OF[s].fullmatch(c) for c in name[1:])), "Latin")
+        family = "".join(S.FAMILY[script][byte(i) % 16] for i in range(1, 4 + salt // 2)).capitalize()
+        given = S.GIVEN[name[0] + script]
+        return f"{given[byte(0) % len(given)]} {family}" if " " in name else family
+
+    any_kind = regex.compile(S.ANY)
+    entities = {(kind_of(m[0]), canonical(kind_of(m[0]), m[0])) for t in texts for m in any_kind.finditer(t)}
+    taken = {(k, n[1:] if k == "person" else n) for k, n in entities}
+    done, rest, salt = {}, entities, 0
+    while rest:
+        free = {}
+        for kind, name in sorted(rest):
+            new = proposal(kind, name, salt)
+            if (kind, new.lower()) not in taken:
+                free.setdefault((kind, new.lower()), ((kind, name), new))
+        done |= dict(free.values())
+        taken |= set(free)
+        rest, salt = rest - set(done), salt + 1
+
+    def put(m):
+        hit = m[0]
+        kind = kind_of(hit)
+        new = done[kind, canonical(kind, hit)]
+        if kind in S.DIGITS or kind == "iban":
+            code = (regex.match(S.COUNTRY, hit) or [""])[0] if kind in S.DIGITS else ""
+            left = iter(new)
+            body = "".join(next(left) if (c.isdigit() if kind in S.DIGITS else c != " ") else c for c in hit[len(code) :])
+            return code + body + "".join(left)
+        if kind == "person":
+            return regex.match(S.TITLE, hit)[1] + " " + new
+        return new.upper() if kind == "email" and hit == hit.upper() != hit.lower() else new
+
+    return [any_kind.sub(put, t) for t in texts]
+
+
+def test_brute_force(spark, monkeypatch):
+    r = random.Random(5)
+    name = lambda: r.choice(["John", "Ann", "Li", "O'Neil", "Müller-Lüdenscheid", "Анна", "Петров", "Γιώργος", "Παπαδόπουλος"])
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    some = [
+        lambda: f"{r.choice(['Mr', 'Mrs.', 'Herr', 'Frau', 'Madame', 'Sr.', 'Госпожа', 'Господин'])} {name()}" + r.choice(["", f" {name()}"]),
+        lambda: f"{r.choice(['a', 'b.c', 'Ann_7', 'ИВАН', '李明', 'محمد', 'ΝΙΚΟΣ', 'x+y'])}@{r.choice(['mail', 'a.b', 'ex-1'])}.{r.choice(['org', 'COM'])}",
+        lambda: f"10.{r.randrange(3)}.0.{r.randrange(3)}", lambda: "2001:db8::" + r.choice(["1", "2:3"]), lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        lambda: r.choice(["4111 1111 1111 1111", "3782 822463 10005", "4111-1111-1111-1111"]), lambda: r.choice(["+49 30 1234567", "+33 6 12 34 56 78", "01 23 45 67 89", "030 1234567", "(017) 555-7713", "+44 20 7946 0958"]),
+        lambda: r.choice(["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "FR7630006000011234567890189"]), lambda: r.choice(["plain words", "v1.2.3", "12:30", "é𝒳"]),
+    ]
+    texts = [r.choice([" ", "\n", ", "]).join(r.choice(some)() for _ in range(r.randrange(1, 8))) + "." for _ in range(300)]
+    want = model(texts, "k")
+    got = run(spark, texts)
+    assert [got[i].text for i in range(len(texts))] == want and sum(a != b for a, b in zip(texts, want, strict=True)) > 200
+    assert sum(c not in LATIN_TEXT for t in want for c in t) > 50
+
+
+LATIN_TEXT = set(map(chr, range(0x250)))
+
+
+def test_names_never_run_out(spark):
+    """All nine-digit-like numbers of two digits and all short names: surrogates get longer, but stay distinct."""
+    many = [("ssn", f"{i:02d}") for i in range(100)] + [("email", f"{a}@x.org") for a in "abcdefgh"] + [("ip", f"9.9.9.{i}") for i in range(9)]
+    df = spark.createDataFrame(many, "kind string, name string")
+    got = S.assign(df, "k", Scratch(spark, "t")).collect()
+    assert len(got) == len(many) == len({(r.kind, r.surrogate) for r in got}) and not {r.surrogate for r in got} & {n for _, n in many}
+
+
+def test_scripts_are_kept(spark):
+    texts = ["李明@mail.org 山田@mail.org", "محمد@mail.org", "דוד@mail.org", "नमन@mail.org", "Mr. Γιώργος Παπαδόπουλος", "Mr Արամ Հակոբյան", "민준@mail.org"]
+    out = run(spark, texts)
+    for i, t in enumerate(texts):
+        scripts = lambda x: {s for s, p in SCRIPT_OF.items() if any(p.fullmatch(c) for c in regex.sub(r"@\S+|Mr\.?", "", x))}
+        assert out[i].text != t and scripts(out[i].text) == scripts(t), out[i].text

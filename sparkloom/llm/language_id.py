@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import hidden, shown
+
 #: Units of each direction; bytes of a window, in which both directions start anew; windows run at once.
 UNITS, WINDOW, BATCH = 8, 128, 2048
 #: The model learns from at most this many documents of each language, those with the least hash, and from at most
@@ -18,9 +19,8 @@ UNITS, WINDOW, BATCH = 8, 128, 2048
 DOCS_PER_LANG, WINDOWS_PER_DOC = 400, 4
 STEPS, STEP_WINDOWS, RATE, SEED = 400, 64, 0.02, 10
 UNDECIDED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
-#: The same for native operations: Python's word characters less digits are letters and numbers of other kinds.
-LETTER = r"[\p{L}\p{Nl}\p{No}]"
+#: What a text must hold to be in a language.
+LETTER = r"\p{L}"
 
 
 def _soft(x: np.ndarray) -> np.ndarray:
@@ -180,53 +180,61 @@ def held_out():
 def fit(docs: DataFrame) -> Model | None:
     """Learns from text and lang of documents that aren't held out; None if no language is given there.
 
-    The bound is DOCS_PER_LANG documents of each language. Of a language with more, a share by hash of doc_id goes on,
-    about four times as many; those with the least hash are taken, of each a few windows only.
+    The bound is DOCS_PER_LANG documents of each language. Of a language with more, a share by hash of doc_id and text
+    goes on, about four times as many; those with the least hash are taken, of each a few windows only. A language
+    of which no row is drawn, as few different ones repeat, is drawn from again without the share.
     """
-    own = docs.filter(~held_out()).filter("lang is not null and text is not null").filter(F.col("text").rlike(r"\p{L}"))
+    own = docs.filter(~held_out()).filter("lang is not null and text is not null").filter(F.col("text").rlike(LETTER))
     counts = {r[0]: r[1] for r in own.groupBy("lang").count().collect()}  # languages, not documents
     if not counts:
         return None
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4 * DOCS_PER_LANG / n))]), F.col("lang"))
-    own = own.withColumn("h", F.xxhash64("doc_id")).filter(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003)
-    room = F.greatest(F.char_length("text") - WINDOW, F.lit(0))
-    spots = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_PER_DOC - 1)), lambda i: F.substr(F.col("text"), (i * room / (WINDOWS_PER_DOC - 1)).cast("int") + 1, F.lit(WINDOW))))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "spots"))
-    picked = own.select("lang", "h", spots.alias("spots")).withColumn("k", rank).filter(F.col("k") <= DOCS_PER_LANG)
-    rows = sorted(tuple(x) for x in picked.select("lang", "k", "spots").collect())
-    if not rows:
-        return None
+    rows = _draw(own, {lang: min(1.0, 4 * DOCS_PER_LANG / n) for lang, n in counts.items()})
+    missed = set(counts) - {x[0] for x in rows}
+    if missed:
+        rows += _draw(own.dropDuplicates(["lang", "doc_id", "text"]), dict.fromkeys(missed, 1.0))
     langs = sorted({x[0] for x in rows})
     windows = [np.frombuffer(t.encode()[:WINDOW].ljust(WINDOW), np.uint8) for _, _, spots in rows for t in spots]
     truth = [langs.index(lang) for lang, _, spots in rows for _ in spots]
     return train(np.stack(windows), np.array(truth), langs)
 
 
+def _draw(own: DataFrame, shares: dict[str, float]) -> list[tuple]:
+    """Sorted (language, number, windows) of at most DOCS_PER_LANG documents of each of these languages."""
+    share = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang"))
+    own = own.filter(F.col("lang").isin(list(shares))).withColumn("h", F.xxhash64("doc_id", "text")).filter(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003)
+    room = F.greatest(F.char_length("text") - WINDOW, F.lit(0))
+    spots = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_PER_DOC - 1)), lambda i: F.substr(F.col("text"), (i * room / (WINDOWS_PER_DOC - 1)).cast("int") + 1, F.lit(WINDOW))))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "spots"))
+    picked = own.select("lang", "h", spots.alias("spots")).withColumn("k", rank).filter(F.col("k") <= DOCS_PER_LANG)
+    return sorted(tuple(x) for x in picked.select("lang", "k", "spots").collect())
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """Adds lang_pred and score to docs (they replace columns of that name); only the text is looked at.
 
     Every byte of the whole text gets a label's probabilities from its window, and their mean decides; ties go to
-    the first language by name. score is that mean. A null text, one without letters, or no model give `und` and 0.
-    Rows stay apart, repeated or not; an empty table stays empty.
+    the first language by name. score is that mean. A null text, one without letters, or no model give `und` and 0;
+    a text of any length is read whole. Rows stay apart, repeated or not; an empty table stays empty.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = hidden(docs.drop("lang_pred", "score"))
     at = docs.columns.index("text")
+    told = docs.withColumn("__letters", F.coalesce(F.col("text").rlike(LETTER), F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, len(b), 512):
                 x = b.slice(lo, 512)
-                texts = x.column(at).to_pylist()
-                known = [i for i, t in enumerate(texts) if model and t and _LETTER.search(t)]
+                texts, letters = x.column(at).to_pylist(), x.columns[-1].to_pylist()
+                known = [i for i, t in enumerate(texts) if model and letters[i]]
                 langs, scores = [UNDECIDED] * len(texts), [0.0] * len(texts)
                 if known:
                     p = model.document_probabilities([texts[i].encode("utf-8", "replace") for i in known])
                     for i, k, s in zip(known, p.argmax(axis=1), p.max(axis=1), strict=True):
                         langs[i], scores[i] = model.langs[k], min(1.0, round(float(s), 6))
-                yield pa.RecordBatch.from_arrays([*x.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*x.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*x.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*x.schema.names[:-1], "lang_pred", "score"])
 
     schema = docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    return docs.mapInArrow(run, schema)
+    return shown(told.mapInArrow(run, schema))
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

@@ -107,3 +107,44 @@ def test_edges(spark):
     assert L.identify(table(spark, []), L.fit(table(spark, []))).count() == 0
     none = L.identify(table(spark), None)
     assert {(r.lang_pred, r.score) for r in none.collect()} == {("und", 0.0)}
+
+
+def test_own_columns_stay(spark):
+    df = clashing(spark)
+    out = L.identify(df, None)
+    assert set(out.columns) == set(df.columns) and out.filter("__letters = 'mine' and __id = 'mine'").count() == len(rows())
+
+
+def test_numbers_arent_letters(spark):
+    m = L.train(np.random.default_rng(0).integers(0, 255, (8, 32), dtype=np.uint8), np.arange(8) % 3, ["a", "b", "c"], steps=3)
+    own = [(i, t, None, None, None) for i, t in enumerate(["½ ²²² Ⅷ", "_", "١٢٣", "ª", "ʰ", "𝒳", "中"])]
+    assert [r.lang_pred == "und" for r in L.identify(table(spark, own), m).orderBy("doc_id").collect()] == [True] * 3 + [False] * 4
+
+
+def test_a_language_of_few_repeated_documents_is_learnt(spark):
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 3 != 1]
+    own = corpus(60) + [(ids[0], "zzz yyy xxx " * 20, "zz", "s", 1)] * 4000
+    assert "zz" in L.fit(table(spark, own)).langs
+
+
+def test_run_is_the_network_step_by_step():
+    """A scalar forward pass, position by position."""
+    r = np.random.default_rng(4)
+    m = L.train(r.integers(0, 255, (8, 16), dtype=np.uint8), np.arange(8) % 3, ["a", "b", "c"], steps=3)
+    text = r.integers(0, 255, 9, dtype=np.uint8)
+    u, k = L.UNITS, 2 * L.UNITS
+    squash = lambda x: x / (1 + abs(x))
+    state = {}
+    for way, at in ((0, range(9)), (1, range(8, -1, -1))):
+        h = [0.0] * u
+        for t in at:
+            x = [[m.inputs[g * k + way * u + i, text[t]] for i in range(u)] for g in range(3)]
+            s = [[sum(m.state[g * k + way * u + i, way * u + c] * h[c] for c in range(u)) for i in range(u)] for g in range(3)]
+            z, reset = ([0.5 + 0.5 * squash(x[g][i] + s[g][i]) for i in range(u)] for g in (0, 1))
+            new = [squash(x[2][i] + reset[i] * s[2][i]) for i in range(u)]
+            h = [new[i] + z[i] * (h[i] - new[i]) for i in range(u)]
+            state[way, t] = h
+    for t in range(9):
+        logits = [m.bias[c] + sum(m.labels[c, i] * state[0, t][i] + m.labels[c, u + i] * state[1, t][i] for i in range(u)) for c in range(3)]
+        p = np.exp(logits) / np.exp(logits).sum()
+        assert np.allclose(m.run(text[None])[t, :, 0], p, atol=1e-5)

@@ -19,7 +19,11 @@ from .common import Scratch, blank
 
 LENGTH, END_ID = 2048, 1
 BUCKETS, AXES, BITS = 256, 3, 10
+#: Below the curve's key; both together are 52 bits, which quantiles, being doubles, tell apart.
+LOW_BITS = 22
 PART_TOKENS, MOST_PARTS = 8_000_000, 20_000
+#: Texts that go to Python in one batch.
+TEXTS = 1024
 SPECIAL = "<|endoftext|>"
 #: The pattern's \s, and a run of it so long that the library's regular expression must not see it (it overflows
 #: somewhere between 600,000 and 1,000,000).
@@ -115,13 +119,14 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str = "byte_bpe_50k.j
     """Cuts the documents, laid end to end in the order of their Hilbert keys, into sequences of `length` tokens.
 
     Only the last sequence is not full. The key gets the hash of doc_id below it, so that a group of equal texts of
-    any size is spread like other rows. Tokens are encoded once, into a table; the curve is cut at approximate
+    any size is spread like other rows, and below that a hash of the row's number, which does the same for rows without or
+    with one doc_id. Tokens are encoded once, into a table; the curve is cut at approximate
     quantiles of the key into parts of about PART_TOKENS (at most MOST_PARTS parts), whose sums of tokens go to
     the driver, and each part is then sorted and cut on its own from its known first position.
 
     Returns one row per piece: doc_id, start (the document's ids before it), length, ids (unsigned 16-bit,
     little-endian), ids_crc32 (of 32-bit ids), doc_tokens, sequence_id, offset. A null or empty text is its end id
-    alone; repeated and null doc_ids are documents as any other; an empty table gives an empty table.
+    alone; a very long one is encoded whole and runs through as many sequences as it takes; repeated and null doc_ids are documents as any other; an empty table gives an empty table.
     """
     spark = docs.sparkSession
     work = tables or Scratch(spark, "packing")
@@ -137,8 +142,9 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str = "byte_bpe_50k.j
                     keys.append(curve_key(own[:-1]))
                 yield pa.record_batch({"doc_id": x.column("doc_id"), "low": x.column("low"), "key": pa.array(keys, pa.int64()), "n": pa.array([len(i) // 2 for i in ids], pa.int64()), "ids": pa.array(ids, pa.binary())})
 
-    source = docs.select(F.col("doc_id").cast("long"), blank("text").alias("text"), (F.xxhash64("doc_id").bitwiseAND(2**32 - 1)).alias("low"))
-    rows = work.table(source.mapInArrow(encode, "doc_id long, low long, key long, n long, ids binary").withColumn("key", F.shiftleft("key", 32).bitwiseOR(F.col("low"))).drop("low"))
+    low = F.shiftleft(F.xxhash64("doc_id").bitwiseAND(2 ** (LOW_BITS - 8) - 1), 8).bitwiseOR(F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(255))
+    source = docs.select(F.col("doc_id").cast("long"), blank("text").alias("text"), low.alias("low"))
+    rows = work.table(source.mapInArrow(encode, "doc_id long, low long, key long, n long, ids binary").withColumn("key", F.shiftleft("key", LOW_BITS).bitwiseOR(F.col("low"))).drop("low"), TEXTS)
     total = rows.agg(F.sum("n")).first()[0] or 0
     parts = max(1, min(MOST_PARTS, total // PART_TOKENS))
     bounds = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else []
@@ -171,7 +177,7 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str = "byte_bpe_50k.j
             yield pa.record_batch([pa.array(c, t) for c, (_, t) in zip(columns, _PIECE, strict=True)], names=[n for n, _ in _PIECE])
 
     schema = ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n, _ in _PIECE)
-    return rows.repartition(parts, "part").sortWithinPartitions("part", "key", "doc_id", "ids").mapInArrow(cut, schema)
+    return rows.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "key", "doc_id", "ids").mapInArrow(cut, schema)
 
 
 _PIECE = [(n, pa.binary() if n == "ids" else pa.int64()) for n in ("doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset")]

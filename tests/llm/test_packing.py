@@ -5,6 +5,7 @@ from itertools import product
 import numpy as np
 import public_tokenizers
 from cases import clashing, edited, prose, rows, table
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sparkloom.llm import packing
@@ -84,3 +85,29 @@ def test_neighbours_share_a_region():
         near.append(abs(curve_key(a) - curve_key(np.array(ids(edited(prose(i, 300), i, 2))))))
         far.append(abs(curve_key(a) - curve_key(np.array(ids(prose(i + 500, 300))))))
     assert np.median(near) < np.median(far) / 2
+
+
+def test_sequences_follow_the_curve(spark, monkeypatch):
+    """Documents lie in the order of their Hilbert keys, over all parts; copies and rows without doc_id are spread too."""
+    monkeypatch.setattr(packing, "PART_TOKENS", 1000)
+    own = rows() + [(100 + i, prose(i, 40), "en", "s", 1) for i in range(150)] + [(None, prose(3, 40), "en", "s", 1)] * 60
+    pieces = sorted(pack(table(spark, own), length=64).collect(), key=lambda p: (p.sequence_id, p.offset))
+    tokens = {r[0]: ids(r[1]) for r in own}
+    first = [p for p in pieces if p.start == 0]
+    assert len(first) == len(own)
+    keys = []
+    for p in first:
+        known = [ids(r[1]) for r in own if r[0] == p.doc_id and len(ids(r[1])) == p.doc_tokens and np.array(ids(r[1])[: p.length], "<u2").tobytes() == p.ids]
+        keys.append({curve_key(np.array(k[:-1], dtype=np.int64)) for k in known})
+    assert all(keys) and len(tokens) > 100
+    at = 0
+    for k in keys:  # some choice of keys ascends
+        at = min(x for x in k if x >= at)
+
+
+def test_parts_hold_their_share(spark, monkeypatch):
+    """Rows without doc_id that are all alike don't fall into one part."""
+    monkeypatch.setattr(packing, "PART_TOKENS", 2000)
+    df = pack(table(spark, [(None, prose(1, 30), "en", "s", 1)] * 400), length=64)
+    by = df.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    assert len(by) >= 4 and max(r["count"] for r in by) <= sum(r["count"] for r in by) / 2

@@ -22,6 +22,8 @@ RARE, FEW = 1e-4, 100
 SHARE, LONG, SHORT = 0.4, 50, 5
 #: Items that are held in memory at once, in characters; more are taken in as many passes.
 SLICE_CHARS = 2_000_000
+#: Words in windows that wait for their alignment at most, but for those of one document and item.
+HELD_WORDS = 2_000_000
 _WORD = re.compile(r"\w+")
 
 
@@ -115,9 +117,24 @@ def _slice(docs: DataFrame, items: _Items, total: int, work: Scratch) -> DataFra
     seeds = np.unique(code)
     first, last = np.searchsorted(code, seeds, "left"), np.searchsorted(code, seeds, "right")
 
+    def aligned(todo: dict[int, list]) -> pa.RecordBatch:
+        out = []
+        for k, rows in todo.items():
+            n = len(items.words[k])
+            best: dict = {}
+            for lo in range(0, len(rows), 256):
+                part = rows[lo : lo + 256]
+                for (doc, _), s in zip(part, align(np.stack([w for _, w in part]), items.words[k]).tolist(), strict=True):
+                    best[doc] = max(best.get(doc, 0), s)
+            out += [(doc, items.ids[k], s, n, s / n) for doc, s in best.items() if s >= least_score(n)]
+        columns = list(zip(*out, strict=True)) if out else [[]] * 5
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "score", "item_words", "similarity"])
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             todo: dict[int, list] = {}
+            held = 0
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 words = items.number(text)
                 where, which = items.found(words, seeds)
@@ -135,18 +152,11 @@ def _slice(docs: DataFrame, items: _Items, total: int, work: Scratch) -> DataFra
                             lo, hi = max(0, d - slack), min(len(words), d + n + 2 * slack)
                             window[lo - (d - slack) : hi - (d - slack)] = words[lo:hi]
                             todo.setdefault(k, []).append((doc, window))
-            out = []
-            for k, rows in todo.items():
-                n = len(items.words[k])
-                best: dict = {}
-                for lo in range(0, len(rows), 256):
-                    part = rows[lo : lo + 256]
-                    for (doc, _), s in zip(part, align(np.stack([w for _, w in part]), items.words[k]).tolist(), strict=True):
-                        best[doc] = max(best.get(doc, 0), s)
-                out += [(doc, items.ids[k], s, n, s / n) for doc, s in best.items() if s >= least_score(n)]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "score", "item_words", "similarity"])
+                            held += len(window)
+                    if held > HELD_WORDS:
+                        yield aligned(todo)
+                        todo, held = {}, 0
+            yield aligned(todo)
 
     found = docs.mapInArrow(score, "doc_id long, item_id long, score long, item_words long, similarity double")
     return work.table(found)
@@ -160,7 +170,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     the seeds' diagonals. Words are runs of letters, digits and underscores, in lower case.
 
     Returns doc_id, item_id, score, item_words, similarity (score / item_words), once for each doc_id and item_id,
-    the best. Null texts hold nothing; items without words match nothing; rows with one doc_id are one document;
+    the best. Whole texts are looked through, however long, and windows are aligned as soon as HELD_WORDS wait. Null texts hold nothing; items without words match nothing; rows with one doc_id are one document;
     a null doc_id comes back as null; empty tables give an empty table.
     """
     spark, work = docs.sparkSession, Scratch(docs.sparkSession, "decontamination")

@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blank, known_id
+from .common import Scratch, blank, hidden, known_id, shown
 
 MIN_CHARS, MIN_DOCS = 40, 5
 SPACE = " \t\n\x0b\x0c\r"
@@ -32,7 +32,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     count as one document; identical rows are treated alike and all returned. A null doc_id counts as one
     document smaller than all others. An empty table gives an empty table.
     """
-    work = Scratch(docs.sparkSession, "lines")
+    work, docs = Scratch(docs.sparkSession, "lines"), hidden(docs)
     row = {"__id": known_id("doc_id"), "__t": F.xxhash64("text")}
     lines = docs.select(*[c.alias(n) for n, c in row.items()], F.posexplode(F.split(blank("text"), "\n", -1)).alias("__pos", "__line"))
     keys = lines.withColumn("__line", F.trim("__line", F.lit(SPACE))).filter(F.char_length("__line") >= min_chars).select("__id", "__t", "__pos", line_key(F.col("__line")).alias("__key"))
@@ -49,7 +49,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         a="if(i = 0, 0, __drop[i - 1] + 1)", b="if(i = size(__drop), size(__lines), __drop[i])"
     )
     kept = F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.array_join(F.flatten(F.expr(runs)), "\n"))
-    return out.withColumn("text", kept).drop("__lines", "__drop")
+    return shown(out.withColumn("text", kept).drop("__lines", "__drop"))
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -61,3 +61,13 @@ def test_edges(spark):
     many = table(spark, [(i, prose(0, 60), "en", "s", 1) for i in range(300)])
     assert D.contaminated(many, common).count() == 300
     assert len(rows()) > 0
+
+
+def test_windows_dont_pile_up(spark, monkeypatch):
+    """A passage in very many places: results are the same however few windows may wait."""
+    item = " ".join(prose(7, 30).split())
+    items = spark.createDataFrame([(1, item)], ITEMS)
+    own = [(i, " . ".join([item] * 40), "en", "s", 1) for i in range(20)]
+    whole = sorted(map(tuple, D.contaminated(table(spark, own), items).collect()))
+    monkeypatch.setattr(D, "HELD_WORDS", 100)
+    assert whole == sorted(map(tuple, D.contaminated(table(spark, own), items).collect())) and len(whole) == 20

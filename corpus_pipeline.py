@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Scratch, known_id
+from sparkloom.llm.common import Scratch, hidden, known_id, shown
 from sparkloom.llm.decontamination import contaminated
 from sparkloom.llm.language_id import LETTER, UNDECIDED, fit, identify
 from sparkloom.llm.line_dedup import dedup_lines
@@ -19,12 +19,12 @@ LEAST_SCORE = 0.35
 
 def _aside(docs: DataFrame, *names: str) -> DataFrame:
     """docs with columns of these names under others, which an operator's own columns don't replace."""
-    return docs.withColumnsRenamed({c: f"__own_{c}" for c in docs.columns if c in names})
+    return docs.withColumnsRenamed({c: f"aside:{c}" for c in docs.columns if c in names})
 
 
 def _back(out: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of docs again."""
-    return out.select(*[F.col(f"__own_{c}").alias(c) if f"__own_{c}" in out.columns else F.col(c) for c in docs.columns])
+    return out.select(*[F.col(f"aside:{c}").alias(c) if f"aside:{c}" in out.columns else F.col(c) for c in docs.columns])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _numbered(docs: DataFrame, name: str) -> DataFrame:
     """docs as a table in which __row tells each row from all others, equal ones and those without doc_id too."""
-    return Scratch(docs.sparkSession, name).table(docs.withColumn("__row", F.monotonically_increasing_id()))
+    return Scratch(docs.sparkSession, name).table(hidden(docs).withColumn("__row", F.monotonically_increasing_id()))
 
 
 def _by_row(rows: DataFrame) -> DataFrame:
@@ -59,14 +59,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _numbered(docs, "near")
     groups = near_groups(_by_row(rows)).select(F.col("doc_id").alias("__row"), "component_id")
     first = groups.join(rows.select("__row", known_id("doc_id").alias("__id")), "__row").groupBy("component_id").agg(F.min(F.struct("__id", "__row")).alias("x"))
-    return rows.join(first.select("x.__row"), "__row", "left_semi").select(docs.columns)
+    return shown(rows.join(first.select("x.__row"), "__row", "left_semi").drop("__row")).select(docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold copies of test items go, and no others."""
     rows = _numbered(docs, "benchmark")
     found = contaminated(_by_row(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return rows.join(found.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti").select(docs.columns)
+    return shown(rows.join(found.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti").drop("__row")).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

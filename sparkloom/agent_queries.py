@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import parse as P
-from .graph_queries import _BASE, _CYCLIC4, _REACH, whole
+from .graph_queries import _BASE, _CYCLIC, _REACH
 from .operators import agentops as A
 from .operators import graph as G
 from .operators import resolve as S
@@ -28,7 +28,7 @@ def query(sql: str | None = None):
     return add
 
 
-_COMPLEX = f"""{_BASE}, {_REACH.format(most=4)}, {_CYCLIC4},
+_COMPLEX = f"""{_BASE}, {_REACH}, {_CYCLIC},
 own as (select repo, folder as cluster, count(*) as size, sum(symbols) as symbols from nodes group by all),
 b as (select e.repo, x.folder as s, y.folder as d from edges e join nodes x on x.repo = e.repo and x.file = src join nodes y on y.repo = e.repo and y.file = dst),
 ends as (select repo, s as cluster, s = d as same from b union all select repo, d, false from b where s <> d),
@@ -39,22 +39,20 @@ scored as (select repo, cluster, size, coalesce(cycles, 0) as cycles,
   from own left join w using (repo, cluster) left join r using (repo, cluster))"""
 
 
-def _complexity(spark, d, most: int | None = 4):
+def _complexity(spark, d):
     e, n = edges(spark, d), nodes(spark, d)
-    return A.complexity(n, e, n.select("repo", "file", F.col("folder").alias("cluster")), G.in_cycle(e, G.closure(e, max_depth=most)))
+    return A.complexity(n, e, n.select("repo", "file", F.col("folder").alias("cluster")), G.in_cycle(e, G.closure(e)))
 
 
-@whole(QUERIES)
 @query(f"{_COMPLEX} select * from scored")
-def q157_complexity(spark, d, most: int | None = 4):
-    return _complexity(spark, d, most)
+def q157_complexity(spark, d):
+    return _complexity(spark, d)
 
 
-@whole(QUERIES)
 @query(f"""{_COMPLEX}, p as (select *, row_number() over (partition by repo order by score desc, cluster) as place from scored), k as (select * from p where place <= 12)
 select repo, cluster, place, case when score >= 0.6 and sum((score >= 0.6)::int) over (partition by repo order by place rows unbounded preceding) <= 3 then 3 else 1 end as candidates from k""")
-def q158_routing(spark, d, most: int | None = 4):
-    return A.routing(_complexity(spark, d, most))
+def q158_routing(spark, d):
+    return A.routing(_complexity(spark, d))
 
 
 _FINDINGS = "findings as (select o_custkey as cluster, o_orderpriority as specialist, case o_orderstatus when 'F' then 3 when 'P' then 2 else 1 end as importance, 'Order ' || o_orderstatus || ' in ' || year(o_orderdate) || ', ORDER' as headline, o_orderkey from orders)"
@@ -178,13 +176,12 @@ def q147_common_prefix(spark, d):
     return A.common_prefix(two, "brand")
 
 
-@whole(QUERIES)
-@query(f"""{_BASE}, {_REACH.format(most=4)}, {_CYCLIC4},
+@query(f"""{_BASE}, {_REACH}, {_CYCLIC},
 t as (select repo, src as file, 'imports-of' as kind, dst as answer from edges where kind = 'import' union select repo, dst, 'who-calls', src from edges where kind = 'call' union select repo, dst, 'blast-radius', src from reach
   union select a.repo, a.file, 'cycle-through', b.file from cyclic a join cyclic b on b.repo = a.repo and b.component = a.component) select kind, repo, count(*) as answers, count(distinct file) as files from t group by all""")
-def q180_oracle_truths(spark, d, most: int | None = 4):
+def q180_oracle_truths(spark, d):
     e = edges(spark, d)
-    reach = G.closure(e, max_depth=most)
+    reach = G.closure(e)
     return A.truths(e, reach, G.in_cycle(e, reach)).groupBy("kind", "repo").agg(F.count("*").alias("answers"), F.count_distinct("file").alias("files"))
 
 

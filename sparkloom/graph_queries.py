@@ -22,35 +22,19 @@ def query(sql: str | None = None):
     return add
 
 
-def whole(queries: dict):
-    """Registers f(spark, d, most), whose walks end after `most` steps as its SQL's do, also as name_all_depths, where
-    they end when nothing new is reached. That has no SQL, which would list walks; a test holds it to brute force."""
-
-    def add(f):
-        def run(spark, d):
-            return f(spark, d, None)
-
-        run.__name__ = f"{f.__name__}_all_depths"
-        queries[run.__name__] = run
-        return f
-
-    return add
-
-
+#: All pairs by nodes, not by walks: a round adds the pairs that no round before it has, so each has its least depth.
 _REACH = """
 steps as (select distinct repo, src, dst from edges where src <> dst),
-walk(repo, src, dst, depth) as (
+reach(repo, src, dst, depth) using key (repo, src, dst) as (
   select repo, src, dst, 1 from steps
   union
-  select w.repo, w.src, s.dst, w.depth + 1 from walk w join steps s on s.repo = w.repo and s.src = w.dst where s.dst <> w.src and w.depth < {most}),
-reach as (select repo, src, dst, min(depth) as depth from walk group by all)"""
+  select w.repo, w.src, s.dst, min(w.depth + 1) from reach w join steps s on s.repo = w.repo and s.src = w.dst left join recurring.reach k on k.repo = w.repo and k.src = w.src and k.dst = s.dst
+  where s.dst <> w.src and k.depth is null group by all)"""
 _DEGREE = """
 degree as (
   select n.repo, n.file, loc, symbols, folder, coalesce(i, 0)::bigint as fan_in, coalesce(o, 0)::bigint as fan_out, coalesce(i, 0)::bigint + coalesce(o, 0)::bigint as degree
   from nodes n left join (select repo, dst as file, count(*) as i from edges group by all) using (repo, file)
        left join (select repo, src as file, count(*) as o from edges group by all) using (repo, file))"""
-#: The recursive oracle lists walks, not nodes, so it bounds their steps, and the queries held against it do too;
-#: deeper pairs do occur (see `whole`).
 _BASE = f"with recursive {EDGES_SQL.strip()}, {NODES_SQL.strip()}"
 
 
@@ -81,11 +65,16 @@ def q088_direct_dependents(spark, d):
     return G.direct(edges(spark, d))
 
 
-@query(f"{_BASE}, {_REACH.format(most=4)} select repo, src, dst, depth from reach")
+@query(f"{_BASE}, {_REACH} select repo, src, dst, depth from reach where depth <= 4")
 def q089_closure_to_depth_4(spark, d):
     return G.closure(edges(spark, d), max_depth=4)
 
 
+@query(f"{_BASE}, {_REACH} select repo, src, dst, depth from reach")
+def q089_closure(spark, d):
+    return G.closure(edges(spark, d))
+
+
 @query(f"""{_BASE}, steps as (select distinct repo, src, dst from edges where src <> dst and confidence >= 0.8),
 walk(repo, src, dst, depth) as (
   select repo, src, dst, 1 from steps where (repo, src) in (select (repo, min(file)) from nodes group by repo)
@@ -96,37 +85,37 @@ def q089_closure_from_first_file(spark, d):
     return G.closure(G.allowed(edges(spark, d), 0.8), starts=first)
 
 
-@query(f"with {EDGES_SQL}, {NODES_SQL}, {_DEGREE} select repo, file, fan_in, fan_out, degree from degree")
+@query(f"""{_BASE}, {_REACH}, {_DEGREE}, i as (select repo, dst as file, count(*) as dependents from reach group by all), o as (select repo, src as file, count(*) as dependencies from reach group by all)
+select repo, file, fan_in, fan_out, degree, coalesce(dependents, 0)::bigint as dependents, coalesce(dependencies, 0)::bigint as dependencies from degree left join i using (repo, file) left join o using (repo, file)""")
 def q090_degree_centrality(spark, d):
-    return G.degrees(nodes(spark, d), edges(spark, d)).select("repo", "file", "fan_in", "fan_out", "degree")
+    e = edges(spark, d)
+    return G.centrality(G.degrees(nodes(spark, d), e), G.closure(e)).select("repo", "file", "fan_in", "fan_out", "degree", "dependents", "dependencies")
 
 
-_CYCLIC4 = """
+_CYCLIC = """
 cyclic as (
   select repo, file, least(file, min(dst)) as component from (
     select x.repo, x.src as file, x.dst from reach x join reach y on y.repo = x.repo and y.src = x.dst and y.dst = x.src
     union all select repo, src, dst from edges where src = dst) group by repo, file)"""
 
 
-@whole(QUERIES)
-@query(f"""{_BASE}, {_REACH.format(most=4)}, {_CYCLIC4},
+@query(f"""{_BASE}, {_REACH}, {_CYCLIC},
 i as (select repo, dst as file, count(*) as direct, avg(confidence) as c from edges group by all),
 f as (select repo, dst as file, count(*) as affected, max(depth) as max_depth from reach group by all),
 x as (select repo, file, coalesce(direct, 0) as direct, coalesce(affected, 0) as affected, coalesce(max_depth, 0) as max_depth, round(coalesce(c, 1), 6) as confidence, component is not null as cyclic
       from nodes left join i using (repo, file) left join f using (repo, file) left join cyclic using (repo, file))
 select repo, file, direct, confidence, affected, max_depth,
   concat_ws(',', case when affected > 10 then 'wide' end, case when direct > 5 then 'many-incoming' end, case when confidence < 0.7 then 'low-confidence' end, case when cyclic then 'cycle' end) as reasons from x""")
-def q091_blast_radius(spark, d, most: int | None = 4):
+def q091_blast_radius(spark, d):
     e = edges(spark, d)
-    reach = G.closure(e, max_depth=most)
+    reach = G.closure(e)
     return G.blast_radius(nodes(spark, d), e, reach, G.in_cycle(e, reach))
 
 
-@whole(QUERIES)
-@query(f"{_BASE}, {_REACH.format(most=4)}, {_CYCLIC4} select * from cyclic")
-def q092_in_cycle(spark, d, most: int | None = 4):
+@query(f"{_BASE}, {_REACH}, {_CYCLIC} select * from cyclic")
+def q092_in_cycle(spark, d):
     e = edges(spark, d)
-    return G.in_cycle(e, G.closure(e, max_depth=most))
+    return G.in_cycle(e, G.closure(e))
 
 
 @query()
@@ -140,14 +129,13 @@ def q093_isolated_files(spark, d):
     return G.isolated(nodes(spark, d), edges(spark, d))
 
 
-@whole(QUERIES)
-@query(f"""{_BASE}, {_REACH.format(most=4)}, {_DEGREE},
+@query(f"""{_BASE}, {_REACH}, {_DEGREE},
 x as (select degree.*, coalesce(affected, 0) as affected from degree left join (select repo, dst as file, count(*) as affected from reach group by all) using (repo, file)),
 y as (select repo, file, concat_ws(',', case when fan_in >= 5 then 'fan-in' end, case when fan_out >= 8 then 'fan-out' end, case when degree >= 10 then 'degree' end, case when affected >= 10 then 'blast-radius' end) as reasons from x)
 select * from y where reasons <> ''""")
-def q094_high_coupling(spark, d, most: int | None = 4):
+def q094_high_coupling(spark, d):
     e = edges(spark, d)
-    return G.high_coupling(G.degrees(nodes(spark, d), e), G.closure(e, max_depth=most))
+    return G.high_coupling(G.degrees(nodes(spark, d), e), G.closure(e))
 
 
 @query()
@@ -170,16 +158,15 @@ def q097_modularity_of_folders(spark, d):
     return G.modularity(edges(spark, d), nodes(spark, d).select("repo", "file", F.col("folder").alias("cluster")))
 
 
-@whole(QUERIES)
-@query(f"""{_BASE}, {_REACH.format(most=4)}, {_CYCLIC4}, {_DEGREE},
+@query(f"""{_BASE}, {_REACH}, {_CYCLIC}, {_DEGREE},
 x as (select degree.*, coalesce(affected, 0) as affected from degree left join (select repo, dst as file, count(*) as affected from reach group by all) using (repo, file)),
 r as (select *, row_number() over (partition by repo order by degree desc, file) as k from x)
 select repo, count(*) as files, count(*) filter (where degree = 0) as isolated, round(avg(degree), 6) as mean_degree, string_agg(file::varchar, ',' order by k) filter (where k <= 5) as top,
   coalesce((select count(*) from edges e where e.repo = r.repo), 0) as edges, coalesce((select count(*) from cyclic c where c.repo = r.repo), 0) as cyclic,
   count(*) filter (where fan_in >= 5 or fan_out >= 8 or degree >= 10 or affected >= 10) as coupled from r group by repo""")
-def q099_graph_summary(spark, d, most: int | None = 4):
+def q099_graph_summary(spark, d):
     e = edges(spark, d)
-    reach, degree = G.closure(e, max_depth=most), G.degrees(nodes(spark, d), e)
+    reach, degree = G.closure(e), G.degrees(nodes(spark, d), e)
     return G.summary(degree, e, G.in_cycle(e, reach), G.high_coupling(degree, reach))
 
 
@@ -197,35 +184,32 @@ metrics as (
   from degree left join (select repo, dst as file, count(*) as b from reach group by all) using (repo, file))"""
 
 
-@whole(QUERIES)
-@query(f"{_BASE}, {_REACH.format(most=4)}, {_DEGREE}, {_METRICS} select * from metrics")
-def q101_file_metrics(spark, d, most: int | None = 4):
+@query(f"{_BASE}, {_REACH}, {_DEGREE}, {_METRICS} select * from metrics")
+def q101_file_metrics(spark, d):
     e = edges(spark, d)
-    return G.file_metrics(G.degrees(nodes(spark, d), e), G.closure(e, max_depth=most))
+    return G.file_metrics(G.degrees(nodes(spark, d), e), G.closure(e))
 
 
-@whole(QUERIES)
-@query(f"""{_BASE}, {_REACH.format(most=4)}, {_CYCLIC4}, {_DEGREE}, {_METRICS},
+@query(f"""{_BASE}, {_REACH}, {_CYCLIC}, {_DEGREE}, {_METRICS},
 n as (select repo, count(*) as n, count(*) filter (where centrality = 0) as alone from metrics group by repo),
 g as (select repo, component, count(*) as size from cyclic group by all)
 select repo, 'cycle' as issue, case when size >= 4 then 'high' else 'medium' end as severity, component as file from g
 union all select repo, 'blast-radius', case when blast_radius / n >= 0.5 then 'high' else 'medium' end, file from metrics join n using (repo) where n >= 8 and blast_radius / n >= 0.25
 union all select repo, 'coupling', 'low', file from metrics where centrality >= 20
 union all select repo, 'isolated', 'low', null from n where alone > 0 and alone * 2 >= n""")
-def q102_issues(spark, d, most: int | None = 4):
+def q102_issues(spark, d):
     e = edges(spark, d)
-    reach = G.closure(e, max_depth=most)
+    reach = G.closure(e)
     return G.issues(G.file_metrics(G.degrees(nodes(spark, d), e), reach), G.in_cycle(e, reach))
 
 
-@whole(QUERIES)
-@query(f"""{_BASE}, {_REACH.format(most=4)}, {_CYCLIC4}, {_DEGREE}, {_METRICS},
+@query(f"""{_BASE}, {_REACH}, {_CYCLIC}, {_DEGREE}, {_METRICS},
 x as (select repo, count(*) as n, max(blast_radius) as widest, count(*) filter (where centrality = 0) as alone, coalesce((select count(distinct component) from cyclic c where c.repo = m.repo), 0) as cycles from metrics m group by repo),
 y as (select *, floor(100 - 40 * least(1, 10 * cycles / n) - 35 * least(1, widest / n) - 15 * least(1, alone / n) + 0.5)::int as health from x)
 select repo, cycles, widest, alone, health, case when health >= 90 then 'A' when health >= 80 then 'B' when health >= 70 then 'C' when health >= 60 then 'D' else 'F' end as grade from y""")
-def q103_health(spark, d, most: int | None = 4):
+def q103_health(spark, d):
     e = edges(spark, d)
-    reach = G.closure(e, max_depth=most)
+    reach = G.closure(e)
     return G.health(G.file_metrics(G.degrees(nodes(spark, d), e), reach), G.in_cycle(e, reach))
 
 
@@ -237,10 +221,9 @@ def q104_repo_summary(spark, d):
     )
 
 
-@whole(QUERIES)
-@query(f"""{_BASE}, {_REACH.format(most=5)} select repo, dst as file, count(*) filter (where depth = 1) as tier1, count(*) filter (where depth = 2) as tier2, count(*) filter (where depth = 3) as tier3, count(*) filter (where depth >= 4) as tier4 from reach group by all""")
-def q105_hop_tiers(spark, d, most: int | None = 5):
-    return G.hop_tiers(G.closure(edges(spark, d), max_depth=most))
+@query(f"""{_BASE}, {_REACH} select repo, dst as file, count(*) filter (where depth = 1) as tier1, count(*) filter (where depth = 2) as tier2, count(*) filter (where depth = 3) as tier3, count(*) filter (where depth >= 4) as tier4 from reach group by all""")
+def q105_hop_tiers(spark, d):
+    return G.hop_tiers(G.closure(edges(spark, d)))
 
 
 @query(f"""with {EDGES_SQL}, {NODES_SQL} select e.repo, case when x.folder % 5 = y.folder % 5 then 'data' when x.folder % 5 > y.folder % 5 then 'control' else 'violation' end as class, count(*) as n
@@ -249,12 +232,11 @@ def q107_edge_classes(spark, d):
     return G.edge_classes(edges(spark, d), nodes(spark, d))
 
 
-@whole(QUERIES)
-@query(f"""{_BASE}, {_REACH.format(most=4)}, f as (select r.repo, r.dst as file, count(*) as affected, count(*) filter (where x.folder <> y.folder) as abroad
+@query(f"""{_BASE}, {_REACH}, f as (select r.repo, r.dst as file, count(*) as affected, count(*) filter (where x.folder <> y.folder) as abroad
   from reach r join nodes x on x.repo = r.repo and x.file = r.src join nodes y on y.repo = r.repo and y.file = r.dst group by all)
 select repo, file, coalesce(affected, 0) as affected, coalesce(abroad, 0) as abroad, coalesce(affected, 0) <= 5 and coalesce(abroad, 0) = 0 as safe from nodes left join f using (repo, file)""")
-def q108_safe_to_change(spark, d, most: int | None = 4):
-    return G.safe_to_change(nodes(spark, d), G.closure(edges(spark, d), max_depth=most))
+def q108_safe_to_change(spark, d):
+    return G.safe_to_change(nodes(spark, d), G.closure(edges(spark, d)))
 
 
 @query(f"""with {EDGES_SQL}, {NODES_SQL}, {_DEGREE}, r as (select *, row_number() over (partition by repo order by fan_in desc, file) as k, count(*) over (partition by repo) as n from degree qualify k <= 64),
@@ -265,12 +247,11 @@ def q109_ring_layout(spark, d):
     return G.ring_layout(G.degrees(nodes(spark, d), edges(spark, d)))
 
 
-@whole(QUERIES)
-@query(f"""{_BASE}, {_REACH.format(most=4)}, {_CYCLIC4} select e.repo, coalesce(x.component = y.component, false) as in_cycle, count(*) as n
+@query(f"""{_BASE}, {_REACH}, {_CYCLIC} select e.repo, coalesce(x.component = y.component, false) as in_cycle, count(*) as n
 from edges e left join cyclic x on x.repo = e.repo and x.file = src left join cyclic y on y.repo = e.repo and y.file = dst group by all""")
-def q110_view_model(spark, d, most: int | None = 4):
+def q110_view_model(spark, d):
     e = edges(spark, d)
-    return G.view_model(nodes(spark, d), e, G.in_cycle(e, G.closure(e, max_depth=most))).groupBy("repo", "in_cycle").agg(F.count("*").alias("n"))
+    return G.view_model(nodes(spark, d), e, G.in_cycle(e, G.closure(e))).groupBy("repo", "in_cycle").agg(F.count("*").alias("n"))
 
 
 @query(f"""with {EDGES_SQL}, {NODES_SQL}, c as (select repo, min(file) as file from nodes group by repo)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .graph_queries import _BASE, _CYCLIC4, _DEGREE, _METRICS, _REACH, whole
+from .graph_queries import _BASE, _CYCLIC, _DEGREE, _METRICS, _REACH
 from .operators import evaluation as E
 from .operators import graph as G
 from .operators import inventory as I
@@ -141,15 +141,14 @@ def q217_run_mode(spark, d):
     return o.select("o_custkey", *I.run_mode(skipped, F.col("k") % 10 == 0))
 
 
-@whole(QUERIES)
-@query(f"""{_BASE}, {_REACH.format(most=4)}, {_CYCLIC4}, {_DEGREE}, c as (select repo, arg_min(file, (-degree, file)) as central from degree group by repo), e as (select repo, min(file) as entry from nodes where folder < 5 group by repo), r as (select repo, min(file) as cycle from cyclic group by repo),
+@query(f"""{_BASE}, {_REACH}, {_CYCLIC}, {_DEGREE}, c as (select repo, arg_min(file, (-degree, file)) as central from degree group by repo), e as (select repo, min(file) as entry from nodes where folder < 5 group by repo), r as (select repo, min(file) as cycle from cyclic group by repo),
 q as (select c.repo, list_filter(['What breaks if I change ' || central || '?', 'What happens when ' || entry || ' runs?', 'Why is there a cycle through ' || cycle || '?', 'What''s safe to delete?'], lambda x: x is not null) as q from c left join e using (repo) left join r using (repo))
 select repo, array_to_string(q[1:3], ' ') as questions from q""")
-def q170_suggested_questions(spark, d, most: int | None = 4):
+def q170_suggested_questions(spark, d):
     e, n = edges(spark, d), nodes(spark, d)
     central = G.degrees(n, e).groupBy("repo").agg(F.min_by("file", F.struct(-F.col("degree"), "file")).alias("central"))
     entry = n.filter("folder < 5").groupBy("repo").agg(F.min("file").alias("entry"))
-    cycle = G.in_cycle(e, G.closure(e, max_depth=most)).groupBy("repo").agg(F.min("file").alias("cycle"))
+    cycle = G.in_cycle(e, G.closure(e)).groupBy("repo").agg(F.min("file").alias("cycle"))
     return I.suggested_questions(central.join(entry, "repo", "left").join(cycle, "repo", "left"))
 
 
@@ -161,7 +160,7 @@ def q159_fact_packs(spark, d):
     return I.fact_packs(n, edges(spark, d), n.select("repo", "file", (F.col("folder") % 5).alias("cluster")))
 
 
-@query(f"""{_BASE}, {_REACH.format(most=4)}, {_DEGREE}, {_METRICS}, o as (select repo, file, row_number() over (partition by repo order by fan_in desc, file) as p from metrics), k as (select repo, file, row_number() over (partition by repo order by centrality desc, file) as p from metrics),
+@query(f"""{_BASE}, {_REACH}, {_DEGREE}, {_METRICS}, o as (select repo, file, row_number() over (partition by repo order by fan_in desc, file) as p from metrics), k as (select repo, file, row_number() over (partition by repo order by centrality desc, file) as p from metrics),
 s as (select repo, file from o where p <= 5 union select repo, file from k where p <= 5), x as (select repo, file from nodes where folder < 6),
 r as (select x.repo, avg((s.file is not null)::int) as recall from x left join s using (repo, file) group by x.repo), g as (select o.repo, avg((n.folder <> 3)::int) as resolved from o join nodes n using (repo, file) group by o.repo)
 select g.repo, round(coalesce(recall, 1), 6) as recall, round(resolved, 6) as resolved from g left join r using (repo)""")

@@ -11,10 +11,13 @@ _OWN: dict[str, str] = {}
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """df as a Parquet table in the folder that spark.checkpoint.dir names (one of our own where that is unset)."""
+    """df as a Parquet table in the folder that spark.checkpoint.dir names; on a single machine, where that is unset, one of
+    our own."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         folder = _OWN.setdefault(app, "") or _OWN.update({app: "file://" + tempfile.mkdtemp(prefix="sparkloom-")}) or _OWN[app]
     path = f"{folder}/{name}-{uuid.uuid4().hex}"

@@ -1,18 +1,16 @@
-"""Queries without a bound on depth, against their SQL with all reachable pairs by brute force in place of its bounded walks."""
+"""The closure, whole and in both of its ways, against breadth-first search in plain Python."""
 
 import os
+import random
 from collections import deque
 
 import duckdb
 import pytest
-from test_queries import DIR, TABLES, flat
+from test_queries import DIR, TABLES
 
-from sparkloom import catalog
 from sparkloom.graph_queries import _BASE, _REACH
 from sparkloom.operators import graph as G
 
-NAMES = sorted(n for n in catalog.QUERIES if n.endswith("_all_depths"))
-
 
 def brute(edges):
     near = {}
@@ -28,40 +26,29 @@ def brute(edges):
                     seen[y] = seen[x] + 1
                     todo.append(y)
         out += [(repo, s, t, d) for t, d in seen.items() if d]
-    return out
+    return sorted(out)
 
 
-@pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
-def test_all_depths(spark, monkeypatch):
-    import pandas as pd
+@pytest.mark.parametrize("steps", [10**6, 30, 0])
+def test_closure_of_small_and_large_repositories(spark, monkeypatch, steps):
+    monkeypatch.setattr(G, "STEPS", steps)
+    monkeypatch.setattr(G, "SEEN", 40)
+    r = random.Random(3)
+    own = [(repo, f"f{r.randrange(n)}", f"f{r.randrange(n)}") for repo, n, m in (("a", 12, 14), ("b", 40, 60), ("c", 2, 3), ("d", 1, 2)) for _ in range(m)] + [("e", f"f{i:02d}", f"f{i + 1:02d}") for i in range(25)]
+    edges = spark.createDataFrame(own * 2, "repo string, src string, dst string").repartition(3)
+    want = brute(own)
+    got = sorted(map(tuple, G.closure(edges).collect()))
+    assert got == want and max(w[3] for w in want) == 25
+    assert sorted(map(tuple, G.closure(edges, max_depth=2).collect())) == [w for w in want if w[3] <= 2]
+    starts = spark.createDataFrame([("a", own[0][1]), ("e", "f03"), ("e", "f03"), ("zz", "f1")], "repo string, src string")
+    assert sorted(map(tuple, G.closure(edges, starts=starts).collect())) == [w for w in want if w[:2] in (("a", own[0][1]), ("e", "f03"))]
+    assert G.closure(edges.limit(0)).isEmpty()
+
 
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
+def test_sql_reaches_all(spark):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
-    pairs = pd.DataFrame(brute(con.execute(f"{_BASE} select repo, src, dst from edges").fetchall()), columns=["repo", "src", "dst", "depth"])
-    assert pairs.depth.max() > 5
-    con.register("brute", pairs)
-    closure, known = G.closure, []
-
-    def once(edges, max_depth=None, starts=None):
-        assert max_depth is None and starts is None
-        known[:] = known or [closure(edges)]
-        return known[0]
-
-    monkeypatch.setattr(G, "closure", once)
-    assert {int(n[1:4]) for n in NAMES} == {91, 92, 94, 99, 101, 102, 103, 105, 108, 110, 157, 158, 168, 170, 180}
-    differ = 0
-    for name in NAMES:
-        base = name.removesuffix("_all_depths")
-        sql = catalog.SQL[base].replace(_REACH.format(most=5 if base == "q105_hop_tiers" else 4), "reach as (select * from brute)")
-        assert sql != catalog.SQL[base] and name not in catalog.SQL
-        df = catalog.QUERIES[name](spark, DIR)
-        columns = sorted(df.columns)
-        both = []
-        for text in (sql, catalog.SQL[base]):
-            rel = con.execute(text)
-            names = [c[0] for c in rel.description]
-            both.append(sorted((tuple(flat(r[names.index(c)]) for c in columns) for r in rel.fetchall()), key=str))
-        assert sorted((tuple(map(flat, r)) for r in df.select(columns).collect()), key=str) == both[0], name
-        differ += both[0] != both[1]
-    assert differ > 5
+    want = brute(con.execute(f"{_BASE} select repo, src, dst from edges").fetchall())
+    assert sorted(con.execute(f"{_BASE}, {_REACH} select repo, src, dst, depth from reach").fetchall()) == want and max(w[3] for w in want) > 5

@@ -96,3 +96,28 @@ def test_edge_cases(spark):
     assert {r.issue for r in G.issues(m, G.in_cycle(empty, reach)).collect()} == {"isolated"}
     h = G.health(m, G.in_cycle(empty, reach)).first()
     assert (h.health, h.grade) == (85, "B")
+
+
+def test_louvain_takes_no_move_that_lowers_modularity(spark):
+    """Against plain Python: moves in the seeded order end where no vertex gains by moving, ties by the least cluster."""
+    r = random.Random(8)
+    for seed in range(1, 40):
+        n = r.randrange(2, 25)
+        pairs = [(r.randrange(n), r.randrange(n), r.choice([1, 2, 3])) for _ in range(r.randrange(1, 50))]
+        found = O.louvain(pairs, seed)
+        assert set(found) == {u for a, b, _ in pairs for u in (a, b)}
+        sizes = [sum(c == k for c in found.values()) for k in range(len(set(found.values())))]
+        assert sizes == sorted(sizes, reverse=True) and O.louvain(pairs, seed) == found
+
+        def modularity(of):
+            two_m = 2 * sum(w for *_, w in pairs)
+            inside = sum(2 * w for a, b, w in pairs if of[a] == of[b])
+            total = {}
+            for a, b, w in pairs:
+                for u in (a, b):
+                    total[of[u]] = total.get(of[u], 0) + w
+            return inside / two_m - sum(t * t for t in total.values()) / two_m**2
+
+        alone = {u: i for i, u in enumerate(found)}
+        assert modularity(found) >= modularity(alone) - 1e-9
+    assert O.louvain([(0, 1, 1), (1, 2, 1), (0, 2, 1), (3, 4, 1), (4, 5, 1), (3, 5, 1), (2, 3, 1)]) == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 1}

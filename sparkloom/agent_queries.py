@@ -10,6 +10,7 @@ from .operators import agentops as A
 from .operators import graph as G
 from .operators import resolve as S
 from .operators import retrieval as R
+from .operators import support as U
 from .plans import control as C
 from .retrieval_queries import _POSTINGS, _TARGETS, chunks, questions, targets
 from .sources.bindings import EDGES_SQL, NODES_SQL, edges, nodes, table
@@ -73,7 +74,7 @@ def q164_consolidation(spark, d):
 
 @query(f"with {_FINDINGS} select cluster, count(*) as findings, count(*) filter (where importance = 3) as high, count(distinct specialist) as specialists from findings group by cluster")
 def q163_blackboard_summary(spark, d):
-    return _findings(spark, d).groupBy("cluster").agg(F.count("*").alias("findings"), F.sum((F.col("importance") == 3).cast("long")).alias("high"), F.count_distinct("specialist").alias("specialists"))
+    return U.blackboard(_findings(spark, d))
 
 
 _KB = f"""kb as (select conv_id * 100 + turn as id, role as kind, text, case role when 'user' then 1.2 else 1 end as weight from conversations),
@@ -205,9 +206,7 @@ def q169_model_tier(spark, d):
 def q065_action_parse(spark, d):
     body = F.concat(F.lit('{"action": "tool", "tool": "t'), F.col("turn").cast("string"), F.lit('", "args": {"q": "{"}}'))
     raw = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" { no end"))).otherwise(F.concat(F.lit("```json\nso: "), body, F.lit(" }``` "), "text"))
-    out = table(spark, d, "conversations").select("conv_id", "turn", P.json_object(raw).alias("object"))
-    action = F.get_json_object("object", "$.action")
-    return out.withColumn("kind", F.when(action.isin("tool", "answer"), action).otherwise("unparseable"))
+    return table(spark, d, "conversations").select("conv_id", "turn", *U.action(raw))
 
 
 @query("""with s as (select o_custkey as id, list(distinct case o_orderpriority[1] when '1' then 'ingest' when '2' then 'orient' when '3' then 'map' when '4' then 'inventory' else 'connect' end) || ['analyze'] || case when max(o_orderkey) % 2 = 0 then ['synthesize', 'rag'] else ['rag'] end as p, max(o_orderkey) % 3 = 0 as same from orders group by o_custkey)

@@ -194,7 +194,7 @@ JS_WORDS = {"if", "for", "while", "switch", "catch", "return", "function", "type
 
 
 def _js_by_tokens(path: str, content: str) -> list[tuple]:
-    """Imports over several lines, functions, classes with bases and methods, and calls, told by the order of tokens and
+    """Imports over several lines, functions, interfaces, types, classes with bases and methods, and calls, told by the order of tokens and
     the depth of braces; comments and texts can't be mistaken for code."""
     tokens = [(m.lastgroup, re.sub(r"\s", "", m[0]) if m.lastgroup == "name" else m[0], m.start()) for m in JS_TOKEN.finditer(content) if m.lastgroup != "skip"]
     starts = [0, *(m.end() for m in re.finditer("\n", content))]
@@ -232,6 +232,12 @@ def _js_by_tokens(path: str, content: str) -> list[tuple]:
             while k + 1 < len(tokens) and tokens[k + 1][1] != "{":
                 k += 1
             classes.append(depth + 1)
+        elif kind == "name" and text == "interface" and re.fullmatch(NAME, after[0]) and (after[1] in ("{", "extends") or re.fullmatch(NAME, after[1])):
+            add(number, "interface", after[0])
+            k += 1
+        elif kind == "name" and text == "type" and re.fullmatch(NAME, after[0]) and "=" in after[1:3]:
+            add(number, "type", after[0])
+            k += 1
         elif kind == "name" and after[0] == "=" and re.fullmatch(NAME, text) and _is_arrow(tokens, k + 2):
             add(number, "function", text)
         elif kind == "name" and after[0] == "(" and text.split(".")[0] not in JS_WORDS:

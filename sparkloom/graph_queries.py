@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .operators import graph as G
 from .operators import ordered_graph as O
+from .operators import support as U
 from .sources.bindings import EDGES_SQL, NODES_SQL, edges, nodes
 
 QUERIES, SQL = {}, {}
@@ -215,10 +216,7 @@ def q103_health(spark, d):
 
 @query(f"""with {NODES_SQL} select repo, count(*) as files, sum(loc)::bigint as loc, sum(symbols)::bigint as symbols, count(distinct folder) as folders, array_to_string(list_sort(list(distinct folder)), ',') as folder_list from nodes group by repo""")
 def q104_repo_summary(spark, d):
-    return nodes(spark, d).groupBy("repo").agg(
-        F.count("*").alias("files"), F.sum("loc").alias("loc"), F.sum("symbols").alias("symbols"), F.count_distinct("folder").alias("folders"),
-        F.array_join(F.array_sort(F.collect_set("folder")).cast("array<string>"), ",").alias("folder_list"),
-    )
+    return U.repo_summary(nodes(spark, d))
 
 
 @query(f"""{_BASE}, {_REACH} select repo, dst as file, count(*) filter (where depth = 1) as tier1, count(*) filter (where depth = 2) as tier2, count(*) filter (where depth = 3) as tier3, count(*) filter (where depth >= 4) as tier4 from reach group by all""")

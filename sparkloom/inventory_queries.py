@@ -12,8 +12,10 @@ from .operators import graph as G
 from .operators import inventory as I
 from .operators import ordered_graph as O
 from .operators import retrieval as R
+from .operators import support as U
 from .operators import telemetry as M
 from .retrieval_queries import _POSTINGS, chunks, questions
+from .sources import scan as C
 from .sources.bindings import EDGES_SQL, NODES_SQL, edges, nodes, table
 
 QUERIES, SQL = {}, {}
@@ -31,13 +33,12 @@ def query(sql: str | None = None):
 
 @query("select source as repo, count(*) as files, sum(octet_length(encode(text)))::bigint as bytes, count(*) <= 25000 and sum(octet_length(encode(text))) <= 536870912 as accepted from documents group by source")
 def q002_size_guard(spark, d):
-    n = table(spark, d, "documents").groupBy(F.col("source").alias("repo")).agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).cast("long").alias("bytes"))
-    return n.withColumn("accepted", (F.col("files") <= 25_000) & (F.col("bytes") <= 512 * 2**20))
+    return C.measure(table(spark, d, "documents").select(F.col("source").alias("repo"), F.octet_length("text").cast("long").alias("size_bytes")), "repo")
 
 
-@query("select o_orderkey, o_orderdate from orders order by o_orderdate desc, o_orderkey limit 50")
-def q016_latest_analyses(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50)
+@query("select source as repo, count(*) as files, sum(octet_length(encode(text)))::bigint as bytes, count(*) <= 60 and sum(octet_length(encode(text))) <= 100000 as accepted from documents group by source")
+def q003_size_guard_of_own_limits(spark, d):
+    return C.measure(table(spark, d, "documents").select(F.col("source").alias("repo"), F.octet_length("text").cast("long").alias("size_bytes")), "repo", 60, 100_000)
 
 
 def _manifests(spark, d):
@@ -182,19 +183,14 @@ def q150_symbol_search(spark, d):
 
 @query(f"with {EDGES_SQL} select repo, dst as file, count(*) as references, count(*) filter (where kind = 'call') as callers, array_to_string(list_sort(list(distinct src))[1:10], ',') as shown from edges group by all")
 def q149_callers_and_references(spark, d):
-    shown = F.array_join(F.slice(F.array_sort(F.collect_set("src")).cast("array<string>"), 1, 10), ",")
-    return edges(spark, d).groupBy("repo", F.col("dst").alias("file")).agg(F.count("*").alias("references"), F.sum((F.col("kind") == "call").cast("long")).alias("callers"), shown.alias("shown"))
+    return U.references(edges(spark, d))
 
 
 @query("""with r as (select o_custkey as repo, o_orderkey as snap, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as k from orders), n as (select repo, l_suppkey as file from r join lineitem on l_orderkey = snap where k = 1), o as (select repo, l_suppkey as file from r join lineitem on l_orderkey = snap where k = 2)
 select repo, count(distinct file) filter (where a is null) as added, count(distinct file) filter (where b is null) as removed from (select coalesce(n.repo, o.repo) as repo, coalesce(n.file, o.file) as file, n.file as b, o.file as a from n full join o on n.repo = o.repo and n.file = o.file) group by repo""")
 def q152_what_changed(spark, d):
-    last = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))
-    r = table(spark, d, "orders").withColumn("k", last).filter(F.col("k") <= 2).select(F.col("o_custkey").alias("repo"), F.col("o_orderkey").alias("l_orderkey"), "k")
-    at = r.join(table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("file")), "l_orderkey")
-    diff = M.set_diff(at.filter("k = 2"), at.filter("k = 1"), ["repo", "file"])
-    n = lambda c: F.sum((F.col("change") == c).cast("long")).alias(c)
-    return diff.groupBy("repo").agg(n("added"), n("removed"))
+    snapshots = table(spark, d, "orders").select(F.col("o_custkey").alias("repo"), F.col("o_orderkey").alias("snap"), F.col("o_orderdate").alias("at"))
+    return U.what_changed(snapshots, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("snap"), F.col("l_suppkey").alias("file")))
 
 
 @query(f"with {_POSTINGS}, h as (select * from lexical where rank <= 10) select query_id, id, 10 - rank as score, rank::int as rank from h")
@@ -221,43 +217,35 @@ def q098_seeded_order(spark, d):
     return nodes(spark, d).select("repo", "file").groupBy("repo").applyInPandas(order, "repo long, file long, place long")
 
 
-@query("""with w as (select doc_id, least(len(string_split(text, chr(10))), 100) as n, source, n_chars from documents) select source, count(*) filter (where n_chars >= 100) as kept, count(*) filter (where n_chars < 100) as dropped from w group by source""")
+@query("""with f as (select l_orderkey as file, max(l_linenumber) as lines from lineitem where l_returnflag <> 'R' group by all), c as (select l_orderkey as file, l_linenumber as s, l_linenumber + l_suppkey % 3 - 1 as e from lineitem)
+select (lines is not null and s >= 1 and e >= s and e <= lines) as grounded, count(*) as n from c left join f using (file) group by all""")
 def q123_chunk_grounding(spark, d):
-    flag = lambda c, name: F.sum(c.cast("long")).alias(name)
-    return table(spark, d, "documents").groupBy("source").agg(flag(F.col("n_chars") >= 100, "kept"), flag(F.col("n_chars") < 100, "dropped"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + F.col("l_suppkey") % 3 - 1).alias("end"), "l_returnflag")
+    files = rows.filter("l_returnflag <> 'R'").groupBy("file").agg(F.max("start").alias("lines"))
+    return U.ground_chunks(rows, files).groupBy("grounded").agg(F.count("*").alias("n"))
 
 
 @query("""with x as (select o_custkey as id, o_orderpriority as engine, o_totalprice / 500000 as f1 from orders), a as (select engine, round(avg(f1), 6) as f1 from x group by engine)
 select a.engine, b.engine as other, a.f1 >= b.f1 - 1e-9 as holds from a join a b on a.engine < b.engine""")
 def q178_parity_gates(spark, d):
-    a = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("engine")).agg(F.round(F.avg(F.col("o_totalprice") / 500000), 6).alias("f1"))
-    b = a.select(F.col("engine").alias("other"), F.col("f1").alias("g"))
-    return a.join(b, F.col("engine") < F.col("other")).select("engine", "other", (F.col("f1") >= F.col("g") - 1e-9).alias("holds"))
+    return U.parity(table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("engine")).agg(F.round(F.avg(F.col("o_totalprice") / 500000), 6).alias("f1")))
 
 
 @query(f"""{_BASE}, t as (select 'imports-of' as kind, repo, src as file, count(distinct dst) as n from edges where kind = 'import' group by all union all select 'who-calls', repo, dst, count(distinct src) from edges where kind = 'call' group by all),
 g as (select repo, file, count(*) as d from (select repo, src as file from edges union all select repo, dst from edges) group by all), r as (select kind, t.repo, t.file, n, row_number() over (partition by kind, t.repo order by d desc, t.file) as k from t join g on g.repo = t.repo and g.file = t.file)
 select kind, repo, file, n, k::int as k from r where k <= 5""")
 def q184_synthetic_questions(spark, d):
-    e = edges(spark, d)
-    t = e.filter("kind = 'import'").groupBy(F.lit("imports-of").alias("q"), "repo", F.col("src").alias("file")).agg(F.count_distinct("dst").alias("n")).union(e.filter("kind = 'call'").groupBy(F.lit("who-calls").alias("q"), "repo", F.col("dst").alias("file")).agg(F.count_distinct("src").alias("n")))
-    g = e.select("repo", F.col("src").alias("file")).union(e.select("repo", "dst")).groupBy("repo", "file").agg(F.count("*").alias("d"))
-    k = F.row_number().over(Window.partitionBy("q", "repo").orderBy(F.desc("d"), "file"))
-    return t.join(g, ["repo", "file"]).withColumn("k", k).filter("k <= 5").select(F.col("q").alias("kind"), "repo", "file", "n", "k")
+    return U.synthetic_questions(edges(spark, d))
 
 
 @query(f"""{_BASE}, t as (select 'imports-of' as kind, repo, src as file from edges where kind = 'import' union select 'who-calls', repo, dst from edges where kind = 'call') select kind, count(*) as questions, count(distinct repo) as repos from t group by kind""")
 def q186_synthetic_summary(spark, d):
-    e = edges(spark, d)
-    t = e.filter("kind = 'import'").select(F.lit("imports-of").alias("q"), "repo", F.col("src").alias("file")).union(e.filter("kind = 'call'").select(F.lit("who-calls"), "repo", "dst")).distinct()
-    return t.groupBy(F.col("q").alias("kind")).agg(F.count("*").alias("questions"), F.count_distinct("repo").alias("repos"))
+    return U.synthetic_summary(U.synthetic_questions(edges(spark, d), None))
 
 
 @query(f"""with {EDGES_SQL}, {NODES_SQL} select n.repo, count(*) as files, (select count(*) from edges e where e.repo = n.repo) as edges, sum(loc)::bigint as loc, min(file) as entry from nodes n group by n.repo""")
 def q188_graph_facts(spark, d):
-    e = edges(spark, d).groupBy("repo").agg(F.count("*").alias("edges"))
-    n = nodes(spark, d).groupBy("repo").agg(F.count("*").alias("files"), F.sum("loc").alias("loc"), F.min("file").alias("entry"))
-    return n.join(e, "repo", "left").fillna(0, ["edges"])
+    return U.graph_facts(nodes(spark, d), edges(spark, d))
 
 
 @query("select o_custkey, count(*) as exported, greatest(count(*) - 5, 0) as dropped, string_agg(o_orderkey::varchar, ',' order by k) filter (where k <= 5) as kept from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as k from orders) group by o_custkey")
@@ -269,20 +257,18 @@ def q219_report_ring(spark, d):
 
 @query("""with h as (select item_id as id, length(text) as n from benchmark) select count(*) as questions, count(*) filter (where n = 0) as negatives, round(avg(n), 6) as mean_length from h""")
 def q221_dataset_totals(spark, d):
-    h = table(spark, d, "benchmark").withColumn("n", F.length("text"))
-    return h.agg(F.count("*").alias("questions"), F.sum((F.col("n") == 0).cast("long")).alias("negatives"), F.round(F.avg("n"), 6).alias("mean_length"))
+    return U.dataset_totals(table(spark, d, "benchmark").withColumn("n", F.length("text")))
 
 
 @query("""with l as (select o_custkey, l_suppkey as entity, 1 as r, min(l_linenumber) as p from lineitem join orders on o_orderkey = l_orderkey where l_returnflag = 'N' group by all union all select o_custkey, l_partkey, 2, min(l_linenumber) from lineitem join orders on o_orderkey = l_orderkey where l_returnflag = 'R' group by all),
 f as (select o_custkey, entity, min((r, p)) as k from l group by all), o as (select *, row_number() over (partition by o_custkey order by k, entity) as place from f) select o_custkey, entity, place::int as place from o where place <= 20""")
 def q228_entities(spark, d):
     from .sources.bindings import lines
-
+    
     rows = lines(spark, d)
-    a = rows.filter("l_returnflag = 'N'").select("o_custkey", F.col("l_suppkey").alias("entity"), F.lit(1).alias("r"), F.col("l_linenumber").alias("p"))
-    b = rows.filter("l_returnflag = 'R'").select("o_custkey", "l_partkey", F.lit(2), "l_linenumber")
-    first = a.union(b).groupBy("o_custkey", "entity").agg(F.min(F.struct("r", "p")).alias("k"))
-    return first.withColumn("place", F.row_number().over(Window.partitionBy("o_custkey").orderBy("k", "entity"))).filter("place <= 20").select("o_custkey", "entity", "place")
+    files = rows.filter("l_returnflag = 'N'").select("o_custkey", F.col("l_suppkey").alias("entity"), F.col("l_linenumber").alias("position"))
+    symbols = rows.filter("l_returnflag = 'R'").select("o_custkey", F.col("l_partkey").alias("entity"), F.col("l_linenumber").alias("position"))
+    return U.entities(files, symbols, "o_custkey")
 
 
 @query("""with s as (select l_orderkey, list_sort(list(distinct l_suppkey) filter (where l_returnflag = 'N')) as a, list_sort(list(distinct l_suppkey) filter (where l_returnflag = 'R')) as r from lineitem group by l_orderkey)
@@ -290,33 +276,28 @@ select l_orderkey, concat_ws('; ', case when len(a) > 0 then 'added ' || array_t
 def q229_describe_diff(spark, d):
     of = lambda f: F.array_sort(F.collect_set(F.when(F.col("l_returnflag") == f, F.col("l_suppkey")))).cast("array<string>")
     s = table(spark, d, "lineitem").groupBy("l_orderkey").agg(of("N").alias("a"), of("R").alias("r"))
-    more = lambda c: F.when(F.size(c) > 2, F.concat(F.lit(" and "), (F.size(c) - 2).cast("string"), F.lit(" more"))).otherwise("")
-    part = lambda c, word: F.when(F.size(c) > 0, F.concat(F.lit(f"{word} "), F.array_join(F.slice(c, 1, 2), ", "), more(c)))
-    return s.select("l_orderkey", F.concat_ws("; ", part("a", "added"), part("r", "removed")).alias("text"))
+    return s.select("l_orderkey", U.describe_diff(F.col("a"), F.col("r")).alias("text"))
 
 
-@query("""select conv_id, string_agg(turn || ' ' || role || ': ' || substr(text, 1, 10), chr(10) order by turn) as rendered from conversations group by conv_id""")
+@query("""select conv_id, string_agg(turn || ' ' || role || ': ' || text, chr(10) order by turn) as rendered from conversations group by conv_id""")
 def q230_render(spark, d):
-    line = F.concat(F.col("turn").cast("string"), F.lit(" "), "role", F.lit(": "), F.substring("text", 1, 10))
-    rows = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias("rendered"))
+    return U.render(table(spark, d, "conversations"), "conv_id", "turn", F.concat(F.col("turn").cast("string"), F.lit(" "), "role", F.lit(": "), "text"))
 
 
 @query("select user_id, case when bool_or(event_type = 'error' and value > 60) then null else count(*) filter (where event_type = 'click') end as depth from events group by user_id")
 def q231_queue_depth(spark, d):
-    unreadable = F.bool_or((F.col("event_type") == "error") & (F.col("value") > 60))
-    return table(spark, d, "events").groupBy("user_id").agg(F.when(~unreadable, F.sum((F.col("event_type") == "click").cast("long"))).alias("depth"))
+    kind = F.col("event_type")
+    return U.queue_depth(table(spark, d, "events"), "user_id", (kind == "error") & (F.col("value") > 60), kind == "click")
 
 
 @query("select s_suppkey, least(8, greatest(1, floor(s_acctbal / 1000)))::int as concurrency, s_acctbal < 1000 or s_acctbal >= 9000 as warned from supplier")
 def q232_concurrency(spark, d):
-    n = F.floor(F.col("s_acctbal") / 1000)
-    return table(spark, d, "supplier").select("s_suppkey", F.least(F.lit(8), F.greatest(F.lit(1), n)).cast("int").alias("concurrency"), ((n < 1) | (n > 8)).alias("warned"))
+    return table(spark, d, "supplier").select("s_suppkey", *U.concurrency(F.floor(F.col("s_acctbal") / 1000)))
 
 
 @query(f"with {NODES_SQL} select repo, case when count(distinct folder) > 1 then 'fan-out' else 'single-shot' end as path from nodes group by repo")
 def q233_adaptive_path(spark, d):
-    return nodes(spark, d).groupBy("repo").agg(F.when(F.count_distinct("folder") > 1, "fan-out").otherwise("single-shot").alias("path"))
+    return U.path_choice(nodes(spark, d), "folder")
 
 
 @query("""with t as (select conv_id, turn, text from conversations where turn in (select max(turn) from conversations c where c.conv_id = conversations.conv_id)) select conv_id, case when regexp_matches(text, '[A-Za-z]') then 'ok' else 'empty' end as status, ceil(length(text) / 4)::bigint as tokens from t""")

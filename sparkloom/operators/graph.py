@@ -232,11 +232,14 @@ def summary(degree: DataFrame, edges: DataFrame, cyclic: DataFrame, coupled: Dat
     return own
 
 
-def capped(degree: DataFrame, edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """100: the `most` most central files of each repository and the edges between them."""
+def capped(degree: DataFrame, edges: DataFrame, most: int, most_links: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """100: the `most` most central files of each repository and the edges between them, the first `most_links` of them."""
     rank = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("degree"), "file"))
     keep = degree.withColumn("rank", rank).filter(F.col("rank") <= most)
     inside = edges.join(keep.select("repo", F.col("file").alias("src")), ["repo", "src"], "left_semi").join(keep.select("repo", F.col("file").alias("dst")), ["repo", "dst"], "left_semi")
+    if most_links is not None:
+        place = F.row_number().over(Window.partitionBy("repo").orderBy("src", "dst", "kind", "line", "evidence"))
+        inside = inside.withColumn("__k", place).filter(F.col("__k") <= most_links).drop("__k")
     return keep, inside
 
 

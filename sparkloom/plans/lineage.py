@@ -5,24 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """df as a Parquet table in the folder that spark.checkpoint.dir names; on a single machine, where that is unset, one of
-    our own."""
-    spark = df.sparkSession
+def folder_for(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; on a single machine, where that is unset, one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        app = spark.sparkContext.applicationId
-        folder = _OWN.setdefault(app, "") or _OWN.update({app: "file://" + tempfile.mkdtemp(prefix="sparkloom-")}) or _OWN[app]
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
+    return _OWN[context.applicationId]
+
+
+def cut(df: DataFrame, name: str = "step") -> DataFrame:
+    """df as a Parquet table in that folder."""
+    path = f"{folder_for(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

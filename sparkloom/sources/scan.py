@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -18,33 +18,45 @@ LOCKFILES = ["package-lock.json", "pnpm-lock.yaml", "yarn.lock", "poetry.lock",
 
 @dataclass(frozen=True)
 class Rule:
-    pattern: str
+    """A pattern's segments, a `**` being one of them; anywhere: it may start below any folder."""
+
+    segments: tuple[str, ...]
+    anywhere: bool
     negated: bool
     folders_only: bool
 
+    def prefix(self) -> str:
+        """A regular expression for the paths that start with what the pattern names."""
+        parts = []
+        for k, s in enumerate(self.segments):
+            last = k == len(self.segments) - 1
+            if s == "**":
+                parts.append("[^/]+(?:/[^/]+)*" if last else "(?:[^/]+/)*")
+            else:
+                parts.append("".join(_GLOB.get(c) or re.escape(c) for c in s) + ("" if last else "/"))
+        return ("(?:[^/]+/)*" if self.anywhere else "") + "".join(parts)
+
+
+_GLOB = {"*": "[^/]*", "?": "[^/]"}
+
 
 def ignore_rules(text: str | None) -> list[Rule]:
-    """5: the lines of an ignore file as patterns; a slash anywhere but at the end ties one to the root."""
+    """5: the patterns of an ignore file, as Git's documentation has them: blank lines and comments are none, `!` negates,
+    a slash at the end asks for a folder, and one before that ties the pattern to the root."""
     out = []
-    for line in (x.strip() for x in (text or "").splitlines()):
-        if not line or line.startswith("#"):
-            continue
-        negated, line = line.startswith("!"), line.removeprefix("!")
-        folder, line = line.endswith("/"), line.removesuffix("/")
-        tied, glob = "/" in line, line.removeprefix("/")
-        if glob:
-            each = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
-            body = re.sub(r"\*\*/|\*\*|\*|\?|[^*?]+", lambda m: each.get(m[0]) or re.escape(m[0]), glob)
-            out.append(Rule(f"{'^' if tied else '(?:^|/)'}{body}(?:/.*)?$", negated, folder))
+    for line in map(str.strip, (text or "").splitlines()):
+        bare = line.removeprefix("!").removesuffix("/")
+        segments = tuple(s for s in bare.split("/") if s)
+        if segments and line[0] != "#":
+            out.append(Rule(segments, "/" not in bare, line[0] == "!", line[-1] == "/"))
     return out
 
 
 def ignored(path: Column, rules: list[Rule]) -> Column:
-    """5: the last rule that matches decides; a folder's rule holds for what lies in it."""
+    """5: the last rule that matches the path or a folder on its way decides."""
     out = F.lit(False)
     for r in rules:
-        below = r.pattern.removesuffix("(?:/.*)?$") + "/.*$" if r.folders_only else r.pattern
-        out = F.when(path.rlike(below), not r.negated).otherwise(out)
+        out = F.when(path.rlike(f"^{r.prefix()}{'/' if r.folders_only else '(?:/|$)'}"), not r.negated).otherwise(out)
     return out
 
 
@@ -66,19 +78,23 @@ def describe(files: DataFrame) -> DataFrame:
     return files.select("path", T.extension(p).alias("ext"), T.role(p).alias("role"), T.language(p).alias("language"), "size_bytes", T.loc(F.col("content")).alias("loc"))
 
 
-def measure(files: DataFrame) -> DataFrame:
-    """2, 3: files and bytes, and whether the repository is within the limits."""
-    n = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"))
-    return n.withColumn("accepted", (F.col("files") <= MOST_FILES) & (F.col("bytes") <= MOST_BYTES))
+def measure(files: DataFrame, by: str | None = None, most_files: int = MOST_FILES, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """2, 3: files and bytes, of all or of each repository, and whether that is within the limits."""
+    n = files.groupBy(*([by] if by else [])).agg(F.count("*").alias("files"), F.coalesce(F.sum("size_bytes"), F.lit(0).cast("long")).alias("bytes"))
+    return n.withColumn("accepted", (F.col("files") <= most_files) & (F.col("bytes") <= most_bytes))
 
 
-def parseable(files: DataFrame, most_bytes: int = 512 * 1024) -> DataFrame:
-    """6: what parsers look at: no lock files, nothing binary, nothing large."""
+def parseable(files: DataFrame, most_bytes: int = 512 * 1024, most_files: int = 5000, by: str | None = None) -> DataFrame:
+    """6: what parsers look at: no lock files, nothing binary, nothing large, nothing in folders left out, and of that the
+    first files of a repository by path."""
     name = F.lower(F.element_at(F.split("path", "/"), -1))
-    return files.filter((F.col("size_bytes") <= most_bytes) & ~name.isin(LOCKFILES) & ~F.coalesce(F.col("content").contains("\x00"), F.lit(False)))
+    own = files.filter((F.col("size_bytes") <= most_bytes) & ~name.isin(LOCKFILES) & ~F.coalesce(F.col("content").contains("\x00"), F.lit(False)) & ~hard_ignored(F.col("path")))
+    if by is None:
+        return own.orderBy("path").limit(most_files)
+    return own.withColumn("__k", F.row_number().over(Window.partitionBy(by).orderBy("path"))).filter(F.col("__k") <= most_files).drop("__k")
 
 
-def layout(files: DataFrame) -> DataFrame:
-    """25: monorepo, src-rooted, app-rooted or flat."""
+def layout(files: DataFrame, by: str | None = None) -> DataFrame:
+    """25: monorepo, src-rooted, app-rooted or flat, of all files or of each repository."""
     starts = lambda *p: F.bool_or(F.element_at(F.split("path", "/"), 1).isin(*p) & F.col("path").contains("/"))
-    return files.agg(F.when(starts("packages", "apps"), "monorepo").when(starts("src"), "src-rooted").when(starts("app"), "app-rooted").otherwise("flat").alias("layout"))
+    return files.groupBy(*([by] if by else [])).agg(F.when(starts("packages", "apps"), "monorepo").when(starts("src"), "src-rooted").when(starts("app"), "app-rooted").otherwise("flat").alias("layout"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .operators import relational as L
 from .operators import telemetry as M
 from .sources.bindings import lines, table
 
@@ -98,8 +99,7 @@ def q195_progress_dedupe(spark, d):
 
 @query("select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as seq from events")
 def q194_progress_log(spark, d):
-    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, d, "events").select("user_id", "event_id", seq.cast("long").alias("seq"))
+    return L.numbered(table(spark, d, "events"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "seq")
 
 
 @query("""with r as (select *, row_number() over (partition by conv_id order by turn desc) as k from conversations)
@@ -110,7 +110,7 @@ def q199_session_memory(spark, d):
 
 @query("select conv_id, max_by(role, turn) as entity, max(turn) as turn from conversations where role <> 'system' group by conv_id")
 def q200_most_recent_entity(spark, d):
-    return table(spark, d, "conversations").filter("role <> 'system'").groupBy("conv_id").agg(F.max_by("role", "turn").alias("entity"), F.max("turn").alias("turn"))
+    return L.latest(table(spark, d, "conversations").filter("role <> 'system'"), "conv_id", "turn", "role").withColumnRenamed("role", "entity")
 
 
 @query("""with o as (select distinct o_custkey as repo, l_suppkey as file, 1 as a from lineitem join orders on o_orderkey = l_orderkey where o_orderstatus <> 'O'), n as (select distinct o_custkey as repo, l_suppkey as file, 1 as b from lineitem join orders on o_orderkey = l_orderkey where o_orderstatus <> 'F')
@@ -151,42 +151,41 @@ def q205_sparkline(spark, d):
 @query("select s_suppkey, s_nationkey, coalesce(n, 0) as symbols, coalesce(q, 0) as loc from supplier left join (select l_suppkey, count(*) as n, sum(l_quantity)::bigint as q from lineitem group by all) on l_suppkey = s_suppkey")
 def q071_left_lookup(spark, d):
     own = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("symbols"), F.sum("l_quantity").cast("long").alias("loc"))
-    return table(spark, d, "supplier").select("s_suppkey", "s_nationkey").join(own, "s_suppkey", "left").fillna(0, ["symbols", "loc"])
+    return L.lookup(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), own, ["s_suppkey"], {"symbols": 0, "loc": 0})
 
 
 @query("select o_orderkey, coalesce(c_name, 'Customer#' || lpad(o_orderpriority[1], 9, '0')) as target, c_custkey is null as unresolved from orders left join customer on c_custkey = o_custkey and c_acctbal > 0")
 def q070_endpoint_resolution(spark, d):
-    good = table(spark, d, "customer").filter("c_acctbal > 0").select("c_custkey", "c_name")
-    out = table(spark, d, "orders").join(good, F.col("o_custkey") == F.col("c_custkey"), "left")
+    good = table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
     fallback = F.concat(F.lit("Customer#"), F.lpad(F.substring("o_orderpriority", 1, 1), 9, "0"))
-    return out.select("o_orderkey", F.coalesce("c_name", fallback).alias("target"), F.col("c_custkey").isNull().alias("unresolved"))
+    return L.resolve_endpoints(table(spark, d, "orders"), good, "o_custkey", "c_name", fallback).select("o_orderkey", "target", "unresolved")
 
 
 @query("select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F')")
 def q074_semi_join(spark, d):
-    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+    failed = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return L.having(table(spark, d, "customer").select("c_custkey"), failed, ["c_custkey"])
 
 
 @query("select p_partkey from part where not exists (select 1 from lineitem where l_partkey = p_partkey and l_returnflag = 'R')")
 def q075_anti_join(spark, d):
-    return table(spark, d, "part").select("p_partkey").join(table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
+    returned = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    return L.lacking(table(spark, d, "part").select("p_partkey"), returned, ["p_partkey"])
 
 
 @query("""with i as (select distinct l_orderkey, l_suppkey, min(l_partkey) over (partition by l_orderkey, l_suppkey) as target from lineitem where l_returnflag = 'N'),
 c as (select l_orderkey, l_suppkey, l_partkey from lineitem where l_returnflag = 'R') select c.l_orderkey, c.l_partkey, target, count(*) as n from c join i using (l_orderkey, l_suppkey) group by all""")
 def q077_binding_join(spark, d):
     rows = table(spark, d, "lineitem")
-    first = rows.filter("l_returnflag = 'N'").groupBy("l_orderkey", "l_suppkey").agg(F.min("l_partkey").alias("target"))
-    return rows.filter("l_returnflag = 'R'").join(first, ["l_orderkey", "l_suppkey"]).groupBy("l_orderkey", "l_partkey", "target").agg(F.count("*").alias("n"))
+    bound = L.bind(rows.filter("l_returnflag = 'R'").select("l_orderkey", "l_suppkey", "l_partkey"), rows.filter("l_returnflag = 'N'").withColumnRenamed("l_partkey", "p"), ["l_orderkey", "l_suppkey"], "p")
+    return bound.groupBy("l_orderkey", "l_partkey", "target").agg(F.count("*").alias("n"))
 
 
 @query("""with w as (select l_orderkey, l_linenumber * 10 as s, l_linenumber * 10 + l_quantity::int as e, l_partkey from lineitem)
 select a.l_orderkey, a.l_partkey as inner_part, b.l_partkey as outer_part, count(*) as n from w a join w b on a.l_orderkey = b.l_orderkey and b.s <= a.s and b.e >= a.e and (b.s <> a.s or b.e <> a.e) group by all""")
 def q078_containment_join(spark, d):
     w = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 10).alias("s"), (F.col("l_linenumber") * 10 + F.col("l_quantity").cast("int")).alias("e"), "l_partkey")
-    a, b = w.alias("a"), w.alias("b")
-    on = (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("b.s") <= F.col("a.s")) & (F.col("b.e") >= F.col("a.e")) & ((F.col("b.s") != F.col("a.s")) | (F.col("b.e") != F.col("a.e")))
-    return a.join(b, on).groupBy(F.col("a.l_orderkey").alias("l_orderkey"), F.col("a.l_partkey").alias("inner_part"), F.col("b.l_partkey").alias("outer_part")).agg(F.count("*").alias("n"))
+    return L.containing(w, "l_orderkey", "s", "e", "l_partkey").groupBy("l_orderkey", F.col("inner").alias("inner_part"), F.col("outer").alias("outer_part")).agg(F.count("*").alias("n"))
 
 
 @query("""with a as (select o_custkey as repo, n_regionkey as cluster, s_nationkey as sn from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey join supplier on s_suppkey = l_suppkey)
@@ -202,7 +201,7 @@ def q083_boundary_split(spark, d):
 
 @query("select l_returnflag, l_linestatus, count(*) as n, round(sum(l_quantity), 2) as quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from lineitem group by all")
 def q129_group_by(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+    return L.totals(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], {"quantity": F.col("l_quantity"), "revenue": F.col("l_extendedprice") * (1 - F.col("l_discount"))})
 
 
 @query("select o_custkey, max(o_totalprice) as importance, max_by(o_orderkey, (o_totalprice, o_orderkey)) as best, array_to_string(list_sort(list(distinct o_orderstatus)), '') as statuses from orders group by o_custkey")
@@ -212,13 +211,13 @@ def q130_best_row(spark, d):
 
 @query("select o_custkey, bool_and(o_totalprice > 1000) as measured, bool_or(o_orderstatus = 'F') as failed, case when bool_or(o_orderstatus = 'F') then 'failed' when bool_or(o_orderstatus = 'P') then 'partial' else 'completed' end as status from orders group by o_custkey")
 def q131_boolean_aggregates(spark, d):
-    status = F.when(F.bool_or(F.col("o_orderstatus") == "F"), "failed").when(F.bool_or(F.col("o_orderstatus") == "P"), "partial").otherwise("completed")
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.bool_and(F.col("o_totalprice") > 1000).alias("measured"), F.bool_or(F.col("o_orderstatus") == "F").alias("failed"), status.alias("status"))
+    status = F.col("o_orderstatus")
+    return L.judged(table(spark, d, "orders"), "o_custkey", F.col("o_totalprice") > 1000, status == "F", status == "P")
 
 
 @query("select l_orderkey, array_to_string(list_sort(list(distinct l_suppkey)), ',') as files from lineitem group by l_orderkey")
 def q136_distinct_sorted(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set("l_suppkey")).cast("array<string>"), ",").alias("files"))
+    return L.distinct_sorted(table(spark, d, "lineitem"), "l_orderkey", "l_suppkey").withColumnRenamed("values", "files")
 
 
 @query("""with r as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as k from orders) select o_custkey, o_orderkey, k::int as k from r where k <= 3""")
@@ -236,24 +235,20 @@ def q140_running_budget(spark, d):
 @query("""with r as (select l_orderkey, l_partkey, l_suppkey, row_number() over (partition by l_orderkey, l_suppkey order by l_extendedprice desc, l_partkey, l_linenumber) as k from lineitem),
 s as (select *, row_number() over (partition by l_orderkey order by k, l_suppkey) as place from r) select l_orderkey, l_partkey, l_suppkey, place::int as place from s where place <= 3""")
 def q141_round_robin(spark, d):
-    k = F.row_number().over(Window.partitionBy("l_orderkey", "l_suppkey").orderBy(F.desc("l_extendedprice"), "l_partkey", "l_linenumber"))
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("k", "l_suppkey"))
-    return table(spark, d, "lineitem").withColumn("k", k).withColumn("place", place).filter(F.col("place") <= 3).select("l_orderkey", "l_partkey", "l_suppkey", "place")
+    rows = L.round_robin(table(spark, d, "lineitem"), "l_orderkey", "l_suppkey", [F.desc("l_extendedprice"), "l_partkey", "l_linenumber"], 3)
+    return rows.select("l_orderkey", "l_partkey", "l_suppkey", "place")
 
 
 @query("""with r as (select o_orderpriority, o_orderstatus = 'F' as negative, o_orderkey, row_number() over (partition by o_orderpriority, o_orderstatus = 'F' order by o_totalprice desc, o_orderkey) as k from orders) select o_orderpriority, negative, o_orderkey from r where k <= case when negative then 1 else 5 end""")
 def q143_quota_sample(spark, d):
     o = table(spark, d, "orders").withColumn("negative", F.col("o_orderstatus") == "F")
-    k = F.row_number().over(Window.partitionBy("o_orderpriority", "negative").orderBy(F.desc("o_totalprice"), "o_orderkey"))
-    return o.withColumn("k", k).filter(F.col("k") <= F.when(F.col("negative"), 1).otherwise(5)).select("o_orderpriority", "negative", "o_orderkey")
+    return L.quota(o, "o_orderpriority", "negative", [F.desc("o_totalprice"), "o_orderkey"]).select("o_orderpriority", "negative", "o_orderkey")
 
 
 @query("""with s as (select l_orderkey, list_sort(list(distinct l_suppkey)) as f from lineitem group by l_orderkey) select l_orderkey, array_to_string(f[1:3], ', ') || case when len(f) > 3 then ' (+' || (len(f) - 3) || ' more)' else '' end as shown from s""")
 def q144_bounded_list(spark, d):
-    f = F.array_sort(F.collect_set("l_suppkey")).cast("array<string>")
-    s = table(spark, d, "lineitem").groupBy("l_orderkey").agg(f.alias("f"))
-    more = F.when(F.size("f") > 3, F.concat(F.lit(" (+"), (F.size("f") - 3).cast("string"), F.lit(" more)"))).otherwise("")
-    return s.select("l_orderkey", F.concat(F.array_join(F.slice("f", 1, 3), ", "), more).alias("shown"))
+    s = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).cast("array<string>").alias("f"))
+    return s.select("l_orderkey", L.shown(F.col("f"), 3).alias("shown"))
 
 
 @query("""with a as (select l_orderkey, list(distinct l_suppkey) filter (where l_returnflag = 'N') as a, list(distinct l_suppkey) filter (where l_returnflag <> 'N') as b from lineitem group by l_orderkey)
@@ -279,13 +274,12 @@ def q148_mode(spark, d):
 
 @query("select conv_id, turn, lead(turn) over (partition by conv_id order by turn) - 1 as end_turn from conversations")
 def q139_next_row(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", (F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn")) - 1).alias("end_turn"))
+    return L.until_next(table(spark, d, "conversations").select("conv_id", "turn"), "conv_id", "turn").withColumnRenamed("until", "end_turn")
 
 
 @query("""select o_custkey, o_orderkey, max(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey rows between unbounded preceding and 1 preceding) as covered from orders""")
 def q138_running_max(spark, d):
-    by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.max("o_totalprice").over(by).alias("covered"))
+    return L.covered(table(spark, d, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_totalprice").select("o_custkey", "o_orderkey", "covered")
 
 
 @query("""with v as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as version from events), c as (select user_id, max(version) as latest from v group by user_id)

@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .operators import relational as L
+from .operators import support as U
 from .plans.lineage import spread
 from .sources.bindings import table
 
@@ -89,9 +91,7 @@ def q054_overlap_with_last_turn(spark, d):
 
 @query("""select event_id, case when max(value) over w = min(value) over w then 1 else round((value - min(value) over w) / (max(value) over w - min(value) over w), 6) end as score from events window w as (partition by user_id)""")
 def q055_normalize_scores(spark, d):
-    w = Window.partitionBy("user_id")
-    low, high = F.min("value").over(w), F.max("value").over(w)
-    return table(spark, d, "events").select("event_id", F.when(low == high, 1.0).otherwise(F.round((F.col("value") - low) / (high - low), 6)).alias("score"))
+    return L.normalised(table(spark, d, "events"), "user_id", "value").select("event_id", "score")
 
 
 @query(r"""with f as (select conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) as t from conversations)
@@ -102,9 +102,10 @@ def q056_truncate(spark, d):
 
 @query("""select doc_id, concat_ws(chr(10), 'file: ' || source || '/' || doc_id, 'language: ' || lang, case when n_chars > 1000 then 'symbol: s' || doc_id end) as header from documents""")
 def q057_embed_header(spark, d):
-    f = F.concat(F.lit("file: "), "source", F.lit("/"), F.col("doc_id").cast("string"))
-    symbol = F.when(F.col("n_chars") > 1000, F.concat(F.lit("symbol: s"), F.col("doc_id").cast("string")))
-    return table(spark, d, "documents").select("doc_id", F.concat_ws("\n", f, F.concat(F.lit("language: "), "lang"), symbol).alias("header"))
+    text = F.col("doc_id").cast("string")
+    none = F.lit(None).cast("string")
+    symbol = F.when(F.col("n_chars") > 1000, F.concat(F.lit("s"), text))
+    return table(spark, d, "documents").select("doc_id", U.embed_header(F.concat("source", F.lit("/"), text), F.col("lang"), none, symbol, none, none).alias("header"))
 
 
 _LINE = "'  /** ' || substr(text, 1, 20) || ' **/'"
@@ -118,8 +119,7 @@ def q058_strip_comment(spark, d):
 
 @query("select doc_id, sha256('m1' || chr(10) || replace(text, chr(13) || chr(10), chr(10))) as key from documents")
 def q059_embed_cache_key(spark, d):
-    text = F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n"))
-    return table(spark, d, "documents").select("doc_id", F.sha2(F.concat(F.lit("m1\n"), text).cast("binary"), 256).alias("key"))
+    return table(spark, d, "documents").select("doc_id", U.embed_key("m1", F.col("text")).alias("key"))
 
 
 @query(r"select page_id, lower(regexp_extract(list_extract(string_split(regexp_replace(url, '[?#].*$', ''), '/'), -1), '^.+(\.[^.]+)$', 1)) as ext, length(html)::bigint as size from pages")

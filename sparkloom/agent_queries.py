@@ -12,7 +12,7 @@ from .operators import resolve as S
 from .operators import retrieval as R
 from .operators import support as U
 from .plans import control as C
-from .retrieval_queries import _POSTINGS, _TARGETS, chunks, questions, targets
+from .retrieval_queries import _POSTINGS, _TARGETS, chunks, index, questions, targets
 from .sources.bindings import EDGES_SQL, NODES_SQL, edges, nodes, table
 from .text_queries import tokens_sql
 
@@ -111,7 +111,7 @@ _CITED = f"{_POSTINGS}, {_TARGETS}, cited as (select query_id, id from target un
 def _grounded(spark, d):
     q = questions(spark, d)
     cited = targets(spark, d).union(q.select("query_id", F.col("query_id").alias("id")))
-    return A.ground(cited, R.bm25(chunks(spark, d), q, 10))
+    return A.ground(cited, R.bm25(index(spark, d), q, 10))
 
 
 @query(f"with {_CITED} select *, kept > 0 as answered from g")

@@ -14,7 +14,7 @@ from .operators import ordered_graph as O
 from .operators import retrieval as R
 from .operators import support as U
 from .operators import telemetry as M
-from .retrieval_queries import _POSTINGS, chunks, questions
+from .retrieval_queries import _POSTINGS, chunks, index, questions
 from .sources import scan as C
 from .sources.bindings import EDGES_SQL, NODES_SQL, edges, nodes, table
 
@@ -195,13 +195,13 @@ def q152_what_changed(spark, d):
 
 @query(f"with {_POSTINGS}, h as (select * from lexical where rank <= 10) select query_id, id, 10 - rank as score, rank::int as rank from h")
 def q118_identity_rerank(spark, d):
-    return R.bm25(chunks(spark, d), questions(spark, d), 10).select("query_id", "id", (10 - F.col("rank")).cast("long").alias("score"), "rank")
+    return R.bm25(index(spark, d), questions(spark, d), 10).select("query_id", "id", (10 - F.col("rank")).cast("long").alias("score"), "rank")
 
 
 @query()
 def q119_mmr(spark, d):
     c = chunks(spark, d)
-    hits = R.bm25(c, questions(spark, d), 40)
+    hits = R.bm25(index(spark, d), questions(spark, d), 40)
     n = F.count("*").over(Window.partitionBy("query_id"))
     return R.mmr(hits.withColumn("relevance", F.when(n == 1, 1.0).otherwise((n - F.col("rank")) / (n - 1))).join(c.select("id", "group"), "id"), 8)
 

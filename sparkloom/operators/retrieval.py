@@ -6,11 +6,13 @@ Scores are rounded to six places before they are ranked, and ties go to the smal
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +20,8 @@ from ..functions import text as T
 from ..plans.lineage import cut, spread
 
 K1, B, RRF_K, LAMBDA, POOL = 1.2, 0.75, 60, 0.7, 40
-#: Queries that are scored in one pass over the vectors, and their bound in a task's memory.
-QUERY_BLOCK = 2048
+#: Vectors and queries that meet in one task.
+VECTOR_PART, QUERY_BLOCK = 16384, 2048
 #: Query terms up to which they go to all tasks; more are joined by shuffling.
 BROADCAST_TERMS = 200_000
 
@@ -36,22 +38,37 @@ def postings(chunks: DataFrame) -> DataFrame:
     return each.select("id", F.explode(T.word_tokens(F.col("w"))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """112: the k best chunks (id, text) for queries (query_id, text), by the distinct terms of a query.
+@dataclass
+class Index:
+    """112: postings (id, token, tf, dl), and how many chunks there are and how long they are on average."""
+
+    postings: DataFrame
+    chunks: int
+    mean: float
+
+
+def build_index(chunks: DataFrame) -> Index:
+    """112: the index of chunks (id, text), as a table in the order of its tokens, so that a search for few of them reads few
+    of its row groups. A chunk's length is the sum of its tokens' counts, taken in the same pass."""
+    rows = postings(chunks).withColumn("dl", F.sum("tf").over(Window.partitionBy("id")))
+    table = cut(rows.repartitionByRange("token").sortWithinPartitions("token"))
+    n = chunks.count()
+    return Index(table, n, (table.agg(F.sum("tf")).first()[0] or 0) / n if n else 0)
+
+
+def bm25(chunks: DataFrame | Index, queries: DataFrame, k: int) -> DataFrame:
+    """112: the k best chunks (id, text), or those of an index, for queries (query_id, text), by a query's distinct terms.
 
     Document frequency and mean length are those of the chunks given. Postings are cut to the terms asked for
     before anything is joined; chunks without a term have no score."""
-    index = cut(postings(chunks))
-    own = cut(index.groupBy("id").agg(F.sum("tf").alias("dl")))
-    n = chunks.count()
-    mean = (own.agg(F.sum("dl")).first()[0] or 0) / n if n else 0
+    index = chunks if isinstance(chunks, Index) else build_index(chunks)
+    n, mean = index.chunks, index.mean
     terms = cut(queries.select("query_id", F.explode(F.array_distinct(T.tokenize_code(F.col("text")))).alias("token")))
     few = F.broadcast if terms.count() <= BROADCAST_TERMS else lambda x: x
-    found = index.join(few(terms.select("token").distinct()), "token", "left_semi")
+    found = index.postings.join(few(terms.select("token").distinct()), "token", "left_semi")
     df = found.groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (mean or 1)))
-    # a chunk's postings stay together from here on, so that its scores are summed where they are
-    part = found.repartition("id").join(own, "id").join(few(df), "token").select("token", "id", weight.alias("w"))
+    part = found.join(few(df), "token").select("token", "id", weight.alias("w"))
     scored = part.join(few(terms), "token").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
     return top(scored, k)
 
@@ -59,42 +76,46 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, files: list | None = None) -> DataFrame:
     """113, 114, 80: the k vectors (id, v) nearest to each query (query_id, v) by cosine, exactly.
 
-    files: only these ids (no ids mean no rows; None means all). Queries go over all vectors in bounded blocks;
-    a task keeps k rows for each. A zero vector has cosine 0; vectors of another length than the query's fail."""
-    empty = vectors.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
+    files: only these ids (no ids mean no rows; None means all). Vectors fall into parts and queries into blocks, by hash
+    and in number with the rows; each part meets each block in a task of its own, which returns k rows of a query. Neither
+    goes to the driver. A zero vector has cosine 0; vectors of another length than the query's fail."""
     if files is not None:
         vectors = vectors.filter(F.col("id").isin(files)) if files else vectors.limit(0)
-    n = queries.count()
-    blocks, found = -(-n // QUERY_BLOCK), []
-    for block in range(blocks):
-        rows = sorted(tuple(r) for r in queries.select("query_id", "v").filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect())
-        if not rows:
-            continue
-        ids, q = [r[0] for r in rows], np.array([r[1] for r in rows], float)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-        def score(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
-            best: list[list[tuple]] = [[] for _ in ids]
-            for b in batches:
-                for lo in range(0, len(b), 4096):
-                    part = b.slice(lo, 4096)
-                    x = np.array(part.column("v").to_pylist(), float)
-                    if x.ndim != 2 or x.shape[1] != q.shape[1]:
-                        raise ValueError("a vector's dimension isn't the query's")
-                    own = part.column("id").to_pylist()
-                    norm = np.linalg.norm(x, axis=1)
-                    s = np.round(q @ np.where(norm[:, None] > 0, x / np.maximum(norm, 1e-300)[:, None], 0).T, 6)
-                    width = min(k, len(own))
-                    least = -np.partition(-s, width - 1, axis=1)[:, width - 1 : width]
-                    for j, i in zip(*np.nonzero(s >= least), strict=True):
-                        best[j].append((-s[j, i], own[i]))
-                    best = [sorted(x)[:k] for x in best]
-            out = [(ids[j], i, -s) for j, held in enumerate(best) for s, i in held]
-            columns = list(zip(*out, strict=True)) if out else [[], [], []]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "id", "score"])
-
-        found.append(vectors.select("id", "v").mapInArrow(score, "query_id long, id long, score double"))
-    return top(reduce(DataFrame.union, found), k) if found else empty
+    n, m = vectors.count(), queries.count()
+    parts = max(1, -(-n // VECTOR_PART), min(vectors.sparkSession.sparkContext.defaultParallelism, n // 1024))
+    blocks = max(1, -(-m // QUERY_BLOCK))
+
+    def each(count: int, name: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
+
+    def unit(t: pa.Table) -> np.ndarray:
+        v = t.column("v").combine_chunks()
+        if len(v) and pc.min(pc.list_value_length(v)) != pc.max(pc.list_value_length(v)):
+            raise ValueError("a vector's dimension isn't that of the others")
+        x = v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), -1)
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.where(norm > 0, x / np.maximum(norm, 1e-300), 0)
+
+    def score(own: pa.Table, other: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if len(own) and len(other):
+            x, q = unit(own), unit(other)
+            if x.shape[1] != q.shape[1]:
+                raise ValueError("a vector's dimension isn't the query's")
+            names, ids, width = own.column("id").to_numpy(), other.column("query_id").to_pylist(), min(k, len(own))
+            for at in range(0, len(ids), 128):
+                s = np.round(q[at : at + 128] @ x.T, 6)
+                least = -np.partition(-s, width - 1, axis=1)[:, width - 1]
+                for j, row in enumerate(s):
+                    held = sorted((-row[i], int(names[i])) for i in np.flatnonzero(row >= least[j]).tolist())[:k]
+                    out += [(ids[at + j], i, -c) for c, i in held]
+        columns = list(zip(*out, strict=True)) if out else [[], [], []]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "id", "score"])
+
+    rows = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), each(blocks, "block"))
+    asked = queries.select("query_id", "v", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), each(parts, "part"))
+    found = rows.groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInArrow(score, "query_id long, id long, score double")
+    return top(found, k)
 
 
 class _Buckets(dict):
@@ -176,16 +197,16 @@ def arms(k: int) -> int:
     return max(k, min(4 * k, POOL))
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 10, floor: float = 0.15) -> DataFrame:
+def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 10, floor: float = 0.15, index: Index | None = None, embedded: DataFrame | None = None) -> DataFrame:
     """120: chunks (id, text, group) for queries (query_id, text): both arms, refusal where the best cosine is under
-    the floor, fusion, rerank, and a choice that spreads groups."""
+    the floor, fusion, rerank, and a choice that spreads groups. index and embedded: those of the chunks, where they stand."""
     depth = arms(k)
-    embedded = cut(hashed_embedding(chunks))
+    embedded = cut(hashed_embedding(chunks)) if embedded is None else embedded
     q = hashed_embedding(queries.select(F.col("query_id").alias("id"), "text")).select(F.col("id").alias("query_id"), "v")
     vector = cut(vector_topk(embedded, q, depth))
     answered = vector.filter((F.col("rank") == 1) & (F.col("score") >= floor)).select("query_id")
     asked = queries.join(answered, "query_id", "left_semi")
-    lexical = bm25(chunks, asked, depth)
+    lexical = bm25(index or chunks, asked, depth)
     fused = rrf([("vector", vector.join(answered, "query_id", "left_semi"), 1.0), ("lexical", lexical, 1.0)])
     pool = cut(fused.filter(F.col("rank") <= POOL))
     ranked = lexical_rerank(pool, asked, chunks)
@@ -223,14 +244,22 @@ def plan_spans(spans: DataFrame) -> DataFrame:
 def greedy_batches(df: DataFrame, group: str, order: str, size: str, most: int, budget: int) -> DataFrame:
     """122, 125: rows packed in order into batches of at most `most` rows and `budget` of size; adds batch.
 
-    A row over the budget is a batch alone. A fold over the group's sizes, which is bounded by one file's lines."""
-    rows = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("rows"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("sum"), F.expr("cast(array() as array<struct<o:bigint,batch:int>>)").alias("out"))
+    A row over the budget is a batch alone. A group's rows pass by in order, one after the other, and only the
+    batch that is being filled is kept, so a group may be of any size."""
+    kinds = dict(df.dtypes)
 
-    def step(a: Column, x: Column) -> Column:
-        full = (a["n"] > 0) & ((a["n"] >= most) | (a["sum"] + x["s"] > budget))
-        batch = F.when(full, a["batch"] + 1).otherwise(a["batch"])
-        return F.struct(batch.alias("batch"), F.when(full, 1).otherwise(a["n"] + 1).alias("n"), F.when(full, x["s"]).otherwise(a["sum"] + x["s"]).alias("sum"), F.concat(a["out"], F.array(F.struct(x["o"].cast("long").alias("o"), batch.alias("batch")))).alias("out"))
-
-    folded = rows.select(group, F.explode(F.aggregate("rows", start, step, lambda a: a["out"])).alias("x"))
-    return folded.select(group, F.col("x.o").alias(order), F.col("x.batch").alias("batch"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, batch, n, total = object(), 0, 0, 0
+        for b in batches:
+            out = []
+            for g, s in zip(b.column(group).to_pylist(), b.column("__size").to_pylist(), strict=True):
+                if g != now:
+                    now, batch, n, total = g, 0, 0, 0
+                if n and (n >= most or total + s > budget):
+                    batch, n, total = batch + 1, 0, 0
+                n, total = n + 1, total + s
+                out.append(batch)
+            yield pa.record_batch({group: b.column(group), order: b.column(order), "batch": pa.array(out, pa.int32())})
+
+    rows = df.select(group, order, F.col(size).cast("long").alias("__size")).repartition(group).sortWithinPartitions(group, order)
+    return rows.mapInArrow(run, f"{group} {kinds[group]}, {order} {kinds[order]}, batch int")

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
 _OWN: dict[str, str] = {}
+_KEPT: dict[tuple, object] = {}
 
 
 def folder_for(spark: SparkSession) -> str:
@@ -30,6 +34,16 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(spark: SparkSession, path: str, name: str, make: Callable[[], T]) -> T:
+    """What make gives for the data at path, made once in an application as long as the data there stay the same."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+    key = (spark.sparkContext.applicationId, name, path, status.getModificationTime(), status.getLen())
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its input has fewer parts than there are cores; as it is, without a shuffle, elsewhere."""
     cores = df.sparkSession.sparkContext.defaultParallelism

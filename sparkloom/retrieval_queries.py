@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import evaluation as E
 from .operators import retrieval as R
-from .plans.lineage import cut
+from .plans.lineage import cut, kept
 from .sources.bindings import lines, table
 from .text_queries import tokens_sql
 
@@ -33,6 +33,15 @@ def questions(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def index(spark, d):
+    """The chunks' index, built by the first query that asks for it."""
+    return kept(spark, f"{d}/documents.parquet", "index", lambda: R.build_index(chunks(spark, d)))
+
+
+def embedded(spark, d):
+    return kept(spark, f"{d}/documents.parquet", "embedded", lambda: cut(R.hashed_embedding(chunks(spark, d))))
+
+
 def targets(spark, d):
     """(query_id, id): documents that hold a test item as it stands. Words two to six of the item are the join's key."""
     pick = lambda w, i: F.concat_ws(" ", *[F.get(w, i + j) for j in range(5)])
@@ -67,7 +76,7 @@ vector as (select *, row_number() over (partition by query_id order by score des
 
 @query(f"with {_POSTINGS} select query_id, id, score, rank::int as rank from lexical where rank <= 10")
 def q112_bm25_topk(spark, d):
-    return R.bm25(chunks(spark, d), questions(spark, d), 10)
+    return R.bm25(index(spark, d), questions(spark, d), 10)
 
 
 @query("""with s as (select q.vec_id as query_id, v.vec_id as id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) as score from embeddings q, embeddings v where q.vec_id % 20 = 0),
@@ -80,16 +89,16 @@ def q113_vector_topk(spark, d):
 @query(f"with {_POSTINGS}, h as (select * from lexical where rank <= 10) select query_id, count(*) filter (where id % 3 <> 0 and id % 5 <> 0)::bigint as kept, count(*) filter (where id % 3 = 0)::bigint as dropped_unknown, count(*) filter (where id % 3 <> 0 and id % 5 = 0)::bigint as dropped_no_text from h group by query_id")
 def q115_drop_accounting(spark, d):
     c = chunks(spark, d)
-    return R.with_drops(R.bm25(c, questions(spark, d), 10), c.filter("id % 3 <> 0"), c.filter("id % 5 <> 0"))
+    return R.with_drops(R.bm25(index(spark, d), questions(spark, d), 10), c.filter("id % 3 <> 0"), c.filter("id % 5 <> 0"))
 
 
 @query(f"""with {_POSTINGS}, {_VECTOR}, u as (select query_id, id, 'lexical' as source, 1 / (60 + rank) as s from lexical where rank <= 40 union all select query_id, id, 'vector', 1 / (60 + rank) from vector where rank <= 40),
 f as (select query_id, id, round(sum(s), 6) as score, array_to_string(list_sort(list(distinct source)), '+') as sources from u group by all)
 select *, row_number() over (partition by query_id order by score desc, id)::int as rank from f""")
 def q116_rrf(spark, d):
-    c, q = chunks(spark, d), questions(spark, d)
+    q = questions(spark, d)
     vq = R.hashed_embedding(q.select(F.col("query_id").alias("id"), "text")).select(F.col("id").alias("query_id"), "v")
-    return R.rrf([("lexical", R.bm25(c, q, 40), 1.0), ("vector", R.vector_topk(cut(R.hashed_embedding(c)), vq, 40), 1.0)])
+    return R.rrf([("lexical", R.bm25(index(spark, d), q, 40), 1.0), ("vector", R.vector_topk(embedded(spark, d), vq, 40), 1.0)])
 
 
 @query(f"""with {_POSTINGS}, h as (select * from lexical where rank <= 40), q as (select item_id as query_id, list_distinct({tokens_sql('text')}) as q from benchmark),
@@ -97,19 +106,19 @@ s as (select query_id, id, round(len(list_intersect(q, list_distinct(t))) / len(
 select *, row_number() over (partition by query_id order by score desc, id)::int as rank from s""")
 def q117_lexical_rerank(spark, d):
     c, q = chunks(spark, d), questions(spark, d)
-    return R.lexical_rerank(R.bm25(c, q, 40), q, c)
+    return R.lexical_rerank(R.bm25(index(spark, d), q, 40), q, c)
 
 
 @query()
 def q120_hybrid_search(spark, d):
-    return R.hybrid(chunks(spark, d), questions(spark, d))
+    return R.hybrid(chunks(spark, d), questions(spark, d), index=index(spark, d), embedded=embedded(spark, d))
 
 
 @query(f"""with {_POSTINGS} select query_id, id, case when max(score) over w = min(score) over w then 1 else round((score - min(score) over w) / (max(score) over w - min(score) over w), 6) end as relevance
 from lexical where rank <= 10 window w as (partition by query_id)""")
 def q055_relevance(spark, d):
     w = Window.partitionBy("query_id")
-    hits = R.bm25(chunks(spark, d), questions(spark, d), 10)
+    hits = R.bm25(index(spark, d), questions(spark, d), 10)
     low, high = F.min("score").over(w), F.max("score").over(w)
     return hits.select("query_id", "id", F.when(low == high, 1.0).otherwise(F.round((F.col("score") - low) / (high - low), 6)).alias("relevance"))
 
@@ -174,7 +183,7 @@ def q079_targets(spark, d):
 
 def _scored(spark, d):
     q = questions(spark, d)
-    return E.score_questions(q.select("query_id"), targets(spark, d), R.bm25(chunks(spark, d), q, 5))
+    return E.score_questions(q.select("query_id"), targets(spark, d), R.bm25(index(spark, d), q, 5))
 
 
 @query(f"with {_SCORED} select query_id, expected, found, round(case when expected = 0 then 0 else found / expected end, 6) as recall, round(coalesce(1 / first, 0), 6) as reciprocal_rank, found > 0 as hit, expected = 0 as negative from per")
@@ -239,13 +248,13 @@ def q176_thresholds(spark, d):
 x as (select *, row_number() over (partition by query_id order by rank) as k from h where not exists (select 1 from target t where t.query_id = h.query_id and t.id = h.id))
 select query_id, string_agg(id::varchar, ',' order by k) as negatives from x where k <= 3 group by query_id""")
 def q185_hard_negatives(spark, d):
-    return E.hard_negatives(R.bm25(chunks(spark, d), questions(spark, d), 5), targets(spark, d))
+    return E.hard_negatives(R.bm25(index(spark, d), questions(spark, d), 5), targets(spark, d))
 
 
 @query(f"""with {_POSTINGS}, {_TARGETS}, {_VECTOR},
 per as (select t.query_id, count(*) as n, count(l.id) as a, count(v.id) as b from target t left join lexical l on l.query_id = t.query_id and l.id = t.id and l.rank <= 3 left join vector v on v.query_id = t.query_id and v.id = t.id and v.rank <= 3 group by all)
 select count(*) as questions, round(avg(a / n), 6) as recall_a, round(avg(b / n), 6) as recall_b, count(*) filter (where b > a) as won, count(*) filter (where b < a) as lost from per""")
 def q187_arms_compared(spark, d):
-    c, q = chunks(spark, d), questions(spark, d)
+    q = questions(spark, d)
     vq = R.hashed_embedding(q.select(F.col("query_id").alias("id"), "text")).select(F.col("id").alias("query_id"), "v")
-    return E.compare_arms(targets(spark, d), R.bm25(c, q, 3), R.vector_topk(cut(R.hashed_embedding(c)), vq, 3))
+    return E.compare_arms(targets(spark, d), R.bm25(index(spark, d), q, 3), R.vector_topk(embedded(spark, d), vq, 3))

@@ -13,7 +13,7 @@ from .operators import retrieval as R
 from .operators import telemetry as M
 from .plans import registry as X
 from .plans.lineage import folder_for
-from .retrieval_queries import _POSTINGS, chunks, questions
+from .retrieval_queries import _POSTINGS, chunks, index, questions
 from .sources import scan as C
 from .sources import stores as W
 from .sources.bindings import EDGES_SQL, edges, table
@@ -189,7 +189,7 @@ def q137_ranking_window(spark, d):
 @query(f"with {_POSTINGS}, h as (select * from lexical where rank <= 5) select query_id, id, rank::int as rank from h")
 def q207_registered_reranker(spark, d):
     c, q = chunks(spark, d), questions(spark, d)
-    return X.defaults().rerankers["identity"](R.bm25(c, q, 5), q, c).select("query_id", "id", "rank")
+    return X.defaults().rerankers["identity"](R.bm25(index(spark, d), q, 5), q, c).select("query_id", "id", "rank")
 
 
 @query("select count(*) as vectors, 256 as dim from documents")

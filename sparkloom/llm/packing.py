@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import base64
 import functools
+import json
 import math
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,49 +20,62 @@ from pyspark.sql import functions as F
 from .common import Scratch, blank
 
 LENGTH, END_ID = 2048, 1
+_END = END_ID.to_bytes(2, "little")
 BUCKETS, AXES, BITS = 256, 3, 10
 #: Below the curve's key; both together are 52 bits, which quantiles, being doubles, tell apart.
 LOW_BITS = 22
 PART_TOKENS, MOST_PARTS = 8_000_000, 20_000
 #: Texts that go to Python in one batch.
 TEXTS = 1024
-SPECIAL = "<|endoftext|>"
-#: The pattern's \s, and a run of it so long that the library's regular expression must not see it (it overflows
-#: somewhere between 600,000 and 1,000,000).
+#: The pattern's \s.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-LONG_RUN = 100_000
-_LONG = re.compile(f"[{SPACE}]{{{LONG_RUN},}}")
+#: Chunks of a text that byte-level pre-tokenisation takes apart on its own: white space before other characters never
+#: belongs to what precedes it, nor does an ASCII character that is no letter to the ASCII letters before it.
+_CHUNK = re.compile(rf" ?[A-Za-z]++(?![^\x00-\x7f])|[{SPACE}]*+[^{SPACE}]+|[{SPACE}]+")
+_CUT = re.compile(f"[^{SPACE}](?=[{SPACE}])")
+#: Characters of a text whose chunks are held at once, and of the chunks whose ids are remembered.
+SLICE, KNOWN = 1_000_000, 4_000_000
+
+
+def _by_chunks(told: dict) -> bool:
+    """Whether a tokenizers file gives the ids of a text as those of its chunks one after the other."""
+    pre = told["pre_tokenizer"] or {}
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"]
+    return plain and not any(told[x] for x in ("normalizer", "post_processor", "truncation", "padding")) and all(
+        re.match(rf"[^A-Za-z{SPACE}][^{SPACE}]*$", x["content"]) and not (x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"])
+        for x in told["added_tokens"]
+    )
 
 
 @functools.cache
 def _encoder(name: str):
-    """Ids of a text as the tokenizers file gives them. The ranks file holds the same vocabulary for a library that
-    is four times as fast; the special string, ordinary text there, is cut out first, and so is what the pattern takes of
-    a very long run of white space: all of it at the end of the text, else all but its last character. Tests hold both
-    to the same ids."""
-    import tiktoken
-
-    with open(public_tokenizers.path(name.replace(".json", ".tiktoken")), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    own = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def ordinary(text: str) -> list[int]:
-        if len(text) < LONG_RUN:
-            return own.encode_ordinary(text)
+    """Ids of a text, as unsigned 16-bit numbers, by the tokenizers library. Where the file allows it, each chunk that
+    isn't remembered goes to the library once; what is remembered is bounded, and only speed depends on it."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks have a core each
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path(name))
+    if not _by_chunks(json.loads(own.to_str())):
+        return lambda text: np.array(own.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+    known: dict[str, bytes] = {}
+    held = 0
+
+    def encode(text: str) -> bytes:
+        nonlocal held
         out, at = [], 0
-        for run in _LONG.finditer(text):
-            end = run.end() - (run.end() < len(text))
-            out += own.encode_ordinary(text[at : run.start()]) + own._encode_single_piece(text[run.start() : end])
+        while at < len(text):
+            cut = _CUT.search(text, at + SLICE)
+            end = cut.end() if cut else len(text)
+            chunks = _CHUNK.findall(text, at, end)
+            if held > KNOWN:
+                known.clear()
+                held = 0
+            new = list(set(chunks).difference(known))
+            held += sum(map(len, new))
+            known.update(zip(new, (array("H", x.ids).tobytes() for x in own.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+            out += map(known.__getitem__, chunks)
             at = end
-        return out + own.encode_ordinary(text[at:])
-
-    def encode(text: str) -> list[int]:
-        if SPECIAL not in text:
-            return ordinary(text)
-        out: list[int] = []
-        for k, part in enumerate(text.split(SPECIAL)):
-            out += [len(ranks)] * (k > 0) + ordinary(part)
-        return out
+        return b"".join(out)
 
     return encode
 
@@ -137,9 +152,9 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str = "byte_bpe_50k.j
             for at in range(0, len(b), 512):
                 x, ids, keys = b.slice(at, 512), [], []
                 for text in x.column("text").to_pylist():
-                    own = np.array([*ids_of(text), END_ID], dtype="<u2")
-                    ids.append(own.tobytes())
-                    keys.append(curve_key(own[:-1]))
+                    own = ids_of(text)
+                    ids.append(own + _END)
+                    keys.append(curve_key(np.frombuffer(own, "<u2")))
                 yield pa.record_batch({"doc_id": x.column("doc_id"), "low": x.column("low"), "key": pa.array(keys, pa.int64()), "n": pa.array([len(i) // 2 for i in ids], pa.int64()), "ids": pa.array(ids, pa.binary())})
 
     low = F.shiftleft(F.xxhash64("doc_id").bitwiseAND(2 ** (LOW_BITS - 8) - 1), 8).bitwiseOR(F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(255))

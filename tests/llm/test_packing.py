@@ -18,6 +18,10 @@ def ids(text):
     return [*TOKENIZER.encode(text or "", add_special_tokens=False).ids, 1]
 
 
+def encoded(text):
+    return np.frombuffer(packing._encoder("byte_bpe_50k.json")(text), "<u2").tolist()
+
+
 def test_hilbert_curve_visits_every_cell_by_single_steps():
     cells = sorted(product(range(8), repeat=3), key=lambda p: hilbert(list(p), 3))
     assert sorted(hilbert(list(p), 3) for p in cells) == list(range(512))
@@ -29,16 +33,33 @@ def test_ids_are_those_of_the_tokenizer():
     texts = ["", " ", "a  b\n\n c\t", "<|endoftext|>", "x<|endoftext|>y <|endoftext|><|endoftext|>", "l'été ſtraße ＡＢ 𝒳 ​   ", "\r\n \r", "don't I'LL '''", "中文字符 العربية हिन्दी", "0123456789" * 5, " " * 300]
     texts += ["".join(r.choice(" \n\taZé9'.%<|>endofx中 ") for _ in range(r.randrange(80))) for _ in range(500)]
     for t in texts:
-        assert packing._encoder("byte_bpe_50k.json")(t) == ids(t)[:-1], t
+        assert encoded(t) == ids(t)[:-1], t
 
 
 def test_ids_of_very_long_white_space():
     r = random.Random(4)
     n = 2_500_000
     texts = ["word " + " " * n + "end", "\n" * n, "a" + "\n" * n + "b" + " " * n, " " * n + "<|endoftext|>" + "\n" * n + "1", "x" + "".join(r.choice(" \n\t\r\u3000\xa0\u2009\x85\x0b") for _ in range(n)) + "\ty"]
-    texts += [a + c * k + b for a in ("", "a", "'") for b in ("", "b", "'s", "1", "!", "\x1c", "<|endoftext|>") for c in (" ", "\n") for k in (packing.LONG_RUN - 1, packing.LONG_RUN, packing.LONG_RUN + 1)]
+    texts += [a + c * k + b for a in ("", "a", "'") for b in ("", "b", "'s", "1", "!", "\x1c", "<|endoftext|>") for c in (" ", "\n") for k in (99_999, 100_000, 100_001)]
     for t in texts:
-        assert packing._encoder("byte_bpe_50k.json")(t) == ids(t)[:-1], (t[:5], t[-20:], len(t))
+        assert encoded(t) == ids(t)[:-1], (t[:5], t[-20:], len(t))
+
+
+def test_ids_of_a_text_do_not_depend_on_slices_or_memory(monkeypatch):
+    r = random.Random(5)
+    texts = ["".join(r.choice(["  ", " ", "\n", "\u3000", "a", "Zé", "can't", "'s", "<|endoftext|>", "9", "!", "中", "\x1c"]) for _ in range(r.randrange(60))) for _ in range(500)]
+    want = [ids(t)[:-1] for t in texts]
+    for held, size in ((10**9, 1), (0, 7), (20, 10**9)):
+        monkeypatch.setattr(packing, "KNOWN", held)
+        monkeypatch.setattr(packing, "SLICE", size)
+        assert [encoded(t) for t in texts] == want
+
+
+def test_files_that_chunks_do_not_fit_are_read_whole():
+    name = "word_bpe_49k.json"
+    own = Tokenizer.from_file(public_tokenizers.path(name))
+    for t in ("", "Two  Words, l'été 中文 <|endoftext|>x", " a\n b "):
+        assert np.frombuffer(packing._encoder(name)(t), "<u2").tolist() == own.encode(t, add_special_tokens=False).ids
 
 
 def check(pieces, own, length):

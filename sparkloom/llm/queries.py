@@ -10,9 +10,10 @@ from .resharding import op7_resharding
 from .secret_scan import OP2_SQL, op2_secret_scan
 from .surrogates import op5_surrogates
 from .token_counts import op6_token_counts
+from .toxicity import op12_toxicity
 from .txlog import op11_txlog
 from .vector_codes import OP13_SQL, op13_vector_codes
 
-_ALL = (op1_packing, op2_secret_scan, op3_decontamination, op4_near_dedup, op5_surrogates, op6_token_counts, op7_resharding, op8_nearest, op9_line_dedup, op10_language_id, op11_txlog, op13_vector_codes)
+_ALL = (op1_packing, op2_secret_scan, op3_decontamination, op4_near_dedup, op5_surrogates, op6_token_counts, op7_resharding, op8_nearest, op9_line_dedup, op10_language_id, op11_txlog, op12_toxicity, op13_vector_codes)
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = {"op2_secret_scan": OP2_SQL, "op4_near_dedup": OP4_SQL, "op9_line_dedup": OP9_SQL, "op13_vector_codes": OP13_SQL}

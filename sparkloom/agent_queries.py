@@ -8,6 +8,7 @@ from .functions import parse as P
 from .graph_queries import _BASE, _CYCLIC, _REACH
 from .operators import agentops as A
 from .operators import graph as G
+from .operators import reach as H
 from .operators import resolve as S
 from .operators import retrieval as R
 from .operators import support as U
@@ -42,7 +43,7 @@ scored as (select repo, cluster, size, coalesce(cycles, 0) as cycles,
 
 def _complexity(spark, d):
     e, n = edges(spark, d), nodes(spark, d)
-    return A.complexity(n, e, n.select("repo", "file", F.col("folder").alias("cluster")), G.in_cycle(e, G.closure(e)))
+    return A.complexity(n, e, n.select("repo", "file", F.col("folder").alias("cluster")), H.in_cycle(e))
 
 
 @query(f"{_COMPLEX} select * from scored")
@@ -183,7 +184,7 @@ t as (select repo, src as file, 'imports-of' as kind, dst as answer from edges w
 def q180_oracle_truths(spark, d):
     e = edges(spark, d)
     reach = G.closure(e)
-    return A.truths(e, reach, G.in_cycle(e, reach)).groupBy("kind", "repo").agg(F.count("*").alias("answers"), F.count_distinct("file").alias("files"))
+    return A.truths(e, reach, H.in_cycle(e)).groupBy("kind", "repo").agg(F.count("*").alias("answers"), F.count_distinct("file").alias("files"))
 
 
 @query(f"""with {EDGES_SQL}, {NODES_SQL}, e as (select repo, min(file) as file from nodes group by repo), k as (select repo, dst as file from edges group by all having count(*) >= 3), i as (select repo, src as file from edges group by all having count(*) >= 4),

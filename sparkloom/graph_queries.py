@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .operators import graph as G
 from .operators import ordered_graph as O
+from .operators import reach as H
 from .operators import support as U
 from .sources.bindings import EDGES_SQL, NODES_SQL, edges, nodes
 
@@ -90,7 +91,7 @@ def q089_closure_from_first_file(spark, d):
 select repo, file, fan_in, fan_out, degree, coalesce(dependents, 0)::bigint as dependents, coalesce(dependencies, 0)::bigint as dependencies from degree left join i using (repo, file) left join o using (repo, file)""")
 def q090_degree_centrality(spark, d):
     e = edges(spark, d)
-    return G.centrality(G.degrees(nodes(spark, d), e), G.closure(e)).select("repo", "file", "fan_in", "fan_out", "degree", "dependents", "dependencies")
+    return G.centrality(G.degrees(nodes(spark, d), e), H.reach_counts(e)).select("repo", "file", "fan_in", "fan_out", "degree", "dependents", "dependencies")
 
 
 _CYCLIC = """
@@ -100,23 +101,33 @@ cyclic as (
     union all select repo, src, dst from edges where src = dst) group by repo, file)"""
 
 
-@query(f"""{_BASE}, {_REACH}, {_CYCLIC},
-i as (select repo, dst as file, count(*) as direct, avg(confidence) as c from edges group by all),
-f as (select repo, dst as file, count(*) as affected, max(depth) as max_depth from reach group by all),
-x as (select repo, file, coalesce(direct, 0) as direct, coalesce(affected, 0) as affected, coalesce(max_depth, 0) as max_depth, round(coalesce(c, 1), 6) as confidence, component is not null as cyclic
+#: A search against the edges from each file t, level by level in the order in which it comes to files (pos).
+_VIA = """
+one as (select repo, src, dst, arg_min(confidence, (kind, line, evidence, confidence)) as c from edges where src <> dst group by all),
+via(repo, t, u, depth, pos, c) using key (repo, t, u) as (
+  select repo, dst, src, 1, row_number() over (partition by repo, dst order by src), c from one
+  union
+  select repo, t, u, depth, row_number() over (partition by repo, t order by pos, u), c from (
+    select v.repo, v.t, s.src as u, min(v.depth) + 1 as depth, min(v.pos) as pos, arg_min(s.c, v.pos) as c
+    from via v join one s on s.repo = v.repo and s.dst = v.u left join recurring.via k on k.repo = v.repo and k.t = v.t and k.u = s.src where s.src <> v.t and k.depth is null group by v.repo, v.t, s.src))"""
+
+
+@query(f"""{_BASE}, {_REACH}, {_CYCLIC}, {_VIA},
+i as (select repo, dst as file, count(*) as direct, sum(confidence) as own from edges group by all),
+f as (select repo, t as file, count(*) as affected, max(depth) as max_depth, sum(c) as via from via group by all),
+x as (select repo, file, coalesce(direct, 0) as direct, coalesce(affected, 0) as affected, coalesce(max_depth, 0) as max_depth,
+        round(case when coalesce(direct, 0) + coalesce(affected, 0) = 0 then 1 else (coalesce(via, 0) + coalesce(own, 0)) / (coalesce(direct, 0) + coalesce(affected, 0)) end, 6) as confidence, component is not null as cyclic
       from nodes left join i using (repo, file) left join f using (repo, file) left join cyclic using (repo, file))
 select repo, file, direct, confidence, affected, max_depth,
   concat_ws(',', case when affected > 10 then 'wide' end, case when direct > 5 then 'many-incoming' end, case when confidence < 0.7 then 'low-confidence' end, case when cyclic then 'cycle' end) as reasons from x""")
 def q091_blast_radius(spark, d):
     e = edges(spark, d)
-    reach = G.closure(e)
-    return G.blast_radius(nodes(spark, d), e, reach, G.in_cycle(e, reach))
+    return G.blast_radius(nodes(spark, d), e, H.dependents_by_edge(e), H.in_cycle(e))
 
 
 @query(f"{_BASE}, {_REACH}, {_CYCLIC} select * from cyclic")
 def q092_in_cycle(spark, d):
-    e = edges(spark, d)
-    return G.in_cycle(e, G.closure(e))
+    return H.in_cycle(edges(spark, d))
 
 
 @query()
@@ -136,7 +147,7 @@ y as (select repo, file, concat_ws(',', case when fan_in >= 5 then 'fan-in' end,
 select * from y where reasons <> ''""")
 def q094_high_coupling(spark, d):
     e = edges(spark, d)
-    return G.high_coupling(G.degrees(nodes(spark, d), e), G.closure(e))
+    return G.high_coupling(G.degrees(nodes(spark, d), e), H.reach_counts(e))
 
 
 @query()
@@ -167,8 +178,8 @@ select repo, count(*) as files, count(*) filter (where degree = 0) as isolated,
   count(*) filter (where fan_in >= 5 or fan_out >= 8 or degree >= 10 or affected >= 10) as coupled from r group by repo""")
 def q099_graph_summary(spark, d):
     e = edges(spark, d)
-    reach, degree = G.closure(e), G.degrees(nodes(spark, d), e)
-    return G.summary(degree, e, G.in_cycle(e, reach), G.high_coupling(degree, reach))
+    degree = G.degrees(nodes(spark, d), e)
+    return G.summary(degree, e, H.in_cycle(e), G.high_coupling(degree, H.reach_counts(e)))
 
 
 @query(f"""with {EDGES_SQL}, {NODES_SQL}, {_DEGREE}, k as (select * from (select *, row_number() over (partition by repo order by degree desc, file) as r from degree) where r <= 10)
@@ -188,20 +199,20 @@ metrics as (
 @query(f"{_BASE}, {_REACH}, {_DEGREE}, {_METRICS} select * from metrics")
 def q101_file_metrics(spark, d):
     e = edges(spark, d)
-    return G.file_metrics(G.degrees(nodes(spark, d), e), G.closure(e))
+    return G.file_metrics(G.degrees(nodes(spark, d), e), H.reach_counts(e))
 
 
 @query(f"""{_BASE}, {_REACH}, {_CYCLIC}, {_DEGREE}, {_METRICS},
 n as (select repo, count(*) as n, count(*) filter (where centrality = 0) as alone from metrics group by repo),
-g as (select repo, component, count(*) as size from cyclic group by all)
-select repo, 'cycle' as issue, case when size >= 4 then 'high' else 'medium' end as severity, component as file from g
+g as (select repo, component, count(*) as size from cyclic group by all),
+x as (select repo, 'cycle' as issue, case when size >= 4 then 'high' else 'medium' end as severity, component as file from g
 union all select repo, 'blast-radius', case when blast_radius / n >= 0.5 then 'high' else 'medium' end, file from metrics join n using (repo) where n >= 8 and blast_radius / n >= 0.25
 union all select repo, 'coupling', 'low', file from metrics where centrality >= 20
-union all select repo, 'isolated', 'low', null from n where alone > 0 and alone * 2 >= n""")
+union all select repo, 'isolated', 'low', null from n where alone > 0 and alone * 2 >= n)
+select *, row_number() over (partition by repo order by case severity when 'high' then 0 when 'medium' then 1 else 2 end, issue, file nulls last)::int as place from x""")
 def q102_issues(spark, d):
     e = edges(spark, d)
-    reach = G.closure(e)
-    return G.issues(G.file_metrics(G.degrees(nodes(spark, d), e), reach), G.in_cycle(e, reach))
+    return G.issues(G.file_metrics(G.degrees(nodes(spark, d), e), H.reach_counts(e)), H.in_cycle(e))
 
 
 @query(f"""{_BASE}, {_REACH}, {_CYCLIC}, {_DEGREE}, {_METRICS},
@@ -210,8 +221,7 @@ y as (select *, floor(100 - 40 * least(1, 10 * cycles / n) - 35 * least(1, wides
 select repo, cycles, widest, alone, health, case when health >= 90 then 'A' when health >= 80 then 'B' when health >= 70 then 'C' when health >= 60 then 'D' else 'F' end as grade from y""")
 def q103_health(spark, d):
     e = edges(spark, d)
-    reach = G.closure(e)
-    return G.health(G.file_metrics(G.degrees(nodes(spark, d), e), reach), G.in_cycle(e, reach))
+    return G.health(G.file_metrics(G.degrees(nodes(spark, d), e), H.reach_counts(e)), H.in_cycle(e))
 
 
 @query(f"""with {NODES_SQL} select repo, count(*) as files, sum(loc)::bigint as loc, sum(symbols)::bigint as symbols, count(distinct folder) as folders, array_to_string(list_sort(list(distinct folder)), ',') as folder_list from nodes group by repo""")
@@ -221,7 +231,7 @@ def q104_repo_summary(spark, d):
 
 @query(f"""{_BASE}, {_REACH} select repo, dst as file, count(*) filter (where depth = 1) as tier1, count(*) filter (where depth = 2) as tier2, count(*) filter (where depth = 3) as tier3, count(*) filter (where depth >= 4) as tier4 from reach group by all""")
 def q105_hop_tiers(spark, d):
-    return G.hop_tiers(G.closure(edges(spark, d)))
+    return G.hop_tiers(H.reach_counts(edges(spark, d)))
 
 
 @query(f"""with {EDGES_SQL}, {NODES_SQL} select e.repo, case when x.folder % 5 = y.folder % 5 then 'data' when x.folder % 5 > y.folder % 5 then 'control' else 'violation' end as class, count(*) as n
@@ -234,7 +244,25 @@ def q107_edge_classes(spark, d):
   from reach r join nodes x on x.repo = r.repo and x.file = r.src join nodes y on y.repo = r.repo and y.file = r.dst group by all)
 select repo, file, coalesce(affected, 0) as affected, coalesce(abroad, 0) as abroad, coalesce(affected, 0) <= 5 and coalesce(abroad, 0) = 0 as safe from nodes left join f using (repo, file)""")
 def q108_safe_to_change(spark, d):
-    return G.safe_to_change(nodes(spark, d), G.closure(edges(spark, d)))
+    n = nodes(spark, d)
+    return G.safe_to_change(n, H.reach_counts(edges(spark, d), n))
+
+
+#: The API is what lies in the folders 0 to 4, tests in 20 and above, entry points are files with one symbol.
+_API, _TEST, _ENTRY = "folder < 5", "folder >= 20", "symbols = 1"
+
+
+@query(f"""{_BASE}, {_REACH}, i as (select e.repo, e.dst as file, count(distinct e.src) as importers, bool_or(x.folder <> y.folder) as elsewhere
+  from edges e join nodes x on x.repo = e.repo and x.file = e.src join nodes y on y.repo = e.repo and y.file = e.dst group by all),
+f as (select r.repo, r.dst as file, count(*) as affected, min(depth) filter (where x.{_API}) as api, count(*) filter (where x.{_TEST}) as tests, min(depth) filter (where x.{_TEST}) as hops
+  from reach r join nodes x on x.repo = r.repo and x.file = r.src group by all)
+select repo, file, coalesce(importers, 0) + 1 as files_to_edit, case when {_API} then 0 else api end as api_hops, coalesce(tests, 0) as tests, hops as test_hops, coalesce(affected, 0) as affected, coalesce(affected, 0) <= 5 as alone,
+  case when coalesce(affected, 0) = 0 then 'nothing depends on it' when affected <= 5 then 'reviewable in one change' else 'stage it' end as advice, {_ENTRY} or coalesce(elsewhere, false) as entry_probable
+from nodes left join i using (repo, file) left join f using (repo, file)""")
+def q108_change_impact(spark, d):
+    n, e = nodes(spark, d), edges(spark, d)
+    counts = H.reach_counts(e, n, {"api": F.expr(_API), "tests": F.expr(_TEST)})
+    return G.change_impact(n, e, counts, F.expr(_API), F.expr(_ENTRY))
 
 
 @query(f"""with {EDGES_SQL}, {NODES_SQL}, {_DEGREE}, r as (select *, row_number() over (partition by repo order by fan_in desc, file) as k, count(*) over (partition by repo) as n from degree qualify k <= 64),
@@ -249,7 +277,7 @@ def q109_ring_layout(spark, d):
 from edges e left join cyclic x on x.repo = e.repo and x.file = src left join cyclic y on y.repo = e.repo and y.file = dst group by all""")
 def q110_view_model(spark, d):
     e = edges(spark, d)
-    return G.view_model(nodes(spark, d), e, G.in_cycle(e, G.closure(e))).groupBy("repo", "in_cycle").agg(F.count("*").alias("n"))
+    return G.view_model(nodes(spark, d), e, H.in_cycle(e)).groupBy("repo", "in_cycle").agg(F.count("*").alias("n"))
 
 
 @query(f"""with {EDGES_SQL}, {NODES_SQL}, c as (select repo, min(file) as file from nodes group by repo)

@@ -9,6 +9,7 @@ from .functions import text as T
 from .graph_queries import _BASE, _CYCLIC, _DEGREE, _METRICS, _REACH
 from .operators import evaluation as E
 from .operators import graph as G
+from .operators import reach as H
 from .operators import inventory as I
 from .operators import ordered_graph as O
 from .operators import retrieval as R
@@ -149,7 +150,7 @@ def q170_suggested_questions(spark, d):
     e, n = edges(spark, d), nodes(spark, d)
     central = G.degrees(n, e).groupBy("repo").agg(F.min_by("file", F.struct(-F.col("degree"), "file")).alias("central"))
     entry = n.filter("folder < 5").groupBy("repo").agg(F.min("file").alias("entry"))
-    cycle = G.in_cycle(e, G.closure(e)).groupBy("repo").agg(F.min("file").alias("cycle"))
+    cycle = H.in_cycle(e).groupBy("repo").agg(F.min("file").alias("cycle"))
     return I.suggested_questions(central.join(entry, "repo", "left").join(cycle, "repo", "left"))
 
 

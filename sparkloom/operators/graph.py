@@ -66,11 +66,9 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(sums, ["repo", "file"], "left").fillna(0, ["fan_in", "fan_out"]).withColumn("degree", F.col("fan_in") + F.col("fan_out"))
 
 
-def centrality(degree: DataFrame, reach: DataFrame) -> DataFrame:
-    """90: degrees with how many files depend on each file, and on how many it depends, directly or not."""
-    into = reach.groupBy("repo", F.col("dst").alias("file")).agg(F.count("*").alias("dependents"))
-    out = reach.groupBy("repo", F.col("src").alias("file")).agg(F.count("*").alias("dependencies"))
-    return degree.join(into, ["repo", "file"], "left").join(out, ["repo", "file"], "left").fillna(0, ["dependents", "dependencies"])
+def centrality(degree: DataFrame, counts: DataFrame) -> DataFrame:
+    """90: degrees with how many files depend on each file, and on how many it depends, directly or not (reach.reach_counts)."""
+    return degree.join(counts.select("repo", "file", "dependents", "dependencies"), ["repo", "file"], "left").fillna(0, ["dependents", "dependencies"])
 
 
 def closure(edges: DataFrame, max_depth: int | None = None, starts: DataFrame | None = None) -> DataFrame:
@@ -161,29 +159,21 @@ def _in_rounds(steps: DataFrame, max_depth: int | None, starts: DataFrame | None
     return reduce(DataFrame.union, rounds)
 
 
-def in_cycle(edges: DataFrame, reach: DataFrame) -> DataFrame:
-    """92, as a set: files in a strongly connected component of more than one file or with an edge to themselves.
-
-    A file is in a cycle if something it depends on directly reaches it; component: the least file of it."""
-    back = reach.select("repo", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = reach.join(back, ["repo", "src", "dst"]).select("repo", F.col("src").alias("file"), "dst")
-    loops = edges.filter("src = dst").select("repo", F.col("src").alias("file"), "dst")
-    return mutual.union(loops).groupBy("repo", "file").agg(F.least("file", F.min("dst")).alias("component"))
-
-
 def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """93: files without any edge."""
     return nodes.join(edges.select("repo", F.col("src").alias("file")), ["repo", "file"], "left_anti").join(edges.select("repo", F.col("dst").alias("file")), ["repo", "file"], "left_anti")
 
 
-def blast_radius(nodes: DataFrame, edges: DataFrame, reach: DataFrame, cyclic: DataFrame) -> DataFrame:
+def blast_radius(nodes: DataFrame, edges: DataFrame, spread: DataFrame, cyclic: DataFrame) -> DataFrame:
     """91: dependents of each file, directly (edges) and in all, the greatest depth, and reasons for risk.
 
-    confidence is the mean over incoming edges, 1 without any."""
-    into = edges.groupBy("repo", F.col("dst").alias("file")).agg(F.count("*").alias("direct"), F.avg("confidence").alias("confidence"))
-    far = reach.groupBy("repo", F.col("dst").alias("file")).agg(F.count("*").alias("affected"), F.max("depth").alias("max_depth"))
-    out = nodes.select("repo", "file").join(into, ["repo", "file"], "left").join(far, ["repo", "file"], "left").fillna(0, ["direct", "affected", "max_depth"])
-    out = out.withColumn("confidence", F.round(F.coalesce("confidence", F.lit(1.0)), 6)).join(cyclic.select("repo", "file", F.lit(True).alias("cyclic")), ["repo", "file"], "left")
+    spread is reach.dependents_by_edge; confidence is the mean over the edges by which dependents are first reached and
+    the incoming edges, 1 without any."""
+    into = edges.groupBy("repo", F.col("dst").alias("file")).agg(F.count("*").alias("direct"), F.sum("confidence").alias("own"))
+    out = nodes.select("repo", "file").join(into, ["repo", "file"], "left").join(spread, ["repo", "file"], "left").fillna(0, ["direct", "affected", "max_depth", "own", "via"])
+    n = F.col("affected") + F.col("direct")
+    out = out.withColumn("confidence", F.round(F.when(n == 0, 1.0).otherwise((F.col("via") + F.col("own")) / F.when(n > 0, n)), 6)).drop("via", "own")
+    out = out.join(cyclic.select("repo", "file", F.lit(True).alias("cyclic")), ["repo", "file"], "left")
     reasons = F.array_compact(F.array(
         F.when(F.col("affected") > WIDE, "wide"), F.when(F.col("direct") > MANY_IN, "many-incoming"),
         F.when(F.col("confidence") < 0.7, "low-confidence"), F.when(F.col("cyclic"), "cycle"),
@@ -191,10 +181,9 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, reach: DataFrame, cyclic: D
     return out.withColumn("reasons", F.concat_ws(",", reasons)).drop("cyclic")
 
 
-def high_coupling(degree: DataFrame, reach: DataFrame) -> DataFrame:
+def high_coupling(degree: DataFrame, counts: DataFrame) -> DataFrame:
     """94: files over any of the limits, with the reasons."""
-    far = reach.groupBy("repo", F.col("dst").alias("file")).agg(F.count("*").alias("affected"))
-    out = degree.join(far, ["repo", "file"], "left").fillna(0, ["affected"])
+    out = degree.join(counts.select("repo", "file", F.col("dependents").alias("affected")), ["repo", "file"], "left").fillna(0, ["affected"])
     reasons = F.array_compact(F.array(
         F.when(F.col("fan_in") >= MANY_IN, "fan-in"), F.when(F.col("fan_out") >= MANY_OUT, "fan-out"),
         F.when(F.col("degree") >= MANY, "degree"), F.when(F.col("affected") >= WIDE, "blast-radius"),
@@ -243,15 +232,16 @@ def capped(degree: DataFrame, edges: DataFrame, most: int, most_links: int | Non
     return keep, inside
 
 
-def file_metrics(degree: DataFrame, reach: DataFrame) -> DataFrame:
+def file_metrics(degree: DataFrame, counts: DataFrame) -> DataFrame:
     """101: centrality, fan-in, fan-out, blast radius and complexity (loc + symbols + in + out) of each file."""
-    far = reach.groupBy("repo", F.col("dst").alias("file")).agg(F.count("*").alias("blast_radius"))
+    far = counts.select("repo", "file", F.col("dependents").alias("blast_radius"))
     out = degree.join(far, ["repo", "file"], "left").fillna(0, ["blast_radius"])
     return out.select("repo", "file", F.col("degree").alias("centrality"), "fan_in", "fan_out", "blast_radius", (F.col("loc") + F.col("symbols") + F.col("degree")).alias("complexity"))
 
 
 def issues(metrics: DataFrame, cyclic: DataFrame) -> DataFrame:
-    """102: components of cycles, wide blast radius, coupled files and repositories of isolated files."""
+    """102: components of cycles, wide blast radius, coupled files and repositories of isolated files; place orders those
+    of a repository by severity, then by kind and file."""
     n = metrics.groupBy("repo").agg(F.count("*").alias("n"), F.sum(F.when(F.col("centrality") == 0, 1).otherwise(0)).alias("alone"))
     of = metrics.join(n, "repo")
     share = F.col("blast_radius") / F.col("n")
@@ -263,7 +253,8 @@ def issues(metrics: DataFrame, cyclic: DataFrame) -> DataFrame:
         of.filter("centrality >= 20").select("repo", F.lit("coupling"), F.lit("low"), "file"),
         n.filter("alone > 0 and alone * 2 >= n").select("repo", F.lit("isolated"), F.lit("low"), F.lit(None).cast("long")),
     ]
-    return reduce(DataFrame.union, parts)
+    rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
+    return reduce(DataFrame.union, parts).withColumn("place", F.row_number().over(Window.partitionBy("repo").orderBy(rank, "issue", F.col("file").asc_nulls_last())))
 
 
 def health(metrics: DataFrame, cyclic: DataFrame) -> DataFrame:
@@ -281,10 +272,9 @@ def grade(score: Column) -> Column:
     return F.when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").when(score >= 60, "D").otherwise("F")
 
 
-def hop_tiers(reach: DataFrame) -> DataFrame:
-    """105: how many dependents of each file are one, two, three and more steps away."""
-    tier = lambda k: F.sum(F.when(F.least("depth", F.lit(4)) == k, 1).otherwise(0)).alias(f"tier{k}")
-    return reach.groupBy("repo", F.col("dst").alias("file")).agg(*map(tier, (1, 2, 3, 4)))
+def hop_tiers(counts: DataFrame) -> DataFrame:
+    """105: how many dependents of each file that has any are one, two, three and more steps away."""
+    return counts.filter("dependents > 0").select("repo", "file", "tier1", "tier2", "tier3", "tier4")
 
 
 def ring_layout(degree: DataFrame, most: int = 64, rings: int = 5) -> DataFrame:
@@ -307,15 +297,30 @@ def edge_classes(edges: DataFrame, nodes: DataFrame, layers: int = 5) -> DataFra
     return both.withColumn("class", kind).groupBy("repo", "class").agg(F.count("*").alias("n"))
 
 
-def safe_to_change(nodes: DataFrame, reach: DataFrame, most: int = 5) -> DataFrame:
-    """108: files with few dependents, none of them in another folder."""
-    of = lambda c: nodes.select("repo", F.col("file").alias(c), F.col("folder").alias(f"f_{c}"))
-    far = reach.join(of("src"), ["repo", "src"]).join(of("dst"), ["repo", "dst"])
-    far = far.groupBy("repo", F.col("dst").alias("file")).agg(F.count("*").alias("affected"), F.sum(F.when(F.col("f_src") != F.col("f_dst"), 1).otherwise(0)).alias("abroad"))
-    out = nodes.select("repo", "file").join(far, ["repo", "file"], "left").fillna(0, ["affected", "abroad"])
+def safe_to_change(nodes: DataFrame, counts: DataFrame, most: int = 5) -> DataFrame:
+    """108: files with few dependents, none of them in another folder (counts with folders)."""
+    out = nodes.select("repo", "file").join(counts.select("repo", "file", F.col("dependents").alias("affected"), "abroad"), ["repo", "file"], "left").fillna(0, ["affected", "abroad"])
     return out.withColumn("safe", (F.col("affected") <= most) & (F.col("abroad") == 0))
 
 
+def change_impact(nodes: DataFrame, edges: DataFrame, counts: DataFrame, api: Column, entry: Column, most: int = 5) -> DataFrame:
+    """108: what changing or moving each file comes to.
+
+    files_to_edit: its direct importers and itself. api_hops: the distance of the nearest dependent in the API, 0 if the file
+    is in it. tests, test_hops: tests that reach it. advice: by how many it affects. entry_probable: an entry point, or imported from
+    another folder. counts are reach.reach_counts with the marks api and tests; api and entry look at a file's own columns."""
+    of = nodes.select("repo", F.col("file").alias("src"), F.col("folder").alias("from"))
+    into = edges.join(of, ["repo", "src"]).groupBy("repo", F.col("dst").alias("file"))
+    into = into.agg(F.count_distinct("src").alias("importers"), F.collect_set("from").alias("folders"))
+    out = nodes.join(into, ["repo", "file"], "left").join(counts.select("repo", "file", "dependents", "api_hops", "tests", "tests_hops"), ["repo", "file"], "left")
+    affected, elsewhere = F.coalesce("dependents", F.lit(0)), F.coalesce(F.size(F.array_except("folders", F.array("folder"))) > 0, F.lit(False))
+    advice = F.when(affected == 0, "nothing depends on it").when(affected <= most, "reviewable in one change").otherwise("stage it")
+    return out.select(
+        "repo", "file", (F.coalesce("importers", F.lit(0)) + 1).alias("files_to_edit"), F.when(api, 0).otherwise(F.col("api_hops")).alias("api_hops"),
+        F.coalesce("tests", F.lit(0)).alias("tests"), F.col("tests_hops").alias("test_hops"), affected.alias("affected"), (affected <= most).alias("alone"), advice.alias("advice"), (entry | elsewhere).alias("entry_probable"),
+    )
+
+
 def view_model(nodes: DataFrame, edges: DataFrame, cyclic: DataFrame) -> DataFrame:
     """110: edges with a flag for those inside a cycle's component."""
     of = lambda c: cyclic.select("repo", F.col("file").alias(c), F.col("component").alias(f"k_{c}"))

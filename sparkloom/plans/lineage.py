@@ -31,7 +31,16 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """df as a Parquet table in that folder."""
     path = f"{folder_for(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables of `cut` that no later plan reads."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._cut_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def kept(spark: SparkSession, path: str, name: str, make: Callable[[], T]) -> T:

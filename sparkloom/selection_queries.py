@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .agent_queries import _part_files
 from .graph_queries import _BASE, _DEGREE, _METRICS, _REACH
 from .operators import graph as G
+from .operators import reach as H
 from .operators import selection as S
 from .operators import telemetry as M
 from .retrieval_queries import _POSTINGS, chunks, questions
@@ -70,7 +71,7 @@ def q167_renumbered_order(spark, d):
 i as (select repo, 'impact' as section, file, row_number() over (partition by repo order by blast_radius desc, file) as place from metrics where blast_radius > 0) select * from k where place <= 30 union all select * from i where place <= 10""")
 def q168_fact_selection(spark, d):
     e = edges(spark, d)
-    return S.select_facts(G.file_metrics(G.degrees(nodes(spark, d), e), G.closure(e)))
+    return S.select_facts(G.file_metrics(G.degrees(nodes(spark, d), e), H.reach_counts(e)))
 
 
 @query("""with f as (select lower(replace(p_brand, '#', '')) as brand, p_type as tag, count(*) as n from part group by all), t as (select brand, arg_min(tag, (-n, tag)) as tag, sum(n)::bigint as files from f group by brand) select brand, case when files > 1 then 'src/' || brand else 'src/' || brand end as prefix, tag, files from t""")

@@ -5,6 +5,7 @@ import pytest
 
 from sparkloom.operators import graph as G
 from sparkloom.operators import ordered_graph as O
+from sparkloom.operators import reach as H
 
 SCHEMA = "repo long, src long, dst long, kind string, line int, confidence double, evidence long"
 
@@ -40,7 +41,7 @@ def test_closure_and_cycles_against_a_model(spark, seed):
     assert {(x.src, x.dst): x.depth for x in reach.collect()} == want
     assert {(x.src, x.dst): x.depth for x in G.closure(e, max_depth=2).collect()} == {k: d for k, d in want.items() if d <= 2}
     ring = {x for x, y in want if (y, x) in want} | {a for a, b in pairs if a == b}
-    assert {x.file for x in G.in_cycle(e, reach).collect()} == ring
+    assert {x.file for x in H.in_cycle(e).collect()} == ring
     found = O.cycles(e).collect()
     for c in found:
         ids = [int(x) for x in c.cycle.split(",")]
@@ -91,10 +92,9 @@ def test_edge_cases(spark):
     nodes = spark.createDataFrame([(1, f, 10, 1, 0) for f in range(3)], "repo long, file long, loc long, symbols long, folder long")
     assert G.closure(empty).count() == 0 and O.cycles(empty).count() == 0
     assert G.isolated(nodes, empty).count() == 3
-    reach = G.closure(empty)
-    m = G.file_metrics(G.degrees(nodes, empty), reach)
-    assert {r.issue for r in G.issues(m, G.in_cycle(empty, reach)).collect()} == {"isolated"}
-    h = G.health(m, G.in_cycle(empty, reach)).first()
+    m = G.file_metrics(G.degrees(nodes, empty), H.reach_counts(empty))
+    assert {r.issue for r in G.issues(m, H.in_cycle(empty)).collect()} == {"isolated"}
+    h = G.health(m, H.in_cycle(empty)).first()
     assert (h.health, h.grade) == (85, "B")
 
 
@@ -121,3 +121,11 @@ def test_louvain_takes_no_move_that_lowers_modularity(spark):
         alone = {u: i for i, u in enumerate(found)}
         assert modularity(found) >= modularity(alone) - 1e-9
     assert O.louvain([(0, 1, 1), (1, 2, 1), (0, 2, 1), (3, 4, 1), (4, 5, 1), (3, 5, 1), (2, 3, 1)]) == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 1}
+
+
+def test_only_the_repository_over_the_guard_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(O, "MOST_FILES", 3)
+    e = frame(spark, [(1, 2), (2, 1)]).union(frame(spark, [(i, i + 1) for i in range(6)], 2)).union(frame(spark, [(5, 6), (6, 7), (7, 5)], 3))
+    assert sorted(map(tuple, O.cycles(e).collect()), key=str) == [(1, "1,2", 2), (2, None, None), (3, "5,6,7", 3)]
+    found = O.communities(e).collect()
+    assert [r for r in found if r.repo == 2] == [(2, None, None)] and {r.file for r in found if r.repo != 2} == {1, 2, 5, 6, 7}

@@ -199,7 +199,18 @@ def q118_identity_rerank(spark, d):
     return R.bm25(index(spark, d), questions(spark, d), 10).select("query_id", "id", (10 - F.col("rank")).cast("long").alias("score"), "rank")
 
 
-@query()
+#: The choice step by step: pool (query_id, id, relevance), alike (query_id, id, other, s); a candidate's likeness is that to the most alike of those chosen.
+_CHOICE = """
+steps(query_id, n, chosen) as (select distinct query_id, 0, []::bigint[] from pool union all
+  select query_id, n + 1, list_append(chosen, arg_min(id, (-score, id))) from (
+    select s.query_id, s.n, s.chosen, p.id, round(0.7 * any_value(p.relevance) - 0.3 * greatest(0, coalesce(max(a.s), 0)), 9) as score
+    from steps s join pool p on p.query_id = s.query_id and not list_contains(s.chosen, p.id) left join alike a on a.query_id = s.query_id and a.id = p.id and list_contains(s.chosen, a.other)
+    where s.n < {k} group by all) group by query_id, n, chosen)
+select query_id, chosen[n] as id, n::bigint as position from steps where n > 0"""
+
+
+@query(f"""with recursive {_POSTINGS}, pool as (select query_id, id, case when count(*) over w = 1 then 1 else (count(*) over w - rank) / (count(*) over w - 1) end as relevance from lexical where rank <= 40 window w as (partition by query_id)),
+alike as (select a.query_id, a.id, b.id as other, 1 as s from pool a join pool b on b.query_id = a.query_id join documents x on x.doc_id = a.id join documents y on y.doc_id = b.id and y.source = x.source), {_CHOICE.format(k=8)}""")
 def q119_mmr(spark, d):
     c = chunks(spark, d)
     hits = R.bm25(index(spark, d), questions(spark, d), 40)
@@ -207,6 +218,17 @@ def q119_mmr(spark, d):
     return R.mmr(hits.withColumn("relevance", F.when(n == 1, 1.0).otherwise((n - F.col("rank")) / (n - 1))).join(c.select("id", "group"), "id"), 8)
 
 
+#: Vectors of every seventh candidate are held back, so that it is compared by its label.
+@query(f"""with recursive near as (select q.vec_id as query_id, v.vec_id as id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) as score from embeddings q, embeddings v where q.vec_id % 20 = 0),
+pool as (select query_id, id, score as relevance from near qualify row_number() over (partition by query_id order by score desc, id) <= 30),
+alike as (select a.query_id, a.id, b.id as other, case when a.id % 7 <> 0 and b.id % 7 <> 0 then round(list_cosine_similarity(x.embedding::double[], y.embedding::double[]), 6) else (x.label = y.label)::int end as s
+  from pool a join pool b on b.query_id = a.query_id join embeddings x on x.vec_id = a.id join embeddings y on y.vec_id = b.id), {_CHOICE.format(k=8)}""")
+def q119_mmr_by_vectors(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("label").cast("string").alias("group"))
+    hits = R.vector_topk(v.select("id", "v"), v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "v"), 30).withColumn("relevance", F.col("score"))
+    return R.mmr(hits.join(v, "id").withColumn("v", F.when(F.col("id") % 7 != 0, F.col("v"))), 8)
+
+
 @query()
 def q098_seeded_order(spark, d):
     import pandas as pd

@@ -168,28 +168,49 @@ def lexical_rerank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame)
     return top(out.select("query_id", "id", F.round(T.jaccard(F.col("q"), F.col("c")), 6).alias("score")), 2**31 - 1)
 
 
-def mmr_order(relevance: list[float], ids: list, groups: list, k: int, weight: float) -> list[int]:
-    """119: positions in the order of choice; a candidate of a group already chosen loses 1 - weight."""
-    left, chosen, seen = set(range(len(ids))), [], set()
-    while left and len(chosen) < k:
-        best = min(left, key=lambda i: (-(weight * relevance[i] - (1 - weight) * (groups[i] in seen)), ids[i]))
-        left.discard(best)
+def likeness(groups: list, vectors: list) -> np.ndarray:
+    """119: how alike each two candidates are: by the cosine of their vectors, else, where one has none, by having the same
+    group, else not at all. Rounded to six places."""
+    g = np.array([str(x) for x in groups], dtype=object)
+    named = np.array([x is not None for x in groups])
+    out = ((g[:, None] == g[None]) & named[:, None] & named[None]).astype(float)
+    held = [i for i, v in enumerate(vectors) if v is not None and len(v)]
+    for i in held:
+        for j in held:
+            a, b = (np.asarray(vectors[x], float) for x in (i, j))
+            n = min(len(a), len(b))
+            norm = np.sqrt(a[:n] @ a[:n]) * np.sqrt(b[:n] @ b[:n])
+            out[i, j] = np.round(a[:n] @ b[:n] / norm, 6) if norm else 0.0
+    return out
+
+
+def mmr_order(relevance: list[float], ids: list, alike: np.ndarray, k: int, weight: float) -> list[int]:
+    """119: positions in the order of choice: relevance less likeness to the most alike of those chosen, ties by id."""
+    relevance, place = np.asarray(relevance, float), np.argsort(np.argsort(np.array(ids, dtype=object), kind="stable"), kind="stable")
+    worst, open_, chosen = np.zeros(len(ids)), np.ones(len(ids), bool), []
+    while open_.any() and len(chosen) < k:
+        score = np.where(open_, np.round(weight * relevance - (1 - weight) * worst, 9), -np.inf)
+        best = int(np.lexsort((place, -score))[0])
         chosen.append(best)
-        seen.add(groups[best])
+        open_[best] = False
+        worst = np.maximum(worst, alike[best])
     return chosen
 
 
 def mmr(candidates: DataFrame, k: int, weight: float = LAMBDA) -> DataFrame:
-    """119: (query_id, id, relevance, group) -> the k chosen greedily. A query has at most POOL candidates."""
+    """119: (query_id, id, relevance, group, and v, if there are vectors) -> the k chosen greedily, so that they differ.
+
+    Candidates with vectors are compared by cosine, others by group. A query has at most POOL candidates; more are an error."""
+    own = candidates.select("query_id", "id", "relevance", "group", (F.col("v").cast("array<double>") if "v" in candidates.columns else F.lit(None).cast("array<double>")).alias("v"))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > POOL:
             raise ValueError("too many candidates")
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        order = mmr_order(pdf["relevance"].tolist(), pdf["id"].tolist(), pdf["group"].tolist(), k, weight)
+        groups = [None if pd.isna(g) else g for g in pdf["group"]]
+        order = mmr_order(pdf["relevance"].tolist(), pdf["id"].tolist(), likeness(groups, pdf["v"].tolist()), k, weight)
         return pd.DataFrame({"query_id": pdf["query_id"].iloc[order].to_numpy(), "id": pdf["id"].iloc[order].to_numpy(), "position": np.arange(1, len(order) + 1)})
 
-    return candidates.select("query_id", "id", "relevance", "group").groupBy("query_id").applyInPandas(choose, "query_id long, id long, position long")
+    return own.groupBy("query_id").applyInPandas(choose, "query_id long, id long, position long")
 
 
 def arms(k: int) -> int:
@@ -225,22 +246,6 @@ def with_drops(hits: DataFrame, chunks: DataFrame, texts: DataFrame) -> DataFram
     )
 
 
-def windows(length: Column, size: int = 60) -> Column:
-    """121: 1-based windows (start, end) of `size` lines over a file of that length."""
-    starts = F.when(length > 0, F.sequence(F.lit(1), F.greatest(length, F.lit(1)), F.lit(size))).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(s + size - 1, length).alias("end")))
-
-
-def plan_spans(spans: DataFrame) -> DataFrame:
-    """121: spans (file, name, start, end) that no wider span before them covers; the largest of those at a line first.
-
-    An open end is the line before the next span's start (139); what is covered so far is a running maximum (138)."""
-    by = Window.partitionBy("file").orderBy("start", F.desc("end"), "name")
-    closed = spans.withColumn("end", F.coalesce("end", F.greatest(F.col("start"), F.lead("start").over(Window.partitionBy("file").orderBy("start", "name")) - 1), F.col("start")))
-    covered = F.coalesce(F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return closed.withColumn("covered", covered).filter(F.col("start") > F.col("covered")).drop("covered")
-
-
 def greedy_batches(df: DataFrame, group: str, order: str, size: str, most: int, budget: int) -> DataFrame:
     """122, 125: rows packed in order into batches of at most `most` rows and `budget` of size; adds batch.
 

@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .operators import chunking as K
 from .operators import evaluation as E
 from .operators import retrieval as R
 from .plans.lineage import cut, kept
 from .sources.bindings import lines, table
-from .text_queries import tokens_sql
+from .text_queries import tokens_sql, units_sql
 
 QUERIES, SQL = {}, {}
 
@@ -126,28 +127,61 @@ def q055_relevance(spark, d):
 @query("""with n as (select doc_id, len(string_split(text, chr(10)))::int as n from documents), s as (select doc_id, n, unnest(range(1, n + 1, 60))::int as start from n)
 select doc_id, start, least(start + 59, n)::int as "end" from s""")
 def q121_windows(spark, d):
-    n = table(spark, d, "documents").select("doc_id", F.explode(R.windows(F.size(F.split("text", "\n")))).alias("w"))
+    n = table(spark, d, "documents").select("doc_id", F.explode(K.windows(F.lit(1), F.size(F.split("text", "\n")))).alias("w"))
     return n.select("doc_id", "w.start", "w.end")
 
 
 _SPANS = """spans as (select l_orderkey as file, l_partkey || '-' || l_suppkey as name, min(l_linenumber * 10)::int as start, min(case when l_returnflag <> 'R' then l_linenumber * 10 + l_quantity end)::int as "end" from lineitem group by all)"""
+#: Symbols (file, name, start, end, lines): an open one ends before the next, within a window; all inside the file.
+_CLOSED = """c as (select file, name, greatest(1, least(start, lines)) as start, lines,
+    coalesce("end", least(coalesce(lead(start) over (partition by file order by start, coalesce("end", start) desc, name), lines + 1) - 1, greatest(start, 1) + 59)) as e,
+    row_number() over (partition by file order by start, coalesce("end", start) desc, name) as place from sized),
+  closed as (select file, name, start, greatest(start, least(e, lines)) as "end", place from c),
+  k as (select *, coalesce(max("end") over (partition by file order by place rows between unbounded preceding and 1 preceding), 0) as covered from closed)"""
 
 
-@query(f"""with {_SPANS}, c as (select file, name, start, coalesce("end", greatest(start, lead(start) over (partition by file order by start, name) - 1), start) as "end" from spans),
-k as (select *, coalesce(max("end") over (partition by file order by start, "end" desc, name rows between unbounded preceding and 1 preceding), 0) as covered from c)
+def _spans(spark, d):
+    end = F.when(F.col("l_returnflag") != "R", F.col("l_linenumber") * 10 + F.col("l_quantity"))
+    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("file"), F.concat_ws("-", "l_partkey", "l_suppkey").alias("name")).agg(F.min(F.col("l_linenumber") * 10).cast("int").alias("start"), F.min(end).cast("int").alias("end"))
+
+
+@query(f"""with {_SPANS}, sized as (select *, 65 as lines from spans), {_CLOSED}
 select file, name, start, "end" from k where start > covered""")
 def q121_span_sweep(spark, d):
-    end = F.when(F.col("l_returnflag") != "R", F.col("l_linenumber") * 10 + F.col("l_quantity"))
-    spans = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("file"), F.concat_ws("-", "l_partkey", "l_suppkey").alias("name")).agg(F.min(F.col("l_linenumber") * 10).cast("int").alias("start"), F.min(end).cast("int").alias("end"))
-    return R.plan_spans(spans)
+    return K.chosen(K.closed(_spans(spark, d).withColumn("lines", F.lit(65)))).drop("lines")
+
+
+#: Symbols of a document: its lines that begin with a vowel; those of even length end after as many lines as they have words, in tens.
+_LINES_OF = "select doc_id as file, unnest(string_split(text, chr(10))) as t, unnest(range(1, len(string_split(text, chr(10))) + 1))::int as line from documents"
+_SYMBOLS = r"""l as (%s), n as (select file, max(line) as lines from l group by file),
+sized as (select l.file, split_part(t, ' ', 1) as name, line as start, (case when length(t) %% 2 = 0 then line + len(string_split(t, ' ')) // 10 end)::int as "end", lines from l join n using (file) where regexp_matches(t, '^[AEIOUaeiou]'))""" % _LINES_OF  # noqa: UP031
+
+
+@query(f"""with recursive {_SYMBOLS}, {_CLOSED}, s as (select file, name, start, "end" from k where start > covered),
+g as (select n.file, s.name, s.start, s."end", lines, coalesce(lag(s."end") over w, 0) + 1 as f, lead(n.file) over w is null as last from n left join s using (file) window w as (partition by n.file order by s.start)),
+gaps as (select file, f, start - 1 as u from g where start > f union all select file, coalesce("end", 0) + 1, lines from g where last and coalesce("end", 0) < lines),
+p as (select file, name, start, "end" from s union all select file, null, a::int, least(a + 59, u)::int from (select file, u, unnest(range(f, u + 1, 60)) as a from gaps)),
+r as (select row_number() over (order by file, start) as id, * from p), x as (select id, line, {units_sql('t')} as z from r join l on l.file = r.file and line between start and "end"),
+whole as (select id, ceil((sum(z + 1) - 1) / 4)::bigint as tokens from x group by id),
+w(id, line, a, total) as (select id, line, line, ceil((z + 1) / 4)::bigint from x join r using (id) join whole using (id) where line = start and tokens > 256 union all
+  select x.id, x.line, case when w.total + ceil((z + 1) / 4) > 256 then x.line else w.a end, (case when w.total + ceil((z + 1) / 4) > 256 then 0 else w.total end + ceil((z + 1) / 4))::bigint from w join x on x.id = w.id and x.line = w.line + 1),
+parts as (select id, a as start, max(line)::int as "end" from w group by all union all select id, start, "end" from r join whole using (id) where tokens <= 256)
+select file, name, q.start, q."end", (select ceil((sum(z + 1) - 1) / 4)::bigint from x where x.id = q.id and x.line between q.start and q."end") as tokens from parts q join r using (id)""")
+def q121_chunk_plan(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("file"), "text")
+    l = docs.select("file", F.posexplode(F.split("text", "\n")).alias("line", "t")).filter(F.col("t").rlike("^[AEIOUaeiou]"))  # noqa: E741
+    words = F.size(F.split("t", " "))
+    start = (F.col("line") + 1).cast("int")
+    end = F.when(F.length("t") % 2 == 0, (start + F.floor(words / 10)).cast("int"))
+    return K.plan_chunks(docs, l.select("file", F.element_at(F.split("t", " "), 1).alias("name"), start.alias("start"), end.alias("end")), most=256)
 
 
 _FOLD = """with recursive e as ({rows}),
 w(g, k, batch, n, total, o) as (select g, k, 0, 1, size, o from e where k = 1 union all
   select e.g, e.k, case when w.n >= {most} or w.total + e.size > {budget} then w.batch + 1 else w.batch end, case when w.n >= {most} or w.total + e.size > {budget} then 1 else w.n + 1 end,
     case when w.n >= {most} or w.total + e.size > {budget} then e.size else w.total + e.size end, e.o from w join e on e.g = w.g and e.k = w.k + 1)"""
-_LINES = "select g, row_number() over (partition by g order by o) as k, o, ceil(length(t) / 4)::bigint as size from (select doc_id as g, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) - 1 as o from documents)"
-_TURNS = "select conv_id as g, row_number() over (partition by conv_id order by turn) as k, turn as o, ceil(length(text) / 4)::bigint as size from conversations"
+_LINES = f"select g, row_number() over (partition by g order by o) as k, o, ceil({units_sql('t')} / 4)::bigint as size from (select doc_id as g, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) - 1 as o from documents)"
+_TURNS = f"select conv_id as g, row_number() over (partition by conv_id order by turn) as k, turn as o, ceil({units_sql('text')} / 4)::bigint as size from conversations"
 
 
 @query(_FOLD.format(rows=_LINES, most=1_000_000, budget=256) + " select g as doc_id, batch, min(o) as first, count(*) as lines from w group by all")

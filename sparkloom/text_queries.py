@@ -14,6 +14,11 @@ from .sources.bindings import table
 QUERIES, SQL = {}, {}
 
 
+def units_sql(text: str) -> str:
+    """UTF-16 units: characters, and those beyond the first 65536 once more."""
+    return rf"(length({text}) + length(regexp_replace({text}, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')))"
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -44,7 +49,7 @@ def q048_path_words(spark, d):
     return w.select("page_id", F.when(F.col("w") == "", "").otherwise(F.array_join(F.array_sort(F.split("w", " ")), " ")).alias("words"))
 
 
-@query("select doc_id, ceil(length(text) / 4)::bigint as tokens from documents")
+@query(f"select doc_id, ceil({units_sql('text')} / 4)::bigint as tokens from documents")
 def q049_estimate_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
 

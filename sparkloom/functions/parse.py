@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import jsread
+
 #: What lines must look like.
 NAME = r"[A-Za-z_$][\w$]*"
 STATIC_IMPORT = r"""^\s*import\s+(?:(?:type\s+)?([^"']*?)\s+from\s+)?["']([^"']+)["']"""
@@ -158,9 +160,11 @@ def _within(seconds: float) -> Iterator[None]:
         signal.signal(signal.SIGALRM, old)
 
 
-def _facts(files: DataFrame, first, second, most_chars: int, seconds: float) -> DataFrame:
-    """Rows (path, line, kind, name, signature) of the first engine, else of the second; a file that takes too long
+def _facts(files: DataFrame, first, second, most_chars: int, seconds: float, more: str = "") -> DataFrame:
+    """Rows (path, line, kind, name, signature), and more, of the first engine, else of the second; a file that takes too long
     gives one row of kind `unparsed`. Files are parsed in as many tasks as there are partitions."""
+    schema = "path string, line int, kind string, name string, signature string" + (more and ", " + more)
+    fields = [f.split() for f in schema.split(", ")]
 
     def run(batches):
         for pdf in batches:
@@ -176,9 +180,9 @@ def _facts(files: DataFrame, first, second, most_chars: int, seconds: float) ->
                             rows += second(path, content)
                 except TimeoutError:
                     rows.append((path, 0, "unparsed", "", "timeout"))
-            yield pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype="int32" if n == "line" else object) for i, n in enumerate(("path", "line", "kind", "name", "signature"))})
+            yield pd.DataFrame({n: pd.Series([r[i] if i < len(r) else None for r in rows], dtype="Int32" if kind == "int" else object) for i, (n, kind) in enumerate(fields)})
 
-    return files.select("path", "content").mapInPandas(run, "path string, line int, kind string, name string, signature string")
+    return files.select("path", "content").mapInPandas(run, schema)
 
 
 def python_facts(files: DataFrame, engine: str = "tree", most_chars: int = 2_000_000, seconds: float = 5) -> DataFrame:
@@ -188,95 +192,17 @@ def python_facts(files: DataFrame, engine: str = "tree", most_chars: int = 2_000
     return _facts(files, _python_by_tree if engine == "tree" else _python_by_lines, _python_by_lines, most_chars, seconds)
 
 
-#: The tokens of JavaScript that matter here, and words before a bracket that aren't calls.
-JS_TOKEN = re.compile(r"""(?P<skip>//[^\n]*|/\*.*?\*/)|(?P<text>'(?:\\.|[^'\\\n])*'|"(?:\\.|[^"\\\n])*"|`(?:\\.|[^`\\])*`)|(?P<name>[A-Za-z_$][\w$]*(?:\s*\.\s*[A-Za-z_$][\w$]*)*)|(?P<mark>=>|[{}()\[\];,=:*])""", re.S)
-JS_WORDS = {"if", "for", "while", "switch", "catch", "return", "function", "typeof", "new", "await", "async", "super", "import", "require"}
-
-
-def _js_by_tokens(path: str, content: str) -> list[tuple]:
-    """Imports over several lines, functions, interfaces, types, classes with bases and methods, and calls, told by the order of tokens and
-    the depth of braces; comments and texts can't be mistaken for code."""
-    tokens = [(m.lastgroup, re.sub(r"\s", "", m[0]) if m.lastgroup == "name" else m[0], m.start()) for m in JS_TOKEN.finditer(content) if m.lastgroup != "skip"]
-    starts = [0, *(m.end() for m in re.finditer("\n", content))]
-    lines, out, depth, classes = content.split("\n"), [], 0, []
-    number, k = 0, 0
-
-    def add(at: int, kind: str, name: str) -> None:
-        out.append((path, at, kind, name, lines[at - 1].strip()))
-
-    while k < len(tokens):
-        kind, text, at = tokens[k]
-        while number < len(starts) and starts[number] <= at:
-            number += 1
-        after = [t[1] for t in tokens[k + 1 : k + 4]] + [""] * 3
-        if text == "{":
-            depth += 1
-        elif text == "}":
-            depth -= 1
-            if classes and depth < classes[-1]:
-                classes.pop()
-        elif kind == "name" and text == "import" and after[0] != "(":
-            end = next((j for j in range(k + 1, min(k + 400, len(tokens))) if tokens[j][0] == "text"), None)
-            if end is not None:
-                add(number, "import", tokens[end][1][1:-1])
-                k = end
-        elif kind == "name" and text in ("import", "require") and after[0] == "(" and k + 2 < len(tokens) and tokens[k + 2][0] == "text":
-            add(number, "import", after[1][1:-1])
-        elif kind == "name" and text == "function" and re.fullmatch(NAME, after[0]):
-            add(number, "function", after[0])
-            k += 1
-        elif kind == "name" and text == "class" and re.fullmatch(NAME, after[0]):
-            add(number, "class", after[0])
-            if after[1] == "extends":
-                add(number, "inheritance", after[2])
-            while k + 1 < len(tokens) and tokens[k + 1][1] != "{":
-                k += 1
-            classes.append(depth + 1)
-        elif kind == "name" and text == "interface" and re.fullmatch(NAME, after[0]) and (after[1] in ("{", "extends") or re.fullmatch(NAME, after[1])):
-            add(number, "interface", after[0])
-            k += 1
-        elif kind == "name" and text == "type" and re.fullmatch(NAME, after[0]) and "=" in after[1:3]:
-            add(number, "type", after[0])
-            k += 1
-        elif kind == "name" and after[0] == "=" and re.fullmatch(NAME, text) and _is_arrow(tokens, k + 2):
-            add(number, "function", text)
-        elif kind == "name" and after[0] == "(" and text.split(".")[0] not in JS_WORDS:
-            inside = classes and depth == classes[-1]
-            add(number, "method" if inside and _opens_body(tokens, k + 1) else "call", text)
-        k += 1
-    return out
-
-
-def _close(tokens: list[tuple], k: int) -> int:
-    """The place after the bracket that closes the one at k."""
-    depth = 0
-    for j in range(k, len(tokens)):
-        depth += (tokens[j][1] == "(") - (tokens[j][1] == ")")
-        if not depth:
-            return j + 1
-    return len(tokens)
-
-
-def _is_arrow(tokens: list[tuple], k: int) -> bool:
-    if k < len(tokens) and tokens[k][1] == "async":
-        k += 1
-    if k < len(tokens) and tokens[k][1] == "(":
-        k = _close(tokens, k)
-    elif k < len(tokens) and tokens[k][0] == "name":
-        if tokens[k][1] == "function":
-            return True
-        k += 1
-    return k < len(tokens) and tokens[k][1] == "=>"
-
-
-def _opens_body(tokens: list[tuple], k: int) -> bool:
-    k = _close(tokens, k)
-    return k < len(tokens) and tokens[k][1] in ("{", ":")
+_JS = "form string, end int, exported boolean, scope string, specifiers array<string>"
 
 
 def js_facts(files: DataFrame, most_chars: int = 2_000_000, seconds: float = 5) -> DataFrame:
-    """32, 35, 46: (path, line, kind, name, signature) of JavaScript and TypeScript files (path, content), by tokens."""
-    return _facts(files, _js_by_tokens, _js_by_tokens, most_chars, seconds)
+    """32, 35, 36, 46: facts of JavaScript and TypeScript files (path, content), read by descent.
+
+    Rows (path, line, kind, name, signature, form, end, exported, scope, specifiers): imports of any length with what they bind (form
+    static, commonjs or dynamic), exports and re-exports, top-level functions, hooks, components, classes, variables and types with their last line, methods,
+    bases, calls with the symbol they stand in, and routes. A file over the size limit or the time gives one row `unparsed`."""
+    big = lambda path, content: [(path, 0, "unparsed", "", "size")]
+    return _facts(files, jsread.facts, big, most_chars, seconds, _JS)
 
 
 def _json_object(text: str | None) -> str | None:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import parse as P
@@ -115,9 +117,49 @@ def q031_import_clauses(spark, d):
     return found.select("path", "line", "kind", "source", F.array_join("specifiers", ",").alias("names"))
 
 
-@query(_rows(".ts", "kind name", ("import", "./m#"), ("import", "pkg#"), ("interface", "Shape#"), ("type", "Alias#"), ("class", "Box#"), ("function", "plain#")))
+#: Sources of several kinds, one for each supplier by its key, and the facts that are in them: line, kind, name, form, end, scope, names.
+_WIDE = ", ".join(f"n{i} as w{i}" for i in range(300))
+SOURCES = [
+    (".ts", TS, [
+        (1, "import", "./m#", "static", 1, "", "def,b#"), (2, "interface", "Shape#", None, 2, "", ""), (2, "export", "Shape#", "interface", 2, "", ""), (3, "type", "Alias#", None, 3, "", ""),
+        (4, "class", "Box#", None, 4, "", ""), (4, "export", "Box#", "class", 4, "", ""), (4, "inheritance", "Base#", None, 4, "Box#", ""), (5, "import", "pkg#", "commonjs", 5, "", "y"),
+        (6, "function", "plain#", None, 6, "", ""), (6, "call", "call#", None, 6, "plain#", ""), (7, "call", "router.post", None, 7, "", ""), (7, "route", "POST /u/#", None, 7, "", ""),
+    ]),
+    (".jsx", "import React, {\n  useState as state,\n} from 'react%s';\n// import no from './no';\nexport const Card%s = (props) => {\n  const [open] = state(%s);\n  return <div title=\"it's(1)\" onClick={() => toggle%s('}')}>don't { open ? <b/> : `n${count(open)}` }</div>;\n};\nconst useCard%s = () => ({});\nexport { useCard%s as hook%s } from './hooks%s';\n", [
+        (1, "import", "react#", "static", 3, "", "React,state"), (5, "component", "Card#", None, 8, "", ""), (5, "export", "Card#", "function", 5, "", ""), (6, "call", "state", None, 6, "Card#", ""), (7, "call", "toggle#", None, 7, "Card#", ""),
+        (7, "call", "count", None, 7, "Card#", ""), (9, "hook", "useCard#", None, 9, "", ""), (10, "export", "hook#", "unknown", 10, "", ""), (10, "reexport", "./hooks#", None, 10, "", ""),
+    ]),
+    (".js", "const re = /[\"'`]{2}\\/(x)/g, half = a / b / c;\nclass Store%s {\n  static async load(key, again = retry(1)) {\n    if (key) { return fetchAll(key); }\n  }\n  save() { this.put%s(1); }\n}\nmodule.exports = Store%s;\nimport('./late%s').then(run);\n", [
+        (1, "variable", "re", "variable", 1, "", ""), (1, "variable", "half", "variable", 1, "", ""), (2, "class", "Store#", None, 7, "", ""), (3, "method", "load", None, 5, "Store#", ""), (3, "call", "retry", None, 3, "Store#.load", ""),
+        (4, "call", "fetchAll", None, 4, "Store#.load", ""), (6, "method", "save", None, 6, "Store#", ""), (6, "call", "this.put#", None, 6, "Store#.save", ""), (9, "import", "./late#", "dynamic", 9, "", ""), (9, "call", "then", None, 9, "", ""),
+    ]),
+    (".mts", f"import {{ {_WIDE} }} from './wide%s';\nexport enum Level%s {{ Low, High }}\nexport default class extends Base%s {{}}\nexport abstract class Shape%s<T> extends Base%s implements Drawn {{\n  constructor(private x: T) {{ super(); }}\n  abstract area(): number;\n}}\n", [
+        (1, "import", "./wide#", "static", 1, "", ",".join(f"w{i}" for i in range(300))), (2, "enum", "Level#", None, 2, "", ""), (2, "export", "Level#", "unknown", 2, "", ""), (4, "class", "Shape#", None, 7, "", ""), (4, "export", "Shape#", "class", 4, "", ""),
+        (4, "inheritance", "Base#", None, 4, "Shape#", ""), (4, "inheritance", "Drawn", None, 4, "Shape#", ""), (5, "method", "constructor", None, 5, "Shape#", ""), (6, "method", "area", None, 6, "Shape#", ""),
+    ]),
+]
+
+
+def _sources(spark, d):
+    own = table(spark, d, "supplier").select(F.col("s_suppkey"), F.col("s_suppkey").cast("string").alias("k"))
+    parts = []
+    for i, (ext, text, _) in enumerate(SOURCES):
+        mine = own.filter(F.col("s_suppkey") % len(SOURCES) == i)
+        parts.append(mine.select(F.concat(F.lit("src/s"), "k", F.lit(ext)).alias("path"), F.replace(F.lit(text), F.lit("%s"), F.col("k")).alias("content")))
+    return reduce(DataFrame.union, parts)
+
+
+def _sources_sql() -> str:
+    show = lambda v: "null" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    values = ", ".join(f"({i}, '{ext}', {', '.join(map(show, r))})" for i, (ext, _, rows) in enumerate(SOURCES) for r in rows)
+    of = lambda c: f"replace({c}, '#', s_suppkey::varchar) as {c}"
+    return f"""facts as (select 'src/s' || s_suppkey || ext as path, line, kind, {of('name')}, form, "end", {of('scope')}, {of('names')} from supplier join (values {values}) v(i, ext, line, kind, name, form, "end", scope, names) on s_suppkey % {len(SOURCES)} = i)"""
+
+
+@query(f"""with {_sources_sql()} select path, line, kind, name, form, "end", scope, names from facts where kind not in ('call', 'inheritance', 'route')""")
 def q032_javascript_facts(spark, d):
-    return P.js_facts(_code(spark, d, TS, ".ts")).filter(F.col("kind").isin("import", "interface", "type", "class", "function")).select("path", "kind", "name").distinct()
+    facts = P.js_facts(_sources(spark, d)).filter(~F.col("kind").isin("call", "inheritance", "route"))
+    return facts.select("path", "line", "kind", "name", "form", "end", "scope", F.array_join("specifiers", ",").alias("names"))
 
 
 @query(_rows(".py", "line kind name", (1, "import", "os"), (1, "import", "sys"), (2, "import", ".m#"), (3, "class", "A#"), (3, "inheritance", "B#"), (4, "method", "run"), (5, "call", "call#"), (6, "function", "top#"), (8, "call", "app.get"), (9, "function", "shown")))
@@ -132,10 +174,12 @@ def q034_engine_choice(spark, d):
     return facts.groupBy("path").agg(F.bool_or(F.col("kind") == "inheritance").alias("by_tree"))
 
 
-@query("select 'inheritance' as kind, count(*) as n from supplier union all select 'call', 2 * count(*) from supplier union all select 'import', 3 * count(*) from supplier")
+@query(f"""with {_sources_sql()} select path, line, kind, name, scope from facts where kind in ('import', 'call', 'inheritance', 'route')
+union all {_rows(".py", "line kind name scope", (1, "import", "os", ""), (1, "import", "sys", ""), (2, "import", ".m#", ""), (3, "inheritance", "B#", ""), (5, "call", "call#", ""), (8, "call", "app.get", ""))}""")
 def q035_property_facts(spark, d):
-    facts = P.python_facts(_code(spark, d, PY, ".py"))
-    return facts.filter(F.col("kind").isin("import", "call", "inheritance")).groupBy("kind").agg(F.count("*").alias("n"))
+    mine = F.col("kind").isin("import", "call", "inheritance", "route")
+    python = P.python_facts(_code(spark, d, PY, ".py")).filter(mine).select("path", "line", "kind", "name", F.lit("").alias("scope"))
+    return P.js_facts(_sources(spark, d)).filter(mine).select("path", "line", "kind", "name", "scope").union(python)
 
 
 @query(_rows(".ts", "line method route", (7, "POST", "/u/#")) + " union all " + _rows(".py", "line method route", (8, "GET", "/p/#")))

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.functions import jsread
 from sparkloom.functions import parse as P
 from sparkloom.functions import text as T
 from sparkloom.operators import resolve as S
@@ -81,15 +82,90 @@ const lib = require("lib");
 """
 
 
-def test_javascript_by_tokens(spark):
+def test_javascript_by_descent(spark):
     files = spark.createDataFrame([("a.js", JS_LONG), ("broken.js", "class { ((( function"), ("n.js", None)], "path string, content string")
-    got = {(r.line, r.kind, r.name) for r in P.js_facts(files).collect() if r.path == "a.js"}
+    got = {(r.line, r.kind, r.name, r.scope) for r in P.js_facts(files).collect() if r.path == "a.js"}
     assert got == {
-        (2, "import", "./multi"), (7, "class", "Box"), (7, "inheritance", "Base"), (8, "method", "constructor"), (8, "call", "make"), (9, "method", "read"), (10, "call", "store.get"),
-        (13, "function", "run"), (13, "call", "helper"), (14, "function", "pick"), (15, "function", "plain"), (15, "call", "Box"), (16, "import", "lib"),
+        (2, "import", "./multi", ""), (6, "variable", "s", ""), (7, "class", "Box", ""), (7, "export", "Box", ""), (7, "inheritance", "Base", "Box"), (8, "method", "constructor", "Box"), (8, "call", "make", "Box.constructor"),
+        (9, "method", "read", "Box"), (10, "call", "store.get", "Box.read"), (13, "function", "run", ""), (13, "call", "helper", "run"), (14, "function", "pick", ""), (14, "export", "pick", ""),
+        (15, "function", "plain", ""), (15, "call", "Box", "plain"), (16, "import", "lib", ""),
     }
 
 
+def js(path, content):
+    return [dict(zip("path line kind name signature form end exported scope names".split(), r, strict=True)) for r in jsread.facts(path, content)]
+
+
+def of(rows, *kinds):
+    return [r for r in rows if r["kind"] in kinds]
+
+
+def test_imports_exports_and_names():
+    rows = js("src/App.jsx", """
+import React, { useMemo as memo } from "react";
+import * as utils from "./utils";
+import "./styles.css";
+const helper = require("../helper");
+const lazy = import("./lazy");
+export function useThing() { return memo(() => 1, []); }
+export class Widget {}
+function plain() {}
+const Dashboard = () => null;
+export { Dashboard };
+""")
+    assert [(r["name"], r["form"], r["names"]) for r in of(rows, "import")] == [
+        ("react", "static", ["React", "memo"]), ("./utils", "static", ["utils"]), ("./styles.css", "static", []), ("../helper", "commonjs", ["helper"]), ("./lazy", "dynamic", [])]
+    assert sorted(r["name"] for r in of(rows, "export")) == ["Dashboard", "Widget", "useThing"]
+    symbols = {r["name"]: (r["kind"], r["exported"], r["line"], r["end"]) for r in of(rows, "function", "hook", "component", "class")}
+    assert symbols == {"useThing": ("hook", True, 7, 7), "Widget": ("class", True, 8, 8), "plain": ("function", False, 9, 9), "Dashboard": ("component", False, 10, 10)}
+    assert [(r["name"], r["names"]) for r in of(js("m.js", "import {\n  alpha,\n  beta as gamma,\n} from './wide';\n"), "import")] == [("./wide", ["alpha", "gamma"])]
+    assert [r["name"] for r in of(js("q.js", "// import('./commented-out');\nimport real from './real';\n"), "import")] == ["./real"]
+    names = [f"n{i} as m{i}" for i in range(500)]
+    assert of(js("w.js", "import { " + ", ".join(names) + " } from './very-wide'\nrun()"), "import")[0]["names"] == [f"m{i}" for i in range(500)]
+
+
+def test_types_classes_and_legacy_forms():
+    rows = js("src/domain/user.ts", """
+import type { UserId } from "./ids";
+export interface User { id: UserId }
+export type UserName = string;
+export enum Role { Admin }
+export async function loadUser() { return null; }
+export class UserService extends BaseService {
+  load(id: UserId) { return id; }
+  private cache = new Map();
+}
+const internal = 42;
+""")
+    by = {r["name"]: r for r in of(rows, "interface", "type", "enum", "class", "method", "variable", "function")}
+    assert [by[n]["signature"] for n in ("User", "UserName", "Role")] == ["export interface User { id: UserId }", "export type UserName = string;", "export enum Role { Admin }"]
+    assert all(by[n]["exported"] for n in ("User", "UserName", "Role", "loadUser", "UserService")) and not by["internal"]["exported"]
+    assert (by["load"]["kind"], by["load"]["scope"]) == ("method", "UserService") and (by["UserService"]["line"], by["UserService"]["end"]) == (7, 10)
+    assert of(rows, "import")[0]["names"] == ["UserId"] and by["internal"]["kind"] == "variable" and "cache" not in by
+    rows = js("src/legacy.ts", 'import legacy = require("./legacy-impl");\nexport { thing } from "./other";\nexport * from "./all";\n')
+    assert [(r["name"], r["form"], r["names"]) for r in of(rows, "import")] == [("./legacy-impl", "commonjs", ["legacy"])]
+    assert [r["name"] for r in of(rows, "export")] == ["thing"] and [r["name"] for r in of(rows, "reexport")] == ["./other", "./all"]
+
+
+def test_states_of_templates_elements_and_regular_expressions():
+    rows = js("p.tsx", """
+export const ProfileCard = () => <section />;
+const useProfile = () => ({});
+const half = a / b / c; const re = /[/"'`]{2}/g.test(x);
+const view = <div title="no(1)" onClick={() => act("}")}>don't no(2) {items.map(i => <Row key={i} v={`t${fmt(i)}`} />)} `q</div>;
+const s = `import no from 'no' ${yes("a")} ${`nested ${inner()}`}`;
+const less = a < b && c > d(1);
+app.get("/x/:id", (req, res) => { send(res) });
+""")
+    assert {(r["kind"], r["name"]) for r in of(rows, "component", "hook", "function")} == {("component", "ProfileCard"), ("hook", "useProfile")}
+    assert [r["name"] for r in of(rows, "call")] == ["test", "act", "items.map", "fmt", "yes", "inner", "d", "app.get", "send"]
+    assert [r["name"] for r in of(rows, "route")] == ["GET /x/:id"] and not of(rows, "import")
+    generic = js("g.ts", "function pick<T extends object>(x: T): T { return <T>find(x); }\nconst f = <T,>(x: T) => use(x);\nclass A<T> implements B { m<U>(x: U): U { return x } }\n")
+    assert [(r["kind"], r["name"]) for r in of(generic, "function", "class", "method", "call", "inheritance")] == [("function", "pick"), ("call", "find"), ("function", "f"), ("call", "use"), ("class", "A"), ("inheritance", "B"), ("method", "m")]
+    for odd in ("", "`", "<a", "class", "import", "export", "export default", "const", "{", "}", "/", "`${", "<a>{", "function (", "import {", "type X =", "class A { x"):
+        js("odd.jsx", odd)
+
+
 def test_a_file_that_takes_too_long_is_named(spark):
     files = spark.createDataFrame([("big.py", "x = 1\n" * 300_000), ("ok.py", "import os\n")], "path string, content string").coalesce(1)
     got = {(r.path, r.kind) for r in P.python_facts(files, "lines", seconds=0.05).collect()}

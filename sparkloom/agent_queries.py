@@ -178,15 +178,6 @@ def q147_common_prefix(spark, d):
     return A.common_prefix(two, "brand")
 
 
-@query(f"""{_BASE}, {_REACH}, {_CYCLIC},
-t as (select repo, src as file, 'imports-of' as kind, dst as answer from edges where kind = 'import' union select repo, dst, 'who-calls', src from edges where kind = 'call' union select repo, dst, 'blast-radius', src from reach
-  union select a.repo, a.file, 'cycle-through', b.file from cyclic a join cyclic b on b.repo = a.repo and b.component = a.component) select kind, repo, count(*) as answers, count(distinct file) as files from t group by all""")
-def q180_oracle_truths(spark, d):
-    e = edges(spark, d)
-    reach = G.closure(e)
-    return A.truths(e, reach, H.in_cycle(e)).groupBy("kind", "repo").agg(F.count("*").alias("answers"), F.count_distinct("file").alias("files"))
-
-
 @query(f"""with {EDGES_SQL}, {NODES_SQL}, e as (select repo, min(file) as file from nodes group by repo), k as (select repo, dst as file from edges group by all having count(*) >= 3), i as (select repo, src as file from edges group by all having count(*) >= 4),
 u as (select repo, file, 0 as r from e union all select repo, file, 1 from k union all select repo, file, 2 from i), f as (select repo, file, min(r) as rank from u group by all)
 select repo, file, rank, row_number() over (partition by repo order by rank, file)::int as position from f""")

@@ -254,18 +254,6 @@ def q178_parity_gates(spark, d):
     return U.parity(table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("engine")).agg(F.round(F.avg(F.col("o_totalprice") / 500000), 6).alias("f1")))
 
 
-@query(f"""{_BASE}, t as (select 'imports-of' as kind, repo, src as file, count(distinct dst) as n from edges where kind = 'import' group by all union all select 'who-calls', repo, dst, count(distinct src) from edges where kind = 'call' group by all),
-g as (select repo, file, count(*) as d from (select repo, src as file from edges union all select repo, dst from edges) group by all), r as (select kind, t.repo, t.file, n, row_number() over (partition by kind, t.repo order by d desc, t.file) as k from t join g on g.repo = t.repo and g.file = t.file)
-select kind, repo, file, n, k::int as k from r where k <= 5""")
-def q184_synthetic_questions(spark, d):
-    return U.synthetic_questions(edges(spark, d))
-
-
-@query(f"""{_BASE}, t as (select 'imports-of' as kind, repo, src as file from edges where kind = 'import' union select 'who-calls', repo, dst from edges where kind = 'call') select kind, count(*) as questions, count(distinct repo) as repos from t group by kind""")
-def q186_synthetic_summary(spark, d):
-    return U.synthetic_summary(U.synthetic_questions(edges(spark, d), None))
-
-
 @query(f"""with {EDGES_SQL}, {NODES_SQL} select n.repo, count(*) as files, (select count(*) from edges e where e.repo = n.repo) as edges, sum(loc)::bigint as loc, min(file) as entry from nodes n group by n.repo""")
 def q188_graph_facts(spark, d):
     return U.graph_facts(nodes(spark, d), edges(spark, d))

@@ -111,19 +111,6 @@ def common_prefix(paths: DataFrame, group: str) -> DataFrame:
     return ends.select(group, F.array_join(F.slice("a", 1, F.least(F.size(same), F.size("a") - 1)), "/").alias("prefix"))
 
 
-def truths(edges: DataFrame, reach: DataFrame, cyclic: DataFrame) -> DataFrame:
-    """180: expected answers (repo, file, kind, answer) of imports-of, who-calls, blast-radius and cycle-through."""
-    ring = cyclic.select("repo", "file", "component")
-    through = ring.join(ring.select("repo", F.col("file").alias("answer"), "component"), ["repo", "component"])
-    parts = [
-        edges.filter("kind = 'import'").select("repo", F.col("src").alias("file"), F.lit("imports-of").alias("kind"), F.col("dst").alias("answer")),
-        edges.filter("kind = 'call'").select("repo", F.col("dst").alias("file"), F.lit("who-calls").alias("kind"), F.col("src").alias("answer")),
-        reach.select("repo", F.col("dst").alias("file"), F.lit("blast-radius").alias("kind"), F.col("src").alias("answer")),
-        through.select("repo", "file", F.lit("cycle-through").alias("kind"), "answer"),
-    ]
-    return reduce(DataFrame.union, parts).distinct()
-
-
 def reading_order(entries: DataFrame, key_files: DataFrame, impact: DataFrame) -> DataFrame:
     """166: entry points first, then key files, then impact; a file stands where it comes first."""
     parts = [df.select("repo", "file", F.lit(k).alias("rank")) for k, df in enumerate((entries, key_files, impact))]

@@ -67,23 +67,6 @@ def parity(scores: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     return scores.join(other, F.col("engine") < F.col("other")).select("engine", "other", (F.col("f1") >= F.col("__f1") - tolerance).alias("holds"))
 
 
-def synthetic_questions(edges: DataFrame, most: int | None = 5) -> DataFrame:
-    """184: for each repository and kind the files to ask about, the most connected first, and how many answers each has."""
-    imports, calls = edges.filter("kind = 'import'"), edges.filter("kind = 'call'")
-    asked = imports.groupBy(F.lit("imports-of").alias("kind"), "repo", F.col("src").alias("file")).agg(F.count_distinct("dst").alias("n"))
-    asked = asked.union(calls.groupBy(F.lit("who-calls").alias("kind"), "repo", F.col("dst").alias("file")).agg(F.count_distinct("src").alias("n")))
-    if most is None:
-        return asked
-    degree = edges.select("repo", F.col("src").alias("file")).union(edges.select("repo", "dst")).groupBy("repo", "file").agg(F.count("*").alias("__d"))
-    k = F.row_number().over(Window.partitionBy("kind", "repo").orderBy(F.desc("__d"), "file"))
-    return asked.join(degree, ["repo", "file"]).withColumn("k", k).filter(F.col("k") <= most).select("kind", "repo", "file", "n", "k")
-
-
-def synthetic_summary(questions: DataFrame) -> DataFrame:
-    """186: questions and repositories of each kind."""
-    return questions.groupBy("kind").agg(F.count("*").alias("questions"), F.count_distinct("repo").alias("repos"))
-
-
 def graph_facts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """188: files, edges, lines and the first file of each repository."""
     n = nodes.groupBy("repo").agg(F.count("*").alias("files"), F.sum("loc").alias("loc"), F.min("file").alias("entry"))

@@ -205,28 +205,31 @@ def js_facts(files: DataFrame, most_chars: int = 2_000_000, seconds: float = 5)
     return _facts(files, jsread.facts, big, most_chars, seconds, _JS)
 
 
+#: What decides where an object ends: whole strings, braces, escapes, and a quotation mark that isn't closed.
+JSON_MARK = re.compile(r'"(?:\\.|[^"\\])*"|[{}]|\\.|"', re.S)
+
+
 def _json_object(text: str | None) -> str | None:
     if text is None or (start := text.find("{")) < 0:
         return None
-    depth, quoted, skip = 0, False, False
-    for i, c in enumerate(text[start:], start):
-        if skip:
-            skip = False
-        elif c == "\\":
-            skip = True
-        elif c == '"':
-            quoted = not quoted
-        elif not quoted and c in "{}":
-            depth += 1 if c == "{" else -1
+    depth = 0
+    for m in JSON_MARK.finditer(text, start):
+        mark = m[0]
+        if mark == '"':
+            return None
+        if mark in "{}":
+            depth += 1 if mark == "{" else -1
             if not depth:
-                return text[start : i + 1]
+                return text[start : m.end()]
     return None
 
 
 def json_object(text: Column) -> Column:
-    """64: the first balanced JSON object in noisy text; null without one."""
+    """64: the first balanced JSON object in noisy text; null without one. Texts that are one object, or hold none, don't go to Python."""
 
     def run(s: pd.Series) -> pd.Series:
         return pd.Series([_json_object(x) for x in s], dtype=object)
 
-    return F.pandas_udf(run, "string")(text)
+    bare = F.trim(text)
+    whole = bare.startswith("{") & bare.endswith("}") & F.try_parse_json(bare).isNotNull()
+    return F.when(whole, bare).otherwise(F.pandas_udf(run, "string")(F.when(text.contains("{") & ~F.coalesce(whole, F.lit(False)), text)))

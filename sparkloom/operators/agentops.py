@@ -75,9 +75,9 @@ def curate_tools(questions: DataFrame, tools: list[tuple[str, list[str], int, in
     return scored.withColumn("place", rank).filter(F.col("place") <= most).select("query_id", "tool", "place")
 
 
-def best_of(candidates: DataFrame, by: list[str]) -> DataFrame:
-    """161: the candidate with the best .5 grounding, .3 coverage and .2 substance; the first on a tie."""
-    score = F.round(0.5 * F.col("grounding") + 0.3 * F.col("coverage") + 0.2 * F.col("substance"), 6)
+def best_of(candidates: DataFrame, by: list[str], scorer: Column | None = None) -> DataFrame:
+    """161, 213: the candidate with the best score, by default .5 grounding, .3 coverage and .2 substance; the first on a tie."""
+    score = F.round(0.5 * F.col("grounding") + 0.3 * F.col("coverage") + 0.2 * F.col("substance"), 6) if scorer is None else scorer
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "candidate"))
     return candidates.withColumn("score", score).withColumn("k", rank).filter("k = 1").drop("k")
 

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from . import retrieval as R
 
-MOST_TURNS, MOST_CALLS = 6, 10
-
-
 def search_code(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """151: lexical search with k held to 1..10."""
     return R.bm25(chunks, queries, max(1, min(10, k)))
@@ -25,14 +22,6 @@ def match_prefix(wanted: DataFrame, shas: DataFrame, length: int = 7) -> DataFra
     return wanted.join(one, "prefix", "left")
 
 
-def replay(turns: DataFrame, group: str, order: str, is_call: Column, is_answer: Column) -> DataFrame:
-    """155: a recorded agent run within its bounds: turns and calls that count, and whether an answer was forced."""
-    by = Window.partitionBy(group).orderBy(order)
-    rows = turns.withColumn("__k", F.row_number().over(by)).withColumn("__c", F.sum(is_call.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    kept = rows.filter((F.col("__k") <= MOST_TURNS) & (F.col("__c") <= MOST_CALLS))
-    return kept.groupBy(group).agg(F.count("*").alias("turns"), F.sum(is_call.cast("long")).alias("calls"), (~F.bool_or(is_answer)).alias("forced"))
-
-
 def ground_findings(findings: DataFrame, known: DataFrame, most: int = 3) -> DataFrame:
     """160: findings (cluster, specialist, finding, importance, files) with the files that exist; the most important
     of each specialist stay, and what was dropped is counted."""

@@ -77,12 +77,6 @@ def progress(events: DataFrame, job: str, order: list[str], stage: str, terminal
     return fresh.filter((F.coalesce("__done", F.lit(0)) == 0) & (F.col("__high").isNull() | (F.col(stage) > F.col("__high")))).drop("__high", "__done")
 
 
-def sessions(turns: DataFrame, most_turns: int = 8, most_chars: int = 600) -> DataFrame:
-    """199, 146: the last turns of each session, texts cut to a length."""
-    kept = last_n(turns, "conv_id", [F.desc("turn")], most_turns)
-    return kept.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.length(F.substring("text", 1, most_chars))).alias("chars"), F.max_by("role", "turn").alias("last_role"))
-
-
 def set_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """145, 201: keys that came, went or stayed."""
     a, b = old.select(keys).distinct().withColumn("__old", F.lit(True)), new.select(keys).distinct().withColumn("__new", F.lit(True))

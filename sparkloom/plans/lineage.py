@@ -44,13 +44,20 @@ def drop(*tables: DataFrame) -> None:
 
 
 def kept(spark: SparkSession, path: str, name: str, make: Callable[[], T]) -> T:
-    """What make gives for the data at path, made once in an application as long as the data there stay the same."""
+    """What make gives for the data at path, made once in an application as long as the files there stay the same.
+
+    Files are told by name, size and time. What was made for other files of that path is let go; its tables stay in their folder, as
+    plans may still read them."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    status = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
-    key = (spark.sparkContext.applicationId, name, path, status.getModificationTime(), status.getLen())
-    if key not in _KEPT:
-        _KEPT[key] = make()
-    return _KEPT[key]
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+    seen = []
+    while files.hasNext():
+        f = files.next()
+        seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    key, state = (spark.sparkContext.applicationId, name, path), tuple(sorted(seen))
+    if key not in _KEPT or _KEPT[key][0] != state:
+        _KEPT[key] = (state, make())
+    return _KEPT[key][1]
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -98,4 +98,4 @@ def register_parser_udtf(spark: SparkSession, name: str = "python_facts") -> Non
 
 def hybrid_scorer(candidates: DataFrame, registry: Registry, scorer: str, by: list[str]) -> DataFrame:
     """213: the best candidate by a scorer from the registry."""
-    return agentops.best_of(candidates.withColumn("score", registry.scorers[scorer]()), by)
+    return agentops.best_of(candidates, by, registry.scorers[scorer]())

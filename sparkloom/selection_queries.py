@@ -38,12 +38,6 @@ def q082_sha_prefix(spark, d):
     return S.match_prefix(table(spark, d, "customer").select(prefix.alias("prefix")).distinct(), shas)
 
 
-@query("""with r as (select *, row_number() over w as k, sum((role = 'user')::int) over (partition by conv_id order by turn rows unbounded preceding) as c from conversations window w as (partition by conv_id order by turn))
-select conv_id, count(*) as turns, sum((role = 'user')::int)::bigint as calls, not bool_or(role = 'assistant') as forced from r where k <= 6 and c <= 10 group by conv_id""")
-def q155_agent_replay(spark, d):
-    return S.replay(table(spark, d, "conversations"), "conv_id", "turn", F.col("role") == "user", F.col("role") == "assistant")
-
-
 @query(f"""with {EDGES_SQL}, {NODES_SQL}, f as (select repo as cluster, kind as specialist, evidence as finding, line as importance, src as file from edges union select repo, kind, evidence, line, dst * 2 from edges),
 m as (select f.*, n.file is not null as ok from f left join nodes n on n.repo = f.cluster and n.file = f.file), p as (select cluster, specialist, finding, importance, count(*) filter (where ok) as grounded, count(*) filter (where not ok) as dropped from m group by all),
 r as (select *, row_number() over (partition by cluster, specialist order by importance desc, finding) as place from p where grounded > 0) select * from r where place <= 3""")
@@ -93,16 +87,6 @@ def q063_one_space(spark, d):
     return S.same_space(v, "m", 64).select("id", F.size("v").cast("long").alias("dim"))
 
 
-@query("""with s as (select user_id, max(ts) as seen from events group by user_id), m as (select max(ts) as now from events), l as (select * from s, m where epoch(date_trunc('second', now)) - epoch(date_trunc('second', seen)) < 86400)
-select user_id, count(*) as turns from (select user_id, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events semi join l using (user_id)) where k <= 8 group by user_id""")
-def q222_session_ttl(spark, d):
-    e = table(spark, d, "events")
-    now = e.agg(F.max("ts")).first()[0]
-    alive = M.fresh(e.groupBy("user_id").agg(F.max("ts").alias("seen")).withColumn("size", F.lit(1)), "seen", F.lit(now).cast("timestamp"), 86400, "size", 1)
-    kept = M.last_n(e.join(alive.select("user_id"), "user_id", "left_semi"), "user_id", [F.desc("ts"), F.desc("event_id")], 8)
-    return kept.groupBy("user_id").agg(F.count("*").alias("turns"))
-
-
 @query("select p_partkey, p_partkey % 2 = 0 as member from part")
 def q227_sandbox(spark, d):
     files = _part_files(spark, d).select("p_partkey", "path")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -14,47 +18,72 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-class VectorStore:
-    """8, 10, 11, 63: vectors by namespace, one Parquet partition each; the last record of an id wins."""
+class _Latest:
+    """Rows by namespace and id in files that are only ever added to; of an id the row of the last write counts.
 
-    SCHEMA = "id string, vector array<double>, file string, seq long, namespace string"
+    A write is one append of its own rows, stamped with its time and a key of its own, so that writers don't touch each other's
+    and a write that is lost midway leaves nothing behind. compact() writes anew what counts."""
 
-    def __init__(self, spark: SparkSession, path: str, dim: int):
-        self.spark, self.path, self.dim = spark, path, dim
+    ORDER = "written long, writer string, seq long"
 
-    def read(self, namespace: str) -> DataFrame:
-        return _read(self.spark, self.path, self.SCHEMA).filter(F.col("namespace") == namespace)
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path, f"{schema}, {self.ORDER}, namespace string"
 
-    def upsert(self, namespace: str, records: DataFrame) -> None:
-        """records (id, vector, file). A vector of another dimension fails the write as a whole."""
-        right = F.assert_true(F.size("vector") == self.dim, F.lit("a vector has another dimension than its store"))
-        new = records.filter(right.isNull()).withColumns({"seq": F.monotonically_increasing_id() + 2**40, "namespace": F.lit(namespace)})
-        every = self.read(namespace).withColumn("seq", F.lit(0).cast("long")).unionByName(new)
-        last = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("seq")))
-        rows = every.withColumn("k", last).filter("k = 1").drop("k")
-        staged = f"{self.path}-staged"
-        rows.write.mode("overwrite").parquet(staged)  # what is read here is overwritten below
-        self.spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("namespace").parquet(self.path)
+    def _rows(self, namespace: str) -> DataFrame:
+        return _read(self.spark, self.path, self.schema).filter(F.col("namespace") == namespace)
+
+    def _last(self, namespace: str) -> DataFrame:
+        last = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("written"), F.desc("writer"), F.desc("seq")))
+        return self._rows(namespace).withColumn("__k", last).filter("__k = 1").drop("__k", "written", "writer", "seq")
+
+    def _write(self, namespace: str, rows: DataFrame) -> None:
+        mark = {"written": F.lit(time.time_ns()), "writer": F.lit(uuid.uuid4().hex), "seq": F.monotonically_increasing_id(), "namespace": F.lit(namespace)}
+        rows.withColumns(mark).write.mode("append").partitionBy("namespace").parquet(self.path)
+
+    def compact(self, namespace: str) -> None:
+        """Leaves one row for each id. What counts is added first and the files before it go after that, so that a reader
+        always finds it; a run that is cut off leaves rows that don't count, no gap."""
+        old = [r[0] for r in self._rows(namespace).select(F.input_file_name()).distinct().collect()]
+        self._write(namespace, self._last(namespace).drop("namespace"))
+        for name in old:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, False)
 
     def count(self, namespace: str) -> int:
-        return self.read(namespace).count()
+        return self._rows(namespace).select("id").distinct().count()
 
     def drop(self, namespace: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/namespace={self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(namespace)}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-class TextStore:
-    """9: texts by id; ids that aren't there are left out."""
+class VectorStore(_Latest):
+    """8, 10, 11, 63: vectors by namespace; the last record of an id wins."""
+
+    def __init__(self, spark: SparkSession, path: str, dim: int):
+        super().__init__(spark, path, "id string, vector array<double>, file string")
+        self.dim = dim
+
+    def read(self, namespace: str) -> DataFrame:
+        return self._last(namespace)
+
+    def upsert(self, namespace: str, records: DataFrame) -> None:
+        """records (id, vector, file), of which of an id the last one counts. A vector of another dimension fails the write as a whole."""
+        right = F.assert_true(F.size("vector") == self.dim, F.lit("a vector has another dimension than its store"))
+        self._write(namespace, records.filter(right.isNull()).select("id", "vector", "file"))
+
+
+class TextStore(_Latest):
+    """9: texts by namespace and id; an id that is put again has the new text, one that isn't there is left out."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        super().__init__(spark, path, "id string, text string")
 
-    def put(self, texts: DataFrame) -> None:
-        texts.select("id", "text").write.mode("append").parquet(self.path)
+    def put(self, texts: DataFrame, namespace: str = "default") -> None:
+        self._write(namespace, texts.select("id", "text"))
 
-    def get(self, ids: DataFrame) -> DataFrame:
-        return _read(self.spark, self.path, "id string, text string").join(ids.select("id").distinct(), "id")
+    def get(self, ids: DataFrame, namespace: str = "default") -> DataFrame:
+        return self._last(namespace).select("id", "text").join(ids.select("id").distinct(), "id")
 
 
 class AnalysisCache:
@@ -91,6 +120,18 @@ def export_trace(spans: DataFrame, path: str) -> None:
     spans.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
 
 
+def export_traces(spans: DataFrame, sinks: dict[str, Callable[[DataFrame], None]]) -> dict[str, str]:
+    """19: spans to several sinks by name. A sink that fails stops neither the others nor the run; returns what each came to."""
+    out = {}
+    for name, sink in sinks.items():
+        try:
+            sink(spans)
+            out[name] = "ok"
+        except Exception as e:  # whatever a sink may raise
+            out[name] = f"failed: {type(e).__name__}"
+    return out
+
+
 def dataset_violations(questions: DataFrame) -> DataFrame:
     """18, 220: questions (id, question, expected_files) that break a dataset's rules, by rule."""
     twice = questions.groupBy("id").count().filter("count > 1").select("id", F.lit("duplicate-id").alias("rule"))

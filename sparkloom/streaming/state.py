@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,13 +10,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.recorded import ANSWER_UNITS, SESSION_CHUNKS, SESSION_ENTITIES, SESSION_SECONDS, SESSION_TURNS
 
-def progress(events: DataFrame) -> DataFrame:
+
+#: How long a key may be idle, in milliseconds of the cluster's clock, before its state is dropped.
+IDLE = 86_400_000
+
+
+def progress(events: DataFrame, idle: int = IDLE) -> DataFrame:
     """195: events (job, seq, stage, terminal) whose stage is beyond all that were sent, up to the first terminal one.
 
-    Events of a batch are taken in order of seq; the state is the highest stage and whether the job is over."""
+    Events of a batch are taken in order of seq; the state is the highest stage and whether the job is over. It goes when the
+    job has been idle."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         high, over = state.get if state.exists else (-(2**31), False)
         rows = pd.concat(list(batches)).sort_values("seq")
         out = []
@@ -25,29 +36,78 @@ def progress(events: DataFrame) -> DataFrame:
                 high = stage
             over = over or terminal
         state.update((int(high), bool(over)))
+        state.setTimeoutDuration(idle)
         yield pd.DataFrame(out, columns=["job", "seq", "stage"])
 
-    return events.groupBy("job").applyInPandasWithState(step, "job long, seq long, stage long", "high long, over boolean", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("job").applyInPandasWithState(step, "job long, seq long, stage long", "high long, over boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def sessions(turns: DataFrame, most_turns: int = 8, most_chars: int = 600) -> DataFrame:
-    """199: after each batch the session's last turns (conv_id, turn, role, text); state is held to its bounds."""
+def remembered(text: str | None) -> dict:
+    """A session's state from what is stored; what can't be read is an empty session."""
+    try:
+        out = json.loads(text or "null")
+    except ValueError:
+        out = None
+    if isinstance(out, dict) and all(isinstance(out.get(k), kind) for k, kind in (("turns", list), ("entities", list), ("chunks", list), ("last", int), ("seen", int))):
+        return out
+    return {"turns": [], "entities": [], "chunks": [], "last": 0}
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        turn, role, chars = (list(x) for x in state.get) if state.exists else ([], [], [])
-        rows = pd.concat(list(batches)).sort_values("turn")
-        kept = sorted([*zip(turn, role, chars, strict=True), *zip(rows["turn"].tolist(), rows["role"].tolist(), [len(t[:most_chars]) for t in rows["text"]], strict=True)])[-most_turns:]
-        turn, role, chars = ([r[i] for r in kept] for i in range(3))
-        state.update((turn, role, chars))
-        yield pd.DataFrame([(key[0], len(kept), sum(chars), role[-1])], columns=["conv_id", "turns", "chars", "last_role"])
 
-    return turns.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, turns long, chars long, last_role string", "turn array<long>, role array<string>, chars array<long>", "update", GroupStateTimeout.NoTimeout)
+def append_turn(now: dict, ts: int, analysis: object, answer: str | None, chunks: list, entities: list, seconds: int = SESSION_SECONDS) -> dict:
+    """199, 222: a session after one more turn (ts in microseconds), within its bounds.
+
+    Another analysis, and a turn too long after the last, begin it anew. Entities spoken of come to the front; chunk ids seen again
+    move to the end."""
+    if now.get("analysis") != analysis or ts - now.get("seen", ts) >= seconds * 1_000_000:
+        now = {"turns": [], "entities": [], "chunks": [], "last": 0}
+    turn = now["last"] + 1
+    own = list(dict.fromkeys((e["kind"], e["value"]) for e in entities))
+    rest = [e for e in now["entities"] if (e[0], e[1]) not in own]
+    seen = list(dict.fromkeys(reversed([*now["chunks"], *[c for c in chunks if c is not None]])))[::-1]
+    return {
+        "analysis": analysis, "seen": ts, "last": turn, "turns": [*now["turns"], [turn, cut(answer, ANSWER_UNITS)]][-SESSION_TURNS:],
+        "entities": ([[k, v, turn] for k, v in own] + rest)[:SESSION_ENTITIES], "chunks": seen[-SESSION_CHUNKS:],
+    }
 
 
-def rate_limits(hits: DataFrame, seconds: int, most: int) -> DataFrame:
-    """196, from the first hit: how many hits (key, t in microseconds) each key was allowed so far."""
+def cut(text: str | None, most: int) -> str | None:
+    if text is None or len(text.encode("utf-16-le")) // 2 <= most:
+        return text
+    return text.encode("utf-16-le")[: 2 * (most - 1)].decode("utf-16-le", "ignore") + "…"
+
+
+def sessions(turns: DataFrame, late: str = "10 minutes", seconds: int = SESSION_SECONDS) -> DataFrame:
+    """199, 222: each session of a batch as it is after it: (session, analysis, turns, answers, entities, chunks).
+
+    turns: (session, seq, ts, analysis, answer, chunks, entities: array<struct<kind, value>>). A turn is appended as in operators.recorded;
+    rows without session, ts or analysis are broken and are passed over. State is one row of JSON; what can't be read is an empty
+    session. A timer of event time drops a session that has been idle for `seconds`; turns later than the watermark don't count."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now = remembered(state.get[0] if state.exists else None)
+        rows = pd.concat(list(batches)).sort_values(["t", "seq"])
+        for t, analysis, answer, chunks, entities in zip(rows["t"].tolist(), rows["analysis"].tolist(), rows["answer"].tolist(), rows["chunks"], rows["entities"], strict=True):
+            now = append_turn(now, t, analysis, answer, [] if chunks is None else list(chunks), [] if entities is None else list(entities), seconds)
+        state.update((json.dumps(now),))
+        state.setTimeoutTimestamp(max(now["seen"] // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(key[0], now["analysis"], [n for n, _ in now["turns"]], [a for _, a in now["turns"]], [v for _, v, _ in now["entities"]], now["chunks"])], columns=["session", "analysis", "turns", "answers", "entities", "chunks"])
+
+    own = turns.withWatermark("ts", late).filter("session is not null and ts is not null and analysis is not null").withColumn("t", F.unix_micros("ts"))
+    own = own.select("session", "seq", "ts", "t", F.col("analysis").cast("string").alias("analysis"), "answer", F.col("chunks").cast("array<string>").alias("chunks"), "entities")
+    shape = f"session {dict(own.dtypes)['session']}, analysis string, turns array<long>, answers array<string>, entities array<string>, chunks array<string>"
+    return own.groupBy("session").applyInPandasWithState(step, shape, "json string", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def rate_limits(hits: DataFrame, seconds: int, most: int, idle: int = IDLE) -> DataFrame:
+    """196, from the first hit: how many hits (key, t in microseconds) each key was allowed so far; an idle key is forgotten."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         opened, n, hits_, allowed = state.get if state.exists else (None, 0, 0, 0)
         for t in sorted(pd.concat(list(batches))["t"].tolist()):
             if opened is None or t - opened >= seconds * 1_000_000:
@@ -55,9 +115,10 @@ def rate_limits(hits: DataFrame, seconds: int, most: int) -> DataFrame:
             n, hits_ = n + 1, hits_ + 1
             allowed += n <= most
         state.update((opened, n, hits_, int(allowed)))
+        state.setTimeoutDuration(max(idle, seconds * 1000))
         yield pd.DataFrame([(key[0], hits_, allowed)], columns=["key", "hits", "allowed"])
 
-    return hits.groupBy("key").applyInPandasWithState(step, "key long, hits long, allowed long", "opened long, n long, hits long, allowed long", "update", GroupStateTimeout.NoTimeout)
+    return hits.groupBy("key").applyInPandasWithState(step, "key long, hits long, allowed long", "opened long, n long, hits long, allowed long", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def aligned_limits(hits: DataFrame, seconds: int, late: str = "10 minutes") -> DataFrame:
@@ -65,6 +126,6 @@ def aligned_limits(hits: DataFrame, seconds: int, late: str = "10 minutes") -> D
     return hits.withWatermark("ts", late).groupBy(F.window("ts", f"{seconds} seconds"), "key").agg(F.count("*").alias("hits")).select("key", F.col("window.start").cast("long").alias("window"), "hits")
 
 
-def daily_budget(spend: DataFrame, late: str = "1 day") -> DataFrame:
-    """197: what each unit spent by UTC day (unit, ts, amount)."""
-    return spend.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "unit").agg(F.sum("amount").alias("spent")).select("unit", F.col("window.start").cast("date").alias("day"), "spent")
+def daily_budget(spend: DataFrame, late: str = "1 day", limit: float = float("inf")) -> DataFrame:
+    """197: what each unit spent by UTC day (unit, ts, amount), and whether it may spend more: as long as that is at most the limit."""
+    return spend.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "unit").agg(F.sum("amount").alias("spent")).select("unit", F.col("window.start").cast("date").alias("day"), "spent", (F.col("spent") <= limit).alias("open"))

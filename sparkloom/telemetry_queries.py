@@ -102,12 +102,6 @@ def q194_progress_log(spark, d):
     return L.numbered(table(spark, d, "events"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "seq")
 
 
-@query("""with r as (select *, row_number() over (partition by conv_id order by turn desc) as k from conversations)
-select conv_id, count(*) as turns, sum(length(substr(text, 1, 600)))::bigint as chars, max_by(role, turn) as last_role from r where k <= 8 group by conv_id""")
-def q199_session_memory(spark, d):
-    return M.sessions(table(spark, d, "conversations"))
-
-
 @query("select conv_id, max_by(role, turn) as entity, max(turn) as turn from conversations where role <> 'system' group by conv_id")
 def q200_most_recent_entity(spark, d):
     return L.latest(table(spark, d, "conversations").filter("role <> 'system'"), "conv_id", "turn", "role").withColumnRenamed("role", "entity")

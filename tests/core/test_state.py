@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sparkloom.operators import retrieval as R
 from sparkloom.operators import telemetry as M
 from sparkloom.plans import control as C
+from sparkloom.plans import lineage
 from sparkloom.sources import stores
 from sparkloom.streaming import state as S
 
@@ -38,13 +39,6 @@ def test_progress(spark, events, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
 
 
-def test_sessions(spark, tmp_path):
-    t = spark.read.parquet(f"{DIR}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    got = streamed(spark, t.withColumn("__part", (F.col("turn") >= 2).cast("int")), 2, lambda df: S.sessions(df, 3, 50), tmp_path, "update")
-    last = {r.conv_id: tuple(r) for r in got.collect()}
-    assert last == {r.conv_id: tuple(r) for r in M.sessions(t, 3, 50).select("conv_id", "turns", "chars", "last_role").collect()}
-
-
 def test_rate_limits(spark, events, tmp_path):
     hits = events.select(F.col("user_id").alias("key"), F.unix_micros("ts").alias("t"))
     part = F.ntile(2).over(__import__("pyspark").sql.Window.orderBy("t")) - 1
@@ -97,6 +91,11 @@ def test_other_stores(spark, tmp_path):
     assert t.get(ids).count() == 0
     t.put(spark.createDataFrame([("a", "x"), ("b", "y")], "id string, text string"))
     assert [tuple(r) for r in t.get(ids).collect()] == [("a", "x")]
+    t.put(spark.createDataFrame([("a", "new")], "id string, text string"))
+    t.put(spark.createDataFrame([("a", "other")], "id string, text string"), "space")
+    assert [tuple(r) for r in t.get(ids).collect()] == [("a", "new")] and [tuple(r) for r in t.get(ids, "space").collect()] == [("a", "other")]
+    t.compact("default")
+    assert [tuple(r) for r in t.get(ids).collect()] == [("a", "new")] and t._rows("default").count() == t.count("default") == 2 and t.count("space") == 1
     c = stores.AnalysisCache(spark, str(tmp_path / "c"))
     rows = spark.sql("select 'r' as repo, string(id % 3) as sha, 1 as version, timestamp '2024-01-01' + make_interval(0, 0, 0, int(id)) as indexed_at, 'x' as result from range(5)")
     assert c.save(rows) == 3 and c.save(rows) == 0 and c.latest(2).count() == 2
@@ -107,10 +106,18 @@ def test_other_stores(spark, tmp_path):
     stores.export_trace(spark.createDataFrame([(1, "a")], "span int, kind string"), str(tmp_path / "s"))
     assert spark.read.json(str(tmp_path / "s")).first().kind == "a"
 
+    def refuses(spans):
+        raise OSError("no")
+
+    told = []
+    assert stores.export_traces(c.read(), {"lines": lambda df: stores.export_trace(df, str(tmp_path / "u")), "broken": refuses, "count": lambda df: told.append(df.count())}) == {"lines": "ok", "broken": "failed: OSError", "count": "ok"}
+    assert told == [3] and spark.read.json(str(tmp_path / "u")).count() == 3
+
 
 def test_mmr_and_vectors(spark):
-    assert R.mmr_order([1.0, 0.9, 0.8], ["a", "b", "c"], ["x", "x", "y"], 3, 0.7) == [0, 2, 1]
-    assert R.mmr_order([1.0, 1.0], ["b", "a"], ["x", "x"], 1, 1.0) == [1] and R.mmr_order([1.0], ["a"], ["x"], 0, 0.7) == []
+    alike = R.likeness(["x", "x", "y"], [None] * 3)
+    assert R.mmr_order([1.0, 0.9, 0.8], ["a", "b", "c"], alike, 3, 0.7) == [0, 2, 1]
+    assert R.mmr_order([1.0, 1.0], ["b", "a"], alike[:2, :2], 1, 1.0) == [1] and R.mmr_order([1.0], ["a"], alike[:1, :1], 0, 0.7) == []
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [0.6, 0.8])], "id long, v array<double>")
     q = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, v array<double>")
     assert [(r.id, r.score) for r in R.vector_topk(v, q, 5).orderBy("rank").collect()] == [(1, 1.0), (3, 0.6), (2, 0.0)]
@@ -126,3 +133,15 @@ def test_layers_and_status(spark):
     assert got == {"ingest": 0, "orient": 1, "map": 1, "inventory": 2, "connect": 3, "rag": 3, "analyze": 4, "synthesize": 5}
     ring = spark.createDataFrame([("g", "a", "b"), ("g", "b", "a")], "group string, before string, node string")
     assert C.layers(spark.createDataFrame([("g", "a"), ("g", "b"), ("g", "c")], "group string, node string"), ring).count() == 1
+
+
+def test_what_is_kept_follows_the_files(spark, tmp_path):
+    from pathlib import Path
+
+    path, made = str(tmp_path / "t"), []
+    make = lambda: made.append(spark.read.parquet(path).count()) or made[-1]
+    spark.range(3).write.parquet(path)
+    assert (lineage.kept(spark, path, "n", make), lineage.kept(spark, path, "n", make), len(made)) == (3, 3, 1)
+    spark.range(4).write.mode("append").parquet(path)
+    assert (lineage.kept(spark, path, "n", make), len(made)) == (7, 2)
+    assert Path(path).is_dir()

@@ -15,6 +15,7 @@ from .operators import ordered_graph as O
 from .operators import retrieval as R
 from .operators import support as U
 from .operators import telemetry as M
+from .plans import registry as X
 from .retrieval_queries import _POSTINGS, chunks, index, questions
 from .sources import scan as C
 from .sources.bindings import EDGES_SQL, NODES_SQL, edges, nodes, table
@@ -194,6 +195,19 @@ def q152_what_changed(spark, d):
     return U.what_changed(snapshots, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("snap"), F.col("l_suppkey").alias("file")))
 
 
+#: A scorer in a model's place: the share of the query's words in the text's first 2000 characters.
+def _share(queries: list[str], texts: list[str]) -> list[float]:
+    return [len(set(q.split()) & set(t.split())) / max(len(set(q.split())), 1) for q, t in zip(queries, texts, strict=True)]
+
+
+@query(rf"""with {_POSTINGS}, h as (select * from lexical where rank <= 20), w as (select query_id, id, list_distinct(list_filter(string_split_regex(b.text, '\s+'), lambda x: x <> '')) as q, list_distinct(list_filter(string_split_regex(substr(d.text, 1, 2000), '\s+'), lambda x: x <> '')) as t
+  from h join benchmark b on b.item_id = query_id join documents d on d.doc_id = id), s as (select query_id, id, round(len(list_intersect(q, t)) / greatest(len(q), 1), 6) as score from w)
+select *, row_number() over (partition by query_id order by score desc, id)::int as rank from s""")
+def q118_cross_encoder(spark, d):
+    c, q = chunks(spark, d), questions(spark, d)
+    return X.cross_encoder("share", _share)(R.bm25(index(spark, d), q, 20), q, c)
+
+
 @query(f"with {_POSTINGS}, h as (select * from lexical where rank <= 10) select query_id, id, 10 - rank as score, rank::int as rank from h")
 def q118_identity_rerank(spark, d):
     return R.bm25(index(spark, d), questions(spark, d), 10).select("query_id", "id", (10 - F.col("rank")).cast("long").alias("score"), "rank")
@@ -317,6 +331,27 @@ def q171_site_rows(spark, d):
     return last.select("conv_id", F.when(F.col("text").rlike("[A-Za-z]"), "ok").otherwise("empty").alias("status"), T.estimate_tokens(F.col("text")).alias("tokens"))
 
 
+#: An order claims its suppliers' lines of parts; a part has as many lines as its size; what came back (R) was retrieved, with room around it.
+_CLAIMS = """claims as (select distinct l_orderkey as task, l_partkey * case when l_linenumber % 5 = 0 then 100000 else 1 end as file, case when l_linenumber % 4 <> 0 then l_linenumber * 5 - 5 end as s, case when l_linenumber % 4 <> 0 then l_linenumber * 5 + l_quantity::int % 9 - 4 end as e from lineitem),
+files as (select p_partkey as file, case when p_partkey % 6 <> 0 then p_size end as lines from part),
+got as (select distinct l_orderkey as task, l_partkey as file, l_linenumber * 5 - 5 as s, l_linenumber * 5 as e from lineitem where l_returnflag = 'R'),
+v as (select task, 'files' as verifier, count(*) as claims, count(*) filter (where not exists (select 1 from files f where f.file = c.file)) as bad from (select distinct task, file from claims) c group by task
+  union all select task, 'lines', count(*), count(*) filter (where s < 1 or e < s or coalesce(e > lines, false)) from claims left join files using (file) where s is not null and e is not null group by task
+  union all select task, 'citations', count(*), count(*) filter (where not exists (select 1 from got g where g.task = c.task and g.file = c.file and (c.s is null or c.s >= g.s) and (c.e is null or c.e <= g.e))) from claims c group by task)"""
+
+
+@query(f"""with {_CLAIMS}, t as (select distinct l_orderkey as task, unnest(['files', 'lines', 'citations']) as verifier from lineitem)
+select task, verifier, coalesce(claims, 0) as claims, coalesce(bad, 0) as bad, round(case when coalesce(claims, 0) = 0 then 1 else 1 - bad / claims end, 6) as score, coalesce(bad, 0) = 0 as passed from t left join v using (task, verifier)""")
+def q182_grounding_verifiers(spark, d):
+    l, n = table(spark, d, "lineitem"), F.col("l_linenumber")
+    task, asked = F.col("l_orderkey").alias("task"), n % 4 != 0
+    file = F.col("l_partkey") * F.when(n % 5 == 0, 100000).otherwise(1)
+    claims = l.select(task, file.alias("file"), F.when(asked, n * 5 - 5).alias("start"), F.when(asked, n * 5 + F.round("l_quantity").cast("int") % 9 - 4).alias("end"))
+    files = table(spark, d, "part").select(F.col("p_partkey").alias("file"), F.when(F.col("p_partkey") % 6 != 0, F.col("p_size")).alias("lines"))
+    got = l.filter("l_returnflag = 'R'").select(task, F.col("l_partkey").alias("file"), (n * 5 - 5).alias("start"), (n * 5).alias("end"))
+    return I.verify_grounding(claims, claims, files, got)
+
+
 @query("""with e as (select l_orderkey as id, list(distinct l_suppkey) filter (where l_linestatus = 'O') as expected, list(distinct l_suppkey) as found from lineitem group by l_orderkey)
 select id, len(list_intersect(coalesce(expected, []), found)) = len(found) and len(coalesce(expected, [])) = len(found) as exact, (len(found) - len(list_intersect(coalesce(expected, []), found)))::int as fabricated, 0::int as missed from e""")
 def q182_grounding_verifier(spark, d):

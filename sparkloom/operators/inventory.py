@@ -111,6 +111,32 @@ def cited_in(cited: DataFrame, retrieved: DataFrame) -> DataFrame:
     return cited.join(inside, cited.columns, "left").withColumn("grounded", F.coalesce("grounded", F.lit(False)))
 
 
+def verify_grounding(claims: DataFrame, tasks: DataFrame, files: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """182: three verdicts on each task's claims (task, file, start, end; lines null where a file is meant): (task, verifier, claims, bad, score, passed).
+
+    files: the files claimed are known (file, lines). lines: ranges are possible and inside their file; a file without a count can't be
+    checked, and passes. citations: what is cited lies inside one chunk that was retrieved (task, file, start, end). A task that claims nothing
+    has made nothing up: its score is 1."""
+    own = claims.select("task", "file", "start", "end").distinct()
+    known = files.groupBy("file").agg(F.max("lines").alias("lines"), F.lit(True).alias("known"))
+    met = own.join(known, "file", "left")
+    chunks = retrieved.select(F.col("task").alias("t"), F.col("file").alias("f"), F.col("start").alias("s"), F.col("end").alias("e"))
+    inside = (F.col("task") == F.col("t")) & (F.col("file") == F.col("f")) & (F.col("start").isNull() | (F.col("start") >= F.col("s"))) & (F.col("end").isNull() | (F.col("end") <= F.col("e")))
+    outside = own.join(chunks, inside, "left_anti").select("task", "file", "start", "end", F.lit(True).alias("outside"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("task", "file", "start", "end")]
+    cited = own.alias("a").join(outside.alias("b"), same, "left").select("a.task", F.col("outside").isNotNull().alias("bad"))
+    ranged = F.col("start").isNotNull() & F.col("end").isNotNull()
+    wrong = (F.col("start") < 1) | (F.col("end") < F.col("start")) | F.coalesce(F.col("end") > F.col("lines"), F.lit(False))
+    parts = {"files": met.select("task", "file", F.col("known").isNull().alias("bad")).distinct().drop("file"), "lines": met.filter(ranged).select("task", wrong.alias("bad")), "citations": cited}
+    out = None
+    for name, rows in parts.items():
+        n = rows.groupBy("task").agg(F.count("*").alias("claims"), F.sum(F.col("bad").cast("long")).alias("bad"))
+        one = tasks.select("task").distinct().join(n, "task", "left").fillna(0, ["claims", "bad"]).withColumn("verifier", F.lit(name))
+        out = one if out is None else out.union(one)
+    score = F.when(F.col("claims") == 0, 1.0).otherwise(1 - F.col("bad") / F.when(F.col("claims") > 0, F.col("claims")))
+    return out.select("task", "verifier", "claims", "bad", F.round(score, 6).alias("score"), (F.col("bad") == 0).alias("passed"))
+
+
 def hits(chunks: DataFrame, targets: DataFrame) -> DataFrame:
     """61: pairs of a chunk and a target of one file whose lines overlap."""
     t = targets.select(F.col("file").alias("f"), F.col("start").alias("ts"), F.col("end").alias("te"), "target")

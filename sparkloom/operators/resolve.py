@@ -43,15 +43,44 @@ def resolve_python(imports: DataFrame, files: DataFrame) -> DataFrame:
     return imports.join(_first_match(imports, F.array(F.concat(base, F.lit(".py")), F.concat(base, F.lit("/__init__.py"))), files, keys), keys, "left")
 
 
+#: What links look like in Markdown, what isn't read, and schemes that lead elsewhere.
+FENCED = (r"(?s)```.*?```", r"(?s)~~~.*?~~~", r"`[^`\n]*`")
+WIKI = r"\[\[([^\]|#]+?)(?:#[^\]|]*)?(?:\|[^\]]+)?\]\]"
+LINK = r"(!?\[(?:[^\[\]]|\[[^\[\]]*\])*\]\([^)\s]+?(?:\s+\"[^\"]*\")?\))"
+ELSEWHERE = r"(?i)^(?:https?:|mailto:|ftp:|file:|tel:|#)"
+
+
+def markdown_links(files: DataFrame) -> DataFrame:
+    """45: (from, kind, link): wiki links and links of Markdown files (path, content), outside fences and code. Images, other schemes and bare anchors
+    are left out."""
+    text = F.col("content")
+    for pattern in FENCED:
+        text = F.regexp_replace(text, pattern, "")
+    rows = files.select(F.col("path").alias("from"), text.alias("t"))
+    wiki = rows.select("from", F.lit("wikilink").alias("kind"), F.explode(F.regexp_extract_all("t", F.lit(WIKI), F.lit(1))).alias("link")).withColumn("link", F.trim("link"))
+    whole = rows.select("from", F.lit("mdlink").alias("kind"), F.explode(F.regexp_extract_all("t", F.lit(LINK), F.lit(1))).alias("x")).filter(~F.col("x").startswith("!"))
+    url = F.regexp_extract("x", r"\]\(([^)\s]+?)(?:\s+\"[^\"]*\")?\)$", 1)
+    inside = whole.select("from", "kind", url.alias("link")).filter(~F.col("link").rlike(ELSEWHERE) & (F.regexp_replace("link", "[#?].*$", "") != ""))
+    return wiki.union(inside)
+
+
 def resolve_links(links: DataFrame, files: DataFrame) -> DataFrame:
-    """45: Markdown links by exact path, with .md, then by a base name that one file has."""
+    """45: links (from, link, and kind if there is one) with their target: by path from the file's folder, or from the root after a slash, as it is or
+    with .md or .markdown; else, and for wiki links at once, the least path of that base name. Case doesn't matter; null without a target."""
     keys = ["from", "link"]
-    base = join_posix(F.concat(folder(F.col("from")), F.lit("/"), F.col("link")))
-    exact = _first_match(links, F.array(base, F.concat(base, F.lit(".md"))), files, keys)
-    name = F.lower(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", ""))
-    alone = files.groupBy(name.alias("name")).agg(F.count("*").alias("n"), F.min("path").alias("by_name")).filter("n = 1").drop("n")
-    out = links.join(exact, keys, "left").withColumn("name", F.lower(F.regexp_replace(F.element_at(F.split("link", "/"), -1), r"\.md$", "")))
-    return out.join(alone, "name", "left").select(*keys, F.coalesce("target", "by_name").alias("target"))
+    own = links.select(*keys, (F.col("kind") == "wikilink" if "kind" in links.columns else F.lit(False)).alias("wiki")).distinct()
+    bare = F.regexp_replace("link", "[#?].*$", "")
+    base = F.lower(join_posix(F.when(bare.startswith("/"), bare).otherwise(F.concat(folder(F.col("from")), F.lit("/"), bare))))
+    known = files.groupBy(F.lower("path").alias("path")).agg(F.min("path").alias("file"))
+    exact = _first_match(own.filter(~F.col("wiki")), F.array(base, F.concat(base, F.lit(".md")), F.concat(base, F.lit(".markdown"))), known, keys)
+    exact = exact.join(known, exact["target"] == known["path"]).select(*keys, "file")
+    last = F.lower(F.element_at(F.split("path", "/"), -1))
+    named = files.groupBy(last.alias("name")).agg(F.min("path").alias("by_name")).filter(F.col("name").rlike(r"\.(md|markdown)$"))
+    name = F.lower(F.element_at(F.split(bare, "/"), -1))
+    each = own.withColumn("n", F.when(name.rlike(r"\.(md|markdown)$"), F.array(name)).otherwise(F.array(F.concat(name, F.lit(".md")), F.concat(name, F.lit(".markdown"))))).select(*keys, F.explode("n").alias("name"))
+    found = each.join(named, "name").groupBy(*keys).agg(F.min("by_name").alias("by_name"))
+    out = links.join(exact, keys, "left").join(found, keys, "left")
+    return out.select(*links.columns, F.coalesce("file", "by_name").alias("target"))
 
 
 def unique_suffix(names: DataFrame, files: DataFrame) -> DataFrame:

@@ -44,14 +44,20 @@ def renumber(order: DataFrame, known: DataFrame) -> DataFrame:
     return first.withColumn("position", F.row_number().over(Window.partitionBy("repo").orderBy("old", "file")))
 
 
-def select_facts(metrics: DataFrame, key: int = 30, impact: int = 10) -> DataFrame:
-    """168: the key files and the files of widest impact that a prompt shows, at most so many of each."""
+def select_facts(metrics: DataFrame, cyclic: DataFrame, entries: DataFrame, key: int = 30, impact: int = 10, cycles: int = 15, entry: int = 50) -> DataFrame:
+    """168: what a prompt shows, at most so many of each: key files, files of widest impact, cycles (by their first file, the largest first) and
+    entry points (repo, file)."""
 
     def best(section: str, column: str, most: int) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc(column), "file"))
         return metrics.filter(F.col(column) > 0).select("repo", F.lit(section).alias("section"), "file", rank.alias("place")).filter(F.col("place") <= most)
 
-    return reduce(DataFrame.union, [best("key", "centrality", key), best("impact", "blast_radius", impact)])
+    rings = cyclic.groupBy("repo", F.col("component").alias("file")).agg(F.count("*").alias("n"))
+    ring = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("n"), "file"))
+    rings = rings.select("repo", F.lit("cycle").alias("section"), "file", ring.alias("place")).filter(F.col("place") <= cycles)
+    first = F.row_number().over(Window.partitionBy("repo").orderBy("file"))
+    starts = entries.select("repo", "file").distinct().select("repo", F.lit("entry").alias("section"), "file", first.alias("place")).filter(F.col("place") <= entry)
+    return reduce(DataFrame.union, [best("key", "centrality", key), best("impact", "blast_radius", impact), rings, starts])
 
 
 def domain_lanes(files: DataFrame, group: str) -> DataFrame:
@@ -63,12 +69,30 @@ def domain_lanes(files: DataFrame, group: str) -> DataFrame:
     return common_prefix(files, group).join(tag, group)
 
 
-def overflow(fields: DataFrame, limit: int) -> DataFrame:
-    """15: fields (doc, place, bytes) of a document, shed in order of place until the rest is within the limit."""
-    by = Window.partitionBy("doc").orderBy("place")
-    total = F.sum("bytes").over(Window.partitionBy("doc"))
-    before = F.coalesce(F.sum("bytes").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return fields.withColumn("shed", total - before > limit)
+def split_overflow(fields: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """15: fields (doc, field, place, value) of documents cut to a limit of bytes: (what stays, what goes to a side table, manifests).
+
+    While a document has more than the limit, its fields go in order of place; those without a place never go, and empty ones (null, '' or [])
+    aren't worth it. Manifests (doc, shed, bytes, kept_bytes, too_large) are of the documents that shed something or are still too large."""
+    size = F.coalesce(F.octet_length("value"), F.lit(0))
+    goes = F.col("place").isNotNull() & ~F.coalesce(F.trim("value").isin("", "[]"), F.lit(True))
+    by = Window.partitionBy("doc").orderBy(F.col("place").asc_nulls_last(), "field")
+    before = F.coalesce(F.sum(F.when(goes, size).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = fields.withColumns({"__size": size, "__shed": goes & (F.sum(size).over(Window.partitionBy("doc")) - before > limit)})
+    told = rows.groupBy("doc").agg(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("__shed"), F.struct("place", "field")))), lambda x: x["field"]).alias("shed"), F.sum("__size").alias("bytes"), F.sum(F.when(~F.col("__shed"), F.col("__size")).otherwise(0)).alias("kept_bytes")
+    )
+    told = told.withColumn("too_large", F.col("kept_bytes") > limit).filter((F.size("shed") > 0) | F.col("too_large"))
+    return rows.filter(~F.col("__shed")).drop("__size", "__shed"), rows.filter("__shed").select("doc", "field", "value"), told
+
+
+def rehydrate(stored: DataFrame, side: DataFrame, manifests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """15: (doc, field, value) of documents with what was shed put back, and (doc, missing): the fields that a manifest names and the side table
+    lacks. A missing field stays away; an empty one would be a statement of its own."""
+    named = manifests.select("doc", F.explode("shed").alias("field"))
+    back = named.join(side.select("doc", "field", "value", F.lit(True).alias("there")), ["doc", "field"], "left")
+    missing = back.filter("there is null").groupBy("doc").agg(F.array_sort(F.collect_list("field")).alias("missing"))
+    return stored.select("doc", "field", "value").union(back.filter("there").select("doc", "field", "value")), missing
 
 
 def same_space(vectors: DataFrame, model: str, dim: int) -> DataFrame:

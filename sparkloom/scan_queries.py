@@ -308,15 +308,19 @@ def q011_count_and_drop(spark, d):
     store = W.VectorStore(spark, _store(spark), 2)
     rows = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.array(F.lit(1.0), F.lit(2.0)).alias("vector"), F.lit("f").alias("file"))
     store.upsert("kept", rows)
-    store.upsert("dropped", rows.limit(5))
+    store.upsert("dropped", rows)
     store.drop("dropped")
     return spark.createDataFrame([(n, store.count(n)) for n in ("kept", "dropped")], "namespace string, n long")
 
 
-@query("select 'store-not-configured' as notice")
+@query("select 'store-not-configured' as notice, c_nationkey::varchar as namespace, count(*) as n from customer group by c_nationkey")
 def q013_store_selection(spark, d):
-    *_, notices = W.open_stores(spark, None, _store(spark), 2)
-    return spark.createDataFrame([(n,) for n in notices], "notice string")
+    _, texts, notices = W.open_stores(spark, None, _store(spark), 2)
+    rows = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("text"), F.col("c_nationkey").cast("string").alias("namespace"))
+    spaces = [r[0] for r in rows.select("namespace").distinct().collect()]  # one for each nation
+    for space in spaces:
+        texts.put(rows.filter(F.col("namespace") == space), space)
+    return spark.createDataFrame([(notices[0], space, texts.count(space)) for space in spaces], "notice string, namespace string, n long")
 
 
 def _analyses(spark, d):
@@ -331,6 +335,11 @@ def q014_analysis_cache(spark, d):
     return _analyses(spark, d)[0].read().groupBy("result").agg(F.count("*").alias("n"))
 
 
+@query("""select o_custkey::varchar as repo, o_orderkey::varchar as sha, o_orderdate::timestamp as indexed_at from orders order by o_orderdate desc, o_custkey::varchar, o_orderkey::varchar limit 50""")
+def q016_latest_analyses(spark, d):
+    return _analyses(spark, d)[0].latest(80)
+
+
 @query("""select 'empty-question' as rule, count(*) filter (where item_id % 4 = 0) as n from benchmark having n > 0 union all select 'no-expectation', count(*) filter (where item_id % 3 = 0) from benchmark having count(*) filter (where item_id % 3 = 0) > 0
 union all select 'duplicate-id', count(*) filter (where item_id % 5 = 0) from benchmark having count(*) filter (where item_id % 5 = 0) > 0""")
 def q018_dataset_rules(spark, d):
@@ -348,9 +357,13 @@ def q019_trace_export(spark, d):
     return spark.read.schema("event_id long, kind string").json(path).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("select * from (values ('a', 1.0::double, 2.0::double), ('d', 0.0, 0.5)) v(model, input, output)")
+@query("select 'm' || p_partkey as model, p_size::double as input, round(p_retailprice, 2) as output from part where p_partkey % 4 <> 0 and p_partkey % 5 <> 0")
 def q020_pricing(spark, d):
-    return W.pricing(spark, '{"a": {"input": 1, "output": 2}, "b": {"input": -1, "output": 2}, "c": {"input": 1}, "d": {"input": 0, "output": 0.5}}')
+    p = table(spark, d, "part")
+    k = F.col("p_partkey")
+    cost = F.when(k % 4 == 0, F.lit("-1")).otherwise(F.col("p_size").cast("string"))
+    rest = F.when(k % 5 == 0, F.lit('"cheap"')).otherwise(F.round("p_retailprice", 2).cast("string"))
+    return W.pricing(p.select(F.concat(F.lit('{"m'), k.cast("string"), F.lit('": {"input": '), cost, F.lit(', "output": '), rest, F.lit('}, "none": {"input": 1}}')).alias("json")))
 
 
 @query("""with c as (select l_orderkey as id, l_linenumber as position, l_suppkey as chunk_id from lineitem), r as (select l_orderkey as id, l_suppkey as chunk_id from lineitem where l_returnflag = 'N') select c.id, c.position, exists (select 1 from r where r.id = c.id and r.chunk_id = c.chunk_id) as seen from c""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .agent_queries import _part_files
-from .graph_queries import _BASE, _DEGREE, _METRICS, _REACH
+from .graph_queries import _BASE, _CYCLIC, _DEGREE, _METRICS, _REACH
 from .operators import graph as G
 from .operators import reach as H
 from .operators import selection as S
@@ -61,11 +61,14 @@ def q167_renumbered_order(spark, d):
     return S.renumber(order, nodes(spark, d))
 
 
-@query(f"""{_BASE}, {_REACH}, {_DEGREE}, {_METRICS}, k as (select repo, 'key' as section, file, row_number() over (partition by repo order by centrality desc, file) as place from metrics where centrality > 0),
-i as (select repo, 'impact' as section, file, row_number() over (partition by repo order by blast_radius desc, file) as place from metrics where blast_radius > 0) select * from k where place <= 30 union all select * from i where place <= 10""")
+@query(f"""{_BASE}, {_REACH}, {_CYCLIC}, {_DEGREE}, {_METRICS}, k as (select repo, 'key' as section, file, row_number() over (partition by repo order by centrality desc, file) as place from metrics where centrality > 0),
+i as (select repo, 'impact' as section, file, row_number() over (partition by repo order by blast_radius desc, file) as place from metrics where blast_radius > 0),
+c as (select repo, 'cycle' as section, component as file, row_number() over (partition by repo order by count(*) desc, component) as place from cyclic group by repo, component),
+e as (select repo, 'entry' as section, file, row_number() over (partition by repo order by file) as place from nodes where folder < 3)
+select * from k where place <= 30 union all select * from i where place <= 10 union all select * from c where place <= 15 union all select * from e where place <= 50""")
 def q168_fact_selection(spark, d):
-    e = edges(spark, d)
-    return S.select_facts(G.file_metrics(G.degrees(nodes(spark, d), e), H.reach_counts(e)))
+    e, n = edges(spark, d), nodes(spark, d)
+    return S.select_facts(G.file_metrics(G.degrees(n, e), H.reach_counts(e)), H.in_cycle(e), n.filter("folder < 3"))
 
 
 @query("""with f as (select lower(replace(p_brand, '#', '')) as brand, p_type as tag, count(*) as n from part group by all), t as (select brand, arg_min(tag, (-n, tag)) as tag, sum(n)::bigint as files from f group by brand) select brand, case when files > 1 then 'src/' || brand else 'src/' || brand end as prefix, tag, files from t""")
@@ -74,11 +77,27 @@ def q165_domain_lanes(spark, d):
     return S.domain_lanes(files.withColumn("brand", F.element_at(F.split("path", "/"), 2)), "brand")
 
 
-@query("""with f as (select l_orderkey as doc, l_linenumber * 1000000 + l_partkey as place, sum(l_quantity)::bigint as bytes from lineitem group by all)
-select doc, place, bytes, sum(bytes) over (partition by doc) - coalesce(sum(bytes) over (partition by doc order by place rows between unbounded preceding and 1 preceding), 0) > 60 as shed from f""")
+#: A document for each customer: its orders stay, lists of its lines by kind may go; of every fifth document the list of routes is lost.
+_DOC = """l as (select o_custkey as doc, l_returnflag as f, array_to_string(list_sort(list(l_partkey)), ',') as value from lineitem join orders on o_orderkey = l_orderkey group by all),
+x as (select doc, case f when 'A' then 'cpgEdges' when 'N' then 'routes' else 'edges' end as field, case f when 'A' then 1 when 'N' then 2 else 3 end as place, value from l
+  union all select o_custkey, 'core', null, array_to_string(list_sort(list(o_orderkey)), ',') from orders group by o_custkey),
+s as (select *, strlen(value) as size, sum(strlen(value)) over (partition by doc) - coalesce(sum(case when place is not null then strlen(value) else 0 end) over (partition by doc order by place nulls last, field rows between unbounded preceding and 1 preceding), 0) > 150 and place is not null as gone from x)"""
+
+
+@query(f"""with {_DOC}, m as (select doc, string_agg(field, ',' order by place) filter (where gone) as shed, sum(size)::bigint as bytes, coalesce(sum(size) filter (where not gone), 0)::bigint as kept_bytes from s group by doc)
+select doc, shed, bytes, kept_bytes, kept_bytes > 150 as too_large, case when doc % 5 = 0 and list_contains(string_split(shed, ','), 'routes') then 'routes' else '' end as missing,
+  (select sum(size) from s where s.doc = m.doc and not (gone and doc % 5 = 0 and field = 'routes'))::bigint as back_bytes from m where shed is not null or kept_bytes > 150""")
 def q015_overflow(spark, d):
-    fields = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("place")).agg(F.sum("l_quantity").cast("long").alias("bytes"))
-    return S.overflow(fields, 60)
+    l = table(spark, d, "lineitem").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")  # noqa: E741
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x.cast("string")), ",").alias("value")
+    kind = lambda *v: F.when(F.col("l_returnflag") == "A", v[0]).when(F.col("l_returnflag") == "N", v[1]).otherwise(v[2])
+    lists = l.groupBy(F.col("o_custkey").alias("doc"), "l_returnflag").agg(listed("l_partkey")).select("doc", kind("cpgEdges", "routes", "edges").alias("field"), kind(1, 2, 3).alias("place"), "value")
+    core = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("doc")).agg(listed("o_orderkey")).select("doc", F.lit("core").alias("field"), F.lit(None).cast("int").alias("place"), "value")
+    stored, side, told = S.split_overflow(lists.union(core), 150)
+    back, missing = S.rehydrate(stored, side.filter("not (doc % 5 = 0 and field = 'routes')"), told)
+    size = back.groupBy("doc").agg(F.sum(F.octet_length("value")).alias("back_bytes"))
+    shed = F.when(F.size("shed") > 0, F.array_join("shed", ","))
+    return told.join(missing, "doc", "left").join(size, "doc").select("doc", shed.alias("shed"), "bytes", "kept_bytes", "too_large", F.coalesce(F.array_join("missing", ","), F.lit("")).alias("missing"), "back_bytes")
 
 
 @query("select vec_id as id, len(embedding) as dim from embeddings")

@@ -109,10 +109,12 @@ class AnalysisCache:
         return self.read().select("repo", "sha", "indexed_at").orderBy(F.desc("indexed_at"), "repo", "sha").limit(min(limit, 50))
 
 
-def pricing(spark: SparkSession, text: str) -> DataFrame:
-    """20: prices by model from a JSON map; entries without two non-negative numbers are left out."""
-    row = spark.createDataFrame([(text,)], "j string").select(F.explode(F.from_json("j", "map<string, struct<input: double, output: double>>")).alias("model", "p"))
-    return row.select("model", "p.input", "p.output").filter("input >= 0 and output >= 0")
+def pricing(maps: DataFrame) -> DataFrame:
+    """20: (model, input, output) of rows (json), each a map of models to prices; entries without two non-negative numbers are left out, and so
+    are rows that aren't maps."""
+    row = maps.select(F.explode(F.from_json("json", "map<string, string>")).alias("model", "p"))
+    price = F.from_json("p", "input double, output double")
+    return row.select("model", price["input"].alias("input"), price["output"].alias("output")).filter("input >= 0 and output >= 0")
 
 
 def export_trace(spans: DataFrame, path: str) -> None:

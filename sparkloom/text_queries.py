@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import relational as L
+from .operators import resolve as V
 from .operators import support as U
 from .plans.lineage import spread
 from .sources.bindings import table
@@ -192,3 +193,25 @@ select page_id, count(*) as links, count(distinct href) as targets, count(*) fil
 def q045_links(spark, d):
     links = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(_HREF), F.lit(1))).alias("href"))
     return links.groupBy("page_id").agg(F.count("*").alias("links"), F.count_distinct("href").alias("targets"), F.sum(F.col("href").rlike("^[a-z]+:").cast("long")).alias("external"))
+
+
+#: A Markdown file for each page: its links, links to other pages in several forms, and what isn't a link.
+_MD = r"""p as (select page_id as id, 'docs/g' || (page_id % 7) || '/p' || page_id || '.md' as path, regexp_replace(html, '<a href="([^"]+)">([^<]*)</a>', '[\2](\1)', 'g') || chr(10) || '[next](../g' || ((page_id + 1) % 7) || '/p' || (page_id + 1) || '.md#top) ![i](p' || page_id || '.md) `[c](p1.md)` [root](/docs/g'
+    || ((page_id + 2) % 7) || '/P' || (page_id + 2) || ') [[p' || (page_id + 3) || '|see]] [far](p' || (page_id + 4) || ' "t")' || chr(10) || '```' || chr(10) || '[no](p2.md)' || chr(10) || '```' || chr(10) || '[w](https://x.org/p3.md)' as content from pages),
+c as (select id, path, regexp_replace(regexp_replace(regexp_replace(content, '```[\s\S]*?```', '', 'g'), '~~~[\s\S]*?~~~', '', 'g'), '`[^`\n]*`', '', 'g') as t from p),
+l as (select path, 'wikilink' as kind, trim(unnest(regexp_extract_all(t, '\[\[([^\]|#]+?)(?:#[^\]|]*)?(?:\|[^\]]+)?\]\]', 1))) as link from c
+  union all select path, 'mdlink', regexp_extract(x, '\]\(([^)\s]+?)(?:\s+"[^"]*")?\)$', 1) from (select path, unnest(regexp_extract_all(t, '(!?\[(?:[^\[\]]|\[[^\[\]]*\])*\]\([^)\s]+?(?:\s+"[^"]*")?\))', 1)) as x from c) where x not like '!%'),
+k as (select *, regexp_replace(link, '[#?].*$', '') as bare from l where not regexp_matches(link, '^(?i:https?:|mailto:|ftp:|file:|tel:|#)') and regexp_replace(link, '[#?].*$', '') <> ''),
+n as (select *, lower(case when bare like '/%' then substr(bare, 2) when bare like '../%' then 'docs/' || substr(bare, 4) else regexp_replace(path, '[^/]*$', '') || bare end) as base, lower(regexp_extract(bare, '[^/]*$')) as name from k),
+f as (select lower(path) as low, min(path) as file from p group by 1), b as (select lower(regexp_extract(path, '[^/]*$')) as name, min(path) as file from p group by 1)
+select path as from_path, kind, link, coalesce(case when kind = 'mdlink' then (select min(file) from f where low = base or low = base || '.md') end, (select min(file) from b where b.name = n.name or b.name = n.name || '.md')) as target from n"""
+
+
+@query("with " + _MD)
+def q045_markdown_links(spark, d):
+    p, k = table(spark, d, "pages"), F.col("page_id")
+    at = lambda n, mod=7: ((k + n) % mod).cast("string") if mod else (k + n).cast("string")
+    body = F.regexp_replace("html", '<a href="([^"]+)">([^<]*)</a>', "[$2]($1)")
+    more = F.concat(F.lit("\n[next](../g"), at(1), F.lit("/p"), at(1, 0), F.lit(".md#top) ![i](p"), at(0, 0), F.lit(".md) `[c](p1.md)` [root](/docs/g"), at(2), F.lit("/P"), at(2, 0), F.lit(") [[p"), at(3, 0), F.lit("|see]] [far](p"), at(4, 0), F.lit(' "t")\n```\n[no](p2.md)\n```\n[w](https://x.org/p3.md)'))
+    files = p.select(F.concat(F.lit("docs/g"), at(0), F.lit("/p"), at(0, 0), F.lit(".md")).alias("path"), F.concat(body, more).alias("content"))
+    return V.resolve_links(V.markdown_links(files), files.select("path")).withColumnRenamed("from", "from_path")

@@ -180,6 +180,10 @@ def test_resolution(spark):
     assert {r.line: r.target for r in S.resolve_python(py, files).collect()} == {1: "pkg/mod.py", 2: "pkg/__init__.py", 3: "pkg/mod.py", 4: None}
     links = spark.createDataFrame([("docs/index.md", "Guide"), ("docs/index.md", "b/Note.md"), ("x.md", "note"), ("x.md", "nowhere")], "from string, link string")
     assert {r.link: r.target for r in S.resolve_links(links, files).collect()} == {"Guide": "docs/Guide.md", "b/Note.md": "docs/b/Note.md", "note": "docs/b/Note.md", "nowhere": None}
+    text = "[a](Guide.md#top) ![i](Guide.md) `[c](Guide)` [[note#h|see]] [[ Guide ]] [w](https://x/y) [q](#here) [t [u] v](./b/note \"title\") [r](/docs/guide?x)\n```\n[no](Guide)\n```\n~~~\n[[no]]\n~~~\n[s](../docs/none.md)"
+    found = S.markdown_links(spark.createDataFrame([("docs/index.md", text), ("empty.md", ""), ("null.md", None)], "path string, content string"))
+    want = [("mdlink", "../docs/none.md", None), ("mdlink", "./b/note", "docs/b/Note.md"), ("mdlink", "/docs/guide?x", "docs/Guide.md"), ("mdlink", "Guide.md#top", "docs/Guide.md"), ("wikilink", "Guide", "docs/Guide.md"), ("wikilink", "note", "docs/b/Note.md")]
+    assert sorted((r.kind, r.link, r.target) for r in S.resolve_links(found, files).collect()) == want
     names = spark.createDataFrame([("x.ts",), ("a.py",), ("zzz",)], "name string")
     assert {r.name: r.path for r in S.unique_suffix(names, files).collect()} == {"x.ts": "src/x.ts", "a.py": "pkg/sub/a.py", "zzz": None}
 

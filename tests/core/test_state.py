@@ -99,7 +99,7 @@ def test_other_stores(spark, tmp_path):
     c = stores.AnalysisCache(spark, str(tmp_path / "c"))
     rows = spark.sql("select 'r' as repo, string(id % 3) as sha, 1 as version, timestamp '2024-01-01' + make_interval(0, 0, 0, int(id)) as indexed_at, 'x' as result from range(5)")
     assert c.save(rows) == 3 and c.save(rows) == 0 and c.latest(2).count() == 2
-    p = stores.pricing(spark, '{"m": {"input": 1, "output": 2}, "bad": {"input": -1, "output": 2}, "none": {"input": 1}}')
+    p = stores.pricing(spark.createDataFrame([('{"m": {"input": 1, "output": 2}, "bad": {"input": -1, "output": 2}, "none": {"input": 1}, "text": {"input": "x", "output": 2}, "no": 3}',), ("[1]",), ("{",), (None,)], "json string"))
     assert [tuple(r) for r in p.collect()] == [("m", 1.0, 2.0)]
     q = spark.createDataFrame([("1", "q", ["f"]), ("1", " ", None)], "id string, question string, expected_files array<string>")
     assert sorted(r.rule for r in stores.dataset_violations(q).collect()) == ["duplicate-id", "empty-question", "no-expectation"]

@@ -9,9 +9,10 @@ from .functions import text as T
 from .graph_queries import _BASE, _CYCLIC, _DEGREE, _METRICS, _REACH
 from .operators import evaluation as E
 from .operators import graph as G
-from .operators import reach as H
 from .operators import inventory as I
 from .operators import ordered_graph as O
+from .operators import reach as H
+from .operators import relational as L
 from .operators import retrieval as R
 from .operators import support as U
 from .operators import telemetry as M
@@ -275,9 +276,7 @@ def q188_graph_facts(spark, d):
 
 @query("select o_custkey, count(*) as exported, greatest(count(*) - 5, 0) as dropped, string_agg(o_orderkey::varchar, ',' order by k) filter (where k <= 5) as kept from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as k from orders) group by o_custkey")
 def q219_report_ring(spark, d):
-    k = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))
-    kept = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= 5, F.struct("k", "o_orderkey")))), lambda x: x["o_orderkey"].cast("string")), ",")
-    return table(spark, d, "orders").withColumn("k", k).groupBy("o_custkey").agg(F.count("*").alias("exported"), F.greatest(F.count("*") - 5, F.lit(0)).alias("dropped"), kept.alias("kept"))
+    return L.ring(table(spark, d, "orders"), "o_custkey", [F.desc("o_orderdate"), F.desc("o_orderkey")], "o_orderkey")
 
 
 @query("""with h as (select item_id as id, length(text) as n from benchmark) select count(*) as questions, count(*) filter (where n = 0) as negatives, round(avg(n), 6) as mean_length from h""")

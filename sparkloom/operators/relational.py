@@ -115,3 +115,57 @@ def normalised(rows: DataFrame, by: str, value: str, places: int = 6) -> DataFra
     w = Window.partitionBy(by)
     low, high = F.min(value).over(w), F.max(value).over(w)
     return rows.withColumn("score", F.when(low == high, 1.0).otherwise(F.round((F.col(value) - low) / (high - low), places)))
+
+
+def best_row(rows: DataFrame, by: str, value: str, ident: str, listed: str) -> DataFrame:
+    """130: of each group the greatest value, the row that has it (the greatest ident on a tie), and the distinct `listed` together."""
+    return rows.groupBy(by).agg(F.max(value).alias("importance"), F.max_by(ident, F.struct(value, ident)).alias("best"), F.array_join(F.array_sort(F.collect_set(listed)), "").alias("all"))
+
+
+def within_budget(rows: DataFrame, by: str, order: list, costs: Column, most: int) -> DataFrame:
+    """140: the rows that cost something while no more than `most` of their group did so far; used counts them."""
+    used = F.sum(costs.cast("int")).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("used", used).filter(costs & (F.col("used") <= most))
+
+
+def set_sizes(rows: DataFrame, by: str, value: str, first: Column) -> DataFrame:
+    """145: of each group's two sets, values of rows that are `first` and of the others: how many are in both, in either, and in the first only."""
+    of = lambda c: F.collect_set(F.when(c, F.col(value)))
+    s = rows.groupBy(by).agg(of(first).alias("a"), of(~first).alias("b"))
+    n = lambda c, name: F.size(c).cast("long").alias(name)
+    return s.select(by, n(F.array_intersect("a", "b"), "both"), n(F.array_union("a", "b"), "either"), n(F.array_except("a", "b"), "only_a"))
+
+
+def keep_first(rows: DataFrame, by: list[str], order: list) -> DataFrame:
+    """146: of the rows of each key the first by an order; by a descending one, the latest."""
+    return rows.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("__k = 1").drop("__k")
+
+
+def mode(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """148: the most frequent value of each group, the least on a tie, and how often it is there. Counted before it is ranked."""
+    c = rows.groupBy(by, value).agg(F.count("*").alias("n"))
+    return c.groupBy(by).agg(F.min_by(value, F.struct(-F.col("n"), value)).alias("dominant"), F.max("n").alias("n"))
+
+
+def ring(rows: DataFrame, by: str, order: list, ident: str, most: int = 5) -> DataFrame:
+    """219: a group's last `most` rows, the latest first, how many there were, and how many of them were dropped."""
+    k = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    kept = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("__k") <= most, F.struct("__k", ident)))), lambda x: x[ident].cast("string")), ",")
+    return rows.withColumn("__k", k).groupBy(by).agg(F.count("*").alias("exported"), F.greatest(F.count("*") - most, F.lit(0)).alias("dropped"), kept.alias("kept"))
+
+
+def sides(edges: DataFrame, cluster: Column, other: Column) -> DataFrame:
+    """83: how many edges lie inside a cluster, come in from one before it or go out to one after it."""
+    side = F.when(other == cluster, "internal").when(other < cluster, "inbound").otherwise("outbound")
+    return edges.groupBy(cluster.alias("cluster"), side.alias("side")).agg(F.count("*").alias("n"))
+
+
+def cached(rows: DataFrame, key: str, cache: DataFrame) -> DataFrame:
+    """126: rows that a cache has and lacks, and their distinct keys; what it lacks is `lacking`."""
+    hit = cache.select(key).distinct().withColumn("__hit", F.lit(True))
+    return rows.join(hit, key, "left").groupBy(F.col("__hit").isNotNull().alias("cached")).agg(F.count("*").alias("n"), F.count_distinct(key).alias("keys"))
+
+
+def seen(cited: DataFrame, evidence: DataFrame, on: list[str]) -> DataFrame:
+    """156: what is cited, and whether the evidence has it."""
+    return cited.join(evidence.select(*on).distinct().withColumn("seen", F.lit(True)), on, "left").withColumn("seen", F.coalesce("seen", F.lit(False)))

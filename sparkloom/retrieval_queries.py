@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import chunking as K
 from .operators import evaluation as E
+from .operators import relational as L
 from .operators import retrieval as R
 from .plans.lineage import cut, kept
 from .sources.bindings import lines, table
@@ -201,8 +202,7 @@ def q125_embed_batches(spark, d):
 select (key in (select key from c)) as cached, count(*) as n, count(distinct key) as keys from k group by all""")
 def q126_cache_aware_embed(spark, d):
     k = table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("key"))
-    cache = k.filter("doc_id % 2 = 0").select("key", F.lit(True).alias("hit")).distinct()
-    return k.join(cache, "key", "left").groupBy(F.col("hit").isNotNull().alias("cached")).agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"))
+    return L.cached(k, "key", k.filter("doc_id % 2 = 0"))
 
 
 _TARGETS = "target as (select item_id as query_id, doc_id as id from benchmark b join documents d on contains(d.text, b.text))"

@@ -369,6 +369,5 @@ def q020_pricing(spark, d):
 @query("""with c as (select l_orderkey as id, l_linenumber as position, l_suppkey as chunk_id from lineitem), r as (select l_orderkey as id, l_suppkey as chunk_id from lineitem where l_returnflag = 'N') select c.id, c.position, exists (select 1 from r where r.id = c.id and r.chunk_id = c.chunk_id) as seen from c""")
 def q156_seen_evidence(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("position"), F.col("l_suppkey").alias("chunk_id"), "l_returnflag")
-    seen = rows.filter("l_returnflag = 'N'").select("id", "chunk_id").distinct().withColumn("seen", F.lit(True))
-    return rows.join(seen, ["id", "chunk_id"], "left").select("id", "position", F.coalesce("seen", F.lit(False)).alias("seen"))
+    return L.seen(rows, rows.filter("l_returnflag = 'N'"), ["id", "chunk_id"]).select("id", "position", "seen")
 

@@ -13,15 +13,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.recorded import ANSWER_UNITS, SESSION_CHUNKS, SESSION_ENTITIES, SESSION_SECONDS, SESSION_TURNS
 
 
-#: How long a key may be idle, in milliseconds of the cluster's clock, before its state is dropped.
-IDLE = 86_400_000
+def _timer(idle: int | None) -> str:
+    """Timers by the cluster's clock make a stream run batches for good, so that those that end by themselves (availableNow) have none."""
+    return GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
 
 
-def progress(events: DataFrame, idle: int = IDLE) -> DataFrame:
+def progress(events: DataFrame, idle: int | None = None) -> DataFrame:
     """195: events (job, seq, stage, terminal) whose stage is beyond all that were sent, up to the first terminal one.
 
     Events of a batch are taken in order of seq; the state is the highest stage and whether the job is over. It goes when the
-    job has been idle."""
+    job has been idle for so many milliseconds; give them to a stream that runs for good."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -36,10 +37,11 @@ def progress(events: DataFrame, idle: int = IDLE) -> DataFrame:
                 high = stage
             over = over or terminal
         state.update((int(high), bool(over)))
-        state.setTimeoutDuration(idle)
+        if idle is not None:
+            state.setTimeoutDuration(idle)
         yield pd.DataFrame(out, columns=["job", "seq", "stage"])
 
-    return events.groupBy("job").applyInPandasWithState(step, "job long, seq long, stage long", "high long, over boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("job").applyInPandasWithState(step, "job long, seq long, stage long", "high long, over boolean", "append", _timer(idle))
 
 
 def remembered(text: str | None) -> dict:
@@ -101,8 +103,9 @@ def sessions(turns: DataFrame, late: str = "10 minutes", seconds: int = SESSION_
     return own.groupBy("session").applyInPandasWithState(step, shape, "json string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def rate_limits(hits: DataFrame, seconds: int, most: int, idle: int = IDLE) -> DataFrame:
-    """196, from the first hit: how many hits (key, t in microseconds) each key was allowed so far; an idle key is forgotten."""
+def rate_limits(hits: DataFrame, seconds: int, most: int, idle: int | None = None) -> DataFrame:
+    """196, from the first hit: how many hits (key, t in microseconds) each key was allowed so far; a key that has been idle for so
+    many milliseconds, and no less than a window, is forgotten."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -115,10 +118,11 @@ def rate_limits(hits: DataFrame, seconds: int, most: int, idle: int = IDLE) -> D
             n, hits_ = n + 1, hits_ + 1
             allowed += n <= most
         state.update((opened, n, hits_, int(allowed)))
-        state.setTimeoutDuration(max(idle, seconds * 1000))
+        if idle is not None:
+            state.setTimeoutDuration(max(idle, seconds * 1000))
         yield pd.DataFrame([(key[0], hits_, allowed)], columns=["key", "hits", "allowed"])
 
-    return hits.groupBy("key").applyInPandasWithState(step, "key long, hits long, allowed long", "opened long, n long, hits long, allowed long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return hits.groupBy("key").applyInPandasWithState(step, "key long, hits long, allowed long", "opened long, n long, hits long, allowed long", "update", _timer(idle))
 
 
 def aligned_limits(hits: DataFrame, seconds: int, late: str = "10 minutes") -> DataFrame:

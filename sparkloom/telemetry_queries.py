@@ -188,9 +188,7 @@ def q083_boundary_split(spark, d):
     nation = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
     of = lambda key, name: nation.select(F.col("n_nationkey").alias(key), F.col("n_regionkey").alias(name))
     rows = lines(spark, d).join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
-    both = rows.join(of("c_nationkey", "cluster"), "c_nationkey").join(of("s_nationkey", "other"), "s_nationkey")
-    side = F.when(F.col("other") == F.col("cluster"), "internal").when(F.col("other") < F.col("cluster"), "inbound").otherwise("outbound")
-    return both.groupBy("cluster", side.alias("side")).agg(F.count("*").alias("n"))
+    return L.sides(rows.join(of("c_nationkey", "own"), "c_nationkey").join(of("s_nationkey", "other"), "s_nationkey"), F.col("own"), F.col("other"))
 
 
 @query("select l_returnflag, l_linestatus, count(*) as n, round(sum(l_quantity), 2) as quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from lineitem group by all")
@@ -200,7 +198,7 @@ def q129_group_by(spark, d):
 
 @query("select o_custkey, max(o_totalprice) as importance, max_by(o_orderkey, (o_totalprice, o_orderkey)) as best, array_to_string(list_sort(list(distinct o_orderstatus)), '') as statuses from orders group by o_custkey")
 def q130_best_row(spark, d):
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("importance"), F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("best"), F.array_join(F.array_sort(F.collect_set("o_orderstatus")), "").alias("statuses"))
+    return L.best_row(table(spark, d, "orders"), "o_custkey", "o_totalprice", "o_orderkey", "o_orderstatus").withColumnRenamed("all", "statuses")
 
 
 @query("select o_custkey, bool_and(o_totalprice > 1000) as measured, bool_or(o_orderstatus = 'F') as failed, case when bool_or(o_orderstatus = 'F') then 'failed' when bool_or(o_orderstatus = 'P') then 'partial' else 'completed' end as status from orders group by o_custkey")
@@ -222,8 +220,7 @@ def q142_top_k(spark, d):
 
 @query("""with r as (select o_custkey, o_orderkey, o_orderstatus = 'F' as hard, sum((o_orderstatus = 'F')::int) over (partition by o_custkey order by o_orderdate, o_orderkey rows unbounded preceding) as used from orders) select o_custkey, o_orderkey, used::bigint as used from r where hard and used <= 3""")
 def q140_running_budget(spark, d):
-    used = F.sum((F.col("o_orderstatus") == "F").cast("int")).over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0))
-    return table(spark, d, "orders").withColumn("used", used).filter("o_orderstatus = 'F' and used <= 3").select("o_custkey", "o_orderkey", "used")
+    return L.within_budget(table(spark, d, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], F.col("o_orderstatus") == "F", 3).select("o_custkey", "o_orderkey", "used")
 
 
 @query("""with r as (select l_orderkey, l_partkey, l_suppkey, row_number() over (partition by l_orderkey, l_suppkey order by l_extendedprice desc, l_partkey, l_linenumber) as k from lineitem),
@@ -248,22 +245,17 @@ def q144_bounded_list(spark, d):
 @query("""with a as (select l_orderkey, list(distinct l_suppkey) filter (where l_returnflag = 'N') as a, list(distinct l_suppkey) filter (where l_returnflag <> 'N') as b from lineitem group by l_orderkey)
 select l_orderkey, len(coalesce(list_intersect(a, b), [])) as both, len(list_distinct(list_concat(coalesce(a, []), coalesce(b, [])))) as either, len(coalesce(a, [])) - len(coalesce(list_intersect(a, b), [])) as only_a from a""")
 def q145_set_operations(spark, d):
-    of = lambda c: F.collect_set(F.when(c, F.col("l_suppkey")))
-    s = table(spark, d, "lineitem").groupBy("l_orderkey").agg(of(F.col("l_returnflag") == "N").alias("a"), of(F.col("l_returnflag") != "N").alias("b"))
-    return s.select("l_orderkey", F.size(F.array_intersect("a", "b")).cast("long").alias("both"), F.size(F.array_union("a", "b")).cast("long").alias("either"), F.size(F.array_except("a", "b")).cast("long").alias("only_a"))
+    return L.set_sizes(table(spark, d, "lineitem"), "l_orderkey", "l_suppkey", F.col("l_returnflag") == "N")
 
 
 @query("""with r as (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as k from events) select user_id, event_type, event_id from r where k = 1""")
 def q146_keep_latest(spark, d):
-    k = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id")))
-    return table(spark, d, "events").withColumn("k", k).filter("k = 1").select("user_id", "event_type", "event_id")
+    return L.keep_first(table(spark, d, "events"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id")
 
 
 @query("""with c as (select user_id, event_type, count(*) as n from events group by all), r as (select *, row_number() over (partition by user_id order by n desc, event_type) as k from c) select user_id, event_type as dominant, n from r where k = 1""")
 def q148_mode(spark, d):
-    c = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    k = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "event_type"))
-    return c.withColumn("k", k).filter("k = 1").select("user_id", F.col("event_type").alias("dominant"), "n")
+    return L.mode(table(spark, d, "events"), "user_id", "event_type")
 
 
 @query("select conv_id, turn, lead(turn) over (partition by conv_id order by turn) - 1 as end_turn from conversations")

@@ -140,7 +140,7 @@ def test_stream_with_expiry_late_and_broken_rows(spark, tmp_path):
         spark.createDataFrame(rows, SESSION).coalesce(1).write.mode("append").parquet(path)
     stream = S.sessions(spark.readStream.schema(spark.createDataFrame([], SESSION).schema).option("maxFilesPerTrigger", 1).parquet(path))
     q = stream.writeStream.format("memory").queryName("recorded_sessions").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
-    q.awaitTermination(180)
+    assert q.awaitTermination(180)
     assert q.exception() is None
     got = [(x.session, x.analysis, list(x.turns), list(x.answers), list(x.entities), list(x.chunks)) for x in spark.table("recorded_sessions").collect()]
     assert [g for g in got if g[0] == 2] == [(2, "a", [1], ["one"], [], [])]

@@ -1,5 +1,7 @@
 """Streams give what their batch forms give; stores keep their promises."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ def streamed(spark, df, parts, run, tmp_path, mode):
     stream = run(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path))
     name = f"out_{mode}_{abs(hash(str(tmp_path)))}"
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     assert q.exception() is None
     return spark.table(name)
 
@@ -145,3 +147,23 @@ def test_what_is_kept_follows_the_files(spark, tmp_path):
     spark.range(4).write.mode("append").parquet(path)
     assert (lineage.kept(spark, path, "n", make), len(made)) == (7, 2)
     assert Path(path).is_dir()
+
+
+def test_idle_keys_are_forgotten(spark, tmp_path):
+    path, rows = str(tmp_path / "in"), "key long, t long"
+    spark.createDataFrame([(1, 0)], rows).coalesce(1).write.parquet(path)
+    stream = S.rate_limits(spark.readStream.schema(rows).parquet(path), 1, 1, idle=1)
+    q = stream.writeStream.format("memory").queryName("idle_keys").outputMode("update").trigger(processingTime="1 second").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        for _ in range(60):
+            if q.lastProgress and q.lastProgress["stateOperators"] and q.lastProgress["stateOperators"][0]["numRowsRemoved"]:
+                break
+            time.sleep(1)
+        spark.createDataFrame([(1, 10**9)], rows).coalesce(1).write.mode("append").parquet(path)
+        for _ in range(60):
+            if spark.table("idle_keys").count() > 1:
+                break
+            time.sleep(1)
+    finally:
+        q.stop()
+    assert [tuple(r) for r in spark.table("idle_keys").collect()] == [(1, 1, 1), (1, 1, 1)]  # counted from the start again

@@ -34,7 +34,7 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(rf" ?[A-Za-z]++(?![^\x00-\x7f])|[{SPACE}]*+[^{SPACE}]+|[{SPACE}]+")
 _CUT = re.compile(f"[^{SPACE}](?=[{SPACE}])")
 #: Characters of a text whose chunks are held at once, and of the chunks whose ids are remembered.
-SLICE, KNOWN = 1_000_000, 4_000_000
+SLICE, KNOWN = 1_000_000, 8_000_000
 
 
 def _by_chunks(told: dict) -> bool:
@@ -67,13 +67,16 @@ def _encoder(name: str):
             cut = _CUT.search(text, at + SLICE)
             end = cut.end() if cut else len(text)
             chunks = _CHUNK.findall(text, at, end)
-            if held > KNOWN:
-                known.clear()
-                held = 0
-            new = list(set(chunks).difference(known))
-            held += sum(map(len, new))
-            known.update(zip(new, (array("H", x.ids).tobytes() for x in own.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-            out += map(known.__getitem__, chunks)
+            got = list(map(known.get, chunks))
+            if None in got:
+                if held > KNOWN:
+                    known.clear()
+                    held = 0
+                new = list(set(chunks).difference(known))
+                held += sum(map(len, new))
+                known.update(zip(new, (array("H", x.ids).tobytes() for x in own.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+                got = map(known.__getitem__, chunks)
+            out += got
             at = end
         return b"".join(out)
 

@@ -11,9 +11,10 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _HEX = "[0-9A-Fa-f]{1,4}"
 #: What a mention may look like; of two kinds at one place the first named is taken.
 KINDS = {
-    "email": r"[\p{L}\p{N}._%+-]*[\p{L}\p{N}]@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    # tried once for each run of such characters: where it begins, or right after another mention
+    "email": r"(?:(?<![\p{L}\p{N}._%+-])|\G)[\p{L}\p{N}._%+-]*[\p{L}\p{N}]@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)|(?<![\p{{L}}\p{{N}}:])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{2,6}}(?::{_HEX}){{1,5}})(?![\p{{L}}\p{{N}}:])",
+    "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)|(?<![\p{{L}}\p{{N}}:])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,5}})(?![\p{{L}}\p{{N}}:])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])(?:\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
     "phone": r"(?<!\d)(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3}[ .-]\d{3,4}(?!\d)|\+\d{8,14}(?!\d)"
@@ -56,8 +57,8 @@ SCRIPTS = {
 DIGITS = ("ssn", "card", "phone")
 #: Rounds of proposals before the surrogates of numbers and addresses get longer than what they stand for.
 FIXED = 6
-#: A number's country code, which stays and isn't part of its identity.
-COUNTRY = r"^\+\d{1,3}(?=[ .-])"
+#: A number's country code (one, two or three digits), which stays and isn't part of its identity, be it set apart or not.
+COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 
 
 def _kind(hit: Column) -> Column:
@@ -176,7 +177,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """
     work, docs = Scratch(docs.sparkSession, "surrogates"), hidden(docs)
     row = {"__id": known_id("doc_id"), "__t": F.xxhash64("text")}
-    has = F.col("text").rlike(r"\d|@|\p{Lu}[\p{L}]+\.? \p{Lu}") & F.col("text").rlike(ANY)
+    has = F.col("text").rlike(r"\d|@|(?<!\p{L})\p{Lu}\p{L}++\.? \p{Lu}") & F.col("text").rlike(ANY)
     pieces = F.arrays_zip(F.split("text", ANY, -1).alias("gap"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("hit"))
     parts = docs.filter(has).select(*[c.alias(n) for n, c in row.items()], F.posexplode(pieces).alias("__i", "__x"))
     parts = parts.select("__id", "__t", "__i", F.col("__x.gap").alias("gap"), F.col("__x.hit").alias("hit")).withColumn("kind", _kind(F.col("hit")))

@@ -192,3 +192,29 @@ def test_scripts_are_kept(spark):
     for i, t in enumerate(texts):
         scripts = lambda x: {s for s, p in SCRIPT_OF.items() if any(p.fullmatch(c) for c in regex.sub(r"@\S+|Mr\.?", "", x))}
         assert out[i].text != t and scripts(out[i].text) == scripts(t), out[i].text
+
+
+def test_long_runs_take_linear_time(spark):
+    import time
+
+    n = 2_000_000
+    texts = ["a" * n + " 1", "A" * n + " 1", "a1." * (n // 3) + " 1", "a" * n + f" {MAIL}", ("Mr " + "A" * 50 + " ") * 1000 + "@", "1" * n]
+    began = time.time()
+    out = run(spark, texts)
+    assert time.time() - began < 150
+    assert [out[i].text == texts[i] for i in range(3)] == [True] * 3 and out[3].n_entities == 1 and out[3].text.startswith("a" * n + " ") and MAIL not in out[3].text
+
+
+def test_mentions_side_by_side(spark):
+    out = run(spark, ["(030) 555-1234a@b.org", "x 10.1.2.3a@b.org, c.@d.org", "fe80::1 and 12:30:45"])
+    assert "a@b.org" not in out[0].text and out[0].n_entities == 2 and out[1].text.endswith(", c.@d.org") and out[2].n_entities == 1 and out[2].text.endswith(" and 12:30:45")
+
+
+def test_one_number_in_two_formats(spark):
+    texts = ["call +49 30 1234567 or +49301234567", "+1 212 555 0147", "+44 212 555 0147", "+351 21 123 4567, +351211234567"]
+    out = run(spark, texts)
+    a = re.fullmatch(r"call \+49 (\d\d) (\d{7}) or \+49(\d{9})", out[0].text)
+    assert a and a[1] + a[2] == a[3] != "301234567"
+    b = re.fullmatch(r"\+351 (\d\d) (\d{3}) (\d{4}), \+351(\d{9})", out[3].text)
+    assert b and b[1] + b[2] + b[3] == b[4]
+    assert out[1].text.startswith("+1 ") and out[2].text.startswith("+44 ") and out[1].text != out[2].text

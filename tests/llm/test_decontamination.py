@@ -71,3 +71,25 @@ def test_windows_dont_pile_up(spark, monkeypatch):
     whole = sorted(map(tuple, D.contaminated(table(spark, own), items).collect()))
     monkeypatch.setattr(D, "HELD_WORDS", 100)
     assert whole == sorted(map(tuple, D.contaminated(table(spark, own), items).collect())) and len(whole) == 20
+
+
+def test_query_against_all_alignments(spark):
+    """Each document of the smallest tables aligned with each item as a whole, without seeds."""
+    folder = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, D.words_of(r.text or "")) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    tests = [(r.item_id, D.words_of(r.text or "")) for r in spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text").collect()]
+    number = {w: i + 1 for i, w in enumerate({w for _, own in tests for w in own})}
+    coded = [(i, np.array([number.get(w, 0) for w in own], np.int64)) for i, own in docs]
+    want = {}
+    for item, own in tests:
+        code = np.array([number[w] for w in own], np.int64)
+        for at in range(0, len(coded), 32):
+            part = coded[at : at + 32]
+            windows = np.full((len(part), max(len(c) for _, c in part)), -1, np.int64)
+            for row, (_, c) in enumerate(part):
+                windows[row, : len(c)] = c
+            for (doc, _), s in zip(part, D.align(windows, code).tolist(), strict=True):
+                if own and s >= D.least_score(len(own)):
+                    want[doc, item] = max(want.get((doc, item), 0), s)
+    got = {(r.doc_id, r.item_id): r.score for r in D.op3_decontamination(spark, folder).collect()}
+    assert got == want and got

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,10 +17,10 @@ from .common import Scratch
 BOOKS, ENTRIES, BEAM, ROUNDS = 48, 16, 4, 3
 #: The codebooks are fitted on at most this many vectors, those with the least hash.
 SAMPLE = 12288
-#: Distinct vectors of a part of the index, and the fewest that make a part of their own; queries of a block.
-PART, LEAST, QUERIES = 65536, 4096, 8192
-#: Vectors measured exactly for each query, in all parts together; twice its share in a part, and never fewer than 4k.
-SHORTLIST = 1024
+#: Distinct vectors of a part of the index; queries of a block.
+PART, QUERIES = 16384, 8192
+#: The share of a part's vectors that is measured exactly for each query, and how many times k at least.
+SHARE, TIMES = 0.04, 8
 
 
 @dataclass
@@ -137,13 +138,11 @@ def build_index(vectors: DataFrame, work: Scratch, k: int) -> tuple[DataFrame, Q
 def search(index: DataFrame, asked: DataFrame, model: Quantiser, dim: int, k: int) -> DataFrame:
     """(query_id, vec_id, score): the nearest k to each query of asked (vec_id, vector) in each part of the index.
 
-    Index rows fall into parts and queries into blocks, by hash and in number with the rows; each part meets each block
-    in a task of its own, which holds no more than the two. There all rows are scored by lookup table, a share of the
-    SHORTLIST is measured exactly, and k rows of a query go on."""
+    Index rows fall into parts and queries into blocks, by hash and in number with the rows alone; each part meets each block
+    in a task of its own, which holds no more than the two. There all rows are scored by lookup table, the best SHARE of them
+    (TIMES * k at least) is measured exactly, and k rows of a query go on."""
     n, m = index.count(), asked.count()
-    parts = max(1, -(-n // PART), min(index.sparkSession.sparkContext.defaultParallelism, n // LEAST))
-    blocks = max(1, -(-m // QUERIES))
-    width = max(4 * k, -(-2 * SHORTLIST // parts))
+    parts, blocks = max(1, -(-n // PART)), max(1, -(-m // QUERIES))
 
     def each(count: int, name: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
@@ -157,7 +156,7 @@ def search(index: DataFrame, asked: DataFrame, model: Quantiser, dim: int, k: in
             vectors, q = (np.frombuffer(b"".join(t.column("vector").to_pylist()), "<f8").reshape(-1, dim) for t in (own, other))
             codes = np.frombuffer(b"".join(own.column("codes").to_pylist()), np.uint8).reshape(len(own), -1)
             norms, owners, ids = own.column("norm").to_numpy(), own.column("ids"), other.column("vec_id").to_pylist()
-            most = min(width, len(own))
+            most = min(max(TIMES * k, math.ceil(SHARE * len(own))), len(own))
             for at in range(0, len(ids), 32):
                 s = model.scores(q[at : at + 32], codes, norms)
                 near = np.argpartition(s, most - 1, axis=1)[:, :most]

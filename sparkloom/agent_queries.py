@@ -120,6 +120,20 @@ def q127_answer_grounding(spark, d):
     return _grounded(spark, d)
 
 
+@query("""with c as (select distinct l_orderkey as query_id, l_partkey as id from lineitem), r as (select l_orderkey as query_id, l_partkey as id, min({'file': l_suppkey % 5, 'start': l_linenumber // 3, 'end': l_linenumber // 3 + 4}) as pl from lineitem where l_returnflag <> 'N' group by all),
+m as (select c.query_id, c.id, r.pl, row_number() over (partition by c.query_id, r.pl is null order by c.id) as k from c left join r using (query_id, id))
+select query_id, coalesce(array_to_string(list_sort(list(distinct pl.file || ':' || pl.start || '-' || pl."end") filter (where pl is not null)), ','), '') as citations, coalesce(string_agg(id::varchar, ',' order by id) filter (where pl is null and k <= 2), '') as dropped,
+  count(*) filter (where pl is null) as n_dropped, count(pl) > 0 as answered from m group by query_id""")
+def q127_grounded_answers(spark, d):
+    l, n = table(spark, d, "lineitem"), F.col("l_linenumber")  # noqa: E741
+    third = F.floor(n / 3).cast("int")
+    cited = l.select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("id"))
+    got = l.filter("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("id"), (F.col("l_suppkey") % 5).alias("file"), third.alias("start"), (third + 4).alias("end"))
+    text = F.transform("citations", lambda x: F.concat(x["file"].cast("string"), F.lit(":"), x["start"].cast("string"), F.lit("-"), x["end"].cast("string")))
+    out = A.ground_answers(cited, got, 2)
+    return out.select("query_id", F.array_join(F.array_sort(text), ",").alias("citations"), F.array_join(F.transform("dropped", lambda x: x.cast("string")), ",").alias("dropped"), "n_dropped", "answered")
+
+
 @query(f"with {_CITED} select query_id, round(kept / (kept + dropped), 6) as validity, (kept > 0) = (query_id in (select query_id from target)) as justified from g")
 def q175_answer_scores(spark, d):
     return A.answer_scores(_grounded(spark, d), targets(spark, d))

@@ -89,6 +89,23 @@ def ground(cited: DataFrame, retrieved: DataFrame) -> DataFrame:
     return out.withColumn("answered", F.col("kept") > 0)
 
 
+def ground_answers(cited: DataFrame, retrieved: DataFrame, most: int = 50) -> DataFrame:
+    """127: what each answer's citations (query_id, id) come to among the chunks retrieved for it (query_id, id, file, start, end).
+
+    Returns query_id, citations (file, start, end; each place once, in order), dropped (ids that weren't retrieved, each once, at most `most`
+    of them by name), n_dropped, answered. An answer without a citation that holds is refused."""
+    one = cited.select("query_id", "id").distinct()
+    chunks = retrieved.groupBy("query_id", "id").agg(F.min(F.struct("file", "start", "end")).alias("at"))
+    met = one.join(chunks, ["query_id", "id"], "left")
+    place = F.row_number().over(Window.partitionBy("query_id", F.col("at").isNull()).orderBy("id"))
+    met = met.withColumn("__k", place)
+    out = met.groupBy("query_id").agg(
+        F.array_sort(F.collect_set("at")).alias("citations"), F.array_sort(F.collect_list(F.when(F.col("at").isNull() & (F.col("__k") <= most), F.col("id")))).alias("dropped"),
+        F.sum(F.col("at").isNull().cast("long")).alias("n_dropped"),
+    )
+    return out.withColumn("answered", F.size("citations") > 0)
+
+
 def answer_scores(grounded: DataFrame, expected: DataFrame) -> DataFrame:
     """175: validity of citations, and whether an answer or a refusal is justified."""
     has = expected.select("query_id").distinct().withColumn("has", F.lit(True))

@@ -70,7 +70,7 @@ def q007_local_tree(spark, d):
 @query(f"""with {_PATHS}, e as (select id, path, case when name in ('main.ts', 'view.tsx') then 'TypeScript' when name = 'job.py' then 'Python' when name = 'guide.md' then 'Markdown' else 'Unknown' end as language, case when name = 'LICENSE' then '' else lower(regexp_extract(name, '(\\.[^.]+)$', 1)) end as ext from p)
 select * from e""")
 def q021_language(spark, d):
-    return C.describe(_paths(spark, d)).join(_paths(spark, d).select("id", "path"), "path").select("id", "path", "language", "ext").distinct()
+    return C.describe(_paths(spark, d), "id").select("id", "path", "language", "ext")
 
 
 @query(f"with {_PATHS} select language, count(*) as files from (select case when name in ('main.ts', 'view.tsx') then 'TypeScript' when name = 'job.py' then 'Python' when name = 'guide.md' then 'Markdown' else 'Unknown' end as language from p) group by language")

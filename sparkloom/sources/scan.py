@@ -72,10 +72,10 @@ def read_files(spark: SparkSession, root: str, rules: list[Rule] | None = None)
     return rows.filter(~hard_ignored(F.col("path")) & ~ignored(F.col("path"), rules or []))
 
 
-def describe(files: DataFrame) -> DataFrame:
-    """21-24, 26: extension, role, language and lines of code of each file."""
+def describe(files: DataFrame, *keep: str) -> DataFrame:
+    """21-24, 26: extension, role, language and lines of code of each file, with the columns to keep. A file is a row: paths may stand in many repositories."""
     p = F.col("path")
-    return files.select("path", T.extension(p).alias("ext"), T.role(p).alias("role"), T.language(p).alias("language"), "size_bytes", T.loc(F.col("content")).alias("loc"))
+    return files.select(*keep, "path", T.extension(p).alias("ext"), T.role(p).alias("role"), T.language(p).alias("language"), "size_bytes", T.loc(F.col("content")).alias("loc"))
 
 
 def measure(files: DataFrame, by: str | None = None, most_files: int = MOST_FILES, most_bytes: int = MOST_BYTES) -> DataFrame:

@@ -64,7 +64,9 @@ def q006_parseable(spark, d):
 
 @query("select unnest(['customer.parquet', 'documents.parquet', 'region.parquet']) as path")
 def q007_local_tree(spark, d):
-    return C.read_files(spark, d).filter(F.col("path").isin("customer.parquet", "documents.parquet", "region.parquet", "none.parquet")).select("path")
+    # a table is one file, or a folder of parts
+    whole = C.read_files(spark, d).select(F.regexp_extract("path", "^([^/]+)", 1).alias("path")).distinct()
+    return whole.filter(F.col("path").isin("customer.parquet", "documents.parquet", "region.parquet", "none.parquet"))
 
 
 @query(f"""with {_PATHS}, e as (select id, path, case when name in ('main.ts', 'view.tsx') then 'TypeScript' when name = 'job.py' then 'Python' when name = 'guide.md' then 'Markdown' else 'Unknown' end as language, case when name = 'LICENSE' then '' else lower(regexp_extract(name, '(\\.[^.]+)$', 1)) end as ext from p)

@@ -74,7 +74,7 @@ def _sessions(spark, d, seconds: int):
     e = table(spark, d, "events")
     kind = lambda k, v: F.struct(F.lit(k).alias("kind"), v.alias("value"))
     turns = e.select(
-        F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.round(F.col("value") / 60).cast("int").alias("analysis"), F.expr("repeat(event_type, cast(event_id % 150 as int))").alias("answer"),
+        F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.rint(F.col("value") / 60).cast("int").alias("analysis"), F.expr("repeat(event_type, cast(event_id % 150 as int))").alias("answer"),
         F.array(F.col("event_id") % 90, F.col("event_id") % 7).alias("chunks"), F.array(kind("file", F.concat(F.lit("f"), (F.col("event_id") % 40).cast("string"))), kind("symbol", F.col("event_type"))).alias("entities"),
     )
     now = e.agg(F.max("ts").cast("timestamp")).first()[0]

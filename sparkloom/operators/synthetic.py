@@ -47,18 +47,20 @@ def questions(nodes: DataFrame, edges: DataFrame, counts: DataFrame, cyclic: Dat
     return out.withColumns({"negative": F.col("expected") == 0, "question": text})
 
 
-def answers(asked: DataFrame, edges: DataFrame, cyclic: DataFrame, entries: DataFrame) -> DataFrame:
-    """180: (repo, kind, file, answer) of the questions asked. Searches start from the files that are asked about only."""
+def answers(asked: DataFrame | None, edges: DataFrame, cyclic: DataFrame, entries: DataFrame) -> DataFrame:
+    """180: (repo, kind, file, answer) of the questions asked, searches then starting from the files that are asked about only; of None,
+    every answer to every file's question of each kind."""
     of = lambda kind: asked.filter(F.col("kind") == kind).select("repo", "file").distinct()
+    held = lambda df, kind: df if asked is None else df.join(of(kind), ["repo", "file"], "left_semi")
     into = edges.select("repo", F.col("dst").alias("file"), F.col("src").alias("answer"), F.col("kind").alias("edge"))
-    direct = lambda kind, edge: into.filter(F.col("edge") == edge).join(of(kind), ["repo", "file"], "left_semi").select("repo", F.lit(kind).alias("kind"), "file", "answer")
-    back = G.closure(edges.select("repo", F.col("dst").alias("src"), F.col("src").alias("dst")), starts=of("blast-radius").withColumnRenamed("file", "src"))
+    direct = lambda kind, edge: held(into.filter(F.col("edge") == edge), kind).select("repo", F.lit(kind).alias("kind"), "file", "answer")
+    back = G.closure(edges.select("repo", F.col("dst").alias("src"), F.col("src").alias("dst")), starts=None if asked is None else of("blast-radius").withColumnRenamed("file", "src"))
     ring = cyclic.select("repo", "component", F.col("file").alias("answer"))
-    through = cyclic.join(of("cycle-through"), ["repo", "file"], "left_semi").join(ring, ["repo", "component"]).filter("file <> answer")
+    through = held(cyclic, "cycle-through").join(ring, ["repo", "component"]).filter("file <> answer")
     none = F.lit(None).cast(edges.schema["dst"].dataType)
     parts = [
         direct("imports-of", "import"), direct("who-calls", "call"), back.select("repo", F.lit("blast-radius"), "src", "dst"), through.select("repo", F.lit("cycle-through"), "file", "answer"),
-        entries.join(asked.filter("kind = 'entry-points'").select("repo"), "repo", "left_semi").select("repo", F.lit("entry-points"), none, "file"),
+        (entries if asked is None else entries.join(asked.filter("kind = 'entry-points'").select("repo"), "repo", "left_semi")).select("repo", F.lit("entry-points"), none, "file"),
     ]
     return reduce(DataFrame.union, parts).distinct()
 

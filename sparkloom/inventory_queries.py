@@ -246,13 +246,8 @@ def q119_mmr_by_vectors(spark, d):
 
 @query()
 def q098_seeded_order(spark, d):
-    import pandas as pd
-
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = O.shuffled(pdf["file"].tolist(), 42)
-        return pd.DataFrame({"repo": [pdf["repo"].iloc[0]] * len(out), "file": out, "place": range(len(out))}).astype("int64")
-
-    return nodes(spark, d).select("repo", "file").groupBy("repo").applyInPandas(order, "repo long, file long, place long")
+    place = lambda columns: ((file, k) for k, file in enumerate(O.shuffled(columns[0], 42)))
+    return O.by_repo(nodes(spark, d).select("repo", "file"), place, "repo long, file long, place long")
 
 
 @query("""with f as (select l_orderkey as file, max(l_linenumber) as lines from lineitem where l_returnflag <> 'R' group by all), c as (select l_orderkey as file, l_linenumber as s, l_linenumber + l_suppkey % 3 - 1 as e from lineitem)

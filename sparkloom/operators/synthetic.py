@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph as G
+from . import reach as H
 
 #: The kinds in order, and how they are asked.
 KINDS = ("imports-of", "who-calls", "blast-radius", "cycle-through", "entry-points")
@@ -25,66 +26,93 @@ WHY = {
 PER_KIND, CONTROLS, NEGATIVES = 5, 1, 3
 
 
-def questions(nodes: DataFrame, edges: DataFrame, counts: DataFrame, cyclic: DataFrame, entries: DataFrame, per_kind: int = PER_KIND, controls: int = CONTROLS) -> DataFrame:
+def questions(nodes: DataFrame, edges: DataFrame, counts: DataFrame | None, cyclic: DataFrame, entries: DataFrame, per_kind: int = PER_KIND, controls: int = CONTROLS) -> DataFrame:
     """184: (repo, kind, n, file, expected, negative, question): of each kind the first files with an answer and the first without one,
     by degree, then by id, in that order, numbered from 0; and one question for the entry points of a repository that has any.
 
-    counts: reach.reach_counts; cyclic: reach.in_cycle; entries: (repo, file). No pairs are made: how many answers there are is known from
-    counts."""
-    own = nodes.select("repo", "file").distinct()
-    direct = edges.select("repo", F.col("dst").alias("file"), "src", "kind")
-    into = direct.groupBy("repo", "file").agg(*[F.count_distinct(F.when(F.col("kind") == k, F.col("src"))).alias(name) for k, name in (("import", "imports-of"), ("call", "who-calls"))])
-    ring = cyclic.join(cyclic.groupBy("repo", "component").agg((F.count("*") - 1).alias("cycle-through")), ["repo", "component"]).select("repo", "file", "cycle-through")
-    rows = G.degrees(own, edges).join(into, ["repo", "file"], "left").join(counts.select("repo", "file", F.col("dependents").alias("blast-radius")), ["repo", "file"], "left").join(ring, ["repo", "file"], "left")
-    each = rows.select("repo", "file", "degree", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(F.col(k), F.lit(0)).cast("long").alias("expected")) for k in KINDS[:-1]])).alias("x")).select("repo", "file", "degree", "x.*")
-    negative = F.col("expected") == 0
-    place = F.row_number().over(Window.partitionBy("repo", "kind", negative).orderBy(F.desc("degree"), "file"))
-    kept = each.withColumn("place", place).filter(F.col("place") <= F.when(negative, controls).otherwise(per_kind))
-    n = F.row_number().over(Window.partitionBy("repo", "kind").orderBy(F.desc("degree"), "file")) - 1
+    edges: of a file's, or counted by kind (graph.code_property_graph); cyclic: reach.in_cycle; entries: (repo, file). No pairs are made: how
+    many answers there are is known from counts (reach.reach_counts). Without these, expected is 1 for the radius of any file that has one;
+    reach.around counts it for the files chosen (`with_counts`)."""
+    cpg = edges if "count" in edges.columns else G.code_property_graph(edges)
+    row = lambda df, file, **has: df.select("repo", F.col(file).alias("file"), *[F.coalesce(has[k].cast("long"), F.lit(0)).alias(k) if k in has else F.lit(0).cast("long").alias(k) for k in ("own", "degree", *KINDS[:-1])])
+    number = lambda c: F.when(c, 1)
+    into = {"imports-of": number(F.col("kind") == "import"), "who-calls": number(F.col("kind") == "call")}
+    if counts is None:
+        into["blast-radius"] = number(F.col("src") != F.col("dst"))
+    ring = cyclic.withColumn("k", F.count("*").over(Window.partitionBy("repo", "component")) - 1)
+    rows = [row(nodes, "file", own=F.lit(1)), row(cpg, "src", degree=F.col("count")), row(cpg, "dst", degree=F.col("count"), **into), row(ring, "file", **{"cycle-through": F.col("k")})]
+    if counts is not None:
+        rows.append(row(counts, "file", **{"blast-radius": F.col("dependents")}))
+    facts = reduce(DataFrame.union, rows).groupBy("repo", "file").agg(*[F.sum(k).alias(k) for k in ("own", "degree", *KINDS[:-1])]).filter("own > 0")
+    if counts is None:
+        facts = facts.withColumn("blast-radius", F.least("blast-radius", F.lit(1)))
+    w = Window.partitionBy("repo").orderBy(F.desc("degree"), "file").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    facts = facts.withColumns({"place": F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("degree"), "file"))} | {f"yes {k}": F.sum(F.when(F.col(k) > 0, 1).otherwise(0)).over(w) for k in KINDS[:-1]})
+
+    def one(k):
+        yes, no = F.col(f"yes {k}"), F.col("place") - F.col(f"yes {k}")
+        n = (F.least(yes, F.lit(per_kind)) + F.least(no, F.lit(controls)) - 1).cast("int")  # those kept so far
+        return F.when(F.when(F.col(k) > 0, yes <= per_kind).otherwise(no <= controls), F.struct(F.lit(k).alias("kind"), n.alias("n"), F.col(k).alias("expected")))
+
+    kept = facts.select("repo", "file", F.explode(F.array_compact(F.array(*map(one, KINDS[:-1])))).alias("x")).select("repo", "x.kind", "x.n", "file", "x.expected")
     whole = entries.groupBy("repo").agg(F.count_distinct("file").alias("expected")).select("repo", F.lit(KINDS[-1]).alias("kind"), F.lit(0).alias("n"), F.lit(None).cast(nodes.schema["file"].dataType).alias("file"), "expected")
-    out = kept.select("repo", "kind", n.alias("n"), "file", "expected").union(whole)
+    out = kept.union(whole)
     text = reduce(lambda c, k: c.when(F.col("kind") == k, F.concat(F.lit(PHRASES[k][0]), F.coalesce(F.col("file").cast("string"), F.lit("")), F.lit(PHRASES[k][1]))), KINDS, F)
     return out.withColumns({"negative": F.col("expected") == 0, "question": text})
 
 
-def answers(asked: DataFrame | None, edges: DataFrame, cyclic: DataFrame, entries: DataFrame) -> DataFrame:
+def with_counts(asked: DataFrame, around: DataFrame) -> DataFrame:
+    """Questions made without counts, with how many answers those of a radius have."""
+    own = around.select("repo", F.lit(KINDS[2]).alias("kind"), "file", "dependents")
+    return asked.join(own, ["repo", "kind", "file"], "left").withColumn("expected", F.coalesce("dependents", "expected")).select(asked.columns)
+
+
+def answers(asked: DataFrame | None, edges: DataFrame, cyclic: DataFrame, entries: DataFrame, radius: bool = True) -> DataFrame:
     """180: (repo, kind, file, answer) of the questions asked, searches then starting from the files that are asked about only; of None,
-    every answer to every file's question of each kind."""
+    every answer to every file's question of each kind. Without radius, those that take no search."""
     of = lambda kind: asked.filter(F.col("kind") == kind).select("repo", "file").distinct()
     held = lambda df, kind: df if asked is None else df.join(of(kind), ["repo", "file"], "left_semi")
     into = edges.select("repo", F.col("dst").alias("file"), F.col("src").alias("answer"), F.col("kind").alias("edge"))
     direct = lambda kind, edge: held(into.filter(F.col("edge") == edge), kind).select("repo", F.lit(kind).alias("kind"), "file", "answer")
-    back = G.closure(edges.select("repo", F.col("dst").alias("src"), F.col("src").alias("dst")), starts=None if asked is None else of("blast-radius").withColumnRenamed("file", "src"))
     ring = cyclic.select("repo", "component", F.col("file").alias("answer"))
     through = held(cyclic, "cycle-through").join(ring, ["repo", "component"]).filter("file <> answer")
     none = F.lit(None).cast(edges.schema["dst"].dataType)
     parts = [
-        direct("imports-of", "import"), direct("who-calls", "call"), back.select("repo", F.lit("blast-radius"), "src", "dst"), through.select("repo", F.lit("cycle-through"), "file", "answer"),
+        direct("imports-of", "import"), direct("who-calls", "call"), through.select("repo", F.lit("cycle-through"), "file", "answer"),
         (entries if asked is None else entries.join(asked.filter("kind = 'entry-points'").select("repo"), "repo", "left_semi")).select("repo", F.lit("entry-points"), none, "file"),
     ]
+    if radius:
+        back = G.closure(edges.select("repo", F.col("dst").alias("src"), F.col("src").alias("dst")), starts=None if asked is None else of("blast-radius").withColumnRenamed("file", "src"))
+        parts.append(back.select("repo", F.lit("blast-radius"), "src", "dst"))
     return reduce(DataFrame.union, parts).distinct()
 
 
-def hard_negatives(asked: DataFrame, truth: DataFrame, nodes: DataFrame, edges: DataFrame, clusters: DataFrame, most: int = NEGATIVES) -> DataFrame:
+def hard_negatives(asked: DataFrame, truth: DataFrame, nodes: DataFrame, edges: DataFrame, clusters: DataFrame, most: int = NEGATIVES, around: DataFrame | None = None) -> DataFrame:
     """185: (repo, kind, file, negatives, strategy): the first `most` files by id that are near and wrong, none of them the file itself or an answer.
 
     imports-of: what the file imports, which is the other direction. who-calls, cycle-through: files of its community (clusters: repo,
-    file, cluster). blast-radius: what it depends on, upstream instead of downstream. entry-points: all other files."""
+    file, cluster). blast-radius: what it depends on, upstream instead of downstream. entry-points: all other files. Of a radius only
+    these files are kept, by the searches that find both directions (around: reach.around of at least the files asked about); truth
+    need not have its answers."""
     of = lambda kind: asked.filter(F.col("kind") == kind).select("repo", "kind", "file")
+    if around is None:
+        around = H.around(edges, of("blast-radius"), most)
+    up = of("blast-radius").join(around, ["repo", "file"]).select("repo", "kind", "file", F.slice("beyond", 1, most).alias("negatives")).filter(F.size("negatives") > 0)
     out = edges.filter("kind = 'import'").select("repo", F.col("src").alias("file"), F.col("dst").alias("near"))
     mates = clusters.select("repo", "cluster", F.col("file").alias("near"))
     same = asked.filter(F.col("kind").isin("who-calls", "cycle-through")).select("repo", "kind", "file").join(clusters, ["repo", "file"]).join(mates, ["repo", "cluster"])
-    up = G.closure(edges, starts=of("blast-radius").select("repo", F.col("file").alias("src")))
     parts = [
         of("imports-of").join(out, ["repo", "file"]).select("repo", "kind", "file", "near"), same.select("repo", "kind", "file", "near"),
-        up.select("repo", F.lit("blast-radius"), F.col("src"), F.col("dst")), of("entry-points").join(nodes.select("repo", F.col("file").alias("near")), "repo").select("repo", "kind", "file", "near"),
+        of("entry-points").join(nodes.select("repo", F.col("file").alias("near")), "repo").select("repo", "kind", "file", "near"),
     ]
-    near = reduce(DataFrame.union, parts).distinct().filter(~F.col("file").eqNullSafe(F.col("near")))
-    right = truth.select(F.col("repo").alias("r"), F.col("kind").alias("k"), F.col("file").alias("f"), "answer")
-    wrong = near.join(right, (F.col("repo") == F.col("r")) & (F.col("kind") == F.col("k")) & F.col("file").eqNullSafe(F.col("f")) & (F.col("near") == F.col("answer")), "left_anti")
+    near = reduce(DataFrame.union, parts).filter(~F.col("file").eqNullSafe(F.col("near"))).withColumn("right", F.lit(False))
+    right = truth.filter("kind <> 'blast-radius'").select("repo", "kind", "file", "answer", F.lit(True))
+    # an answer and what is near meet in one shuffle by question, which the groups below share
+    wrong = near.union(right).repartition("repo", "kind", "file").groupBy("repo", "kind", "file", "near").agg(F.max("right").alias("right")).filter("not right")
     first = wrong.withColumn("p", F.row_number().over(Window.partitionBy("repo", "kind", "file").orderBy("near"))).filter(F.col("p") <= most)
     why = reduce(lambda c, k: c.when(F.col("kind") == k, WHY[k]), KINDS, F)
-    return first.groupBy("repo", "kind", "file").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "near"))), lambda x: x["near"]).alias("negatives")).withColumn("strategy", why)
+    own = first.groupBy("repo", "kind", "file").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "near"))), lambda x: x["near"]).alias("negatives"))
+    return own.union(up).withColumn("strategy", why)
 
 
 def summary(asked: DataFrame, negatives: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .graph_queries import _BASE, _CYCLIC, _DEGREE, _REACH
+from .operators import graph as G
 from .operators import reach as H
 from .operators import synthetic as Y
 from .plans.lineage import cut
@@ -43,15 +44,17 @@ _WHY = "case kind " + " ".join(f"when '{k}' then '{v}'" for k, v in Y.WHY.items(
 
 
 def _asked(spark, d):
-    n, e = nodes(spark, d), edges(spark, d)
+    """Files, edges by kind, files in cycles, entry points, the questions and the searches from files whose radius is asked about. Tables, as each is read more than once."""
+    n, e = cut(nodes(spark, d).select("repo", "file", "folder")), cut(G.code_property_graph(edges(spark, d)))
     cyclic, entries = H.in_cycle(e), n.filter("folder < 3").select("repo", "file")
-    return n, e, cyclic, entries, cut(Y.questions(n, e, H.reach_counts(e), cyclic, entries))
+    asked = cut(Y.questions(n, e, None, cyclic, entries))
+    return n, e, cyclic, entries, asked, cut(H.around(e, asked.filter("kind = 'blast-radius'"), Y.NEGATIVES))
 
 
 def _negatives(spark, d):
-    n, e, cyclic, entries, asked = _asked(spark, d)
-    truth = Y.answers(asked, e, cyclic, entries)
-    return asked, Y.hard_negatives(asked, truth, n, e, n.select("repo", "file", F.col("folder").alias("cluster")))
+    n, e, cyclic, entries, asked, around = _asked(spark, d)
+    truth = Y.answers(asked, e, cyclic, entries, radius=False)
+    return asked, Y.hard_negatives(asked, truth, n, e, n.select("repo", "file", F.col("folder").alias("cluster")), around=around)
 
 
 @query(f"{_ALL} select repo, kind, file, answer from truth union all select repo, 'entry-points', null, file from entries")
@@ -62,7 +65,7 @@ def q180_oracle_truths(spark, d):
 
 @query(f"{_ALL} select *, expected = 0 as negative, {_SAYS} as question from asked")
 def q184_synthetic_questions(spark, d):
-    return _asked(spark, d)[-1]
+    return Y.with_counts(*_asked(spark, d)[-2:])
 
 
 @query(f"{_ALL} select repo, kind, file, negatives, {_WHY} as strategy from negatives")

@@ -29,12 +29,18 @@ PART_TOKENS, MOST_PARTS = 8_000_000, 20_000
 TEXTS = 1024
 #: The pattern's \s.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Letters by any version of Unicode, which byte-level pre-tokenisation therefore keeps together.
+LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 #: Chunks of a text that byte-level pre-tokenisation takes apart on its own: white space before other characters never
-#: belongs to what precedes it, nor does an ASCII character that is no letter to the ASCII letters before it.
-_CHUNK = re.compile(rf" ?[A-Za-z]++(?![^\x00-\x7f])|[{SPACE}]*+[^{SPACE}]+|[{SPACE}]+")
+#: belongs to what precedes it, nor does an ASCII character that is no letter to the letters before it.
+_CHUNK = re.compile(rf" ?[{LETTERS}]++(?![^\x00-\x7f])|[{SPACE}]*+[^{SPACE}]+|[{SPACE}]+")
+#: What pre-tokenisation leaves in one piece, and how it writes the bytes of that for the model.
+_WORD = re.compile(rf" ?[{LETTERS}]+")
+_WRITTEN = {ord(c): "".join(chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else chr(256 + b - (0 if b <= 32 else 94 if b < 161 else 106)) for b in c.encode()) for c in " " + "".join(map(chr, range(0xC0, 0x100)))}
+_SPACE = _WRITTEN[32]
 _CUT = re.compile(f"[^{SPACE}](?=[{SPACE}])")
 #: Characters of a text whose chunks are held at once, and of the chunks whose ids are remembered.
-SLICE, KNOWN = 1_000_000, 8_000_000
+SLICE, KNOWN = 1_000_000, 10_000_000
 
 
 def _by_chunks(told: dict) -> bool:
@@ -42,11 +48,39 @@ def _by_chunks(told: dict) -> bool:
     pre = told["pre_tokenizer"] or {}
     plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"]
     return plain and not any(told[x] for x in ("normalizer", "post_processor", "truncation", "padding")) and all(
-        re.match(rf"[^A-Za-z{SPACE}][^{SPACE}]*$", x["content"]) and not (x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"])
+        re.match(rf"[^{LETTERS}{SPACE}][^{SPACE}]*$", x["content"]) and not (x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"])
         for x in told["added_tokens"]
     )
 
 
+class _Known(dict):
+    """Ids of the chunks met, as bytes. Words go to the library's model at once, without its pre-tokenisation, which would leave them
+    whole; other chunks take all of it. Half of what is remembered is let go at once, less what was met again meanwhile."""
+
+    def __init__(self, own):
+        super().__init__()
+        self.own, self.model, self.held, self.older = own, own.model, 0, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        if self.held > KNOWN // 2:
+            self.older = dict(self)
+            self.clear()
+            self.held = 0
+        self.held += len(chunk)
+        got = self.older.get(chunk)
+        if got is not None:
+            self[chunk] = got
+            return got
+        if chunk.isascii() and chunk[0] == " " and chunk[1:].isalpha():
+            ids = [x.id for x in self.model.tokenize(_SPACE + chunk[1:])]
+        elif _WORD.fullmatch(chunk):
+            ids = [x.id for x in self.model.tokenize(chunk.translate(_WRITTEN))]
+        else:
+            ids = self.own.encode_batch_fast([chunk], add_special_tokens=False)[0].ids
+        got = self[chunk] = array("H", ids).tobytes()
+        return got
+
+
 @functools.cache
 def _encoder(name: str):
     """Ids of a text, as unsigned 16-bit numbers, by the tokenizers library. Where the file allows it, each chunk that
@@ -57,26 +91,14 @@ def _encoder(name: str):
     own = Tokenizer.from_file(public_tokenizers.path(name))
     if not _by_chunks(json.loads(own.to_str())):
         return lambda text: np.array(own.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-    known: dict[str, bytes] = {}
-    held = 0
+    known = _Known(own)
 
     def encode(text: str) -> bytes:
-        nonlocal held
         out, at = [], 0
         while at < len(text):
             cut = _CUT.search(text, at + SLICE)
             end = cut.end() if cut else len(text)
-            chunks = _CHUNK.findall(text, at, end)
-            got = list(map(known.get, chunks))
-            if None in got:
-                if held > KNOWN:
-                    known.clear()
-                    held = 0
-                new = list(set(chunks).difference(known))
-                held += sum(map(len, new))
-                known.update(zip(new, (array("H", x.ids).tobytes() for x in own.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-                got = map(known.__getitem__, chunks)
-            out += got
+            out.append(b"".join(map(known.__getitem__, _CHUNK.findall(text, at, end))))
             at = end
         return b"".join(out)
 
@@ -84,13 +106,13 @@ def _encoder(name: str):
 
 
 @functools.cache
-def _projection() -> tuple[np.ndarray, np.ndarray]:
+def _projection() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket and sign of each id, and the directions; fixed by their seed."""
     r = np.random.default_rng(20)
     ids = np.arange(1 << 16, dtype=np.uint64)
     h = (ids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
     signs = np.where((h >> np.uint64(20)) & np.uint64(1), 1.0, -1.0)
-    return np.stack([h % np.uint64(BUCKETS), signs]), r.standard_normal((BUCKETS, AXES))
+    return (h % np.uint64(BUCKETS)).astype(np.int64), signs, r.standard_normal((BUCKETS, AXES))
 
 
 def hilbert(point: list[int], bits: int = BITS) -> int:
@@ -121,16 +143,42 @@ def hilbert(point: list[int], bits: int = BITS) -> int:
     return key
 
 
+def hilberts(points: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """hilbert of each row."""
+    x = np.array(points, np.int64).T.copy()
+    for b in range(bits - 1, 0, -1):
+        q = 1 << b
+        for i in range(len(x)):
+            turn = x[i] & q != 0
+            t = np.where(turn, 0, (x[0] ^ x[i]) & (q - 1))
+            x[0] ^= np.where(turn, q - 1, t)
+            x[i] ^= t
+    for i in range(1, len(x)):
+        x[i] ^= x[i - 1]
+    t = np.zeros(x.shape[1], np.int64)
+    for b in range(bits - 1, 0, -1):
+        t ^= np.where(x[-1] >> b & 1, (1 << b) - 1, 0)
+    key = np.zeros_like(t)
+    for b in range(bits - 1, -1, -1):
+        for i in range(len(x)):
+            key = key << 1 | ((x[i] ^ t) >> b & 1)
+    return key
+
+
 def curve_key(ids: np.ndarray) -> int:
     """Hashed token counts (root-damped, unit length) -> AXES projections -> normal quantiles -> Hilbert key."""
-    table, directions = _projection()
-    v = np.bincount(table[0, ids].astype(np.int64), weights=table[1, ids], minlength=BUCKETS)
+    return hilbert(_grid(ids))
+
+
+def _grid(ids: np.ndarray) -> list[int]:
+    buckets, signs, directions = _projection()
+    v = np.bincount(buckets[ids], weights=signs[ids], minlength=BUCKETS)
     v = np.sign(v) * np.sqrt(np.abs(v))
     norm = math.sqrt(float(v @ v))
     if not norm:
-        return 0
+        return [0] * AXES
     at = v @ directions / norm
-    return hilbert([min((1 << BITS) - 1, int((1 + math.erf(a / math.sqrt(2))) / 2 * (1 << BITS))) for a in at])
+    return [min((1 << BITS) - 1, int((1 + math.erf(a / math.sqrt(2))) / 2 * (1 << BITS))) for a in at]
 
 
 def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str = "byte_bpe_50k.json", tables: Scratch | None = None) -> DataFrame:
@@ -153,12 +201,12 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str = "byte_bpe_50k.j
         ids_of = _encoder(tokenizer)
         for b in batches:
             for at in range(0, len(b), 512):
-                x, ids, keys = b.slice(at, 512), [], []
+                x, ids, grids = b.slice(at, 512), [], []
                 for text in x.column("text").to_pylist():
                     own = ids_of(text)
                     ids.append(own + _END)
-                    keys.append(curve_key(np.frombuffer(own, "<u2")))
-                yield pa.record_batch({"doc_id": x.column("doc_id"), "low": x.column("low"), "key": pa.array(keys, pa.int64()), "n": pa.array([len(i) // 2 for i in ids], pa.int64()), "ids": pa.array(ids, pa.binary())})
+                    grids.append(_grid(np.frombuffer(own, "<u2")))
+                yield pa.record_batch({"doc_id": x.column("doc_id"), "low": x.column("low"), "key": pa.array(hilberts(np.array(grids))), "n": pa.array([len(i) // 2 for i in ids], pa.int64()), "ids": pa.array(ids, pa.binary())})
 
     low = F.shiftleft(F.xxhash64("doc_id").bitwiseAND(2 ** (LOW_BITS - 8) - 1), 8).bitwiseOR(F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(255))
     source = docs.select(F.col("doc_id").cast("long"), blank("text").alias("text"), low.alias("low"))

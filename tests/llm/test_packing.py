@@ -132,3 +132,29 @@ def test_parts_hold_their_share(spark, monkeypatch):
     df = pack(table(spark, [(None, prose(1, 30), "en", "s", 1)] * 400), length=64)
     by = df.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
     assert len(by) >= 4 and max(r["count"] for r in by) <= sum(r["count"] for r in by) / 2
+
+
+def test_words_skip_pre_tokenisation(monkeypatch):
+    """op1_packing was over its CPU seconds: words met first go to the model at once, letters of Latin-1 and what follows them apart; the same ids."""
+    r = random.Random(6)
+    letters = [chr(c) for c in (*range(1, 0x180), 0x300, 0x2009, 0x3000, 0x4E2D, 0x1F600, 0x200B)] + [*" \n abc\xe9\xdf\xed\xff\xc0'" * 12, "'s", "<|endoftext|>"]
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(40))) for _ in range(5000)]
+    for most in (10**7, 50):
+        monkeypatch.setattr(packing, "KNOWN", most)
+        assert [encoded(t) for t in texts] == [ids(t)[:-1] for t in texts]
+    assert packing._CHUNK.findall(" stra\xdfe, na") == [" stra\xdfe", ",", " na"]
+
+
+def test_what_is_met_again_stays_known(monkeypatch):
+    monkeypatch.setattr(packing, "KNOWN", 40)
+    known = packing._Known(TOKENIZER)
+    for i in range(100):
+        assert known[f" w{i}"] and known[" again"]
+        if i:
+            assert " again" in known or " again" in known.older
+
+
+def test_keys_of_many_rows_are_those_of_each():
+    r = random.Random(7)
+    points = [[r.randrange(1 << packing.BITS) for _ in range(3)] for _ in range(500)] + [[0, 0, 0]]
+    assert packing.hilberts(np.array(points)).tolist() == [hilbert(p) for p in points]
